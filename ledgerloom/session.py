@@ -59,3 +59,12 @@ def r6(c: Column | str, digits: int = 6) -> Column:
 def sql_r6(expr: str, digits: int = 6) -> str:
     """The DuckDB twin of :func:`r6`."""
     return f"(ROUND(CAST({expr} AS DOUBLE), {digits}) + 0.0)"
+
+
+def exact_sum(c: Column | str) -> Column:
+    """Order-independent sum of a money column: accumulate as DECIMAL(38,7), return double.
+
+    Double sums depend on the summation order (partitioning); amounts carry at most 7
+    decimals, so the decimal sum is exact and identical on every run."""
+    col = F.col(c) if isinstance(c, str) else c
+    return F.sum(col.cast("decimal(38,7)")).cast("double")

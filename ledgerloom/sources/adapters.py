@@ -65,15 +65,20 @@ def next_in_sequence(df: DataFrame, group_cols: list[str], order_cols: list[str]
             .drop("_next_first"))
 
 
-def acct_edges(spark: SparkSession, sf_dir: str, bucket_seconds: int = 3600) -> DataFrame:
-    """events -> (src, dst, amount, ts, asset, edge_id) edge view, see module doc."""
+def acct_edges(spark: SparkSession, sf_dir: str, bucket_seconds: int = 3600,
+               keep_all: bool = False) -> DataFrame:
+    """events -> (src, dst, amount, ts, asset, edge_id) edge view, see module doc.
+
+    ``keep_all`` keeps self pairs and the null dst of the last event of each type (used by
+    the graph-consistency checks)."""
     ev = (read_table(spark, sf_dir, "events")
           .select("event_id", "ts", "user_id", "event_type", "value")
           .withColumn("_bucket", epoch_seconds("ts") / bucket_seconds)
           .withColumn("_bucket", F.floor("_bucket")))
     nx = next_in_sequence(ev, ["event_type"], ["ts", "event_id"], "user_id", "_next_user", "_bucket")
-    return (nx.where(F.col("_next_user").isNotNull() & (F.col("_next_user") != F.col("user_id")))
-            .select(F.col("user_id").cast("string").alias("src"),
+    if not keep_all:
+        nx = nx.where(F.col("_next_user").isNotNull() & (F.col("_next_user") != F.col("user_id")))
+    return (nx.select(F.col("user_id").cast("string").alias("src"),
                     F.col("_next_user").cast("string").alias("dst"),
                     F.col("value").alias("amount"),
                     epoch_seconds("ts").alias("ts"),
@@ -123,7 +128,11 @@ SQL_TRADE_EDGES = """trade_edges AS (
          l_orderkey * 8 + l_linenumber AS edge_id
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
-SQL_VIEWS = {"acct_edges": SQL_ACCT_EDGES, "trade_edges": SQL_TRADE_EDGES}
+SQL_ACCT_EDGES_ALL = SQL_ACCT_EDGES.replace("acct_edges AS (", "acct_edges_all AS (").replace(
+    "WHERE dst IS NOT NULL AND src <> dst)", ")")
+
+SQL_VIEWS = {"acct_edges": SQL_ACCT_EDGES, "trade_edges": SQL_TRADE_EDGES,
+             "acct_edges_all": SQL_ACCT_EDGES_ALL}
 
 
 def with_views(sql_body: str, *views: str, extra: list[str] | None = None) -> str:
