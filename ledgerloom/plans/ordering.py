@@ -10,6 +10,11 @@ rank rows in a total order with a range shuffle instead:
 3. per-partition counts (P rows) -> prefix offsets, broadcast (size bound: P rows);
 4. rank = offset + local position.
 
+The range partitioner samples its bounds with a seed tied to the RDD, so two plans over the
+same input may cut different bounds.  The sorted frame is therefore written once with a
+reliable checkpoint (``spark.checkpoint.dir``) and both the counts and the rows read it;
+this also cuts the lineage, so a lost executor does not re-sample.
+
 The order columns must form a total order (add a unique tie-break column).
 """
 from __future__ import annotations
@@ -17,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def _num_partitions(df: DataFrame, num_partitions: int | None) -> int:
     if num_partitions:
@@ -32,6 +39,7 @@ def with_global_rank(df: DataFrame, order_cols: list[str | Column], rank_col: st
     s = (s.withColumn("_pid", F.spark_partition_id())
           .withColumn("_local", F.monotonically_increasing_id()
                       - F.shiftleft(F.col("_pid").cast("long"), 33)))
+    s = cut_lineage(s)
     counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     offs = counts.select("_pid", (F.sum("_cnt").over(
         Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))).alias("_off"))
@@ -71,3 +79,38 @@ def exact_percentiles(df: DataFrame, value_col: str, qs: dict[str, float],
         base = base.join(F.broadcast(res.where(F.col("_q") == name).select(F.col("_val").alias(name))),
                          how="left")
     return base.drop("id")
+
+
+def windowed(df: DataFrame, partition_cols: list[str], order_cols: list[str | Column],
+             before: int, after: int, build, chunk_rows: int = 1 << 22) -> DataFrame:
+    """Frame/lag/lead computations over ``partition_cols`` ordered by ``order_cols`` without
+    a task per partition key.
+
+    Rows get a global rank in (partition, order) order and are cut into chunks of
+    ``chunk_rows`` consecutive rows.  Rows within ``after`` of a chunk start are copied into
+    the previous chunk and rows within ``before`` of a chunk end into the next one (halo), so
+    a window ``partitionBy(partition_cols + chunk).orderBy(rank)`` sees every neighbour a
+    frame ``rowsBetween(-before, after)`` needs.  Only the home copies are returned.
+
+    ``build(w)`` receives that WindowSpec and returns a list of Columns to add.
+    Each window task holds at most ``chunk_rows + before + after`` rows, whatever the key skew.
+    """
+    if before > chunk_rows or after > chunk_rows:
+        raise ValueError("frame larger than a chunk")
+    keys = list(partition_cols)
+    r = with_global_rank(df, [*(F.col(c) for c in keys), *order_cols], "_g")
+    r = r.withColumn("_chunk", F.floor(F.col("_g") / chunk_rows))
+    pos = F.col("_g") - F.col("_chunk") * chunk_rows
+    parts = [r.withColumn("_home", F.lit(True))]
+    if after > 0:
+        parts.append(r.where(pos < after).withColumn("_chunk", F.col("_chunk") - 1)
+                     .withColumn("_home", F.lit(False)))
+    if before > 0:
+        parts.append(r.where(pos >= chunk_rows - before).withColumn("_chunk", F.col("_chunk") + 1)
+                     .withColumn("_home", F.lit(False)))
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionByName(p)
+    w = Window.partitionBy(*keys, "_chunk").orderBy("_g")
+    cols = build(w)
+    return u.select("*", *cols).where(F.col("_home")).drop("_home", "_chunk")

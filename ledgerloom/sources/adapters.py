@@ -101,6 +101,19 @@ def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("edge_id"))
 
 
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events -> (id, ts, tie, y_true, y_prob, y_pred): a deterministic scored table.
+
+    y_true = event is an error; y_prob = 0.7 * (pmod(event_id * 7919, 1000) / 1000) + 0.3 * y_true;
+    y_pred = y_prob >= 0.5."""
+    ev = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+    y = (F.col("event_type") == "error").cast("int")
+    p = F.lit(0.7) * (F.pmod(F.col("event_id") * 7919, F.lit(1000)) / F.lit(1000.0)) + F.lit(0.3) * y
+    return ev.select(F.col("event_id").alias("id"), F.col("user_id").alias("account"),
+                     epoch_seconds("ts").alias("ts"), y.alias("y_true"), p.alias("y_prob")) \
+             .withColumn("y_pred", (F.col("y_prob") >= 0.5).cast("int"))
+
+
 # ---------------------------------------------------------------- DuckDB twins (oracle side)
 
 def _sql_asset_case(col: str = "event_type") -> str:
@@ -128,11 +141,18 @@ SQL_TRADE_EDGES = """trade_edges AS (
          l_orderkey * 8 + l_linenumber AS edge_id
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
+SQL_SCORED = """scored AS (
+  SELECT id, account, ts, y_true, y_prob, CAST(y_prob >= 0.5 AS INTEGER) AS y_pred FROM (
+    SELECT event_id AS id, user_id AS account, CAST(epoch_us(ts) // 1000000 AS BIGINT) AS ts,
+           CAST(event_type = 'error' AS INTEGER) AS y_true,
+           0.7 * (((event_id * 7919) % 1000) / 1000.0) + 0.3 * CAST(event_type = 'error' AS INTEGER) AS y_prob
+    FROM events) s)"""
+
 SQL_ACCT_EDGES_ALL = SQL_ACCT_EDGES.replace("acct_edges AS (", "acct_edges_all AS (").replace(
     "WHERE dst IS NOT NULL AND src <> dst)", ")")
 
 SQL_VIEWS = {"acct_edges": SQL_ACCT_EDGES, "trade_edges": SQL_TRADE_EDGES,
-             "acct_edges_all": SQL_ACCT_EDGES_ALL}
+             "acct_edges_all": SQL_ACCT_EDGES_ALL, "scored": SQL_SCORED}
 
 
 def with_views(sql_body: str, *views: str, extra: list[str] | None = None) -> str:
@@ -140,6 +160,9 @@ def with_views(sql_body: str, *views: str, extra: list[str] | None = None) -> st
     ctes = [SQL_VIEWS[v] for v in views] + list(extra or [])
     if not ctes:
         return sql_body
+    body = sql_body.lstrip()
+    if body[:5].upper() == "WITH ":   # merge the body's own CTE list into ours
+        return "WITH " + ",\n".join(ctes) + ",\n" + body[5:]
     return "WITH " + ",\n".join(ctes) + "\n" + sql_body
 
 
