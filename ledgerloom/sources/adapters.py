@@ -114,6 +114,60 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
              .withColumn("y_pred", (F.col("y_prob") >= 0.5).cast("int"))
 
 
+OP_TYPES = ["payment", "create_account", "account_merge", "path_payment_strict_send", "change_trust"]
+
+
+def raw_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events -> raw operation records as JSON text (``raw``) with an ingest order ``seq``.
+
+    type = OP_TYPES[event_id mod 5]; source 'G'||user_id; counterparty 'G'||((user_id*7 +
+    event_id) mod 1000); amount = value with 7 decimals; path payments send ``value`` of XLM
+    and deliver value/2 of the event asset through (event_id div 5) mod 3 intermediate assets
+    'P<i>:GP'; two operations per transaction hash, ten per ledger.  Absent fields are
+    omitted from the JSON (``to_json`` drops nulls)."""
+    ev = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    k = F.pmod(F.col("event_id"), F.lit(5))
+    typ = F.element_at(F.array(*[F.lit(t) for t in OP_TYPES]), (k + 1).cast("int"))
+    src = F.concat(F.lit("G"), F.col("user_id").cast("string"))
+    dst = F.concat(F.lit("G"), F.pmod(F.col("user_id") * 7 + F.col("event_id"), F.lit(1000)).cast("string"))
+    amt = F.format_string("%.7f", F.col("value"))
+    half = F.format_string("%.7f", F.col("value") / 2)
+    credit = F.col("event_type") != "view"
+    asset = _asset_col()
+    code, issuer = F.split(asset, ":").getItem(0), F.split(asset, ":").getItem(1)
+    is_pay, is_create, is_merge = typ == "payment", typ == "create_account", typ == "account_merge"
+    is_path, is_trust = typ == "path_payment_strict_send", typ == "change_trust"
+    has_asset = is_pay | is_path | is_trust
+    plen = F.pmod(F.floor(F.col("event_id") / 5), F.lit(3)).cast("int")
+    path = F.when(plen > 0, F.transform(F.sequence(F.lit(0), plen - 1), lambda i: F.struct(
+        F.lit("credit_alphanum4").alias("asset_type"), F.concat(F.lit("P"), i.cast("string")).alias("asset_code"),
+        F.lit("GP").alias("asset_issuer")))).otherwise(F.array().cast(
+            "array<struct<asset_type:string,asset_code:string,asset_issuer:string>>"))
+    rec = F.struct(
+        F.col("event_id").cast("string").alias("id"),
+        F.col("event_id").cast("string").alias("paging_token"),
+        typ.alias("type"), k.alias("type_i"), src.alias("source_account"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"),
+        F.lower(F.lpad(F.hex(F.floor(F.col("event_id") / 2)), 64, "0")).alias("transaction_hash"),
+        (F.floor(F.col("event_id") / 10) + 1).alias("ledger"),
+        F.when(is_pay | is_path, dst).alias("to"),
+        F.when(is_pay | is_path, src).alias("from"),
+        F.when(is_pay, amt).when(is_path, half).alias("amount"),
+        F.when(has_asset, F.when(credit, F.lit("credit_alphanum4")).otherwise(F.lit("native"))).alias("asset_type"),
+        F.when(has_asset & credit, code).alias("asset_code"),
+        F.when(has_asset & credit, issuer).alias("asset_issuer"),
+        F.when(is_create, dst).alias("account"),
+        F.when(is_create, src).alias("funder"),
+        F.when(is_create, amt).alias("starting_balance"),
+        F.when(is_merge, dst).alias("into"),
+        F.when(is_path, amt).alias("source_amount"),
+        F.when(is_path, half).alias("destination_amount"),
+        F.when(is_path, F.lit("native")).alias("source_asset_type"),
+        F.when(is_path, path).alias("path"),
+        F.when(is_trust, src).alias("trustor"))
+    return ev.select(F.col("event_id").alias("seq"), F.to_json(rec).alias("raw"))
+
+
 # ---------------------------------------------------------------- DuckDB twins (oracle side)
 
 def _sql_asset_case(col: str = "event_type") -> str:
@@ -148,11 +202,25 @@ SQL_SCORED = """scored AS (
            0.7 * (((event_id * 7919) % 1000) / 1000.0) + 0.3 * CAST(event_type = 'error' AS INTEGER) AS y_prob
     FROM events) s)"""
 
+# expected normalised fields of each raw operation, computed straight from events
+SQL_OPS_EXPECTED = f"""ops_x AS (
+  SELECT event_id AS seq, event_id AS operation_id, ts AS ts_raw,
+    CAST(epoch_us(ts) // 1000000 AS BIGINT) AS ts,
+    ['payment', 'create_account', 'account_merge', 'path_payment_strict_send', 'change_trust'][(event_id % 5) + 1] AS type,
+    'G' || CAST(user_id AS VARCHAR) AS sender,
+    'G' || CAST((user_id * 7 + event_id) % 1000 AS VARCHAR) AS cp,
+    lower(lpad(hex(event_id // 2), 64, '0')) AS transaction_hash,
+    event_id // 10 + 1 AS ledger_sequence,
+    value, value / 2 AS half, CAST((event_id // 5) % 3 AS BIGINT) AS plen,
+    CASE WHEN event_type = 'view' THEN 'XLM' ELSE {_sql_asset_case()} END AS ev_asset
+  FROM events)"""
+
 SQL_ACCT_EDGES_ALL = SQL_ACCT_EDGES.replace("acct_edges AS (", "acct_edges_all AS (").replace(
     "WHERE dst IS NOT NULL AND src <> dst)", ")")
 
 SQL_VIEWS = {"acct_edges": SQL_ACCT_EDGES, "trade_edges": SQL_TRADE_EDGES,
-             "acct_edges_all": SQL_ACCT_EDGES_ALL, "scored": SQL_SCORED}
+             "acct_edges_all": SQL_ACCT_EDGES_ALL, "scored": SQL_SCORED,
+             "ops_x": SQL_OPS_EXPECTED}
 
 
 def with_views(sql_body: str, *views: str, extra: list[str] | None = None) -> str:
