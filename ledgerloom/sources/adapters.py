@@ -168,6 +168,42 @@ def raw_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select(F.col("event_id").alias("seq"), F.to_json(rec).alias("raw"))
 
 
+def txn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events -> raw transaction records for the quality checks (all text, like parsed JSON).
+
+    seq = 2*event_id (ingest order); id 'tx_<event_id>', null when event_id mod 17 = 0;
+    source_account null when event_id mod 23 = 0; amount text 'not_a_float' for every third
+    error event; rows with event_id mod 10 = 0 arrive twice (second copy seq + 1)."""
+    ev = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
+    base = ev.select(
+        "event_id", (F.col("event_id") * 2).alias("seq"),
+        F.when(F.pmod("event_id", F.lit(17)) == 0, F.lit(None).cast("string"))
+         .otherwise(F.concat(F.lit("tx_"), F.col("event_id").cast("string"))).alias("id"),
+        F.when(F.pmod("event_id", F.lit(23)) == 0, F.lit(None).cast("string"))
+         .otherwise(F.concat(F.lit("G"), F.col("user_id").cast("string"))).alias("source_account"),
+        F.when((F.col("event_type") == "error") & (F.pmod("event_id", F.lit(3)) == 0), F.lit("not_a_float"))
+         .otherwise(F.format_string("%.2f", F.col("value"))).alias("amount"),
+        F.col("props").alias("payload"), epoch_seconds("ts").cast("string").alias("timestamp"))
+    dup = base.where(F.pmod("event_id", F.lit(10)) == 0).withColumn("seq", F.col("seq") + 1)
+    return base.unionByName(dup).drop("event_id")
+
+
+def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events of type error -> fraud reports (account_id, validator, confidence, seq)."""
+    ev = read_table(spark, sf_dir, "events").where(F.col("event_type") == "error")
+    return ev.select(F.col("user_id").alias("account_id"),
+                     F.concat(F.lit("V"), F.pmod("event_id", F.lit(23)).cast("string")).alias("validator"),
+                     F.pmod("event_id", F.lit(101)).cast("int").alias("confidence"),
+                     F.col("event_id").alias("seq"), epoch_seconds("ts").alias("ts"))
+
+
+def validators(spark: SparkSession) -> DataFrame:
+    """Registered validators V0..V19: reputation (37 v) mod 101, inactive when v mod 7 = 0."""
+    return spark.range(20).select(F.concat(F.lit("V"), F.col("id").cast("string")).alias("validator"),
+                                  F.pmod(F.col("id") * 37, F.lit(101)).cast("int").alias("reputation"),
+                                  (F.pmod("id", F.lit(7)) != 0).alias("is_active"))
+
+
 # ---------------------------------------------------------------- DuckDB twins (oracle side)
 
 def _sql_asset_case(col: str = "event_type") -> str:
@@ -215,12 +251,25 @@ SQL_OPS_EXPECTED = f"""ops_x AS (
     CASE WHEN event_type = 'view' THEN 'XLM' ELSE {_sql_asset_case()} END AS ev_asset
   FROM events)"""
 
+SQL_TXN = """txn AS (
+  SELECT event_id * 2 AS seq, CASE WHEN event_id % 17 = 0 THEN NULL ELSE 'tx_' || CAST(event_id AS VARCHAR) END AS id,
+    CASE WHEN event_id % 23 = 0 THEN NULL ELSE 'G' || CAST(user_id AS VARCHAR) END AS source_account,
+    CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN 'not_a_float' ELSE printf('%.2f', value) END AS amount,
+    props AS payload, CAST(epoch_us(ts) // 1000000 AS VARCHAR) AS "timestamp", event_id FROM events),
+txn2 AS (SELECT seq, id, source_account, amount, payload, "timestamp" FROM txn
+  UNION ALL SELECT seq + 1, id, source_account, amount, payload, "timestamp" FROM txn WHERE event_id % 10 = 0)"""
+
+SQL_REPORTS = """reports AS (SELECT user_id AS account_id, 'V' || CAST(event_id % 23 AS VARCHAR) AS validator,
+    CAST(event_id % 101 AS INTEGER) AS confidence, event_id AS seq FROM events WHERE event_type = 'error'),
+validators AS (SELECT 'V' || CAST(i AS VARCHAR) AS validator, CAST((i * 37) % 101 AS INTEGER) AS reputation,
+    i % 7 <> 0 AS is_active FROM range(20) t(i))"""
+
 SQL_ACCT_EDGES_ALL = SQL_ACCT_EDGES.replace("acct_edges AS (", "acct_edges_all AS (").replace(
     "WHERE dst IS NOT NULL AND src <> dst)", ")")
 
 SQL_VIEWS = {"acct_edges": SQL_ACCT_EDGES, "trade_edges": SQL_TRADE_EDGES,
              "acct_edges_all": SQL_ACCT_EDGES_ALL, "scored": SQL_SCORED,
-             "ops_x": SQL_OPS_EXPECTED}
+             "ops_x": SQL_OPS_EXPECTED, "txn": SQL_TXN, "reports": SQL_REPORTS}
 
 
 def with_views(sql_body: str, *views: str, extra: list[str] | None = None) -> str:
