@@ -49,8 +49,30 @@ def with_global_rank(df: DataFrame, order_cols: list[str | Column], rank_col: st
             .drop("_pid", "_local", "_off"))
 
 
+def with_cumulative_sums(df: DataFrame, order_cols: list[str | Column], value_cols: list[str],
+                         prefix: str = "cum_", num_partitions: int | None = None) -> DataFrame:
+    """Running sums of ``value_cols`` in a total order (inclusive of the current row).
+
+    Same scheme as :func:`with_global_rank`: range partitions written once (checkpoint),
+    per-partition totals -> broadcast prefix offsets (P rows), running sums inside each range
+    partition.  No single-partition window over the rows."""
+    p = _num_partitions(df, num_partitions)
+    s = df.repartitionByRange(p, *order_cols).sortWithinPartitions(*order_cols) \
+        .withColumn("_pid", F.spark_partition_id())
+    s = cut_lineage(s)
+    totals = s.groupBy("_pid").agg(*[F.sum(v).alias(f"_t_{v}") for v in value_cols])
+    prev = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = totals.select("_pid", *[F.coalesce(F.sum(f"_t_{v}").over(prev), F.lit(0)).alias(f"_o_{v}")
+                                   for v in value_cols])
+    w = Window.partitionBy("_pid").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
+    out = s.join(F.broadcast(offs), "_pid")
+    for v in value_cols:
+        out = out.withColumn(f"{prefix}{v}", F.col(f"_o_{v}") + F.sum(v).over(w))
+    return out.drop("_pid", *[f"_o_{v}" for v in value_cols])
+
+
 def exact_percentiles(df: DataFrame, value_col: str, qs: dict[str, float],
-                      num_partitions: int | None = None) -> DataFrame:
+                      num_partitions: int | None = None, interpolation: str = "linear") -> DataFrame:
     """One row with the exact linear-interpolated percentile of ``value_col`` for each q.
 
     Same definition as ``percentile``/pandas ``quantile``: pos = (n-1) q, interpolate between
@@ -71,8 +93,11 @@ def exact_percentiles(df: DataFrame, value_col: str, qs: dict[str, float],
     agg = picks.groupBy("_q", "_pos", "_lo").agg(
         F.max(F.when(F.col("_rank") == F.col("_lo"), F.col("_v"))).alias("_vlo"),
         F.max(F.when(F.col("_rank") == F.col("_hi"), F.col("_v"))).alias("_vhi"))
-    res = agg.select("_q", (F.col("_vlo") + (F.col("_pos") - F.col("_lo"))
-                            * (F.col("_vhi") - F.col("_vlo"))).alias("_val"))
+    if interpolation == "lower":
+        res = agg.select("_q", F.col("_vlo").alias("_val"))
+    else:
+        res = agg.select("_q", (F.col("_vlo") + (F.col("_pos") - F.col("_lo"))
+                                * (F.col("_vhi") - F.col("_vlo"))).alias("_val"))
     # pivot the few quantile rows into one row (missing when the input is empty -> null)
     base = df.sparkSession.range(1)
     for name in qs:
