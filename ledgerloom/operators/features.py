@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LOG2 = math.log(2.0)
+MONEY = "decimal(38,7)"   # amounts carry at most 7 decimals: exact, order-independent sums
 
 
 def endpoints(edges: DataFrame, *extra: str, keep_null: bool = False) -> DataFrame:
@@ -61,14 +62,14 @@ def node_features(edges: DataFrame, first_seen: DataFrame | None = None,
     per_asset = ep.groupBy("node", "asset").agg(
         F.count(F.lit(1)).alias("c"),
         F.sum("is_out").alias("n_out"),
-        F.sum(F.when(F.col("is_out") == 1, F.col("amount")).otherwise(0.0)).alias("sent"),
-        F.sum(F.when(F.col("is_out") == 0, F.col("amount")).otherwise(0.0)).alias("recv"),
+        F.sum(F.when(F.col("is_out") == 1, F.col("amount")).otherwise(0.0).cast(MONEY)).alias("sent"),
+        F.sum(F.when(F.col("is_out") == 0, F.col("amount")).otherwise(0.0).cast(MONEY)).alias("recv"),
         F.min("ts").alias("first_ts"))
     feats = per_asset.groupBy("node").agg(
         (F.sum("c") - F.sum("n_out")).alias("in_degree"),
         F.sum("n_out").alias("out_degree"),
-        F.sum("recv").alias("total_received"),
-        F.sum("sent").alias("total_sent"),
+        F.sum("recv").cast("double").alias("total_received"),
+        F.sum("sent").cast("double").alias("total_sent"),
         F.min("first_ts").alias("first_seen_edge"),
         F.count(F.lit(1)).alias("unique_asset_count"),
         _entropy_from_counts(F.sum("c"), F.sum(F.col("c") * F.log2("c"))).alias("asset_entropy"))

@@ -192,8 +192,8 @@ _METRICS = ["in_degree", "out_degree", "total_received", "total_sent"]
           sql=with_views("""SELECT node, metric, value, CAST(rank AS BIGINT) AS rank FROM (
   SELECT node, metric, value, row_number() OVER (PARTITION BY metric ORDER BY value DESC, node) AS rank
   FROM (UNPIVOT (SELECT node, CAST(SUM(1 - is_out) AS DOUBLE) AS in_degree, CAST(SUM(is_out) AS DOUBLE) AS out_degree,
-                    SUM(CASE WHEN is_out = 0 THEN amount ELSE 0 END) AS total_received,
-                    SUM(CASE WHEN is_out = 1 THEN amount ELSE 0 END) AS total_sent
+                    CAST(SUM(CAST(CASE WHEN is_out = 0 THEN amount ELSE 0 END AS DECIMAL(38,7))) AS DOUBLE) AS total_received,
+                    CAST(SUM(CAST(CASE WHEN is_out = 1 THEN amount ELSE 0 END AS DECIMAL(38,7))) AS DOUBLE) AS total_sent
              FROM (SELECT src AS node, 1 AS is_out, amount FROM trade_edges
                    UNION ALL SELECT dst, 0, amount FROM trade_edges) GROUP BY node)
         ON in_degree, out_degree, total_received, total_sent INTO NAME metric VALUE value)) t
@@ -210,8 +210,8 @@ def q_top_accounts(spark, sf_dir):
        MAX(value) AS max, CAST(SUM(CASE WHEN value <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS non_zero,
        QUANTILE_CONT(value, 0.5) AS median
 FROM (UNPIVOT (SELECT node, CAST(SUM(1 - is_out) AS DOUBLE) AS in_degree, CAST(SUM(is_out) AS DOUBLE) AS out_degree,
-                  SUM(CASE WHEN is_out = 0 THEN amount ELSE 0 END) AS total_received,
-                  SUM(CASE WHEN is_out = 1 THEN amount ELSE 0 END) AS total_sent
+                  CAST(SUM(CAST(CASE WHEN is_out = 0 THEN amount ELSE 0 END AS DECIMAL(38,7))) AS DOUBLE) AS total_received,
+                  CAST(SUM(CAST(CASE WHEN is_out = 1 THEN amount ELSE 0 END AS DECIMAL(38,7))) AS DOUBLE) AS total_sent
            FROM (SELECT src AS node, 1 AS is_out, amount FROM acct_edges
                  UNION ALL SELECT dst, 0, amount FROM acct_edges) GROUP BY node)
       ON in_degree, out_degree, total_received, total_sent INTO NAME metric VALUE value)

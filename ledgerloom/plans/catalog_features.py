@@ -21,8 +21,8 @@ SELECT b.node, b.in_degree, b.out_degree, b.total_received, b.total_sent,
        GREATEST(r.ref - b.first_seen, 0.0) AS account_age, b.first_seen,
        d.unique_asset_count, d.asset_entropy
 FROM (SELECT node, CAST(SUM(1 - is_out) AS BIGINT) AS in_degree, CAST(SUM(is_out) AS BIGINT) AS out_degree,
-             SUM(CASE WHEN is_out = 0 THEN amount ELSE 0.0 END) AS total_received,
-             SUM(CASE WHEN is_out = 1 THEN amount ELSE 0.0 END) AS total_sent,
+             CAST(SUM(CAST(CASE WHEN is_out = 0 THEN amount ELSE 0.0 END AS DECIMAL(38,7))) AS DOUBLE) AS total_received,
+             CAST(SUM(CAST(CASE WHEN is_out = 1 THEN amount ELSE 0.0 END AS DECIMAL(38,7))) AS DOUBLE) AS total_sent,
              MIN(ts) AS first_seen
       FROM ep GROUP BY node) b
 JOIN (SELECT node, CAST(COUNT(*) AS BIGINT) AS unique_asset_count,

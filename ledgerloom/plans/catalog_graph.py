@@ -255,6 +255,24 @@ def q_cyclic_acct(spark, sf_dir):
     return gr.cyclic_flow_ratio(acct_edges(spark, sf_dir))
 
 
-@register("importance_metrics", operators="R6 (all importance metrics in one frame, 0-filled)")
+_DEG_SQL = """dgc AS (SELECT node, SUM(1.0) / ((SELECT COUNT(*) FROM (SELECT src AS node FROM acct_edges UNION SELECT dst FROM acct_edges) z) - 1) AS degree_centrality
+  FROM (SELECT src AS node FROM acct_edges UNION ALL SELECT dst FROM acct_edges) e GROUP BY node)"""
+_CLU_SQL = """clu AS (SELECT k.node, CASE WHEN k.k < 2 THEN 0.0 ELSE 2.0 * COALESCE(t.t, 0) / (k.k * (k.k - 1)) END AS clustering
+  FROM (SELECT u AS node, COUNT(*) AS k FROM adj GROUP BY u) k
+  LEFT JOIN (SELECT a1.u AS node, COUNT(*) AS t FROM adj a1 JOIN adj a2 ON a1.u = a2.u AND a1.v < a2.v
+             JOIN adj a3 ON a3.u = a1.v AND a3.v = a2.v GROUP BY a1.u) t ON t.node = k.node)"""
+_CLO_SQL = """clo AS (SELECT s AS node, CASE WHEN COUNT(*) > 1 AND COUNT(*) = (SELECT COUNT(*) FROM bnodes) AND SUM(dist) > 0
+  THEN ((SELECT COUNT(*) FROM bnodes) - 1) * 1.0 / SUM(dist) ELSE 0.0 END AS closeness FROM blv GROUP BY s)"""
+
+
+@register("importance_metrics", operators="R6 (all importance metrics in one frame, 0-filled)",
+          sql=with_views("""SELECT d.node, d.degree_centrality, COALESCE(b.betweenness, 0.0) AS betweenness,
+  COALESCE(c.closeness, 0.0) AS closeness, COALESCE(p.pagerank, 0.0) AS pagerank, COALESCE(k.clustering, 0.0) AS clustering,
+  COALESCE(e.eigenvector, 0.0) AS eigenvector
+FROM dgc d LEFT JOIN bbtw b ON b.node = d.node LEFT JOIN clo c ON c.node = d.node LEFT JOIN pagerank p ON p.node = d.node
+LEFT JOIN clu k ON k.node = d.node LEFT JOIN eigen e ON e.node = d.node""", "acct_edges",
+                         extra=_sql_bfs("acct_edges") + _sql_betweenness() + _sql_pagerank("acct_edges")
+                         + _sql_eigen("acct_edges") + [_ADJ_SQL, _DEG_SQL, _CLU_SQL, _CLO_SQL]),
+          doubles=["degree_centrality", "betweenness", "closeness", "pagerank", "clustering", "eigenvector"])
 def q_importance(spark, sf_dir):
     return gr.importance_metrics(acct_edges(spark, sf_dir))
