@@ -71,8 +71,8 @@ def with_edge_type(edges: DataFrame, asset_col: str = "asset") -> DataFrame:
 # ----------------------------------------------------------------------------- weights, graph
 
 _AGGS = {
-    "sum": lambda c: F.sum(c),
-    "mean": lambda c: F.avg(c),
+    "sum": lambda c: exact_sum(c),
+    "mean": lambda c: exact_sum(c) / F.count(F.lit(1)),
     "count": lambda c: F.count(F.lit(1)).cast("double"),
     "max": lambda c: F.max(c),
     "min": lambda c: F.min(c),

@@ -140,7 +140,7 @@ def strength(edges: DataFrame, direction: str = "both") -> DataFrame:
         ep = ep.where("is_out = 0")
     # nodes present on the other side still appear with 0 (reference adds every endpoint)
     all_nodes = endpoints(edges).select("node").distinct()
-    s = ep.groupBy("node").agg(F.sum("a").alias("strength"))
+    s = ep.groupBy("node").agg(F.sum(F.col("a").cast(MONEY)).cast("double").alias("strength"))
     return all_nodes.join(s, "node", "left").fillna({"strength": 0.0})
 
 
@@ -198,8 +198,8 @@ def temporal_basic_features(edges: DataFrame) -> DataFrame:
                    F.col("ts"))
     return ep.groupBy("node").agg(
         F.count(F.lit(1)).alias("degree"),
-        F.sum(F.when(F.col("is_out") == 1, F.col("a")).otherwise(0.0)).alias("sent"),
-        F.sum(F.when(F.col("is_out") == 0, F.col("a")).otherwise(0.0)).alias("received"),
+        F.sum(F.when(F.col("is_out") == 1, F.col("a")).otherwise(0.0).cast(MONEY)).cast("double").alias("sent"),
+        F.sum(F.when(F.col("is_out") == 0, F.col("a")).otherwise(0.0).cast(MONEY)).cast("double").alias("received"),
         F.greatest(F.max("ts"), F.lit(0)).alias("last_activity")) \
         .withColumn("balance", F.col("received") - F.col("sent"))
 

@@ -73,7 +73,7 @@ def q_edge_type_counts(spark, sf_dir):
 
 
 @register("edge_weights", operators="G7 (sum by pair)",
-          sql=with_views("SELECT src, dst, SUM(amount) AS weight FROM trade_edges WHERE src <> dst "
+          sql=with_views("SELECT src, dst, CAST(SUM(CAST(amount AS DECIMAL(38,7))) AS DOUBLE) AS weight FROM trade_edges WHERE src <> dst "
                          "GROUP BY src, dst", "trade_edges"),
           doubles=["weight"])
 def q_edge_weights(spark, sf_dir):
@@ -81,7 +81,7 @@ def q_edge_weights(spark, sf_dir):
 
 
 @register("edge_weights_asset_mean", operators="G7 (mean by pair and asset)",
-          sql=with_views("SELECT src, dst, asset, AVG(amount) AS weight FROM acct_edges "
+          sql=with_views("SELECT src, dst, asset, CAST(SUM(CAST(amount AS DECIMAL(38,7))) AS DOUBLE) / COUNT(*) AS weight FROM acct_edges "
                          "WHERE src <> dst GROUP BY src, dst, asset", "acct_edges"),
           doubles=["weight"])
 def q_edge_weights_asset(spark, sf_dir):
@@ -89,7 +89,7 @@ def q_edge_weights_asset(spark, sf_dir):
 
 
 @register("weighted_graph", operators="G8 F8",
-          sql=with_views(f"""SELECT src, dst, SUM(amount) AS weight, CAST(COUNT(*) AS BIGINT) AS transaction_count,
+          sql=with_views(f"""SELECT src, dst, CAST(SUM(CAST(amount AS DECIMAL(38,7))) AS DOUBLE) AS weight, CAST(COUNT(*) AS BIGINT) AS transaction_count,
        first(edge_type ORDER BY ts, edge_id) AS edge_type,
        string_agg(CAST(edge_id AS VARCHAR), ',' ORDER BY ts, edge_id) AS tx_ids
 FROM (SELECT *, {SQL_EDGE_TYPE} AS edge_type FROM acct_edges) e WHERE src <> dst GROUP BY src, dst""",

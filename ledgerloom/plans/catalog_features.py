@@ -90,7 +90,7 @@ def q_degree_weighted(spark, sf_dir):
           sql=with_views("""
 SELECT n.node, COALESCE(s.strength, 0.0) AS strength
 FROM (SELECT src AS node FROM acct_edges UNION SELECT dst FROM acct_edges) n
-LEFT JOIN (SELECT dst AS node, SUM(COALESCE(amount, 0.0)) AS strength FROM acct_edges GROUP BY dst) s
+LEFT JOIN (SELECT dst AS node, CAST(SUM(CAST(COALESCE(amount, 0.0) AS DECIMAL(38,7))) AS DOUBLE) AS strength FROM acct_edges GROUP BY dst) s
   ON n.node = s.node""", "acct_edges"),
           doubles=["strength"])
 def q_strength_in(spark, sf_dir):
@@ -139,8 +139,8 @@ def q_decayed(spark, sf_dir):
 SELECT node, degree, sent, received, last_activity, received - sent AS balance,
        CASE WHEN sent + received = 0 THEN 0.0 ELSE (sent - received) / (sent + received) END AS net_flow_ratio
 FROM (SELECT node, CAST(COUNT(*) AS BIGINT) AS degree,
-             SUM(CASE WHEN is_out = 1 THEN a ELSE 0.0 END) AS sent,
-             SUM(CASE WHEN is_out = 0 THEN a ELSE 0.0 END) AS received,
+             CAST(SUM(CAST(CASE WHEN is_out = 1 THEN a ELSE 0.0 END AS DECIMAL(38,7))) AS DOUBLE) AS sent,
+             CAST(SUM(CAST(CASE WHEN is_out = 0 THEN a ELSE 0.0 END AS DECIMAL(38,7))) AS DOUBLE) AS received,
              GREATEST(MAX(ts), 0) AS last_activity
       FROM (SELECT src AS node, 1 AS is_out, COALESCE(amount, 0.0) AS a, ts FROM trade_edges
             UNION ALL SELECT dst, 0, COALESCE(amount, 0.0), ts FROM trade_edges) e
