@@ -139,7 +139,7 @@ def normalize_operations(raw: DataFrame, raw_col: str = "raw") -> DataFrame:
                                 code_only_ok=False).alias("asset"),
                     _amount_text().try_cast("double").alias("amount"),
                     parse_iso_timestamp(F.col("r.created_at")).alias("timestamp"),
-                    F.col("r.type").alias("type"))
+                    F.col("r.type").alias("type"), F.col("r.id").try_cast("long").alias("operation_id"))
 
 
 def _asset_text(t: Column, code: Column, issuer: Column) -> Column:
@@ -164,7 +164,7 @@ def path_payment_hops(raw: DataFrame, raw_col: str = "raw") -> DataFrame:
     path_assets = F.transform(F.coalesce(F.col("path"), F.array().cast(T.ArrayType(ASSET_STRUCT))),
                               lambda p: _asset_text(p["asset_type"], p["asset_code"], p["asset_issuer"]))
     chain = F.concat(F.array(src_asset), path_assets, F.array(dst_asset))
-    x = r.select("transaction_hash", "source_account",
+    x = r.select("transaction_hash", "source_account", "id",
                  F.coalesce(F.col("to"), F.col("destination_account")).alias("_recv"),
                  "created_at", "source_amount",
                  F.coalesce(F.col("destination_amount"), F.col("amount")).alias("_dst_amount"),
@@ -181,7 +181,7 @@ def path_payment_hops(raw: DataFrame, raw_col: str = "raw") -> DataFrame:
         F.when(i == 0, F.col("source_amount")).when(i == n - 1, F.col("_dst_amount"))
          .try_cast("double").alias("amount"),
         i.cast("long").alias("hop_index"), (i == 0).alias("is_first_hop"), (i == n - 1).alias("is_last_hop"),
-        "created_at")
+        "created_at", F.col("id").try_cast("long").alias("operation_id"))
 
 
 def normalize_with_hops(raw: DataFrame, raw_col: str = "raw") -> DataFrame:
@@ -190,7 +190,7 @@ def normalize_with_hops(raw: DataFrame, raw_col: str = "raw") -> DataFrame:
     hops = path_payment_hops(raw, raw_col).select(
         F.concat(F.col("transaction_hash"), F.lit("_hop"), F.col("hop_index").cast("string")).alias("transaction_hash"),
         F.col("from_account").alias("sender"), F.col("to_account").alias("receiver"), "asset", "amount",
-        parse_iso_timestamp(F.col("created_at")).alias("timestamp"))
+        parse_iso_timestamp(F.col("created_at")).alias("timestamp"), "operation_id")
     return plain.unionByName(hops)
 
 
