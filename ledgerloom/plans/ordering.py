@@ -50,12 +50,25 @@ def with_global_rank(df: DataFrame, order_cols: list[str | Column], rank_col: st
 
 
 def with_cumulative_sums(df: DataFrame, order_cols: list[str | Column], value_cols: list[str],
-                         prefix: str = "cum_", num_partitions: int | None = None) -> DataFrame:
-    """Running sums of ``value_cols`` in a total order (inclusive of the current row).
+                         prefix: str = "cum_", num_partitions: int | None = None,
+                         partition_cols: list[str] = ()) -> DataFrame:
+    """Running sums of ``value_cols`` in a total order (inclusive of the current row), per
+    ``partition_cols`` group when given (the group's offset - the global running sum just before
+    its first row - is a grouped min, so a huge group is never one task).
 
     Same scheme as :func:`with_global_rank`: range partitions written once (checkpoint),
     per-partition totals -> broadcast prefix offsets (P rows), running sums inside each range
     partition.  No single-partition window over the rows."""
+    if partition_cols:
+        full = [*(F.col(c) for c in partition_cols), *order_cols]
+        g = with_cumulative_sums(df, full, value_cols, prefix, num_partitions)
+        first_key = F.struct(*[F.col(c) if isinstance(c, str) else c for c in order_cols])
+        first = g.groupBy(*partition_cols).agg(*[F.min_by(F.col(f"{prefix}{v}") - F.col(v), first_key).alias(f"_g_{v}")
+                                                 for v in value_cols])
+        g = g.join(first, list(partition_cols))
+        for v in value_cols:
+            g = g.withColumn(f"{prefix}{v}", F.col(f"{prefix}{v}") - F.col(f"_g_{v}"))
+        return g.drop(*[f"_g_{v}" for v in value_cols])
     p = _num_partitions(df, num_partitions)
     s = df.repartitionByRange(p, *order_cols).sortWithinPartitions(*order_cols) \
         .withColumn("_pid", F.spark_partition_id())
