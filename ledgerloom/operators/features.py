@@ -64,19 +64,19 @@ def node_features(edges: DataFrame, first_seen: DataFrame | None = None,
         F.sum("is_out").alias("n_out"),
         F.sum(F.when(F.col("is_out") == 1, F.col("amount")).otherwise(0.0).cast(MONEY)).alias("sent"),
         F.sum(F.when(F.col("is_out") == 0, F.col("amount")).otherwise(0.0).cast(MONEY)).alias("recv"),
-        F.min("ts").alias("first_ts"))
+        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
     feats = per_asset.groupBy("node").agg(
         (F.sum("c") - F.sum("n_out")).alias("in_degree"),
         F.sum("n_out").alias("out_degree"),
         F.sum("recv").cast("double").alias("total_received"),
         F.sum("sent").cast("double").alias("total_sent"),
-        F.min("first_ts").alias("first_seen_edge"),
+        F.min("first_ts").alias("first_seen_edge"), F.max("last_ts").alias("_last"),
         F.count(F.lit(1)).alias("unique_asset_count"),
         _entropy_from_counts(F.sum("c"), F.sum(F.col("c") * F.log2("c"))).alias("asset_entropy"))
 
     if ref_time is None:
-        ref = edges.agg(F.coalesce(F.max(F.coalesce(F.col("ts").cast("double"), F.lit(0.0))),
-                                   F.lit(0.0)).alias("_ref"))
+        # max edge time = max over the per-node maxima (small table; no second pass over edges)
+        ref = feats.agg(F.coalesce(F.max("_last"), F.lit(0.0)).alias("_ref"))
     else:
         ref = edges.sparkSession.range(1).select(F.lit(float(ref_time)).alias("_ref"))
 
@@ -90,7 +90,7 @@ def node_features(edges: DataFrame, first_seen: DataFrame | None = None,
                          F.coalesce("total_sent", F.lit(0.0)).alias("total_sent"),
                          F.coalesce("_fs", "first_seen_edge").alias("first_seen"),
                          F.coalesce("unique_asset_count", F.lit(0)).alias("unique_asset_count"),
-                         F.coalesce("asset_entropy", F.lit(0.0)).alias("asset_entropy")))
+                         F.coalesce("asset_entropy", F.lit(0.0)).alias("asset_entropy"), "_last"))
     else:
         feats = feats.withColumnRenamed("first_seen_edge", "first_seen")
 

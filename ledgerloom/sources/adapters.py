@@ -55,12 +55,14 @@ def next_in_sequence(df: DataFrame, group_cols: list[str], order_cols: list[str]
     """
     keys = group_cols + [bucket_col]
     w = Window.partitionBy(*keys).orderBy(*order_cols)
-    local = df.withColumn(out_col, F.lead(value_col).over(w))
-    order_struct = F.struct(*[F.col(c) for c in order_cols])
-    firsts = df.groupBy(*keys).agg(F.min_by(F.col(value_col), order_struct).alias("_first"))
+    local = (df.withColumn(out_col, F.lead(value_col).over(w))
+             .withColumn("_is_first", F.lag(F.lit(1)).over(w).isNull()))
+    # first row of every bucket comes from the same window pass (no second scan); one row per
+    # (group, bucket), so the lead over buckets runs on a small table
+    firsts = local.where(F.col("_is_first")).select(*keys, F.col(value_col).alias("_first"))
     wb = Window.partitionBy(*group_cols).orderBy(bucket_col)
     nxt = firsts.select(*keys, F.lead("_first").over(wb).alias("_next_first"))
-    return (local.join(nxt, keys, "left")
+    return (local.drop("_is_first").join(nxt, keys, "left")
             .withColumn(out_col, F.coalesce(F.col(out_col), F.col("_next_first")))
             .drop("_next_first"))
 
