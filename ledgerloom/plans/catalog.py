@@ -1,7 +1,7 @@
 """Import every catalog module so all queries are registered."""
 from __future__ import annotations
 
-from . import catalog_edges, catalog_evaluate, catalog_graph, catalog_misc, catalog_streaming, catalog_tasks, catalog_features, catalog_ingest, catalog_quality, catalog_temporal  # noqa: F401
+from . import catalog_edges, catalog_evaluate, catalog_extra, catalog_graph, catalog_misc, catalog_streaming, catalog_tasks, catalog_features, catalog_ingest, catalog_quality, catalog_temporal  # noqa: F401
 from .registry import REGISTRY
 
 
