@@ -114,27 +114,38 @@ def eigenvector_centrality(edges: DataFrame, max_iter: int = 100, tol: float = 1
 
 # ----------------------------------------------------------------------------- BFS family
 
-def bfs_levels(adj: DataFrame, sources: DataFrame, max_depth: int | None = None) -> DataFrame:
+def bfs_levels(adj: DataFrame, sources: DataFrame, max_depth: int | None = None,
+               symmetric: bool = False) -> DataFrame:
     """Level-synchronous multi-source BFS: (source, node, dist, sigma) with sigma = number of
-    shortest paths.  ``adj(u, v)`` is the (directed or symmetric) adjacency; ``sources(node)``.
-    Each level: frontier x adj, anti join visited, sum sigma; checkpointed; stops when the
-    frontier is empty (one count per level)."""
+    shortest paths.  ``adj(u, v)`` is the adjacency; ``sources(node)``.
+
+    Each level: frontier x adj, sum sigma per (source, node), anti join the nodes already
+    placed; the level is checkpointed once and the visited set is the union of the level
+    tables (never rewritten).  With a symmetric (undirected) adjacency a node reached from
+    level d lies at distance d-1, d or d+1, so only the last two levels are excluded.
+    Stops when a level is empty (one emptiness check per level)."""
     frontier = cut_lineage(sources.select(F.col("node").alias("source"), F.col("node"),
                                           F.lit(0).alias("dist"), F.lit(1.0).alias("sigma")))
-    visited = frontier
+    levels = [frontier]
     d = 0
     while max_depth is None or d < max_depth:
-        nxt = (frontier.join(adj.withColumnRenamed("u", "node"), "node")
-               .groupBy("source", F.col("v").alias("node")).agg(F.sum("sigma").alias("sigma"))
-               .join(visited.select("source", "node"), ["source", "node"], "left_anti")
-               .withColumn("dist", F.lit(d + 1)))
+        cand = (frontier.join(adj.withColumnRenamed("u", "node"), "node")
+                .groupBy("source", F.col("v").alias("node")).agg(F.sum("sigma").alias("sigma")))
+        done = levels[-2:] if symmetric else levels
+        seen = done[0].select("source", "node")
+        for lv in done[1:]:
+            seen = seen.unionByName(lv.select("source", "node"))
+        nxt = cand.join(seen, ["source", "node"], "left_anti").withColumn("dist", F.lit(d + 1))
         nxt = cut_lineage(nxt.select("source", "node", "dist", "sigma"))
         if nxt.isEmpty():
             break
-        visited = cut_lineage(visited.unionByName(nxt))
+        levels.append(nxt)
         frontier = nxt
         d += 1
-    return visited
+    out = levels[0]
+    for lv in levels[1:]:
+        out = out.unionByName(lv)
+    return out
 
 
 def _sources(nodes: DataFrame, sample_size: int | None, seed: int = 42) -> DataFrame:
@@ -152,7 +163,7 @@ def closeness_centrality(edges: DataFrame, disconnected: bool = False,
     adj = cut_lineage(undirected_adjacency(edges))
     nodes = cut_lineage(node_table(edges))
     n_all = nodes.count()
-    lv = bfs_levels(adj, _sources(nodes, sample_size))
+    lv = bfs_levels(adj, _sources(nodes, sample_size), symmetric=True)
     g = lv.groupBy(F.col("source").alias("node")).agg(F.count(F.lit(1)).alias("_r"), F.sum("dist").alias("_t"))
     r, t = F.col("_r"), F.col("_t")
     if disconnected:
@@ -171,7 +182,7 @@ def betweenness_centrality(edges: DataFrame, normalized: bool = True,
     adj = cut_lineage(undirected_adjacency(edges))
     nodes = cut_lineage(node_table(edges))
     n = nodes.count()
-    lv = cut_lineage(bfs_levels(adj, _sources(nodes, sample_size)))
+    lv = bfs_levels(adj, _sources(nodes, sample_size), symmetric=True)
     maxd = lv.agg(F.max("dist")).first()[0] or 0
     delta = None   # (source, node, delta) for the level below the current one
     acc = None
@@ -184,10 +195,13 @@ def betweenness_centrality(edges: DataFrame, normalized: bool = True,
         else:
             children = children.withColumn("dw", F.lit(0.0))
         children = children.fillna({"dw": 0.0})
-        contrib = (children.join(adj.select(F.col("u").alias("w"), "v"), "w")
-                   .join(parents, ["source", "v"])
-                   .groupBy("source", F.col("v").alias("node"))
-                   .agg(F.sum(F.col("sv") / F.col("sw") * (1 + F.col("dw"))).alias("delta")))
+        # sum (1 + delta_w) / sigma_w over the children of each v first (partial aggregate),
+        # then one join with the parents: delta_v = sigma_v * that sum
+        per_v = (children.select("source", "w", ((1 + F.col("dw")) / F.col("sw")).alias("c"))
+                 .join(adj.select(F.col("u").alias("w"), "v"), "w")
+                 .groupBy("source", "v").agg(F.sum("c").alias("_c")))
+        contrib = per_v.join(parents, ["source", "v"]).select(
+            "source", F.col("v").alias("node"), (F.col("sv") * F.col("_c")).alias("delta"))
         delta = cut_lineage(contrib)
         part = delta.where(F.col("node") != F.col("source"))
         acc = part if acc is None else acc.unionByName(part)
@@ -211,7 +225,7 @@ def shortest_path_lengths(edges: DataFrame, sources: DataFrame, directed: bool =
         adj = e.select(F.col("src").alias("u"), F.col("dst").alias("v")).distinct()
     else:
         adj = undirected_adjacency(edges)
-    return bfs_levels(cut_lineage(adj), sources, max_depth).select("source", "node", "dist")
+    return bfs_levels(cut_lineage(adj), sources, max_depth, symmetric=not directed).select("source", "node", "dist")
 
 
 # ----------------------------------------------------------------------------- triangles
