@@ -94,8 +94,9 @@ def edge_weights(edges: DataFrame, aggregation: str = "sum", by_asset: bool = Fa
 
 
 def weighted_graph(edges: DataFrame, aggregation: str = "sum", asset=None) -> DataFrame:
-    """Simple weighted digraph export: weight, transaction_count, edge_type of the first
-    transaction (by ts, edge_id) and the list of transaction ids in that order."""
+    """Simple weighted digraph export: weight, transaction_count and the edge_type of the
+    first transaction (by ts, edge_id).  The per-pair transaction list is a separate long table
+    (:func:`weighted_graph_transactions`) - one busy pair must not become one huge array."""
     e = edges.where(F.col("src") != F.col("dst"))
     if asset is not None:
         e = e.where(F.col("asset") == F.lit(asset))
@@ -104,9 +105,20 @@ def weighted_graph(edges: DataFrame, aggregation: str = "sum", asset=None) -> Da
     return e.groupBy("src", "dst").agg(
         _AGGS[aggregation](F.col("amount").cast("double")).alias("weight"),
         F.count(F.lit(1)).alias("transaction_count"),
-        F.min_by("edge_type", order).alias("edge_type"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ts", "edge_id"))),
-                                 lambda s: s["edge_id"].cast("string")), ",").alias("tx_ids"))
+        F.min_by("edge_type", order).alias("edge_type"))
+
+
+def weighted_graph_transactions(edges: DataFrame, asset=None) -> DataFrame:
+    """G8 metadata: (src, dst, edge_id, position) - the transactions of each pair in (ts,
+    edge_id) order.  Positions come from a range-partitioned global rank minus the pair's first
+    rank (a grouped min), so a pair with a third of all rows is spread over many tasks."""
+    from ..plans.ordering import with_global_rank
+    e = edges.where(F.col("src") != F.col("dst"))
+    if asset is not None:
+        e = e.where(F.col("asset") == F.lit(asset))
+    r = with_global_rank(e.select("src", "dst", "ts", "edge_id"), ["src", "dst", "ts", "edge_id"], "_g")
+    first = r.groupBy("src", "dst").agg(F.min("_g").alias("_g0"))
+    return r.join(first, ["src", "dst"]).select("src", "dst", "edge_id", (F.col("_g") - F.col("_g0")).alias("position"))
 
 
 def graph_summary(edges: DataFrame) -> DataFrame:

@@ -26,12 +26,16 @@ def sample_neighbors(adj: DataFrame, k: int, seed: int = 42) -> DataFrame:
         return a.withColumn("slot", F.lit(None).cast("int")).select("node", "slot", "neighbor")
     h = F.xxhash64(F.lit(seed), F.col("node"), F.col("neighbor"))
     w = Window.partitionBy("node").orderBy(h, F.col("neighbor"))
-    ranked = a.withColumn("_pos", F.row_number().over(w) - 1)
+    # filtering on row_number directly lets Spark insert a partial WindowGroupLimit before the
+    # shuffle: at most k rows per node and map partition move, whatever the degree
+    top = a.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k) \
+        .withColumn("_pos", F.col("_rn") - 1).drop("_rn")
     deg = a.groupBy("node").agg(F.count(F.lit(1)).alias("_deg"))
-    top = ranked.where(F.col("_pos") < k).join(deg, "node")
+    top = top.join(deg, "node")
     full = top.where(F.col("_deg") >= k).select("node", F.col("_pos").cast("int").alias("slot"), "neighbor")
     small = deg.where(F.col("_deg") < k).select("node", "_deg", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("slot"))
     small = small.withColumn("_pos", F.pmod(F.xxhash64(F.lit(seed), F.col("node"), F.col("slot")), F.col("_deg")))
+    # a node below k has all its neighbours inside ``top`` (every rank <= k)
     pad = small.join(top.select("node", "_pos", "neighbor"), ["node", "_pos"]).select("node", "slot", "neighbor")
     return full.unionByName(pad)
 

@@ -90,8 +90,7 @@ def q_edge_weights_asset(spark, sf_dir):
 
 @register("weighted_graph", operators="G8 F8",
           sql=with_views(f"""SELECT src, dst, CAST(SUM(CAST(amount AS DECIMAL(38,7))) AS DOUBLE) AS weight, CAST(COUNT(*) AS BIGINT) AS transaction_count,
-       first(edge_type ORDER BY ts, edge_id) AS edge_type,
-       string_agg(CAST(edge_id AS VARCHAR), ',' ORDER BY ts, edge_id) AS tx_ids
+       first(edge_type ORDER BY ts, edge_id) AS edge_type
 FROM (SELECT *, {SQL_EDGE_TYPE} AS edge_type FROM acct_edges) e WHERE src <> dst GROUP BY src, dst""",
                          "acct_edges"),
           doubles=["weight"])
@@ -99,6 +98,13 @@ def q_weighted_graph(spark, sf_dir):
     return ed.weighted_graph(acct_edges(spark, sf_dir))
 
 
+@register("weighted_graph_transactions", operators="G8 (per-pair transaction list as a long table)",
+          sql=with_views("""SELECT src, dst, edge_id, CAST(ROW_NUMBER() OVER (PARTITION BY src, dst ORDER BY ts, edge_id) - 1 AS BIGINT) AS position
+FROM acct_edges WHERE src <> dst""", "acct_edges"))
+def q_weighted_graph_tx(spark, sf_dir):
+    return ed.weighted_graph_transactions(acct_edges(spark, sf_dir))
+
+
 @register("graph_summary", operators="G9",
           sql=with_views("""SELECT
   (SELECT CAST(COUNT(*) AS BIGINT) FROM (SELECT src FROM trade_edges WHERE src <> dst UNION SELECT dst FROM trade_edges WHERE src <> dst)) AS node_count,

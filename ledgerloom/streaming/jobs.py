@@ -27,20 +27,38 @@ def landing_stream(spark: SparkSession, landing: str, max_files: int | None = No
     return r.load(landing)
 
 
-def _upsert_batch(table: str, keys: list[str], order_col: str):
-    """foreachBatch sink: merge the batch into a parquet table by key, last write wins."""
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def _upsert_batch(table: str, keys: list[str], order_col: str, partition_cols: list[str] = ()):
+    """foreachBatch sink: merge the batch into a parquet table by key, last write wins.
+
+    With ``partition_cols`` (a column fixed by the key, e.g. the event day) only the partitions
+    the batch touches are read, merged and replaced (dynamic partition overwrite), so a
+    micro-batch costs the size of its partitions, not of the table.  The merge is staged in its
+    own folder first because a job may not overwrite a path it reads.  A replayed batch merges
+    to the same rows (same keys, same version), so the sink is idempotent."""
+    pc = list(partition_cols)
+
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         b = batch.withColumn("_batch", F.lit(batch_id).cast("long"))
-        try:
-            cur = spark.read.parquet(table)
-        except Exception:  # noqa: BLE001 - first batch: the table does not exist yet
-            cur = None
-        merged = b if cur is None else ig.upsert(cur, b, keys, order_col)
-        # write to a new version directory, then read through it (atomic swap by commit file)
-        tmp = f"{table}.v{batch_id}"
-        merged.write.mode("overwrite").parquet(tmp)
-        spark.read.parquet(tmp).write.mode("overwrite").parquet(table)
+        if not _exists(spark, table):
+            b.write.mode("overwrite").partitionBy(*pc).parquet(table)
+            return
+        cur = spark.read.parquet(table)
+        if pc:
+            cur = cur.join(b.select(*pc).distinct(), pc, "left_semi")
+        merged = ig.upsert(cur, b, keys, order_col)
+        stage = f"{table}._stage_{batch_id}"
+        merged.write.mode("overwrite").partitionBy(*pc).parquet(stage)
+        out = spark.read.parquet(stage).write.mode("overwrite")
+        if pc:
+            out = out.option("partitionOverwriteMode", "dynamic").partitionBy(*pc)
+        out.parquet(table)
     return write
 
 
@@ -56,8 +74,9 @@ def ingest_operations(spark: SparkSession, landing: str, table: str, quarantine:
         good = batch.where(F.col("r").isNotNull() & F.col("r.transaction_hash").isNotNull()).select("raw")
         bad = batch.where(F.col("r").isNull() | F.col("r.transaction_hash").isNull()).select(
             "raw", F.lit(batch_id).cast("long").alias("batch_id"))
-        norm = ig.normalize_with_hops(good).withColumn("_version", F.lit(batch_id).cast("long"))
-        _upsert_batch(table, ["transaction_hash", "operation_id"], "_version")(norm, batch_id)
+        norm = (ig.normalize_with_hops(good).withColumn("_version", F.lit(batch_id).cast("long"))
+                .withColumn("day", F.floor(F.unix_timestamp("timestamp") / 86400).cast("int")))
+        _upsert_batch(table, ["transaction_hash", "operation_id"], "_version", ["day"])(norm, batch_id)
         bad.write.mode("append").parquet(quarantine)
         batch.unpersist()
 
