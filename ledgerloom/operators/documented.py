@@ -76,7 +76,7 @@ def account_profile(edges: DataFrame) -> DataFrame:
     stats = s.groupBy("account").agg(F.count(F.lit(1)).alias("n"), exact_sum("amount").alias("total"),
                                      F.min("amount").alias("min_amount"), F.max("amount").alias("max_amount"),
                                      F.stddev_samp("amount").alias("std_amount"))
-    freq = daily_frequency(s.withColumn("timestamp", F.timestamp_seconds("ts")), "account", "timestamp")
+    freq = daily_frequency(s.withColumn("timestamp", F.col("ts")), "account", "timestamp")
     gaps = gap_volatility(s.withColumn("t", F.col("ts").cast("double")), "account", "t", "edge_id")
     return stats.join(freq, "account").join(gaps, "account")
 

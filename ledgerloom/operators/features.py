@@ -9,6 +9,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LOG2 = math.log(2.0)
 MONEY = "decimal(38,7)"   # amounts carry at most 7 decimals: exact, order-independent sums
@@ -152,7 +153,18 @@ def daily_frequency(tx: DataFrame, account_col: str = "account",
     the last active day inclusive: mean = s/n, var = (n q - s^2)/(n (n - 1)) (0 for n = 1).
     Burstiness (sd - mean)/(sd + mean), 0 when both are 0.  Null account/timestamp raise.
     """
-    d = tx.select(F.col(account_col).alias("_acct"), F.to_date(F.col(ts_col)).alias("_day"))
+    t = F.col(ts_col)
+    if isinstance(tx.schema[ts_col].dataType, (T.NumericType,)):
+        # numeric epochs: one max-abs aggregate picks the unit for the whole column
+        # (< 1e11 seconds, < 1e14 milliseconds, < 1e17 microseconds, else nanoseconds); UTC days
+        unit = tx.agg(F.max(F.abs(t)).alias("_m")).select(
+            F.when(F.col("_m") < 1e11, 1.0).when(F.col("_m") < 1e14, 1e3).when(F.col("_m") < 1e17, 1e6)
+            .otherwise(1e9).alias("_unit"))
+        tx = tx.crossJoin(F.broadcast(unit))
+        day = F.date_from_unix_date(F.floor(t / F.col("_unit") / 86400).cast("int"))
+    else:
+        day = F.to_date(t)
+    d = tx.select(F.col(account_col).alias("_acct"), day.alias("_day"))
     daily = d.groupBy("_acct", "_day").agg(F.count(F.lit(1)).alias("c"))
     per = daily.groupBy("_acct").agg(
         F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"),

@@ -173,7 +173,7 @@ def _tx_and_ledgers(spark, sf_dir):
     tx = n.groupBy("transaction_hash").agg(F.min("ledger_sequence").alias("ledger_sequence"),
                                            F.min("timestamp").alias("created_at"))
     led = n.groupBy(F.col("ledger_sequence").alias("sequence")).agg(F.max("timestamp").alias("_mx")) \
-        .where(F.col("_mx") < F.to_timestamp(F.lit(CUTOFF))).select("sequence")
+        .where(F.unix_timestamp("_mx") < F.lit(CUTOFF_S)).select("sequence")   # an instant, zone-free
     return n, tx, led
 
 

@@ -27,13 +27,18 @@ EVENT_ASSETS = {
 EPOCH_NTZ = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 
-def epoch_seconds(col: str = "ts"):
-    """Whole epoch seconds of a timestamp_ntz column, independent of the session time zone."""
-    return F.expr(f"timestampdiff(MICROSECOND, {EPOCH_NTZ}, {col}) div 1000000")
+def epoch_micros(col: str = "ts"):
+    """Epoch microseconds of a timestamp_ntz column read as UTC wall time.
 
+    Built from the value's own fields (days since 1970, hour, minute, second with fraction), so
+    the result never depends on the session time zone or its daylight-saving rules."""
+    return F.expr(f"unix_date(cast({col} as date)) * 86400000000L + (hour({col}) * 3600L + minute({col}) * 60L)"
+                  f" * 1000000L + cast(extract(SECOND FROM {col}) * 1000000 as bigint)")
 
-def epoch_micros(col: str = "ts"):
-    return F.expr(f"timestampdiff(MICROSECOND, {EPOCH_NTZ}, {col})")
+
+def epoch_seconds(col: str = "ts"):
+    """Whole epoch seconds of a timestamp_ntz column (UTC wall time), zone-independent."""
+    return F.floor(epoch_micros(col) / 1000000).cast("long")
 
 
 def _asset_col(col: str = "event_type"):
