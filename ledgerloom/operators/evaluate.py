@@ -21,9 +21,22 @@ def with_bins(df: DataFrame, prob_col: str = "y_prob", n_bins: int = 10) -> Data
 
 
 def calibration_curve(df: DataFrame, y_col: str = "y_true", prob_col: str = "y_prob",
-                      n_bins: int = 10) -> DataFrame:
-    """Per non-empty bin: fraction of positives, mean predicted probability, count."""
-    b = with_bins(df, prob_col, n_bins)
+                      n_bins: int = 10, strategy: str = "uniform") -> DataFrame:
+    """Per non-empty bin: fraction of positives, mean predicted probability, count.
+
+    ``uniform``: bin = least(floor(p n), n - 1).  ``quantile``: edges are the linear
+    percentiles 0, 1/n, ..., 1 of p and bin = number of inner edges strictly below p."""
+    if strategy == "quantile":
+        edges = exact_percentiles(df, prob_col, {f"q{i}": i / n_bins for i in range(1, n_bins)})
+        cnt = None
+        for i in range(1, n_bins):
+            term = (F.col(prob_col) > F.col(f"q{i}")).cast("int")
+            cnt = term if cnt is None else cnt + term
+        b = df.crossJoin(F.broadcast(edges)).withColumn("bin", cnt)
+    elif strategy == "uniform":
+        b = with_bins(df, prob_col, n_bins)
+    else:
+        raise ValueError("strategy must be uniform or quantile")
     return b.groupBy("bin").agg(F.avg(F.col(y_col).cast("double")).alias("fraction_positive"),
                                 F.avg(prob_col).alias("mean_predicted"), F.count(F.lit(1)).alias("n"))
 

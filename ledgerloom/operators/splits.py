@@ -53,6 +53,14 @@ def kfold(df: DataFrame, key_col: str, k: int = 5, seed: int = 42) -> DataFrame:
     return df.withColumn("fold", F.pmod(F.xxhash64(F.col(key_col), F.lit(seed)), F.lit(k)).cast("int"))
 
 
+def kfold_time_blocked(df: DataFrame, ts_col: str, tie_col: str, k: int = 5) -> DataFrame:
+    """N13 time-blocked: fold = floor(rank * k / n) in (ts, tie) order (contiguous blocks)."""
+    r = with_global_rank(df, [ts_col, tie_col], "_rank")
+    n = df.agg(F.count(F.lit(1)).alias("_n"))
+    return r.crossJoin(F.broadcast(n)).withColumn(
+        "fold", F.floor(F.col("_rank") * k / F.col("_n")).cast("int")).drop("_n", "_rank")
+
+
 def split_overlap(split: DataFrame, ts_col: str) -> DataFrame:
     """Q6: one row: train_max, test_min, overlap = train_max >= test_min (empty side passes)."""
     return split.agg(F.max(F.when(F.col("split") == "train", F.col(ts_col))).alias("train_max"),

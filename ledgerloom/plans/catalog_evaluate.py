@@ -23,6 +23,15 @@ def q_cal_curve(spark, sf_dir):
     return ev.calibration_curve(scored(spark, sf_dir))
 
 
+@register("calibration_curve_quantile", operators="E1 (quantile bins)",
+          sql=with_views("""WITH q AS (SELECT """ + ", ".join(f"QUANTILE_CONT(y_prob, {i / 10}) AS q{i}" for i in range(1, 10)) + """ FROM scored),
+b AS (SELECT s.*, """ + " + ".join(f"CAST(y_prob > q{i} AS INTEGER)" for i in range(1, 10)) + """ AS bin FROM scored s CROSS JOIN q)
+SELECT CAST(bin AS BIGINT) AS bin, AVG(CAST(y_true AS DOUBLE)) AS fraction_positive, AVG(y_prob) AS mean_predicted,
+  CAST(COUNT(*) AS BIGINT) AS n FROM b GROUP BY bin""", *_SC), doubles=["fraction_positive", "mean_predicted"])
+def q_cal_curve_q(spark, sf_dir):
+    return ev.calibration_curve(scored(spark, sf_dir), strategy="quantile")
+
+
 _CAL_ERR_SQL = f"""SELECT AVG(POW(y_prob - y_true, 2)) AS brier,
   -AVG(y_true * LN({_CLIP}) + (1 - y_true) * LN(1 - {_CLIP})) AS log_loss,
   (SELECT SUM(n * ABS(fp - mp)) / SUM(n) FROM (SELECT COUNT(*) AS n, AVG(CAST(y_true AS DOUBLE)) AS fp, AVG(y_prob) AS mp

@@ -225,6 +225,28 @@ def q_random_split(spark, sf_dir):
         .groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register("kfold_time_blocked", operators="N13 (time-blocked folds by rank)",
+          sql=with_views("""SELECT CAST(fold AS BIGINT) AS fold, CAST(COUNT(*) AS BIGINT) AS n, MIN(ts) AS min_ts, MAX(ts) AS max_ts FROM (
+  SELECT ts, FLOOR((ROW_NUMBER() OVER (ORDER BY ts, rid) - 1) * 5 / COUNT(*) OVER ()) AS fold FROM feat) f GROUP BY fold""",
+                         extra=[_FEAT_SQL]))
+def q_kfold_time(spark, sf_dir):
+    f = sp.kfold_time_blocked(_features(spark, sf_dir), "ts", "rid", 5)
+    return f.groupBy(F.col("fold").cast("long").alias("fold")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts"))
+
+
+@register("dedupe_against_seen", operators="Q2 (new batch vs a seen-hash table, first per hash)",
+          sql=with_views(f"""WITH h AS (SELECT seq, id, {_HASH_SQL} AS hash, CAST("timestamp" AS BIGINT) AS t FROM txn2),
+seen AS (SELECT DISTINCT hash FROM h WHERE t < 1705276800),
+b AS (SELECT * FROM h WHERE t >= 1705276800 AND hash NOT IN (SELECT hash FROM seen))
+SELECT seq, id, hash FROM b WHERE seq = (SELECT MIN(seq) FROM b b2 WHERE b2.hash = b.hash)""", "txn"))
+def q_dedupe_seen(spark, sf_dir):
+    t = qa.with_hash(txn(spark, sf_dir), _FIELDS).withColumn("t", F.col("timestamp").cast("long"))
+    seen = t.where(F.col("t") < 1705276800).select("hash")
+    batch = t.where(F.col("t") >= 1705276800)
+    return qa.dedupe_against_seen(batch, seen, "hash", "seq").select("seq", "id", "hash")
+
+
 @register("kfold", operators="N13 (hash folds; invariant-checked)")
 def q_kfold(spark, sf_dir):
     return sp.kfold(_features(spark, sf_dir), "rid", 5).groupBy("fold").agg(F.count(F.lit(1)).alias("n"))

@@ -28,9 +28,18 @@ def landing_stream(spark: SparkSession, landing: str, max_files: int | None = No
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
+    """True when the table folder holds at least one data file (recursively)."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return False
+    it = fs.listFiles(p, True)
+    while it.hasNext():
+        name = it.next().getPath().getName()
+        if not name.startswith(("_", ".")):
+            return True
+    return False
 
 
 def _upsert_batch(table: str, keys: list[str], order_col: str, partition_cols: list[str] = ()):
@@ -46,6 +55,8 @@ def _upsert_batch(table: str, keys: list[str], order_col: str, partition_cols: l
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         b = batch.withColumn("_batch", F.lit(batch_id).cast("long"))
+        if b.isEmpty():
+            return
         if not _exists(spark, table):
             b.write.mode("overwrite").partitionBy(*pc).parquet(table)
             return
