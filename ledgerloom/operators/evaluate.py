@@ -87,24 +87,41 @@ def adaptive_calibration_error(df: DataFrame, y_col: str = "y_true", prob_col: s
 def threshold_sweep(df: DataFrame, y_col: str = "y_true", prob_col: str = "y_prob",
                     start: float = 0.1, stop: float = 0.9, step: float = 0.05) -> DataFrame:
     """Thresholds start + i*step < stop: precision, recall, F1 and |mean p - positive rate|
-    above the threshold.  The threshold table has (stop-start)/step rows (a parameter bound)."""
+    above the threshold.
+
+    One pass, no row multiplication: every row falls in the bucket of the largest threshold
+    <= p (a CASE over the sorted thresholds); bucket sums (one row per threshold) are then
+    accumulated from the top, so "p >= t" counts are suffix sums over <= 17 rows."""
     n = 0
     ts = []
     while start + n * step < stop:
-        ts.append((n, start + n * step))
+        ts.append(start + n * step)
         n += 1
-    th = df.sparkSession.createDataFrame(ts, "i int, threshold double")
-    x = df.select(F.col(y_col).cast("int").alias("_y"), F.col(prob_col).alias("_p")).crossJoin(F.broadcast(th))
-    hit = F.col("_p") >= F.col("threshold")
-    g = x.groupBy("i", "threshold").agg(
-        F.sum((hit & (F.col("_y") == 1)).cast("long")).alias("tp"),
-        F.sum((hit & (F.col("_y") == 0)).cast("long")).alias("fp"),
-        F.sum((~hit & (F.col("_y") == 1)).cast("long")).alias("fn"),
-        F.avg(F.when(hit, F.col("_p"))).alias("_mp"), F.avg(F.when(hit, F.col("_y").cast("double"))).alias("_tr"))
-    prec = F.when(F.col("tp") + F.col("fp") > 0, F.col("tp") / (F.col("tp") + F.col("fp"))).otherwise(0.0)
-    rec = F.when(F.col("tp") + F.col("fn") > 0, F.col("tp") / (F.col("tp") + F.col("fn"))).otherwise(0.0)
-    out = g.select("threshold", prec.alias("precision"), rec.alias("recall"),
-                   F.coalesce(F.abs(F.col("_mp") - F.col("_tr")), F.lit(0.0)).alias("calibration_error"))
+    p = F.col(prob_col)
+    bucket = F.lit(-1)
+    for i, t in enumerate(ts):
+        bucket = F.when(p >= F.lit(t), F.lit(i)).otherwise(bucket)
+    y = F.col(y_col).cast("long")
+    g = df.groupBy(bucket.alias("i")).agg(F.count(F.lit(1)).alias("_n"), F.sum(y).alias("_pos"),
+                                          F.sum(p).alias("_sp"))
+    tot = df.agg(F.sum(y).alias("_P"))
+    th = df.sparkSession.createDataFrame(list(enumerate(ts)), "i int, threshold double")
+    # suffix sums over the (<= len(ts) + 1)-row bucket table
+    from pyspark.sql import Window
+    w = Window.orderBy(F.col("i").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    cum = g.select("i", F.sum("_n").over(w).alias("_ge"), F.sum("_pos").over(w).alias("tp"),
+                   F.sum("_sp").over(w).alias("_sp_ge"))
+    # a threshold takes the suffix sums of the first non-empty bucket at or above it
+    x = th.crossJoin(F.broadcast(tot)).join(cum.select(F.col("i").alias("_j"), F.col("_ge").alias("_ge2"), F.col("tp").alias("_tp2"),
+                          F.col("_sp_ge").alias("_sp2")), F.col("_j") >= F.col("i"), "left") \
+         .groupBy("i", "threshold", "_P").agg(F.max_by("_ge2", F.struct(-F.col("_j"))).alias("_ge"),
+                                              F.max_by("_tp2", F.struct(-F.col("_j"))).alias("tp"),
+                                              F.max_by("_sp2", F.struct(-F.col("_j"))).alias("_sp_ge")) \
+         .fillna({"_ge": 0, "tp": 0, "_sp_ge": 0.0})
+    prec = F.when(F.col("_ge") > 0, F.col("tp") / F.col("_ge")).otherwise(0.0)
+    rec = F.when(F.col("_P") > 0, F.col("tp") / F.col("_P")).otherwise(0.0)
+    cal = F.when(F.col("_ge") > 0, F.abs(F.col("_sp_ge") / F.col("_ge") - F.col("tp") / F.col("_ge"))).otherwise(0.0)
+    out = x.select("threshold", prec.alias("precision"), rec.alias("recall"), cal.alias("calibration_error"))
     return out.withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0,
                                        2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall")))
                           .otherwise(0.0))
@@ -141,18 +158,16 @@ def binary_metrics(df: DataFrame, y_col: str = "y_true", pred_col: str = "y_pred
 
 def classification_metrics(df: DataFrame, y_col: str = "y_true", pred_col: str = "y_pred") -> DataFrame:
     """Accuracy and support-weighted precision / recall / F1 over the classes present,
-    plus per-class rows.  Returns (class, precision, recall, f1, support) rows and a 'weighted'
-    row; accuracy is the 'weighted' row's ``accuracy``."""
-    labels = df.select(F.col(y_col).alias("label")).distinct()
-    x = df.select(F.col(y_col).alias("_y"), F.col(pred_col).alias("_p")).crossJoin(F.broadcast(labels))
-    per = x.groupBy("label").agg(
-        F.sum(((F.col("_p") == F.col("label")) & (F.col("_y") == F.col("label"))).cast("long")).alias("tp"),
-        F.sum(((F.col("_p") == F.col("label")) & (F.col("_y") != F.col("label"))).cast("long")).alias("fp"),
-        F.sum(((F.col("_p") != F.col("label")) & (F.col("_y") == F.col("label"))).cast("long")).alias("fn"))
+    plus per-class rows.  Everything derives from the confusion table (one row per
+    (true, predicted) pair present) - no cross join of rows with the class list."""
+    conf = df.groupBy(F.col(y_col).alias("_y"), F.col(pred_col).alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
+    support = conf.groupBy(F.col("_y").alias("label")).agg(F.sum("_c").alias("support"))
+    predicted = conf.groupBy(F.col("_p").alias("label")).agg(F.sum("_c").alias("_pred"))
+    tp = conf.where(F.col("_y") == F.col("_p")).select(F.col("_y").alias("label"), F.col("_c").alias("_tp"))
+    per = support.join(predicted, "label", "left").join(tp, "label", "left").fillna({"_pred": 0, "_tp": 0})
     per = per.select(F.col("label").cast("string").alias("class"),
-                     _safe(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
-                     _safe(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"),
-                     (F.col("tp") + F.col("fn")).alias("support"))
+                     _safe(F.col("_tp"), F.col("_pred")).alias("precision"),
+                     _safe(F.col("_tp"), F.col("support")).alias("recall"), "support")
     per = per.withColumn("f1", _safe(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
     acc = df.agg(F.avg((F.col(y_col) == F.col(pred_col)).cast("double")).alias("accuracy"))
     w = per.agg(F.lit("weighted").alias("class"),

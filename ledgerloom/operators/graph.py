@@ -324,11 +324,13 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def community_summary(labels: DataFrame, top: int = 5) -> DataFrame:
-    """Community sizes with rank (largest first); ``rank <= top`` gives the top list."""
-    from pyspark.sql import Window
+    """Community sizes with rank (largest first, 1-based); ``rank <= top`` gives the top
+    list.  The number of communities can approach the number of nodes, so the rank is the
+    range-partitioned global rank, not a single-partition window."""
+    from ..plans.ordering import with_global_rank
     sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    # one row per community: the window runs over the (small) community table
-    return sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.col("size").desc(), "label")))
+    r = with_global_rank(sizes.withColumn("_ns", -F.col("size")), ["_ns", "label"], "_r")
+    return r.select("label", "size", (F.col("_r") + 1).alias("rank"))
 
 
 # ----------------------------------------------------------------------------- cycles

@@ -91,7 +91,7 @@ def negative_samples(split_nodes: DataFrame, positives: DataFrame, n_neg: DataFr
     positive pair, unique; the n_neg(s) draws with the smallest i are kept (fewer when the
     graph is too dense, as the reference returns fewer)."""
     n = split_nodes.groupBy("split").agg(F.count(F.lit(1)).alias("_N"))
-    idx = split_nodes.withColumn("_i", F.row_number().over(Window.partitionBy("split").orderBy("node")) - 1)
+    idx = rank_within(split_nodes.select("split", "node"), ["split"], ["node"], "_i")
     d = n_neg.join(n, "split").select("split", "n_neg", "_N",
                                       F.explode(F.sequence(F.lit(0), F.col("n_neg") * budget - 1)).alias("draw"))
     d = d.select("split", "n_neg", "draw",
@@ -102,5 +102,14 @@ def negative_samples(split_nodes: DataFrame, positives: DataFrame, n_neg: DataFr
          .join(idx.select("split", F.col("_i").alias("_v"), F.col("node").alias("v")), ["split", "_v"])
     d = d.join(positives.select("split", F.col("src").alias("u"), F.col("dst").alias("v")), ["split", "u", "v"], "left_anti")
     first = d.groupBy("split", "u", "v").agg(F.min("draw").alias("draw"), F.first("n_neg").alias("n_neg"))
-    w = Window.partitionBy("split").orderBy("draw")
-    return first.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= F.col("n_neg")).select("split", "u", "v")
+    ranked = rank_within(first, ["split"], ["draw"], "_k")
+    return ranked.where(F.col("_k") < F.col("n_neg")).select("split", "u", "v")
+
+
+def rank_within(df: DataFrame, group_cols: list[str], order_cols: list[str], out: str) -> DataFrame:
+    """0-based position inside each group in ``order_cols`` order (total within the group):
+    a range-partitioned global rank minus the group's first rank (grouped min), so one huge
+    group is spread over many tasks instead of one window task."""
+    r = with_global_rank(df, [*group_cols, *order_cols], "_gr")
+    first = r.groupBy(*group_cols).agg(F.min("_gr").alias("_g0"))
+    return r.join(first, group_cols).withColumn(out, F.col("_gr") - F.col("_g0")).drop("_gr", "_g0")

@@ -123,9 +123,9 @@ def q_split_index(spark, sf_dir):
     fut = e.select("src", "dst", F.explode(F.sequence(F.col("t") - 4, F.col("t"))).alias("b")) \
         .join(led.select(F.col("t").alias("b")), "b", "left_semi")
     nodes = ctx.unionByName(fut).select("b", F.explode(F.array("src", "dst")).alias("node")).distinct()
-    # one window per split; a split holds at most the accounts of 15 ledgers (parameter bound)
-    w = Window.partitionBy("b").orderBy("node")
-    return nodes.select(F.col("b").alias("boundary"), "node", (F.row_number().over(w) - 1).cast("long").alias("idx"))
+    from ..operators.sampling import rank_within
+    r = rank_within(nodes, ["b"], ["node"], "idx")
+    return r.select(F.col("b").alias("boundary"), "node", F.col("idx").cast("long").alias("idx"))
 
 
 @register("asset_one_hot", operators="X8 (sorted vocabulary, unknown -> index 0, one-hot)",
