@@ -43,7 +43,7 @@ def q_nbr_sample(spark, sf_dir):
     return sm.sample_neighbors(_adj(spark, sf_dir), 5)
 
 
-@register("multi_hop_sample", operators="R9 (fanout [25, 10], targets first, local indices)")
+@register("multi_hop_sample", operators="R9 J10 (fanout [25, 10] frontier joins, targets first, local indices)")
 def q_multi_hop(spark, sf_dir):
     adj = _adj(spark, sf_dir)
     targets = adj.select(F.col("u").alias("node")).distinct().where(F.col("node").isin("1", "2", "3"))
