@@ -45,9 +45,17 @@ EFFECT_SCHEMA = T.StructType([T.StructField(n, _S) for n in (
     "id", "account", "type", "amount", "asset_type", "asset_code", "asset_issuer", "created_at")])
 
 
-def parse_json(raw: DataFrame, schema: T.StructType, raw_col: str = "raw", keep: tuple = ()) -> DataFrame:
-    """Decode JSON text with a schema; malformed text gives a null ``r`` (filtered by callers)."""
-    return raw.select(*keep, F.from_json(F.col(raw_col), schema).alias("r"))
+def parse_json(raw: DataFrame, schema: T.StructType, raw_col: str = "raw", keep: tuple = (),
+               drop_malformed: bool = False) -> DataFrame:
+    """Decode JSON text with a schema into the struct column ``r``.
+
+    Malformed text decodes to null.  With ``drop_malformed`` such rows are removed through a
+    generator (``explode`` of a 0/1-element array) rather than a filter: a filter on the
+    decoded struct would be pushed below the projection and decode every record twice."""
+    decoded = F.from_json(F.col(raw_col), schema)
+    if drop_malformed:
+        return raw.select(*keep, F.explode(F.filter(F.array(decoded), lambda x: x.isNotNull())).alias("r"))
+    return raw.select(*keep, decoded.alias("r"))
 
 
 def _falsy_to_null(c: Column) -> Column:
@@ -57,7 +65,7 @@ def _falsy_to_null(c: Column) -> Column:
 
 def parse_ledgers(raw: DataFrame, raw_col: str = "raw") -> DataFrame:
     """A4: ints cast, counts default 0, falsy coins / fee pool / base fee / protocol -> null."""
-    r = parse_json(raw, LEDGER_SCHEMA, raw_col).where(F.col("r").isNotNull()).select("r.*")
+    r = parse_json(raw, LEDGER_SCHEMA, raw_col, drop_malformed=True).select("r.*")
     return r.select(
         F.col("sequence").try_cast("long").alias("sequence"), "hash", "prev_hash",
         parse_iso_timestamp(F.col("closed_at")).alias("closed_at"),
@@ -71,7 +79,7 @@ def parse_ledgers(raw: DataFrame, raw_col: str = "raw") -> DataFrame:
 
 def parse_transactions(raw: DataFrame, raw_col: str = "raw") -> DataFrame:
     """A5: ``ledger`` -> ledger_sequence, ``fee_charged`` -> fee."""
-    r = parse_json(raw, TRANSACTION_SCHEMA, raw_col).where(F.col("r").isNotNull()).select("r.*")
+    r = parse_json(raw, TRANSACTION_SCHEMA, raw_col, drop_malformed=True).select("r.*")
     return r.select("hash", F.col("ledger").try_cast("long").alias("ledger_sequence"),
                     "source_account", parse_iso_timestamp(F.col("created_at")).alias("created_at"),
                     F.col("fee_charged").try_cast("long").alias("fee"),
@@ -96,10 +104,10 @@ def _amount_text(r: str = "r") -> Column:
 def parse_operations(raw: DataFrame, raw_col: str = "raw", seq_col: str = "seq") -> DataFrame:
     """Operation rows; ``details`` = JSON of all non-common keys (null if none);
     application_order = position in the transaction by ingest order (1-based)."""
-    m = raw.select(seq_col, F.col(raw_col),
-                   F.from_json(F.col(raw_col), OPERATION_SCHEMA).alias("r"),
-                   F.from_json(F.col(raw_col), "map<string,string>").alias("_m"))
-    m = m.where(F.col("r").isNotNull())
+    both = F.struct(F.from_json(F.col(raw_col), OPERATION_SCHEMA).alias("r"),
+                    F.from_json(F.col(raw_col), "map<string,string>").alias("_m"))
+    m = raw.select(seq_col, F.explode(F.filter(F.array(both), lambda x: x["r"].isNotNull())).alias("_d")) \
+        .select(seq_col, "_d.r", "_d._m")
     details = F.map_filter("_m", lambda k, v: ~k.isin(OPERATION_COMMON_KEYS))
     w = Window.partitionBy("r.transaction_hash").orderBy(seq_col)
     asset_native = F.col("r.asset_type") == "native"
@@ -117,7 +125,7 @@ def parse_operations(raw: DataFrame, raw_col: str = "raw", seq_col: str = "seq")
 def parse_effects(raw: DataFrame, raw_col: str = "raw") -> DataFrame:
     """amount/asset only for account_created/credited/debited (native -> XLM);
     destination = account when credited."""
-    r = parse_json(raw, EFFECT_SCHEMA, raw_col).where(F.col("r").isNotNull()).select("r.*")
+    r = parse_json(raw, EFFECT_SCHEMA, raw_col, drop_malformed=True).select("r.*")
     money = F.col("type").isin("account_created", "account_credited", "account_debited") \
         & F.col("amount").isNotNull() & (F.col("amount") != "")
     return r.select(F.col("id").try_cast("long").alias("id"), "account", "type",
@@ -129,10 +137,17 @@ def parse_effects(raw: DataFrame, raw_col: str = "raw") -> DataFrame:
                     parse_iso_timestamp(F.col("created_at")).alias("created_at"))
 
 
+def _parsed(raw: DataFrame, raw_col: str) -> DataFrame:
+    """``raw`` as a frame with the decoded, non-null struct ``r`` (reused when already decoded)."""
+    if "r" in raw.columns and raw_col not in raw.columns:
+        return raw
+    return parse_json(raw, OPERATION_SCHEMA, raw_col, drop_malformed=True)
+
+
 def normalize_operations(raw: DataFrame, raw_col: str = "raw") -> DataFrame:
     """(transaction_hash, sender, receiver, asset, amount, timestamp) per operation.
     asset = XLM for native, code:issuer when both are present, else UNKNOWN (D19)."""
-    r = parse_json(raw, OPERATION_SCHEMA, raw_col).where(F.col("r").isNotNull())
+    r = _parsed(raw, raw_col)
     return r.select(F.col("r.transaction_hash").alias("transaction_hash"),
                     F.col("r.source_account").alias("sender"), _destination().alias("receiver"),
                     build_asset(F.col("r.asset_type"), F.col("r.asset_code"), F.col("r.asset_issuer"),
@@ -155,8 +170,7 @@ def path_payment_hops(raw: DataFrame, raw_col: str = "raw") -> DataFrame:
     chain = [source asset] + path assets + [destination asset]; hop i goes from the sender (i=0)
     or ``__path__{hash}_{i}`` to the receiver (last) or ``__path__{hash}_{i+1}``; amount = source
     amount on hop 0, destination amount on the last hop, null between (one hop: source)."""
-    r = parse_json(raw, OPERATION_SCHEMA, raw_col).where(
-        F.col("r").isNotNull() & F.col("r.type").isin(PATH_PAYMENT_TYPES)).select("r.*")
+    r = _parsed(raw, raw_col).where(F.col("r.type").isin(PATH_PAYMENT_TYPES)).select("r.*")
     src_asset = _asset_text(F.coalesce(F.col("source_asset_type"), F.col("asset_type"), F.lit("")),
                             F.coalesce(F.col("source_asset_code"), F.col("asset_code")),
                             F.coalesce(F.col("source_asset_issuer"), F.col("asset_issuer")))
@@ -185,13 +199,42 @@ def path_payment_hops(raw: DataFrame, raw_col: str = "raw") -> DataFrame:
 
 
 def normalize_with_hops(raw: DataFrame, raw_col: str = "raw") -> DataFrame:
-    """A10: path payments -> one row per hop with hash '{hash}_hop{i}'; others -> A9."""
-    plain = normalize_operations(raw, raw_col).where(~F.col("type").isin(PATH_PAYMENT_TYPES)).drop("type")
-    hops = path_payment_hops(raw, raw_col).select(
-        F.concat(F.col("transaction_hash"), F.lit("_hop"), F.col("hop_index").cast("string")).alias("transaction_hash"),
-        F.col("from_account").alias("sender"), F.col("to_account").alias("receiver"), "asset", "amount",
-        parse_iso_timestamp(F.col("created_at")).alias("timestamp"), "operation_id")
-    return plain.unionByName(hops)
+    """A10: path payments -> one row per hop with hash '{hash}_hop{i}'; others -> A9.
+
+    One pass: every decoded operation yields an array of output rows (its hops, or its single
+    A9 row) and one ``explode`` emits them - one scan and one JSON decode per record."""
+    r = _parsed(raw, raw_col)
+    ts = parse_iso_timestamp(F.col("r.created_at"))
+    op_id = F.col("r.id").try_cast("long")
+    plain = F.struct(F.col("r.transaction_hash").alias("transaction_hash"), F.col("r.source_account").alias("sender"),
+                     _destination().alias("receiver"),
+                     build_asset(F.col("r.asset_type"), F.col("r.asset_code"), F.col("r.asset_issuer"),
+                                 code_only_ok=False).alias("asset"),
+                     _amount_text().try_cast("double").alias("amount"), ts.alias("timestamp"), op_id.alias("operation_id"))
+    src_asset = _asset_text(F.coalesce(F.col("r.source_asset_type"), F.col("r.asset_type"), F.lit("")),
+                            F.coalesce(F.col("r.source_asset_code"), F.col("r.asset_code")),
+                            F.coalesce(F.col("r.source_asset_issuer"), F.col("r.asset_issuer")))
+    dst_asset = _asset_text(F.coalesce(F.col("r.asset_type"), F.lit("")), F.col("r.asset_code"), F.col("r.asset_issuer"))
+    path_assets = F.transform(F.coalesce(F.col("r.path"), F.array().cast(T.ArrayType(ASSET_STRUCT))),
+                              lambda p: _asset_text(p["asset_type"], p["asset_code"], p["asset_issuer"]))
+    chain = F.concat(F.array(src_asset), path_assets, F.array(dst_asset))
+    n = F.size(chain) - 1
+    h = F.col("r.transaction_hash")
+    recv = F.coalesce(F.col("r.to"), F.col("r.destination_account"))
+    dst_amount = F.coalesce(F.col("r.destination_amount"), F.col("r.amount"))
+    pref = F.concat(F.lit("__path__"), h, F.lit("_"))
+
+    def hop(i):
+        return F.struct(
+            F.concat(h, F.lit("_hop"), i.cast("string")).alias("transaction_hash"),
+            F.when(i == 0, F.col("r.source_account")).otherwise(F.concat(pref, i.cast("string"))).alias("sender"),
+            F.when(i == n - 1, recv).otherwise(F.concat(pref, (i + 1).cast("string"))).alias("receiver"),
+            F.element_at(chain, (i + 1).cast("int")).alias("asset"),
+            F.when(i == 0, F.col("r.source_amount")).when(i == n - 1, dst_amount).try_cast("double").alias("amount"),
+            ts.alias("timestamp"), op_id.alias("operation_id"))
+    rows = F.when(F.col("r.type").isin(PATH_PAYMENT_TYPES), F.transform(F.sequence(F.lit(0), n - 1), hop)) \
+        .otherwise(F.array(plain))
+    return r.select(F.explode(rows).alias("o")).select("o.*")
 
 
 BACKFILL_COLUMNS = ["ledger_sequence", "operation_id", "transaction_hash", "type", "sender", "receiver",
@@ -227,11 +270,15 @@ def normalize_backfill(rows: DataFrame, order_col: str | None = None) -> DataFra
         F.coalesce(c("amount"), c("starting_balance"), c("destination_amount"), c("source_amount"))
          .try_cast("double").alias("amount"),
         parse_iso_timestamp(F.coalesce(c("created_at"), c("closed_at"), c("timestamp"))).alias("timestamp"))
-    x = x.where(F.col("ledger_sequence").isNotNull() & F.col("sender").isNotNull()
-                & F.col("transaction_hash").isNotNull() & F.col("timestamp").isNotNull())
-    w = Window.partitionBy("transaction_hash", "operation_id").orderBy("_ord")
-    return (x.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1)
-            .select(*BACKFILL_COLUMNS))
+    valid = (F.col("ledger_sequence").isNotNull() & F.col("sender").isNotNull()
+             & F.col("transaction_hash").isNotNull() & F.col("timestamp").isNotNull())
+    # "drop invalid rows, then keep the first row per key" == "first row per key ordered by
+    # (valid first, ingest order), kept when valid".  Written this way no filter sits on the
+    # parsed fields, so the optimizer cannot push one below the projection and decode the
+    # records a second time in the scan stage.
+    w = Window.partitionBy("transaction_hash", "operation_id").orderBy(F.col("_valid").desc(), "_ord")
+    return (x.withColumn("_valid", valid).withColumn("_rn", F.row_number().over(w))
+            .where((F.col("_rn") == 1) & F.col("_valid")).select(*BACKFILL_COLUMNS))
 
 
 def ingest_range(ledgers: DataFrame, processed: DataFrame, start: int | None, end: int | None,
