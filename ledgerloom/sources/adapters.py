@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .tables import read_table
+from .tables import read_table, spread
 
 # Asset assigned to each event type in the edge view.
 EVENT_ASSETS = {
@@ -132,7 +132,7 @@ def raw_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     and deliver value/2 of the event asset through (event_id div 5) mod 3 intermediate assets
     'P<i>:GP'; two operations per transaction hash, ten per ledger.  Absent fields are
     omitted from the JSON (``to_json`` drops nulls)."""
-    ev = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    ev = spread(read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value"))
     k = F.pmod(F.col("event_id"), F.lit(5))
     typ = F.element_at(F.array(*[F.lit(t) for t in OP_TYPES]), (k + 1).cast("int"))
     src = F.concat(F.lit("G"), F.col("user_id").cast("string"))

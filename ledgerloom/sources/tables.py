@@ -8,16 +8,18 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Lazy parquet scan; Catalyst prunes columns and pushes filters into it.
-
-    A table stored as one unsplittable file (a single row group) scans in one task, so every
-    CPU-heavy step before the first shuffle would run single-threaded.  When the scan has fewer
-    splits than the cluster's default parallelism, rows are spread round-robin once; a table
-    of many files (the normal case at scale) is left as it is."""
+    """Lazy parquet scan; Catalyst prunes columns and pushes filters into it."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    par = spark.sparkContext.defaultParallelism
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a frame whose scan has fewer splits than the default parallelism.
+
+    For CPU-heavy row work (building / decoding JSON) on a table stored as one unsplittable
+    file; a table of many files - the normal case at scale - is returned unchanged."""
+    par = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < par:
-        df = df.repartition(par)
+        return df.repartition(par)
     return df
