@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import IterationState, cut_lineage
 
 
 def falsy_weight(amount: Column) -> Column:
@@ -47,7 +47,8 @@ def undirected_adjacency(edges: DataFrame, keep_self_loops: bool = False) -> Dat
 # ----------------------------------------------------------------------------- PageRank
 
 def pagerank(edges: DataFrame, alpha: float = 0.85, max_iter: int = 100, tol: float = 1e-6,
-             weighted: bool = True, extra_nodes: DataFrame | None = None) -> DataFrame:
+             weighted: bool = True, extra_nodes: DataFrame | None = None,
+             checkpoint_interval: int = 1) -> DataFrame:
     """Weighted PageRank with uniform teleport and uniform dangling mass.
 
     rank'(v) = (1-a)/n + a * dangling/n + a * sum_{u->v} rank(u) w(u,v)/out_w(u).
@@ -63,6 +64,7 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, max_iter: int = 100, tol: fl
         return spark.createDataFrame([], "node string, pagerank double")
     dang_nodes = nodes.join(outw.select(F.col("src").alias("node")), "node", "left_anti")
     rank = cut_lineage(nodes.withColumn("rank", F.lit(1.0 / n)))
+    state = IterationState(checkpoint_interval)
     for _ in range(max_iter):
         contrib = trans.join(rank.select(F.col("node").alias("src"), "rank"), "src") \
             .groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("p")).alias("_c"))
@@ -70,7 +72,7 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, max_iter: int = 100, tol: fl
         new = (nodes.join(contrib, "node", "left").crossJoin(F.broadcast(dang))
                .select("node", (F.lit((1 - alpha) / n) + F.lit(alpha / n) * F.col("_d")
                                 + F.lit(alpha) * F.coalesce(F.col("_c"), F.lit(0.0))).alias("rank")))
-        new = cut_lineage(new)
+        new = state.keep(new)
         diff = new.join(rank.withColumnRenamed("rank", "_old"), "node") \
             .agg(F.sum(F.abs(F.col("rank") - F.col("_old")))).first()[0]
         if diff < tol:
@@ -82,7 +84,7 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, max_iter: int = 100, tol: fl
 # ----------------------------------------------------------------------------- eigenvector
 
 def eigenvector_centrality(edges: DataFrame, max_iter: int = 100, tol: float = 1e-6,
-                           weighted: bool = False) -> DataFrame:
+                           weighted: bool = False, checkpoint_interval: int = 1) -> DataFrame:
     """Power iteration x' = M x / |M x| with M[src, dst] = summed weight, x0 = 1/sqrt(n).
 
     Nodes are inferred from the edges (D4).  Stops when |x' - x| < tol (returns x, the previous
@@ -95,17 +97,18 @@ def eigenvector_centrality(edges: DataFrame, max_iter: int = 100, tol: float = 1
     if n == 0:
         return spark.createDataFrame([], "node string, eigenvector double")
     x = cut_lineage(nodes.withColumn("x", F.lit(1.0 / n ** 0.5)))
+    state = IterationState(checkpoint_interval)
     for _ in range(max_iter):
         y = pairs.join(x.select(F.col("node").alias("dst"), "x"), "dst") \
             .groupBy(F.col("src").alias("node")).agg(F.sum(F.col("w") * F.col("x")).alias("y"))
-        y = cut_lineage(nodes.join(y, "node", "left").fillna({"y": 0.0}))
+        y = state.keep(nodes.join(y, "node", "left").fillna({"y": 0.0}))
         s = y.join(x, "node").agg(F.sum(F.col("y") * F.col("y")).alias("yy"), F.sum(F.col("y") * F.col("x")).alias("yx"),
                                   F.sum(F.col("x") * F.col("x")).alias("xx")).first()
         norm = s["yy"] ** 0.5
         if norm == 0:
             break
         d2 = max(1.0 - 2.0 * s["yx"] / norm + s["xx"], 0.0)
-        new = cut_lineage(y.select("node", (F.col("y") / F.lit(norm)).alias("x")))
+        new = y.select("node", (F.col("y") / F.lit(norm)).alias("x"))
         if d2 ** 0.5 < tol:
             break
         x = new
@@ -279,10 +282,11 @@ def weak_components(edges: DataFrame, max_iter: int = 1000) -> DataFrame:
     the component).  One join + min aggregate per round; stops when no label changes."""
     adj = cut_lineage(undirected_adjacency(edges))
     lab = cut_lineage(node_table(edges).withColumn("component", F.col("node")))
+    state = IterationState(1)
     for _ in range(max_iter):
         nb = adj.join(lab.select(F.col("node").alias("u"), F.col("component").alias("_l")), "u") \
             .groupBy(F.col("v").alias("node")).agg(F.min("_l").alias("_m"))
-        new = cut_lineage(lab.join(nb, "node", "left").select(
+        new = state.keep(lab.join(nb, "node", "left").select(
             "node", F.least(F.col("component"), F.coalesce(F.col("_m"), F.col("component"))).alias("component")))
         changed = new.join(lab.withColumnRenamed("component", "_o"), "node").where(
             F.col("component") != F.col("_o")).limit(1).count()
@@ -298,12 +302,13 @@ def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
     keep theirs.  Fixed number of rounds."""
     adj = cut_lineage(undirected_adjacency(edges))
     lab = cut_lineage(node_table(edges).withColumn("label", F.col("node")))
+    state = IterationState(1)
     for _ in range(rounds):
         counts = adj.join(lab.select(F.col("node").alias("u"), F.col("label")), "u") \
             .groupBy(F.col("v").alias("node"), "label").agg(F.count(F.lit(1)).alias("_c"))
         best = counts.groupBy("node").agg(
             F.min_by("label", F.struct((-F.col("_c")).alias("nc"), F.col("label"))).alias("_best"))
-        lab = cut_lineage(lab.join(best, "node", "left").select(
+        lab = state.keep(lab.join(best, "node", "left").select(
             "node", F.coalesce(F.col("_best"), F.col("label")).alias("label")))
     return lab
 

@@ -68,3 +68,34 @@ def exact_sum(c: Column | str) -> Column:
     decimals, so the decimal sum is exact and identical on every run."""
     col = F.col(c) if isinstance(c, str) else c
     return F.sum(col.cast("decimal(38,7)")).cast("double")
+
+
+class IterationState:
+    """State of an iterative driver loop: every ``interval`` rounds the frame is written with a
+    reliable checkpoint (cuts the lineage; short plans), the rounds between are persisted
+    (memory, spilling to disk) and recomputed from at most ``interval`` rounds if a block is
+    lost.  Measured locally, interval 1 is fastest (cached plans grow each round); a slow
+    checkpoint store on a cluster can trade that for a larger interval."""
+
+    def __init__(self, interval: int = 5):
+        self.interval = max(int(interval), 1)
+        self.round = 0
+        self._live: list[DataFrame] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        from pyspark import StorageLevel
+        self.round += 1
+        if self.round % self.interval == 0:
+            out = cut_lineage(df)
+        else:
+            out = df.persist(StorageLevel.MEMORY_AND_DISK)
+            out.count()
+        self._live.append(out)
+        while len(self._live) > 2:          # the current and the previous round stay cached
+            self._live.pop(0).unpersist()
+        return out
+
+    def release(self) -> None:
+        for d in self._live:
+            d.unpersist()
+        self._live = []
