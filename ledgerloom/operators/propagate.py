@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.ordering import with_global_rank
-from ..session import exact_sum
+from ..session import cut_lineage, exact_sum
 from .evaluate import sphere_scores
 
 
@@ -109,10 +109,13 @@ def score_accounts(edges: DataFrame, feats: DataFrame, cols: list[str], accounts
     """K5: standardised features -> ``hops`` rounds of neighbour-mean (R10) concatenated with
     the raw standardised features -> sphere score (K3).  Requested accounts absent from the
     graph score +inf (left join)."""
-    z = standardize(feats, cols)
+    # node-level tables are small next to the edges; each hop references its input twice, so
+    # they are materialised once (reliable checkpoint) instead of re-planned per reference
+    e = cut_lineage(edges.select("src", "dst"))
+    z = cut_lineage(standardize(feats, cols))
     h = z
     for i in range(hops):
-        h = neighbor_mean(edges, h, cols)
+        h = cut_lineage(neighbor_mean(e, h, cols))
     emb = z.join(h.select("node", *[F.col(c).alias(f"h_{c}") for c in cols]), "node")
     vec = emb.select("node", F.array(*cols, *[f"h_{c}" for c in cols]).alias("vec"))
     sc = sphere_scores(vec, "node", "vec", nu)
