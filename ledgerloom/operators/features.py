@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
+
 LOG2 = math.log(2.0)
 MONEY = "decimal(38,7)"   # amounts carry at most 7 decimals: exact, order-independent sums
 
@@ -76,7 +78,10 @@ def node_features(edges: DataFrame, first_seen: DataFrame | None = None,
         _entropy_from_counts(F.sum("c"), F.sum(F.col("c") * F.log2("c"))).alias("asset_entropy"))
 
     if ref_time is None:
-        # max edge time = max over the per-node maxima (small table; no second pass over edges)
+        # max edge time = max over the per-node maxima.  The node table is written once
+        # (reliable checkpoint; one row per node, far smaller than the edges) so the edges are
+        # scanned once - a pruned second branch would not reuse the first one's exchanges.
+        feats = cut_lineage(feats)
         ref = feats.agg(F.coalesce(F.max("_last"), F.lit(0.0)).alias("_ref"))
     else:
         ref = edges.sparkSession.range(1).select(F.lit(float(ref_time)).alias("_ref"))
