@@ -2,16 +2,13 @@
 frequency, first-seen override, per-split node index, encodings and augmentation."""
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import encoding as enc
 from ..operators import features as feat
 from ..operators import ingest as ig
 from ..operators.temporal import minmax_normalize
-from ..sources.adapters import acct_edges, epoch_seconds, raw_ops, with_views
+from ..sources.adapters import acct_edges, raw_ops, with_views
 from ..sources.tables import read_table
 from .registry import register
 
