@@ -18,6 +18,8 @@ def build_session(app: str = "ledgerloom", cpus: int | str = "*", shuffle_partit
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+         # delete reliable checkpoint files once their RDDs are garbage collected
+         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
          .config("spark.driver.memory", "8g"))
     for k, v in (extra or {}).items():
         b = b.config(k, v)
