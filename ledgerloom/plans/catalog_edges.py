@@ -11,8 +11,8 @@ from ..sources.tables import read_table
 from .registry import register
 
 _CODES = ", ".join(f"'{c}'" for c in STABLECOIN_CODES)
-SQL_EDGE_TYPE = (f"CASE WHEN asset = 'XLM' THEN 0 WHEN upper(split_part(asset, ':', 1)) IN ({_CODES}) "
-                 "THEN 1 ELSE 2 END")
+SQL_EDGE_TYPE = (f"CAST(CASE WHEN asset = 'XLM' THEN 0 WHEN upper(split_part(asset, ':', 1)) IN ({_CODES}) "
+                 "THEN 1 ELSE 2 END AS BIGINT)")
 
 _DEG_CTE = """deg AS (SELECT node, COUNT(*) AS deg FROM
    (SELECT src AS node FROM trade_edges UNION ALL SELECT dst FROM trade_edges) GROUP BY node)"""

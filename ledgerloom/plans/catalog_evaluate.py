@@ -227,7 +227,7 @@ def q_temporal_auc(spark, sf_dir):
 
 
 @register("top_k_metrics", operators="T2 (hits@k, precision@k, recall@k)",
-          sql=with_views("""SELECT k.k, CASE WHEN SUM(CASE WHEN r.rn <= k.k THEN r.y_true ELSE 0 END) > 0 THEN 1.0 ELSE 0.0 END
+          sql=with_views("""SELECT CAST(k.k AS BIGINT) AS k, CASE WHEN SUM(CASE WHEN r.rn <= k.k THEN r.y_true ELSE 0 END) > 0 THEN 1.0 ELSE 0.0 END
     / (SELECT COUNT(*) FROM scored) AS hits_at_k,
   SUM(CASE WHEN r.rn <= k.k THEN r.y_true ELSE 0 END) * 1.0 / k.k AS precision_at_k,
   SUM(CASE WHEN r.rn <= k.k THEN r.y_true ELSE 0 END) * 1.0 / (SELECT SUM(y_true) FROM scored) AS recall_at_k

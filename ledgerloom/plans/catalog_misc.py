@@ -337,7 +337,7 @@ def q_norm_filter(spark, sf_dir):
 
 
 @register("class_weights", operators="N11 (n / (classes * count))",
-          sql="""SELECT label, CAST(COUNT(*) AS BIGINT) AS count, (SELECT COUNT(*) FROM embeddings) * 1.0
+          sql="""SELECT CAST(label AS BIGINT) AS label, CAST(COUNT(*) AS BIGINT) AS count, (SELECT COUNT(*) FROM embeddings) * 1.0
   / ((SELECT COUNT(DISTINCT label) FROM embeddings) * COUNT(*)) AS weight FROM embeddings GROUP BY label""",
           doubles=["weight"])
 def q_class_weights(spark, sf_dir):
@@ -353,7 +353,8 @@ m2 AS (SELECT *, EXP(x - MAX(x) OVER (PARTITION BY vec_id, model)) AS ex FROM m)
 p AS (SELECT vec_id, label, model, class, ex / SUM(ex) OVER (PARTITION BY vec_id, model) AS prob FROM m2),
 a AS (SELECT vec_id, label, class, AVG(prob) AS pbar FROM p GROUP BY vec_id, label, class),
 b AS (SELECT vec_id, label, arg_min(class, (-pbar, class)) AS pred, MAX(pbar) AS confidence FROM a GROUP BY vec_id, label)
-SELECT vec_id AS id, pred, confidence, label, (SELECT AVG(CAST(pred = label AS DOUBLE)) FROM b) AS accuracy FROM b""",
+SELECT vec_id AS id, CAST(pred AS BIGINT) AS pred, confidence, CAST(label AS BIGINT) AS label,
+  (SELECT AVG(CAST(pred = label AS DOUBLE)) FROM b) AS accuracy FROM b""",
           doubles=["confidence", "accuracy"])
 def q_ensemble(spark, sf_dir):
     e = read_table(spark, sf_dir, "embeddings")

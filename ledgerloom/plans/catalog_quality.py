@@ -160,7 +160,7 @@ def q_consensus(spark, sf_dir):
 
 
 @register("validator_stats", operators="G14 (report counts, active validators)",
-          sql=with_views("""SELECT v.validator, v.reputation, v.is_active, CAST(COALESCE(c.n, 0) AS BIGINT) AS report_count
+          sql=with_views("""SELECT v.validator, CAST(v.reputation AS BIGINT) AS reputation, v.is_active, CAST(COALESCE(c.n, 0) AS BIGINT) AS report_count
 FROM validators v LEFT JOIN (SELECT validator, COUNT(*) AS n FROM adm WHERE decision = 'ok' GROUP BY validator) c
   ON v.validator = c.validator""", "reports", extra=[_ADMIT_SQL]))
 def q_validator_stats(spark, sf_dir):

@@ -145,7 +145,7 @@ def q_stream_windows(spark, sf_dir):
 
 
 @register("stream_consensus", operators="M6 G13 (stateful distinct validators per account, update mode)",
-          sql=with_views("""SELECT r.account_id, CAST(COUNT(DISTINCT r.validator) AS INTEGER) AS n_validators,
+          sql=with_views("""SELECT r.account_id, CAST(COUNT(DISTINCT r.validator) AS BIGINT) AS n_validators,
   COUNT(DISTINCT r.validator) >= 3 AS fraudulent
 FROM reports r JOIN validators v ON r.validator = v.validator
 WHERE v.is_active AND v.reputation >= 50 AND r.confidence >= 60 GROUP BY r.account_id""", "reports"))
