@@ -131,6 +131,11 @@ def q_betweenness_trade(spark, sf_dir):
     return gr.betweenness_centrality(trade_edges(spark, sf_dir))
 
 
+@register("betweenness_sampled", operators="R2 (sample_size: 64 hash-chosen sources, no rescale, as the reference; invariant-checked)")
+def q_betweenness_sampled(spark, sf_dir):
+    return gr.betweenness_centrality(trade_edges(spark, sf_dir), sample_size=64)
+
+
 @register("shortest_paths", operators="N6 (hop distances from given sources)",
           sql=with_views("SELECT s AS source, node, CAST(dist AS BIGINT) AS dist FROM blv", "trade_edges",
                          extra=["src3 AS (SELECT node FROM (SELECT src AS node FROM trade_edges UNION SELECT dst FROM trade_edges) n "
