@@ -43,8 +43,9 @@ def _ops_landing(spark, sf_dir):
 def q_stream_ingest(spark, sf_dir):
     landing = _ops_landing(spark, sf_dir)
     table, quarantine, ck = (fl.shared_dir(spark, n) for n in ("ops-table", "quarantine", "ck-ingest"))
-    q = sj.ingest_operations(spark, landing, table, quarantine, ck, max_files=1)
-    q.awaitTermination()
+    with sj.state_partitions(spark):
+        q = sj.ingest_operations(spark, landing, table, quarantine, ck, max_files=1)
+        q.awaitTermination()
     return spark.read.parquet(table).select("transaction_hash", "sender", "receiver", "asset", "amount",
                                             F.unix_timestamp("timestamp").alias("ts"))
 
@@ -54,8 +55,9 @@ def q_stream_ingest(spark, sf_dir):
 def q_stream_stats(spark, sf_dir):
     landing = _ops_landing(spark, sf_dir)
     table, quarantine, ck = (fl.shared_dir(spark, n) for n in ("ops-table", "quarantine", "ck-stats"))
-    q = sj.ingest_operations(spark, landing, table, quarantine, ck, max_files=1)
-    q.awaitTermination()
+    with sj.state_partitions(spark):
+        q = sj.ingest_operations(spark, landing, table, quarantine, ck, max_files=1)
+        q.awaitTermination()
     st = sj.stream_statistics(q)
     return spark.createDataFrame([(st["processed"],)], "processed long")
 
@@ -78,9 +80,10 @@ def q_stream_dedupe(spark, sf_dir):
     s = spark.readStream.schema(_TXN_SCHEMA).option("maxFilesPerTrigger", 1).json(landing)
     s = qa.with_hash(s, _FIELDS).withColumn("event_time", F.timestamp_seconds(F.col("timestamp").cast("long")))
     d = sj.dedupe_stream(s, "hash", "event_time", "1 day")
-    q = d.select("hash", "seq").writeStream.format("parquet").option("path", out) \
-        .option("checkpointLocation", ck).trigger(availableNow=True).start()
-    q.awaitTermination()
+    with sj.state_partitions(spark):
+        q = d.select("hash", "seq").writeStream.format("parquet").option("path", out) \
+            .option("checkpointLocation", ck).trigger(availableNow=True).start()
+        q.awaitTermination()
     return spark.read.parquet(out).select("hash")
 
 
@@ -101,9 +104,10 @@ def q_stream_rates(spark, sf_dir):
     c = (s.withWatermark("event_time", "1 day").groupBy(F.window("event_time", "600 seconds").alias("window"))
          .agg(F.count(F.lit(1)).alias("records"), F.sum((~F.col("is_valid")).cast("long")).alias("errors"))
          .select(F.unix_timestamp(F.col("window.start")).alias("window_start"), "records", "errors"))
-    q = c.writeStream.outputMode("update").foreachBatch(sj.upsert_sink(out, ["window_start"])) \
-        .option("checkpointLocation", ck).trigger(availableNow=True).start()
-    q.awaitTermination()
+    with sj.state_partitions(spark):
+        q = c.writeStream.outputMode("update").foreachBatch(sj.upsert_sink(out, ["window_start"])) \
+            .option("checkpointLocation", ck).trigger(availableNow=True).start()
+        q.awaitTermination()
     return sj.rate_alerts(spark.read.parquet(out).drop("_batch"), 600)
 
 
@@ -138,9 +142,10 @@ def q_stream_windows(spark, sf_dir):
               F.sum(F.coalesce("amount", F.lit(0.0)).cast("decimal(38,7)")).cast("double").alias("volume"))
          .select(F.unix_timestamp("window.start").alias("window_start"),
                  F.unix_timestamp("window.end").alias("window_end"), "edge_count", "volume"))
-    q = c.writeStream.outputMode("update").foreachBatch(sj.upsert_sink(out, ["window_start"])) \
-        .option("checkpointLocation", ck).trigger(availableNow=True).start()
-    q.awaitTermination()
+    with sj.state_partitions(spark):
+        q = c.writeStream.outputMode("update").foreachBatch(sj.upsert_sink(out, ["window_start"])) \
+            .option("checkpointLocation", ck).trigger(availableNow=True).start()
+        q.awaitTermination()
     return spark.read.parquet(out).drop("_batch")
 
 
@@ -157,9 +162,10 @@ def q_stream_consensus(spark, sf_dir):
     s = spark.readStream.schema("account_id long, validator string, confidence int, seq long, ts long") \
         .option("maxFilesPerTrigger", 1).json(folder)
     c = sj.consensus_stream(s, validators(spark))
-    q = c.writeStream.outputMode("update").foreachBatch(sj.upsert_sink(out, ["account_id"])) \
-        .option("checkpointLocation", ck).trigger(availableNow=True).start()
-    q.awaitTermination()
+    with sj.state_partitions(spark):
+        q = c.writeStream.outputMode("update").foreachBatch(sj.upsert_sink(out, ["account_id"])) \
+            .option("checkpointLocation", ck).trigger(availableNow=True).start()
+        q.awaitTermination()
     return spark.read.parquet(out).drop("_batch").withColumn("n_validators", F.col("n_validators").cast("long"))
 
 

@@ -25,10 +25,23 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 
+_TARGET_BYTES = 128 * 1024 * 1024
+
+
 def _num_partitions(df: DataFrame, num_partitions: int | None) -> int:
+    """Explicit count, else about one range partition per 128 MB of the optimizer's size
+    estimate, at least the default parallelism and at most ``spark.sql.shuffle.partitions``
+    (an explicit count is never coalesced by AQE, so it is sized here)."""
     if num_partitions:
         return int(num_partitions)
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    spark = df.sparkSession
+    upper = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    lower = max(min(spark.sparkContext.defaultParallelism, upper), 1)
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - no estimate: use the session setting
+        return upper
+    return int(min(upper, max(lower, -(-size // _TARGET_BYTES))))
 
 
 def with_global_rank(df: DataFrame, order_cols: list[str | Column], rank_col: str = "_rank",

@@ -18,6 +18,27 @@ from pyspark.sql import functions as F
 from ..operators import ingest as ig
 
 
+class state_partitions:
+    """Context manager: start stateful streaming queries with ``n`` state partitions.
+
+    A stateful query fixes its number of state-store partitions from
+    ``spark.sql.shuffle.partitions`` at its first start (the checkpoint keeps it).  Sizing it to
+    the cluster's parallelism instead of an arbitrary session default avoids hundreds of tiny
+    state tasks per micro-batch; the session setting is restored afterwards."""
+
+    def __init__(self, spark: SparkSession, n: int | None = None):
+        self.spark, self.n = spark, n or spark.sparkContext.defaultParallelism
+
+    def __enter__(self):
+        self.old = self.spark.conf.get("spark.sql.shuffle.partitions")
+        self.spark.conf.set("spark.sql.shuffle.partitions", str(self.n))
+        return self
+
+    def __exit__(self, *exc):
+        self.spark.conf.set("spark.sql.shuffle.partitions", self.old)
+        return False
+
+
 def landing_stream(spark: SparkSession, landing: str, max_files: int | None = None) -> DataFrame:
     """Text lines of the landing directory as a stream (``value`` column)."""
     r = spark.readStream.format("text")
