@@ -162,7 +162,12 @@ def _sources(nodes: DataFrame, sample_size: int | None, seed: int = 42) -> DataF
 def closeness_centrality(edges: DataFrame, disconnected: bool = False,
                          sample_size: int | None = None) -> DataFrame:
     """(N-1)/sum(d) when the node reaches all N nodes, else 0; with ``disconnected``
-    (reachable-1)/sum(d).  Undirected, unweighted; nodes reaching only themselves -> 0."""
+    (reachable-1)/sum(d).  Undirected, unweighted; nodes reaching only themselves -> 0.
+
+    All sources: bit-parallel multi-source BFS (:func:`closeness_bitset`); sampled sources:
+    the (source, node) level BFS."""
+    if sample_size is None:
+        return closeness_bitset(edges, disconnected)
     adj = cut_lineage(undirected_adjacency(edges))
     nodes = cut_lineage(node_table(edges))
     n_all = nodes.count()
@@ -366,3 +371,62 @@ def importance_metrics(edges: DataFrame, sample_size: int | None = None) -> Data
     for p in parts:
         out = out.join(p, "node", "left")
     return out.fillna(0.0)
+
+
+def closeness_bitset(edges: DataFrame, disconnected: bool = False, max_iter: int = 10_000) -> DataFrame:
+    """R3 by bit-parallel multi-source BFS (one word of 64 sources per row).
+
+    Sources get indices 0..S-1 (range-partitioned rank).  State rows are (node, word, bits):
+    ``visited`` has the bit of every source that reached the node, ``frontier`` the bits first
+    reached at the current level.  One level = frontier x adjacency -> ``bit_or`` per (node,
+    word) -> drop already-visited bits.  A level moves edges x S/64 words instead of
+    (source, node) pairs x degree.  Distance sums per source come from the newly set bits of
+    each level (each (source, node) pair is counted once, when first reached)."""
+    from ..plans.ordering import with_global_rank
+    adj = cut_lineage(undirected_adjacency(edges))
+    nodes = cut_lineage(node_table(edges))
+    idx = cut_lineage(with_global_rank(nodes, ["node"], "sid"))
+    n_all = nodes.count()
+    word = F.floor(F.col("sid") / 64).cast("long")
+    bit = F.expr("shiftleft(cast(1 as bigint), cast(pmod(sid, 64) as int))")
+    frontier = cut_lineage(idx.select("node", word.alias("w"), bit.alias("bits"))
+                           .groupBy("node", "w").agg(F.bit_or("bits").alias("bits")))
+    visited = frontier
+    # per level: (level, w, bits) rows of newly reached bits, summarised to per-source counts
+    per_level = []
+    d = 0
+    while d < max_iter:
+        cand = (frontier.join(adj.withColumnRenamed("u", "node"), "node")
+                .groupBy(F.col("v").alias("node"), "w").agg(F.bit_or("bits").alias("bits")))
+        new = (cand.join(visited.withColumnRenamed("bits", "_vb"), ["node", "w"], "left")
+               .select("node", "w", (F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce(F.col("_vb"), F.lit(0).cast("long")))))
+                       .alias("bits"))
+               .where(F.col("bits") != 0))
+        new = cut_lineage(new)
+        if new.isEmpty():
+            break
+        d += 1
+        per_level.append(new.withColumn("dist", F.lit(d)))
+        visited = cut_lineage(visited.unionByName(new).groupBy("node", "w").agg(F.bit_or("bits").alias("bits")))
+        frontier = new
+    # reached counts and distance sums per source: explode the set bits of each level's rows
+    src_cnt = None
+    for lv in per_level:
+        x = lv.select("w", "dist", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("b"), "bits") \
+            .where(F.expr("(shiftright(bits, b) & 1) = 1")) \
+            .groupBy((F.col("w") * 64 + F.col("b")).alias("sid")) \
+            .agg(F.count(F.lit(1)).alias("_r"), F.sum("dist").alias("_t"))
+        src_cnt = x if src_cnt is None else src_cnt.unionByName(x)
+    g = idx.select("node", "sid")
+    if src_cnt is not None:
+        agg = src_cnt.groupBy("sid").agg(F.sum("_r").alias("_r"), F.sum("_t").alias("_t"))
+        g = g.join(agg, "sid", "left")
+    else:
+        g = g.withColumn("_r", F.lit(0)).withColumn("_t", F.lit(0))
+    r = F.coalesce(F.col("_r"), F.lit(0)) + 1          # the source itself
+    t = F.coalesce(F.col("_t"), F.lit(0)).cast("double")
+    if disconnected:
+        c = F.when((r > 1) & (t > 0), (r - 1) / t).otherwise(0.0)
+    else:
+        c = F.when((r > 1) & (r == n_all) & (t > 0), F.lit(n_all - 1) / t).otherwise(0.0)
+    return g.select("node", c.alias("closeness"))
