@@ -93,7 +93,11 @@ def read_ledger_json(spark: SparkSession, path: str, schema=None) -> DataFrame:
             stream.close()
     reader = spark.read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
     if schema is not None:
-        reader = reader.schema(schema)
+        from pyspark.sql import types as T
+        fields = list(schema.fields)
+        if "_corrupt_record" not in schema.fieldNames():   # a copy: never mutate the caller's schema
+            fields.append(T.StructField("_corrupt_record", T.StringType()))
+        reader = reader.schema(T.StructType(fields))
     return reader.option("multiLine", first == "[").json(path)
 
 
