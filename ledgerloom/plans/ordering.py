@@ -124,12 +124,9 @@ def exact_percentiles(df: DataFrame, value_col: str, qs: dict[str, float],
     else:
         res = agg.select("_q", (F.col("_vlo") + (F.col("_pos") - F.col("_lo"))
                                 * (F.col("_vhi") - F.col("_vlo"))).alias("_val"))
-    # pivot the few quantile rows into one row (missing when the input is empty -> null)
-    base = df.sparkSession.range(1)
-    for name in qs:
-        base = base.join(F.broadcast(res.where(F.col("_q") == name).select(F.col("_val").alias(name))),
-                         how="left")
-    return base.drop("id")
+    # pivot the few quantile rows into one row with one conditional aggregate (a global
+    # aggregate yields one row even for empty input: nulls then)
+    return res.agg(*[F.max(F.when(F.col("_q") == name, F.col("_val"))).alias(name) for name in qs])
 
 
 def windowed(df: DataFrame, partition_cols: list[str], order_cols: list[str | Column],
