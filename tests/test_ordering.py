@@ -52,3 +52,9 @@ def test_partition_count_invariance(spark, parts):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     base = sorted(ent.queries()["node_features"](spark, SF01).collect())
     assert rows == base
+
+
+def test_exact_percentiles_empty_input_gives_null_row(spark):
+    df = spark.createDataFrame([], "x double")
+    rows = exact_percentiles(df, "x", {"m": 0.5, "p9": 0.9}).collect()
+    assert len(rows) == 1 and rows[0].m is None and rows[0].p9 is None
