@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import packing
+from . import chat, packing, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,8 +23,26 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op4_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.perspectives(read_table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op4_chat_perspectives"] = chat.PERSPECTIVES_SQL
+
+
 @query
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path())
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
                       "sequence_id", "offset")
+
+
+URL_RULES = [url_rules.UrlRule("block", "net", "/"), url_rules.UrlRule("allow", "example.net", "/en/"),
+             url_rules.UrlRule("block", "example.com", "/de/"), url_rules.UrlRule("allow", "org", "/fr/")]
+
+
+@query
+def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge_urls(read_table(spark, sf_dir, "pages"), URL_RULES).select(
+        "page_id", "host", "path", "rule", "verdict")
