@@ -3,7 +3,7 @@
 For every participant of a conversation the whole dialogue is rendered with that speaker as the
 assistant and all others as named users; the loss mask covers what the assistant says.  The
 result has one row per (conversation, perspective, turn): the rendered segment, its character
-range in the rendered dialogue, and the range to be learned, so a conversation of any length is
+range in the rendered dialogue, and the range to be learned (empty for others' turns), so a conversation of any length is
 never gathered in one task.  ``dialogues`` joins the segments where conversations are short.
 
 Start positions are running sums inside (conversation, perspective), computed over range
@@ -42,7 +42,8 @@ def perspectives(turns: DataFrame, context_roles: tuple[str, ...] = CONTEXT_ROLE
     start = F.col("cum__len") - F.col("_len")
     return done.select(
         "conv_id", "speaker", "turn", "role", "segment", start.alias("seg_start"), F.col("cum__len").alias("seg_end"),
-        F.when(own, start + F.length("_head")).alias("mask_start"), F.when(own, F.col("cum__len")).alias("mask_end"))
+        F.when(own, start + F.length("_head")).otherwise(F.col("cum__len")).alias("mask_start"),
+        F.col("cum__len").alias("mask_end"))
 
 
 def dialogues(segments: DataFrame) -> DataFrame:
@@ -52,7 +53,7 @@ def dialogues(segments: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("seg_start", "segment", "mask_start", "mask_end"))).alias("s"))
     return g.select(
         "conv_id", "speaker", F.array_join(F.col("s.segment"), "").alias("text"),
-        F.transform(F.filter("s", lambda x: x["mask_start"].isNotNull()),
+        F.transform(F.filter("s", lambda x: x["mask_start"] < x["mask_end"]),
                     lambda x: F.struct(x["mask_start"], x["mask_end"])).alias("learned"))
 
 
@@ -70,7 +71,7 @@ g AS (SELECT *, head || text || '<|end|>' || chr(10) AS segment FROM s),
 r AS (SELECT *, sum(length(segment)) OVER (PARTITION BY conv_id, speaker ORDER BY turn NULLS FIRST, role, text
         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS seg_end FROM g)
 SELECT conv_id, speaker, turn, role, segment, seg_end - length(segment) AS seg_start, seg_end,
-       CASE WHEN role = speaker THEN seg_end - length(segment) + length(head) END AS mask_start,
-       CASE WHEN role = speaker THEN seg_end END AS mask_end
+       CASE WHEN role = speaker THEN seg_end - length(segment) + length(head) ELSE seg_end END AS mask_start,
+       seg_end AS mask_end
 FROM r
 """
