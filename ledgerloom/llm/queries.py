@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 from ..sources.tables import read_table
-from . import chat, packing, url_rules, warc
+from . import ann_forest, chat, packing, url_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,3 +70,8 @@ URL_RULES = [url_rules.UrlRule("block", "net", "/"), url_rules.UrlRule("allow",
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(read_table(spark, sf_dir, "pages"), URL_RULES).select(
         "page_id", "host", "path", "rule", "verdict")
+
+
+@query
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_forest.nearest(read_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
