@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 from ..sources.tables import read_table
-from . import ann_forest, chat, packing, url_rules, warc
+from . import ann_forest, chat, packing, toxicity, url_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -75,3 +75,8 @@ def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_forest.nearest(read_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
