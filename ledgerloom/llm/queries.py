@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 from ..sources.tables import read_table
-from . import ann_forest, chat, decontam, packing, phrases, toxicity, url_rules, warc
+from . import ann_forest, chat, decontam, ngram_join, packing, phrases, toxicity, url_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -79,6 +79,11 @@ URL_RULES = [url_rules.UrlRule("block", "net", "/"), url_rules.UrlRule("allow",
              url_rules.UrlRule("block", "example.com", "/de/"), url_rules.UrlRule("allow", "org", "/fr/")]
 
 
+@query
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_documents(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(read_table(spark, sf_dir, "pages"), URL_RULES).select(
