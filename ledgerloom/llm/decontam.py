@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -143,43 +144,64 @@ def index_parts(benchmark: DataFrame, index_words: int) -> list[DataFrame]:
     return [b.where(part == i) for i in range(parts)]
 
 
+def _pieces(texts: list[bytes], most: int = 4 << 20):
+    """Slices of the texts with a few MB each."""
+    lo = 0
+    while lo < len(texts):
+        hi, size = lo, 0
+        while hi < len(texts) and (hi == lo or size + len(texts[hi]) < most):
+            size += len(texts[hi])
+            hi += 1
+        yield lo, hi
+        lo = hi
+
+
+def _indexes(benchmark: DataFrame, min_words: int, index_words: int):
+    """A broadcast index for each part of the benchmark."""
+    for part in index_parts(benchmark, index_words):
+        items = part.distinct().orderBy("item_id", "text").collect()
+        index = SeedIndex([r["item_id"] for r in items], as_bytes([r["text"] for r in items]), min_words)
+        yield benchmark.sparkSession.sparkContext.broadcast(index)
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, min_score: int = 12, min_words: int = 8,
              index_words: int = 1_000_000) -> DataFrame:
     """One row per (document row, item) with a verified overlap: its place in words and bytes."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
     out = None
-    for part in index_parts(benchmark, index_words):
-        items = part.distinct().orderBy("item_id", "text").collect()
-        index = SeedIndex([r["item_id"] for r in items], as_bytes([r["text"] for r in items]), min_words)
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-
+    for shared in _indexes(benchmark, min_words, index_words):
         def find(batches, shared=shared):
             ix = shared.value
             for pdf in batches:
                 texts, keys = as_bytes(pdf["text"]), pdf["doc_id"].tolist()
-                lo = 0
-                while lo < len(texts):      # a few MB of text at a time
-                    hi, size = lo, 0
-                    while hi < len(texts) and (hi == lo or size + len(texts[hi]) < 4 << 20):
-                        size += len(texts[hi])
-                        hi += 1
+                for lo, hi in _pieces(texts):
                     w = plain_words(texts[lo:hi])
                     base = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts[lo:hi]])])
                     rows = [(keys[lo + t], int(ix.item_ids[i]), seeds, at - int(w.first[t]), n, same,
                              int(w.start[at] - base[t]), int(w.end[at + n - 1] - base[t]))
                             for t, i, seeds, at, n, same, _ in ix.overlaps(w, min_score)]
                     if rows:
-                        got = pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
-                        got["doc_id"] = got["doc_id"].astype("Int64")
-                        yield got
-                    lo = hi
+                        yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
 
         found = source.mapInPandas(find, SCHEMA)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
-    """The documents without any overlap (all columns; a null doc_id is kept)."""
-    bad = overlaps(docs, benchmark, **params).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, min_score: int = 12, min_words: int = 8,
+          index_words: int = 1_000_000) -> DataFrame:
+    """The rows of docs, with all their columns, that overlap no item."""
+    at = docs.columns.index("text")
+    for shared in _indexes(benchmark, min_words, index_words):
+        def keep(batches, shared=shared):
+            for batch in batches:
+                texts = as_bytes(batch.column(at).to_pylist())
+                good = np.ones(len(texts), bool)
+                for lo, hi in _pieces(texts):
+                    for found in shared.value.overlaps(plain_words(texts[lo:hi]), min_score):
+                        good[lo + found[0]] = False
+                yield batch.filter(pa.array(good))
+
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs

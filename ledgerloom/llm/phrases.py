@@ -126,10 +126,12 @@ def _remove(window: int):
     return run
 
 
-def blocks_of(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
-    """(doc_id, text, block), dealt by block, and the number of blocks."""
+def blocks_of(docs: DataFrame, block_bytes: int, carry: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+    """(doc_id, text, block), dealt by block, and the number of blocks; columns to ``carry`` are
+    kept in one struct ``rest``."""
     n = block_count(docs, "text", block_bytes)
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rest = [F.struct(*carry).alias("rest")] if carry else []
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *rest)
     d = d.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)))
     return d.repartition(n, "block"), n
 

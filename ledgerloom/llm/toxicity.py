@@ -27,6 +27,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -205,23 +206,45 @@ def hash_of(entry: str) -> int:
     return zlib.crc32(entry.encode())
 
 
+def scorer(model: dict):
+    """A function from texts to scores."""
+    m = Matcher(model["entries"])
+    w, e, b = np.array(model["weights"] or [0.0]), np.array(model["extras"]), model["bias"]
+
+    def run(texts) -> np.ndarray:
+        z = np.empty(len(texts))
+        for i, t in enumerate(texts):
+            found, patterns, _ = m.hits(t or "")
+            z[i] = b + w[found].sum() + e @ np.array(extras(len(found), patterns))
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    return run
+
+
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """docs(doc_id, text) -> doc_id, score; whole texts in Arrow batches."""
 
     def run(batches):
-        m = Matcher(model["entries"])
-        w, e, b = np.array(model["weights"] or [0.0]), np.array(model["extras"]), model["bias"]
+        of = scorer(model)
         for pdf in batches:
-            z = np.empty(len(pdf))
-            for i, t in enumerate(pdf["text"]):
-                found, patterns, _ = m.hits(t)
-                z[i] = b + w[found].sum() + e @ np.array(extras(len(found), patterns))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": 1 / (1 + np.exp(-np.clip(z, -30, 30)))})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": of(pdf["text"])})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")) \
         .mapInPandas(run, "doc_id long, score double")
 
 
+def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **params) -> DataFrame:
+    """The rows of docs, with all their columns, that score below the threshold."""
+    model = fit(docs, labels, **params)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        of = scorer(model)
+        for batch in batches:
+            yield batch.filter(pa.array(of(batch.column(at).to_pylist()) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def judge(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
     s = score(docs, fit(docs, labels, **params))
