@@ -51,7 +51,7 @@ def calibration_errors(df: DataFrame, y_col: str = "y_true", prob_col: str = "y_
         F.avg((p - y) ** 2).alias("brier"),
         (-F.avg(y * F.log(pc) + (1 - y) * F.log(1 - pc))).alias("log_loss"),
         F.avg(F.greatest(p, 1 - p)).alias("_conf"),
-        F.avg(((p >= 0.5).cast("double") == y).cast("double")).alias("_acc"),
+        F.avg(((p > 0.5).cast("double") == y).cast("double")).alias("_acc"),
         F.var_pop(p).alias("sharpness"), F.count(F.lit(1)).alias("_n"))
     curve = calibration_curve(df, y_col, prob_col, n_bins)
     gaps = curve.select((F.col("n") * F.abs(F.col("fraction_positive") - F.col("mean_predicted"))).alias("_w"),
@@ -64,6 +64,22 @@ def calibration_errors(df: DataFrame, y_col: str = "y_true", prob_col: str = "y_
                     "sharpness"))
 
 
+def calibration_report(df: DataFrame, y_col: str = "y_true", prob_col: str = "y_prob",
+                       n_bins: int = 10) -> DataFrame:
+    """E5: the errors, ratings of Brier score and ECE, and advice codes (comma separated) by the
+    report's fixed thresholds."""
+    # Rating limits (excellent, good, fair) and advice thresholds of the report.
+    rate = lambda c, a, b, f: (F.when(F.col(c) < a, "excellent").when(F.col(c) < b, "good")
+                               .when(F.col(c) < f, "fair").otherwise("poor"))
+    advice = [(F.col("brier") > 0.25, "improve_discrimination"), (F.col("ece") > 0.05, "apply_calibration"),
+              (F.col("overconfidence") > 0.1, "overconfident"), (F.col("underconfidence") > 0.1, "underconfident"),
+              (F.col("sharpness") < 0.05, "low_sharpness")]
+    return calibration_errors(df, y_col, prob_col, n_bins).select(
+        "ece", "mce", "brier", "log_loss", "overconfidence", "underconfidence", "sharpness",
+        rate("brier", 0.1, 0.2, 0.35).alias("brier_rating"), rate("ece", 0.01, 0.05, 0.1).alias("ece_rating"),
+        F.concat_ws(",", *[F.when(c, F.lit(a)) for c, a in advice]).alias("advice"))
+
+
 def adaptive_calibration_error(df: DataFrame, y_col: str = "y_true", prob_col: str = "y_prob",
                                n_bins: int = 10) -> DataFrame:
     """ACE over quantile bins [q_i, q_{i+1}) (q linear); the maximum row falls in no bin;
@@ -177,14 +193,17 @@ def classification_metrics(df: DataFrame, y_col: str = "y_true", pred_col: str =
 
 
 def regression_metrics(df: DataFrame, y_col: str, pred_col: str) -> DataFrame:
-    """MSE, RMSE, MAE, R2 (0 when y is constant), MAPE over rows with y != 0."""
+    """MSE, RMSE, MAE, R2 (0 when y is constant), MAPE in percent.  A row with y = 0 makes
+    MAPE infinite (NaN if the prediction is 0 too); it is infinite when all y are 0."""
     y, p = F.col(y_col).cast("double"), F.col(pred_col).cast("double")
     g = df.agg(F.avg((y - p) ** 2).alias("mse"), F.avg(F.abs(y - p)).alias("mae"),
                F.sum((y - p) ** 2).alias("_ssr"), F.var_pop(y).alias("_vy"), F.count(F.lit(1)).alias("_n"),
-               F.avg(F.when(y != 0, F.abs((y - p) / y))).alias("mape"))
+               F.max((y != 0).cast("int")).alias("_some"),
+               F.avg(F.when(y != 0, F.abs((y - p) / F.when(y != 0, y)))
+                     .when(p == 0, F.lit(float("nan"))).otherwise(F.lit(float("inf")))).alias("_mape"))
     return g.select("mse", F.sqrt("mse").alias("rmse"), "mae",
                     F.when(F.col("_vy") > 0, 1 - F.col("_ssr") / (F.col("_vy") * F.col("_n"))).otherwise(0.0).alias("r2"),
-                    F.coalesce("mape", F.lit(0.0)).alias("mape"))
+                    F.when(F.col("_some") == 1, F.col("_mape") * 100).otherwise(F.lit(float("inf"))).alias("mape"))
 
 
 def auc_roc(df: DataFrame, y_col: str = "y_true", score_col: str = "y_prob", id_col: str = "id",

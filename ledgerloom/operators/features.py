@@ -156,8 +156,12 @@ def daily_frequency(tx: DataFrame, account_col: str = "account",
 
     Closed form: with s = sum of daily counts, q = sum of squares, n = days from the first to
     the last active day inclusive: mean = s/n, var = (n q - s^2)/(n (n - 1)) (0 for n = 1).
-    Burstiness (sd - mean)/(sd + mean), 0 when both are 0.  Null account/timestamp raise.
+    Burstiness (sd - mean)/(sd + mean), 0 when both are 0.  A null account or timestamp raises
+    when the query runs.
     """
+    given = lambda c: F.when(F.col(c).isNull(), F.raise_error(F.lit(f"Column '{c}' contains null values"))
+                             .cast(tx.schema[c].dataType)).otherwise(F.col(c))
+    tx = tx.select(given(account_col).alias(account_col), given(ts_col).alias(ts_col))
     t = F.col(ts_col)
     if isinstance(tx.schema[ts_col].dataType, (T.NumericType,)):
         # numeric epochs: one max-abs aggregate picks the unit for the whole column
@@ -186,8 +190,14 @@ def daily_frequency(tx: DataFrame, account_col: str = "account",
 
 def account_frequency(tx: DataFrame, account, account_col: str = "account",
                       ts_col: str = "timestamp") -> DataFrame:
-    """G1 for one account (pushed-down filter).  An empty result means 'unknown account'."""
-    return daily_frequency(tx.where(F.col(account_col) == F.lit(account)), account_col, ts_col)
+    """G1 for one account (pushed-down filter); an unknown account raises when the query runs."""
+    one = daily_frequency(tx.where(F.col(account_col) == F.lit(account)), account_col, ts_col)
+    names = one.columns
+    kind = tx.schema[account_col].dataType
+    found = one.agg(F.first(F.struct(*names)).alias("r"))      # one row, null if there is none
+    known = F.when(F.col("r").isNull(), F.raise_error(F.lit(f"Account {account!r} not found")).cast(kind)) \
+        .otherwise(F.col(f"r.{account_col}"))
+    return found.select(known.alias(account_col), *[F.col(f"r.{c}") for c in names[1:]])
 
 
 def decayed_aggregates(edges: DataFrame, now: Column | float, lam: float,

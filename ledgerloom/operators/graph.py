@@ -160,26 +160,14 @@ def _sources(nodes: DataFrame, sample_size: int | None, seed: int = 42) -> DataF
 
 
 def closeness_centrality(edges: DataFrame, disconnected: bool = False,
-                         sample_size: int | None = None, bitset_above: int = 256) -> DataFrame:
+                         sample_size: int | None = None) -> DataFrame:
     """(N-1)/sum(d) when the node reaches all N nodes, else 0; with ``disconnected``
     (reachable-1)/sum(d).  Undirected, unweighted; nodes reaching only themselves -> 0.
 
-    All sources on more than ``bitset_above`` nodes: bit-parallel multi-source BFS
-    (:func:`closeness_bitset`); small graphs and sampled sources: the (source, node) level BFS
-    (fewer jobs per level, which is what dominates on a few hundred nodes)."""
-    adj = cut_lineage(undirected_adjacency(edges))
+    Bit-parallel breadth-first search from all nodes, or from ``sample_size`` hash-chosen ones
+    (then only those get a value)."""
     nodes = cut_lineage(node_table(edges))
-    n_all = nodes.count()
-    if sample_size is None and n_all > bitset_above:
-        return closeness_bitset(edges, disconnected)
-    lv = bfs_levels(adj, _sources(nodes, sample_size), symmetric=True)
-    g = lv.groupBy(F.col("source").alias("node")).agg(F.count(F.lit(1)).alias("_r"), F.sum("dist").alias("_t"))
-    r, t = F.col("_r"), F.col("_t")
-    if disconnected:
-        c = F.when((r > 1) & (t > 0), (r - 1) / t).otherwise(0.0)
-    else:
-        c = F.when((r > 1) & (r == n_all) & (t > 0), F.lit(n_all - 1) / t).otherwise(0.0)
-    return g.select("node", c.alias("closeness"))
+    return closeness_bitset(edges, disconnected, nodes, _sources(nodes, sample_size))
 
 
 def betweenness_centrality(edges: DataFrame, normalized: bool = True,
@@ -270,36 +258,60 @@ def four_cliques(edges: DataFrame) -> DataFrame:
 
 
 def clustering_coefficient(edges: DataFrame) -> DataFrame:
-    """2 t(v) / (k (k - 1)) on the undirected distinct graph, k < 2 -> 0 (self-loops
-    dropped)."""
+    """2 e(v) / (k (k - 1)) on the undirected distinct graph, k < 2 -> 0.
+
+    A node with a self-loop is its own neighbour: it counts in k, and forms a pair with each of
+    its other neighbours, so e(v) = triangles(v) + others(v) if v has a loop."""
     t = triangles(edges)
     per = t.select(F.explode(F.array("a", "b", "c")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("_t"))
-    deg = undirected_adjacency(edges).groupBy(F.col("u").alias("node")).agg(F.count(F.lit(1)).alias("_k"))
-    nodes = node_table(edges)
-    x = nodes.join(deg, "node", "left").join(per, "node", "left").fillna({"_k": 0, "_t": 0})
-    return x.select("node", F.when(F.col("_k") < 2, F.lit(0.0))
-                    .otherwise(2.0 * F.col("_t") / (F.col("_k") * (F.col("_k") - 1))).alias("clustering"))
+    deg = undirected_adjacency(edges).groupBy(F.col("u").alias("node")).agg(F.count(F.lit(1)).alias("_o"))
+    loops = edges.where(F.col("src") == F.col("dst")).select(F.col("src").alias("node"), F.lit(1).alias("_l")).distinct()
+    x = node_table(edges)
+    for part in (deg, per, loops):
+        x = x.join(part, "node", "left")
+    x = x.fillna({"_o": 0, "_t": 0, "_l": 0}).withColumn("_k", F.col("_o") + F.col("_l"))
+    return x.select("node", F.when(F.col("_k") < 2, F.lit(0.0)).otherwise(
+        2.0 * (F.col("_t") + F.col("_l") * F.col("_o")) / (F.col("_k") * (F.col("_k") - 1))).alias("clustering"))
 
 
 # ----------------------------------------------------------------------------- components
 
-def weak_components(edges: DataFrame, max_iter: int = 1000) -> DataFrame:
-    """Weakly connected components by min-label propagation (label = smallest node id of
-    the component).  One join + min aggregate per round; stops when no label changes."""
-    adj = cut_lineage(undirected_adjacency(edges))
-    lab = cut_lineage(node_table(edges).withColumn("component", F.col("node")))
-    state = IterationState(1)
-    for _ in range(max_iter):
-        nb = adj.join(lab.select(F.col("node").alias("u"), F.col("component").alias("_l")), "u") \
-            .groupBy(F.col("v").alias("node")).agg(F.min("_l").alias("_m"))
-        new = state.keep(lab.join(nb, "node", "left").select(
-            "node", F.least(F.col("component"), F.coalesce(F.col("_m"), F.col("component"))).alias("component")))
-        changed = new.join(lab.withColumnRenamed("component", "_o"), "node").where(
-            F.col("component") != F.col("_o")).limit(1).count()
-        lab = new
-        if changed == 0:
+def _large_star(e: DataFrame) -> DataFrame:
+    both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("m", "a").alias("m"))
+    return both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+
+
+def _small_star(e: DataFrame) -> DataFrame:
+    low = e.groupBy("a").agg(F.min("b").alias("m"))
+    down = e.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return down.unionByName(low.select("a", F.col("m").alias("b"))).distinct()
+
+
+def star_components(pairs: DataFrame) -> DataFrame:
+    """pairs(a, b) -> (node, root) with the smallest node of each component as root.
+
+    Large-star and small-star steps in turn: the neighbours of a node are tied to the smallest of
+    them.  The rounds grow with the logarithm of the number of nodes, not with the diameter;
+    each is a grouped minimum and a join, written with a reliable checkpoint.  Runs until the
+    edge set (its count and a hash of its rows) no longer changes."""
+    e = pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    e, seen = cut_lineage(e), None
+    while True:
+        mark = e.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
+        if mark["n"] == 0 or mark == seen:
             break
-    return lab
+        seen = mark
+        e = cut_lineage(_small_star(_large_star(e)))
+    roots = e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return roots.unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def weak_components(edges: DataFrame) -> DataFrame:
+    """Weakly connected components, labelled by their smallest node id."""
+    e = edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull())
+    roots = star_components(e.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    return node_table(edges).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("component"))
 
 
 def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
@@ -374,7 +386,7 @@ def importance_metrics(edges: DataFrame, sample_size: int | None = None) -> Data
     return out.fillna(0.0)
 
 
-def closeness_bitset(edges: DataFrame, disconnected: bool = False, max_iter: int = 10_000) -> DataFrame:
+def closeness_bitset(edges: DataFrame, disconnected: bool, nodes: DataFrame, sources: DataFrame) -> DataFrame:
     """R3 by bit-parallel multi-source BFS (one word of 64 sources per row).
 
     Sources get indices 0..S-1 (range-partitioned rank).  State rows are (node, word, bits):
@@ -385,8 +397,7 @@ def closeness_bitset(edges: DataFrame, disconnected: bool = False, max_iter: int
     each level (each (source, node) pair is counted once, when first reached)."""
     from ..plans.ordering import with_global_rank
     adj = cut_lineage(undirected_adjacency(edges))
-    nodes = cut_lineage(node_table(edges))
-    idx = cut_lineage(with_global_rank(nodes, ["node"], "sid"))
+    idx = cut_lineage(with_global_rank(sources, ["node"], "sid"))
     n_all = nodes.count()
     word = F.floor(F.col("sid") / 64).cast("long")
     bit = F.expr("shiftleft(cast(1 as bigint), cast(pmod(sid, 64) as int))")
@@ -396,7 +407,7 @@ def closeness_bitset(edges: DataFrame, disconnected: bool = False, max_iter: int
     # per level: (level, w, bits) rows of newly reached bits, summarised to per-source counts
     per_level = []
     d = 0
-    while d < max_iter:
+    while True:
         cand = (frontier.join(adj.withColumnRenamed("u", "node"), "node")
                 .groupBy(F.col("v").alias("node"), "w").agg(F.bit_or("bits").alias("bits")))
         new = (cand.join(visited.withColumnRenamed("bits", "_vb"), ["node", "w"], "left")

@@ -26,8 +26,9 @@ def mark_duplicates(df: DataFrame, hash_col: str, order_col: str, out: str = "is
     ``min(order_col) over hash`` is a partial aggregate joined back, so a hot hash value is
     combined map-side instead of sorted in one window task."""
     firsts = df.groupBy(hash_col).agg(F.min(order_col).alias("_first"))
-    return (df.join(firsts, hash_col)
-            .withColumn(out, F.col(order_col) != F.col("_first")).drop("_first"))
+    firsts = firsts.withColumnRenamed(hash_col, "_h")      # a null hash is a value like others
+    return (df.join(firsts, F.col(hash_col).eqNullSafe(F.col("_h")))
+            .withColumn(out, F.col(order_col) != F.col("_first")).drop("_first", "_h"))
 
 
 def deduplicate(df: DataFrame, hash_col: str, order_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -148,11 +149,13 @@ MIN_REPUTATION, MIN_CONFIDENCE, CONSENSUS_THRESHOLD = 50, 60, 3
 def admissible_reports(reports: DataFrame, validators: DataFrame, order_col: str,
                        min_reputation: int = MIN_REPUTATION, min_confidence: int = MIN_CONFIDENCE) -> DataFrame:
     """Reject reason per report: unknown validator, inactive, reputation < min,
-    confidence < min, or an earlier report of the same (account, validator); 'ok' otherwise.
+    confidence < min, or an earlier *accepted* report of the same (account, validator); 'ok'
+    otherwise.  A rejected report is not stored, so it does not block a later one.
     The validator table is joined by key (no size assumption)."""
     r = reports.join(validators.select("validator", "reputation", "is_active"), "validator", "left")
-    first = reports.groupBy("account_id", "validator").agg(F.min(order_col).alias("_first"))
-    r = r.join(first, ["account_id", "validator"])
+    passes = F.col("is_active") & (F.col("reputation") >= min_reputation) & (F.col("confidence") >= min_confidence)
+    first = r.where(passes).groupBy("account_id", "validator").agg(F.min(order_col).alias("_first"))
+    r = r.join(first, ["account_id", "validator"], "left")
     reason = (F.when(F.col("reputation").isNull(), F.lit("unknown_validator"))
               .when(~F.col("is_active"), F.lit("inactive_validator"))
               .when(F.col("reputation") < min_reputation, F.lit("low_reputation"))

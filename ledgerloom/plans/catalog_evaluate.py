@@ -37,8 +37,8 @@ _CAL_ERR_SQL = f"""SELECT AVG(POW(y_prob - y_true, 2)) AS brier,
   (SELECT SUM(n * ABS(fp - mp)) / SUM(n) FROM (SELECT COUNT(*) AS n, AVG(CAST(y_true AS DOUBLE)) AS fp, AVG(y_prob) AS mp
       FROM {{t}} GROUP BY {_BIN}) b) AS ece,
   (SELECT MAX(ABS(fp - mp)) FROM (SELECT AVG(CAST(y_true AS DOUBLE)) AS fp, AVG(y_prob) AS mp FROM {{t}} GROUP BY {_BIN}) b) AS mce,
-  GREATEST(AVG(GREATEST(y_prob, 1 - y_prob)) - AVG(CAST(CAST(y_prob >= 0.5 AS INTEGER) = y_true AS DOUBLE)), 0.0) AS overconfidence,
-  GREATEST(AVG(CAST(CAST(y_prob >= 0.5 AS INTEGER) = y_true AS DOUBLE)) - AVG(GREATEST(y_prob, 1 - y_prob)), 0.0) AS underconfidence,
+  GREATEST(AVG(GREATEST(y_prob, 1 - y_prob)) - AVG(CAST(CAST(y_prob > 0.5 AS INTEGER) = y_true AS DOUBLE)), 0.0) AS overconfidence,
+  GREATEST(AVG(CAST(CAST(y_prob > 0.5 AS INTEGER) = y_true AS DOUBLE)) - AVG(GREATEST(y_prob, 1 - y_prob)), 0.0) AS underconfidence,
   VAR_POP(y_prob) AS sharpness FROM {{t}}"""
 
 _CAL_DOUBLES = ["brier", "log_loss", "ece", "mce", "overconfidence", "underconfidence", "sharpness"]
@@ -50,23 +50,16 @@ def q_cal_errors(spark, sf_dir):
     return ev.calibration_errors(scored(spark, sf_dir))
 
 
-@register("calibration_report", operators="E5 (thresholds and advice as a result row)",
-          sql=with_views(f"""SELECT ece, mce, brier,
-  CASE WHEN ece < 0.05 THEN 'well calibrated' WHEN ece < 0.1 THEN 'moderately calibrated' ELSE 'poorly calibrated' END AS verdict,
-  CASE WHEN overconfidence > underconfidence THEN 'model is overconfident: consider temperature scaling'
-       WHEN underconfidence > overconfidence THEN 'model is underconfident: consider sharpening'
-       ELSE 'no systematic confidence bias' END AS advice
-FROM ({_CAL_ERR_SQL.format(t='scored')}) e""", *_SC), doubles=["ece", "mce", "brier"])
+@register("calibration_report", operators="E5 (errors, ratings and advice by fixed thresholds)",
+          sql=with_views(f"""SELECT ece, mce, brier, log_loss, overconfidence, underconfidence, sharpness,
+  CASE WHEN brier < 0.1 THEN 'excellent' WHEN brier < 0.2 THEN 'good' WHEN brier < 0.35 THEN 'fair' ELSE 'poor' END AS brier_rating,
+  CASE WHEN ece < 0.01 THEN 'excellent' WHEN ece < 0.05 THEN 'good' WHEN ece < 0.1 THEN 'fair' ELSE 'poor' END AS ece_rating,
+  CONCAT_WS(',', CASE WHEN brier > 0.25 THEN 'improve_discrimination' END, CASE WHEN ece > 0.05 THEN 'apply_calibration' END,
+    CASE WHEN overconfidence > 0.1 THEN 'overconfident' END, CASE WHEN underconfidence > 0.1 THEN 'underconfident' END,
+    CASE WHEN sharpness < 0.05 THEN 'low_sharpness' END) AS advice
+FROM ({_CAL_ERR_SQL.format(t='scored')}) e""", *_SC), doubles=_CAL_DOUBLES)
 def q_cal_report(spark, sf_dir):
-    e = ev.calibration_errors(scored(spark, sf_dir))
-    return e.select("ece", "mce", "brier",
-                    F.when(F.col("ece") < 0.05, "well calibrated").when(F.col("ece") < 0.1, "moderately calibrated")
-                    .otherwise("poorly calibrated").alias("verdict"),
-                    F.when(F.col("overconfidence") > F.col("underconfidence"),
-                           "model is overconfident: consider temperature scaling")
-                    .when(F.col("underconfidence") > F.col("overconfidence"),
-                          "model is underconfident: consider sharpening")
-                    .otherwise("no systematic confidence bias").alias("advice"))
+    return ev.calibration_report(scored(spark, sf_dir))
 
 
 @register("adaptive_calibration_error", operators="E3 (quantile bins, max row excluded)",
@@ -161,9 +154,10 @@ def q_classification(spark, sf_dir):
 
 
 @register("regression_metrics", operators="E11 (MSE, RMSE, MAE, R2, MAPE)",
-          sql="""SELECT mse, SQRT(mse) AS rmse, mae, CASE WHEN vy > 0 THEN 1 - ssr / (vy * n) ELSE 0.0 END AS r2, COALESCE(mape, 0.0) AS mape
+          sql="""SELECT mse, SQRT(mse) AS rmse, mae, CASE WHEN vy > 0 THEN 1 - ssr / (vy * n) ELSE 0.0 END AS r2, CASE WHEN nonzero = 1 THEN mape * 100 ELSE CAST('infinity' AS DOUBLE) END AS mape
 FROM (SELECT AVG(POW(y - p, 2)) AS mse, AVG(ABS(y - p)) AS mae, SUM(POW(y - p, 2)) AS ssr, VAR_POP(y) AS vy, COUNT(*) AS n,
-             AVG(CASE WHEN y <> 0 THEN ABS((y - p) / y) END) AS mape
+             MAX(CAST(y <> 0 AS INTEGER)) AS nonzero,
+             AVG(CASE WHEN y <> 0 THEN ABS((y - p) / y) WHEN p = 0 THEN CAST('nan' AS DOUBLE) ELSE CAST('infinity' AS DOUBLE) END) AS mape
       FROM (SELECT l_extendedprice AS y, l_quantity * p_retailprice AS p FROM lineitem JOIN part ON l_partkey = p_partkey) j) a""",
           doubles=["mse", "rmse", "mae", "r2", "mape"])
 def q_regression(spark, sf_dir):

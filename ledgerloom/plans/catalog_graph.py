@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as gr
 from ..sources.adapters import acct_edges, trade_edges, with_views
+from ..sources.tables import read_table
 from .registry import register
 
 _DEPTH = 8   # BFS levels unrolled in the oracle; the test graphs have diameter <= 6
@@ -150,12 +151,16 @@ _ADJ_SQL = """adj AS (SELECT DISTINCT u, v FROM (SELECT src AS u, dst AS v FROM
   UNION ALL SELECT dst, src FROM acct_edges WHERE src <> dst) a)"""
 
 
+# neighbours as a set that holds the node itself where it has a self-loop
+_LOOP_ADJ_SQL = """ladj2 AS (SELECT src AS u, dst AS v FROM acct_edges UNION SELECT dst, src FROM acct_edges)"""
+_CLU_SQL = """clu AS (SELECT k.node, CASE WHEN k.k < 2 THEN 0.0 ELSE 2.0 * COALESCE(t.t, 0) / (k.k * (k.k - 1)) END AS clustering
+  FROM (SELECT u AS node, COUNT(*) AS k FROM ladj2 GROUP BY u) k
+  LEFT JOIN (SELECT a1.u AS node, COUNT(*) AS t FROM ladj2 a1 JOIN ladj2 a2 ON a1.u = a2.u AND a1.v < a2.v
+             JOIN ladj2 a3 ON a3.u = a1.v AND a3.v = a2.v GROUP BY a1.u) t ON t.node = k.node)"""
+
+
 @register("clustering_coefficient", operators="R5 J9 (degree-ordered triangle join)",
-          sql=with_views("""SELECT k.node, CASE WHEN k.k < 2 THEN 0.0 ELSE 2.0 * COALESCE(t.t, 0) / (k.k * (k.k - 1)) END AS clustering
-FROM (SELECT u AS node, COUNT(*) AS k FROM adj GROUP BY u) k
-LEFT JOIN (SELECT a1.u AS node, COUNT(*) AS t FROM adj a1 JOIN adj a2 ON a1.u = a2.u AND a1.v < a2.v
-           JOIN adj a3 ON a3.u = a1.v AND a3.v = a2.v GROUP BY a1.u) t ON t.node = k.node""",
-                         "acct_edges", extra=[_ADJ_SQL]),
+          sql=with_views("SELECT node, clustering FROM clu", "acct_edges", extra=[_LOOP_ADJ_SQL, _CLU_SQL]),
           doubles=["clustering"])
 def q_clustering(spark, sf_dir):
     return gr.clustering_coefficient(acct_edges(spark, sf_dir))
@@ -175,28 +180,47 @@ def q_cliques(spark, sf_dir):
     return t.crossJoin(q)
 
 
-_SPARSE = "trade_urgent"
-_SPARSE_SQL = """trade_urgent AS (SELECT * FROM trade_edges WHERE asset = '1-URGENT' AND ts < 804556800)"""
+# the trade graph, and the nations with their regions as further components
+_WHOLE_SQL = """trade_all AS (SELECT src, dst, amount FROM trade_edges UNION ALL
+  SELECT 'n' || n_nationkey, 'r' || n_regionkey, 1.0 FROM nation)"""
+# trades, and refunds from the supplier back to the customer for returned items
+_REFUND_SQL = """trade_refunds AS (SELECT 'c' || o_custkey AS src, 's' || l_suppkey AS dst, l_extendedprice AS amount
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag <> 'R' UNION ALL
+  SELECT 's' || l_suppkey, 'c' || o_custkey, l_extendedprice FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+  WHERE l_returnflag = 'R')"""
 
 
-def _sparse(spark, sf_dir):
-    return trade_edges(spark, sf_dir).where((F.col("asset") == "1-URGENT") & (F.col("ts") < 804556800))
+def _whole(spark, sf_dir):
+    nation = read_table(spark, sf_dir, "nation").select(
+        F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("src"),
+        F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("dst"), F.lit(1.0).alias("amount"))
+    return trade_edges(spark, sf_dir).select("src", "dst", F.col("amount").cast("double").alias("amount")).unionByName(nation)
 
 
-@register("weak_components", operators="R7 (min-label propagation)",
+def _refunds(spark, sf_dir):
+    li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_returnflag", "l_extendedprice")
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    j = li.join(o, li.l_orderkey == o.o_orderkey)
+    c, s = F.concat(F.lit("c"), F.col("o_custkey").cast("string")), F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
+    back = F.col("l_returnflag") == "R"
+    return j.select(F.when(back, s).otherwise(c).alias("src"), F.when(back, c).otherwise(s).alias("dst"),
+                    F.col("l_extendedprice").alias("amount"))
+
+
+@register("weak_components", operators="R7 (large-star / small-star)",
           sql=with_views("""WITH RECURSIVE r(node, comp) AS (
-    SELECT node, node FROM (SELECT src AS node FROM trade_urgent UNION SELECT dst FROM trade_urgent) n
-    UNION SELECT a.v, r.comp FROM r JOIN (SELECT src AS u, dst AS v FROM trade_urgent UNION SELECT dst, src FROM trade_urgent) a ON a.u = r.node)
-SELECT node, MIN(comp) AS component FROM r GROUP BY node""", "trade_edges", extra=[_SPARSE_SQL])
+    SELECT node, node FROM (SELECT src AS node FROM trade_all UNION SELECT dst FROM trade_all) n
+    UNION SELECT a.v, r.comp FROM r JOIN (SELECT src AS u, dst AS v FROM trade_all UNION SELECT dst, src FROM trade_all) a ON a.u = r.node)
+SELECT node, MIN(comp) AS component FROM r GROUP BY node""", "trade_edges", extra=[_WHOLE_SQL])
           .replace("WITH trade_edges AS", "WITH RECURSIVE trade_edges AS", 1).replace(",\nRECURSIVE r(", ",\nr(", 1)
           .replace("WITH RECURSIVE r(", "r(", 1))
 def q_components(spark, sf_dir):
-    return gr.weak_components(_sparse(spark, sf_dir))
+    return gr.weak_components(_whole(spark, sf_dir))
 
 
 def _sql_lpa(rounds: int = 5) -> list[str]:
-    ctes = ["ladj AS MATERIALIZED (SELECT DISTINCT u, v FROM (SELECT src AS u, dst AS v FROM trade_urgent WHERE src <> dst "
-            "UNION ALL SELECT dst, src FROM trade_urgent WHERE src <> dst) a)",
+    ctes = ["ladj AS MATERIALIZED (SELECT DISTINCT u, v FROM (SELECT src AS u, dst AS v FROM trade_all WHERE src <> dst "
+            "UNION ALL SELECT dst, src FROM trade_all WHERE src <> dst) a)",
             "lab0 AS MATERIALIZED (SELECT node, node AS label FROM (SELECT u AS node FROM ladj UNION SELECT v FROM ladj) n)"]
     for i in range(rounds):
         ctes.append(f"""lab{i + 1} AS MATERIALIZED (SELECT l.node, COALESCE(b.label, l.label) AS label FROM lab{i} l LEFT JOIN (
@@ -206,9 +230,9 @@ def _sql_lpa(rounds: int = 5) -> list[str]:
 
 
 @register("label_propagation", operators="N5 (synchronous LPA, 5 rounds, ties to smallest label)",
-          sql=with_views("SELECT node, label FROM lab5", "trade_edges", extra=[_SPARSE_SQL] + _sql_lpa(5)))
+          sql=with_views("SELECT node, label FROM lab5", "trade_edges", extra=[_WHOLE_SQL] + _sql_lpa(5)))
 def q_lpa(spark, sf_dir):
-    return gr.label_propagation(_sparse(spark, sf_dir), 5)
+    return gr.label_propagation(_whole(spark, sf_dir), 5)
 
 
 @register("modularity", operators="N5 (modularity of the LPA communities)",
@@ -216,22 +240,22 @@ def q_lpa(spark, sf_dir):
   SELECT l.label, (SELECT COUNT(*) / 2.0 FROM ladj) AS m, COUNT(*) AS dc,
          COALESCE((SELECT COUNT(*) / 2.0 FROM ladj a JOIN lab5 x ON x.node = a.u JOIN lab5 y ON y.node = a.v
                    WHERE x.label = l.label AND y.label = l.label), 0.0) AS lc
-  FROM ladj a JOIN lab5 l ON l.node = a.u GROUP BY l.label) t""", "trade_edges", extra=[_SPARSE_SQL] + _sql_lpa(5)),
+  FROM ladj a JOIN lab5 l ON l.node = a.u GROUP BY l.label) t""", "trade_edges", extra=[_WHOLE_SQL] + _sql_lpa(5)),
           doubles=["modularity"])
 def q_modularity(spark, sf_dir):
-    e = _sparse(spark, sf_dir)
+    e = _whole(spark, sf_dir)
     return gr.modularity(e, gr.label_propagation(e, 5))
 
 
 @register("community_sizes", operators="N5 (sizes, top communities)",
           sql=with_views("""SELECT label, CAST(size AS BIGINT) AS size, CAST(ROW_NUMBER() OVER (ORDER BY size DESC, label) AS BIGINT) AS rank
-FROM (SELECT label, COUNT(*) AS size FROM lab5 GROUP BY label) s""", "trade_edges", extra=[_SPARSE_SQL] + _sql_lpa(5)))
+FROM (SELECT label, COUNT(*) AS size FROM lab5 GROUP BY label) s""", "trade_edges", extra=[_WHOLE_SQL] + _sql_lpa(5)))
 def q_communities(spark, sf_dir):
-    return gr.community_summary(gr.label_propagation(_sparse(spark, sf_dir), 5)).withColumn("rank", F.col("rank").cast("long"))
+    return gr.community_summary(gr.label_propagation(_whole(spark, sf_dir), 5)).withColumn("rank", F.col("rank").cast("long"))
 
 
 @register("cyclic_flow_ratio", operators="G22 (volume on edges closing a directed cycle of length <= 4)",
-          sql=with_views("""WITH e AS (SELECT * FROM trade_urgent WHERE src <> dst),
+          sql=with_views("""WITH e AS (SELECT * FROM trade_refunds WHERE src <> dst),
 a AS (SELECT DISTINCT src AS u, dst AS v FROM e),
 h0 AS (SELECT DISTINCT dst AS o, dst AS node FROM e),
 h1 AS (SELECT DISTINCT h0.o, a.v AS node FROM h0 JOIN a ON a.u = h0.node),
@@ -239,10 +263,10 @@ h2 AS (SELECT DISTINCT h1.o, a.v AS node FROM h1 JOIN a ON a.u = h1.node),
 h3 AS (SELECT DISTINCT h2.o, a.v AS node FROM h2 JOIN a ON a.u = h2.node),
 r AS (SELECT * FROM h0 UNION SELECT * FROM h1 UNION SELECT * FROM h2 UNION SELECT * FROM h3)
 SELECT COALESCE((SELECT SUM(ABS(amount)) FROM e WHERE EXISTS (SELECT 1 FROM r WHERE r.o = e.dst AND r.node = e.src))
-       / (SELECT SUM(ABS(amount)) FROM e), 0.0) AS cyclic_flow_ratio""", "trade_edges", extra=[_SPARSE_SQL]),
+       / (SELECT SUM(ABS(amount)) FROM e), 0.0) AS cyclic_flow_ratio""", extra=[_REFUND_SQL]),
           doubles=["cyclic_flow_ratio"])
 def q_cyclic(spark, sf_dir):
-    return gr.cyclic_flow_ratio(_sparse(spark, sf_dir))
+    return gr.cyclic_flow_ratio(_refunds(spark, sf_dir))
 
 
 @register("cyclic_flow_ratio_acct", operators="G22 (dense account graph)",
@@ -262,10 +286,6 @@ def q_cyclic_acct(spark, sf_dir):
 
 _DEG_SQL = """dgc AS (SELECT node, SUM(1.0) / ((SELECT COUNT(*) FROM (SELECT src AS node FROM acct_edges UNION SELECT dst FROM acct_edges) z) - 1) AS degree_centrality
   FROM (SELECT src AS node FROM acct_edges UNION ALL SELECT dst FROM acct_edges) e GROUP BY node)"""
-_CLU_SQL = """clu AS (SELECT k.node, CASE WHEN k.k < 2 THEN 0.0 ELSE 2.0 * COALESCE(t.t, 0) / (k.k * (k.k - 1)) END AS clustering
-  FROM (SELECT u AS node, COUNT(*) AS k FROM adj GROUP BY u) k
-  LEFT JOIN (SELECT a1.u AS node, COUNT(*) AS t FROM adj a1 JOIN adj a2 ON a1.u = a2.u AND a1.v < a2.v
-             JOIN adj a3 ON a3.u = a1.v AND a3.v = a2.v GROUP BY a1.u) t ON t.node = k.node)"""
 _CLO_SQL = """clo AS (SELECT s AS node, CASE WHEN COUNT(*) > 1 AND COUNT(*) = (SELECT COUNT(*) FROM bnodes) AND SUM(dist) > 0
   THEN ((SELECT COUNT(*) FROM bnodes) - 1) * 1.0 / SUM(dist) ELSE 0.0 END AS closeness FROM blv GROUP BY s)"""
 
@@ -277,7 +297,7 @@ _CLO_SQL = """clo AS (SELECT s AS node, CASE WHEN COUNT(*) > 1 AND COUNT(*) = (S
 FROM dgc d LEFT JOIN bbtw b ON b.node = d.node LEFT JOIN clo c ON c.node = d.node LEFT JOIN pagerank p ON p.node = d.node
 LEFT JOIN clu k ON k.node = d.node LEFT JOIN eigen e ON e.node = d.node""", "acct_edges",
                          extra=_sql_bfs("acct_edges") + _sql_betweenness() + _sql_pagerank("acct_edges")
-                         + _sql_eigen("acct_edges") + [_ADJ_SQL, _DEG_SQL, _CLU_SQL, _CLO_SQL]),
+                         + _sql_eigen("acct_edges") + [_LOOP_ADJ_SQL, _DEG_SQL, _CLU_SQL, _CLO_SQL]),
           doubles=["degree_centrality", "betweenness", "closeness", "pagerank", "clustering", "eigenvector"])
 def q_importance(spark, sf_dir):
     return gr.importance_metrics(acct_edges(spark, sf_dir))

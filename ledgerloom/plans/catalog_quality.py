@@ -139,7 +139,8 @@ def q_hardening(spark, sf_dir):
 _ADMIT_SQL = """adm AS (SELECT r.*, v.reputation, v.is_active,
   CASE WHEN v.reputation IS NULL THEN 'unknown_validator' WHEN NOT v.is_active THEN 'inactive_validator'
        WHEN v.reputation < 50 THEN 'low_reputation' WHEN r.confidence < 60 THEN 'low_confidence'
-       WHEN r.seq <> MIN(r.seq) OVER (PARTITION BY r.account_id, r.validator) THEN 'already_reported'
+       WHEN r.seq <> MIN(CASE WHEN v.is_active AND v.reputation >= 50 AND r.confidence >= 60 THEN r.seq END)
+                      OVER (PARTITION BY r.account_id, r.validator) THEN 'already_reported'
        ELSE 'ok' END AS decision
   FROM reports r LEFT JOIN validators v ON r.validator = v.validator)"""
 
