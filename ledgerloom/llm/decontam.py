@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textblocks import U64, Words, as_bytes, mix64, words_of
+from .textblocks import U64, Words, as_bytes, filled_id, mix64, with_null_ids, words_of
 
 #: spaced masks over 12 words, 8 of them compared
 MASKS = ("110100110111", "111010110011", "101101110101")
@@ -167,7 +167,7 @@ def _indexes(benchmark: DataFrame, min_words: int, index_words: int):
 def overlaps(docs: DataFrame, benchmark: DataFrame, min_score: int = 12, min_words: int = 8,
              index_words: int = 1_000_000) -> DataFrame:
     """One row per (document row, item) with a verified overlap: its place in words and bytes."""
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
+    source = docs.select(filled_id(), "text").where("text is not null")
     names = [c.split()[0] for c in SCHEMA.split(", ")]
     out = None
     for shared in _indexes(benchmark, min_words, index_words):
@@ -182,11 +182,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_score: int = 12, min_wor
                              int(w.start[at] - base[t]), int(w.end[at + n - 1] - base[t]))
                             for t, i, seeds, at, n, same, _ in ix.overlaps(w, min_score)]
                     if rows:
-                        yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+                        yield pd.DataFrame(rows, columns=names)
 
         found = source.mapInPandas(find, SCHEMA)
         out = found if out is None else out.unionByName(found)
-    return out
+    return with_null_ids(out)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, min_score: int = 12, min_words: int = 8,

@@ -22,7 +22,8 @@ import zlib
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from .textblocks import filled_id, with_null_ids
 
 CAPACITY = 2048
 PIECE_SCHEMA = "doc_id long, start long, length long, doc_tokens long, ids binary, grp long"
@@ -83,7 +84,8 @@ def encoder(path: str) -> PieceEncoder:
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, groups: int, end_id: int = 1,
                  capacity: int = CAPACITY) -> DataFrame:
-    """One row per piece: doc_id, start, length, doc_tokens, ids (little-endian uint32), grp."""
+    """One row per piece: doc_id (NO_ID for null), start, length, doc_tokens, ids (little-endian
+    uint32), grp."""
 
     def cut(batches):
         enc = encoder(tokenizer_path)
@@ -95,7 +97,6 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, groups: int, end_id: int
             for key, text in zip(keys, texts):
                 ids = enc.encode(text) + tail
                 n, row = len(ids) // 4, row + 1
-                key = None if pd.isna(key) else int(key)
                 salt = zlib.crc32(ids, row)
                 for k, s in enumerate(range(0, n, capacity)):
                     rows.append((key, s, min(capacity, n - s), n, ids[4 * s:4 * (s + capacity)],
@@ -107,11 +108,9 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, groups: int, end_id: int
                 yield _frame(rows)
 
     def _frame(rows):
-        out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "doc_tokens", "ids", "grp"])
-        out["doc_id"] = out["doc_id"].astype("Int64")
-        return out
+        return pd.DataFrame(rows, columns=["doc_id", "start", "length", "doc_tokens", "ids", "grp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut, PIECE_SCHEMA)
+    return docs.select(filled_id(), "text").mapInPandas(cut, PIECE_SCHEMA)
 
 
 def difference(sizes: np.ndarray, windows: int) -> np.ndarray:
@@ -190,7 +189,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         pdf["sequence_id"], pdf["offset"] = base + seq, offset
         return pdf[["doc_id", "start", "length", "doc_tokens", "ids", "sequence_id", "offset"]]
 
-    return pieces.groupBy("grp").applyInPandas(pack, PACKED_SCHEMA)
+    return with_null_ids(pieces.groupBy("grp").applyInPandas(pack, PACKED_SCHEMA))
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = CAPACITY,

@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .recurring import SENT, member, received, recurring, send
-from .textblocks import Words, as_bytes, block_count, cover, run_argmin, word_windows, words_of
+from .textblocks import (Words, as_bytes, block_count, cover, filled_id, run_argmin, with_null_ids, word_windows,
+                         words_of)
 
 ANCHOR = 16
 RESULT = "doc_id long, n_words long, kept string, spans array<struct<start:long,end:long>>"
@@ -128,10 +129,10 @@ def _remove(window: int):
 
 def blocks_of(docs: DataFrame, block_bytes: int, carry: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
     """(doc_id, text, block), dealt by block, and the number of blocks; columns to ``carry`` are
-    kept in one struct ``rest``."""
+    kept in one struct ``rest``.  A null doc_id is NO_ID."""
     n = block_count(docs, "text", block_bytes)
     rest = [F.struct(*carry).alias("rest")] if carry else []
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *rest)
+    d = docs.select(filled_id(), F.coalesce("text", F.lit("")).alias("text"), *rest)
     d = d.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)))
     return d.repartition(n, "block"), n
 
@@ -143,4 +144,4 @@ def remove_passages(docs: DataFrame, window: int = 35, block_bytes: int = 6 << 2
     anchors = recurring(by_block.applyInPandas(_send_anchors(window, blocks), SENT), 1)
     windows = by_block.cogroup(anchors.groupBy("block")).applyInPandas(_send_windows(window, blocks), SENT)
     confirmed = recurring(windows, 2)
-    return by_block.cogroup(confirmed.groupBy("block")).applyInPandas(_remove(window), RESULT)
+    return with_null_ids(by_block.cogroup(confirmed.groupBy("block")).applyInPandas(_remove(window), RESULT))

@@ -37,13 +37,12 @@ from pyspark.sql import DataFrame
 
 from .phrases import blocks_of
 from .recurring import SENT, member, received, recurring, send, shard_of
-from .textblocks import U64, _BYTE_BASE, PrefixHash, as_bytes, cover, mix64, run_argmin
+from .textblocks import U64, _BYTE_BASE, PrefixHash, as_bytes, cover, mix64, run_argmin, with_null_ids
 
 GRAM = 24
 RESULT = "doc_id long, n_bytes long, kept binary, spans array<struct<start:long,end:long>>"
 NAMES = "shard long, block long, kind int, key binary, value binary"
 ANSWER = "block long, kind int, key binary, value binary"
-_LAST = np.iinfo(np.int64).max
 
 
 class Samples:
@@ -55,7 +54,7 @@ class Samples:
         size = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
         self.first = np.concatenate([[0], np.cumsum(size)])[:len(texts)]
         self.size = size - 1
-        self.doc_ids = pdf["doc_id"].fillna(_LAST).to_numpy(np.int64)
+        self.doc_ids = pdf["doc_id"].to_numpy(np.int64)       # NO_ID is the largest
         self.data = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
         ph = PrefixHash(self.data.astype(U64) + U64(1), _BYTE_BASE)
         grams = ph.windows(GRAM)
@@ -341,4 +340,4 @@ def remove_repeats(docs: DataFrame, length: int = 50, block_bytes: int = 6 << 20
     found = texts.groupBy("shard").applyInPandas(_sort_texts(length), ANSWER)
     result = RESULT + (f", rest {d.schema['rest'].dataType.simpleString()}" if carry else "")
     answers = known.where("kind = 0").unionByName(found)
-    return by_block.cogroup(answers.groupBy("block")).applyInPandas(_remove(length, bool(carry)), result)
+    return with_null_ids(by_block.cogroup(answers.groupBy("block")).applyInPandas(_remove(length, bool(carry)), result))

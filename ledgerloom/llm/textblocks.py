@@ -150,6 +150,18 @@ def cover(n: int, starts: np.ndarray, length: int) -> np.ndarray:
     return np.cumsum(d[:-1]) > 0
 
 
+#: stands for a null id in Python code, where a column with nulls would turn into floats
+NO_ID = 2 ** 63 - 1
+
+
+def filled_id(column: str = "doc_id"):
+    return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID)).alias(column)
+
+
+def with_null_ids(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.when(F.col(c) != NO_ID, F.col(c)) for c in columns or ("doc_id",)})
+
+
 def as_bytes(values) -> list[bytes]:
     """UTF-8 bytes of a pandas column of texts; null is the empty text."""
     return [v.encode("utf-8", "surrogatepass") if isinstance(v, str) else b"" for v in values]

@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .textblocks import filled_id, with_null_ids
+
 THRESHOLD = 0.7
 #: Plain insults of the built-in lexicon voter.
 INSULTS = ("clown", "disgusting", "idiot", "idiots", "loser", "losers", "moron", "morons", "pathetic", "scum",
@@ -228,8 +230,8 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": of(pdf["text"])})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")) \
-        .mapInPandas(run, "doc_id long, score double")
+    return with_null_ids(docs.select(filled_id(), F.coalesce("text", F.lit("")).alias("text"))
+                         .mapInPandas(run, "doc_id long, score double"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **params) -> DataFrame:
