@@ -29,6 +29,8 @@ def perspectives(turns: DataFrame, context_roles: tuple[str, ...] = CONTEXT_ROLE
     """conv_id, speaker, turn, role, segment, seg_start, seg_end, mask_start, mask_end."""
     t = turns.select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"),
                      F.coalesce("text", F.lit("")).alias("text"))
+    # rows that are the same in everything stand once, with their number
+    t = t.groupBy("conv_id", "turn", "role", "text").agg(F.count(F.lit(1)).alias("_n"))
     t = t.withColumn("_conv", F.coalesce(F.col("conv_id").cast("string"), F.lit("null")))
     cast = t.where(~F.col("role").isin(*context_roles)).select("_conv", F.col("role").alias("speaker")).distinct()
     own = F.col("role") == F.col("speaker")
@@ -36,14 +38,16 @@ def perspectives(turns: DataFrame, context_roles: tuple[str, ...] = CONTEXT_ROLE
             .when(F.col("role").isin(*context_roles), F.concat(F.lit("<|"), "role", F.lit("|>\n")))
             .otherwise(F.concat(F.lit("<|user name="), "role", F.lit("|>\n"))))
     seen = t.join(cast, "_conv").withColumn("_head", head).withColumn("segment", F.concat("_head", "text", F.lit(END)))
-    seen = seen.withColumn("_len", F.length("segment").cast("long"))
+    seen = seen.withColumn("_len", F.length("segment") * F.col("_n"))
     order = [F.col("turn"), F.col("role"), F.col("text")]
     done = with_cumulative_sums(seen, order, ["_len"], partition_cols=["_conv", "speaker"])
-    start = F.col("cum__len") - F.col("_len")
+    size = F.length("segment")
+    done = done.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    start = F.col("cum__len") - F.col("_len") + F.col("_k") * size
     return done.select(
-        "conv_id", "speaker", "turn", "role", "segment", start.alias("seg_start"), F.col("cum__len").alias("seg_end"),
-        F.when(own, start + F.length("_head")).otherwise(F.col("cum__len")).alias("mask_start"),
-        F.col("cum__len").alias("mask_end"))
+        "conv_id", "speaker", "turn", "role", "segment", start.alias("seg_start"), (start + size).alias("seg_end"),
+        F.when(own, start + F.length("_head")).otherwise(start + size).alias("mask_start"),
+        (start + size).alias("mask_end"))
 
 
 def dialogues(segments: DataFrame) -> DataFrame:

@@ -81,24 +81,28 @@ class Matcher:
 
 # --- what is learned ------------------------------------------------------------------------
 
+def _correlation(rest: np.ndarray) -> np.ndarray:
+    scaled = rest / (np.sqrt((rest ** 2).mean(0)) + 1e-9)
+    return scaled.T @ scaled / max(1, len(rest))
+
+
 def label_model(votes: np.ndarray, given: np.ndarray | None, rounds: int = 30) -> np.ndarray:
     """Posterior of the toxic class per row.
 
     votes: 0/1 (rows, voters); given: annotated class per row, or None.  EM for the class prior
     and each voter's firing rate per class; a voter's evidence is divided by one plus its summed
     residual correlation with the others, so near-copies of a voter do not count twice."""
-    n, v = votes.shape
-    post = given.astype(float) if given is not None else (votes.mean(1) > votes.mean()).astype(float)
+    same = np.abs(np.nan_to_num(_correlation(votes - votes.mean(0)))) > 0.8     # copies of one voter
+    share = 1 / np.maximum(same.sum(1), 1)
+    told = votes @ share
+    post = given.astype(float) if given is not None else (told > told.mean()).astype(float)
     post = np.clip(post, 0.05, 0.95)
-    share = np.ones(v)
     for step in range(rounds):
         prior = np.clip(post.mean(), 1e-3, 1 - 1e-3)
         on = np.clip((post @ votes + 0.5) / (post.sum() + 1), 1e-4, 1 - 1e-4)
         off = np.clip(((1 - post) @ votes + 0.5) / ((1 - post).sum() + 1), 1e-4, 1 - 1e-4)
         if step in (5, 15):
-            rest = votes - (np.outer(post, on) + np.outer(1 - post, off))
-            scale = np.sqrt((rest ** 2).mean(0)) + 1e-9
-            corr = np.abs((rest / scale).T @ (rest / scale) / n)
+            corr = np.abs(_correlation(votes - (np.outer(post, on) + np.outer(1 - post, off))))
             np.fill_diagonal(corr, 0)
             share = 1 / (1 + np.where(corr > 0.1, corr, 0).sum(1))
         logit = np.log(prior / (1 - prior)) + votes @ (share * np.log(on / off)) \
