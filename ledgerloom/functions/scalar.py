@@ -74,24 +74,36 @@ def time_encoding(t: Column, max_time: Column | float, dim: int = 16) -> Column:
     return F.array(*vals)
 
 
+def draw60(*parts: Column) -> Column:
+    """A reproducible 60-bit number from the texts of ``parts``: the first 15 hex digits of the MD5
+    of the values joined by ``|`` (nulls left out).  Any SQL engine can repeat it (``sql_draw60``)."""
+    text = F.concat_ws("|", *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
+def sql_draw60(*parts: str) -> str:
+    """The DuckDB twin of :func:`draw60`."""
+    return f"CAST('0x' || SUBSTR(MD5(CONCAT_WS('|', {', '.join(f'CAST({p} AS VARCHAR)' for p in parts)})), 1, 15) AS BIGINT)"
+
+
 def op_type_feature(op_type: Column) -> Column:
-    """X11: stable hash of the operation type mod 1000 / 1000 (xxhash64; the reference's
-    Python hash is salted per process, so only the range and stability carry over)."""
-    return F.pmod(F.xxhash64(op_type), F.lit(1000)) / F.lit(1000.0)
+    """X11: stable hash of the operation type mod 1000 / 1000 (the reference's Python hash is
+    salted per process, so only the range and stability carry over)."""
+    return F.pmod(draw60(op_type), F.lit(1000)) / F.lit(1000.0)
 
 
 def time_noise(t: Column, scale: float, seed: int, key: Column) -> Column:
     """T + N(0, scale) noise clamped to [0, 1]; the draw hashes (key, seed) so it does
     not depend on partitioning."""
-    u1 = (F.pmod(F.xxhash64(key, F.lit(seed), F.lit(1)), F.lit(1 << 30)) + 1) / F.lit(float((1 << 30) + 1))
-    u2 = F.pmod(F.xxhash64(key, F.lit(seed), F.lit(2)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    u1 = (F.pmod(draw60(key, F.lit(seed), F.lit(1)), F.lit(1 << 30)) + 1) / F.lit(float((1 << 30) + 1))
+    u2 = F.pmod(draw60(key, F.lit(seed), F.lit(2)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     z = F.sqrt(-2.0 * F.log(u1)) * F.cos(2 * math.pi * u2)
     return F.least(F.greatest(t + F.lit(scale) * z, F.lit(0.0)), F.lit(1.0))
 
 
 def uniform(key: Column, seed: int, salt: int = 0) -> Column:
-    """A [0, 1) draw from xxhash64(key, seed, salt): stable under re-partitioning and retries."""
-    return F.pmod(F.xxhash64(key, F.lit(seed), F.lit(salt)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    """A [0, 1) draw from a hash of (key, seed, salt): stable under re-partitioning and retries."""
+    return F.pmod(draw60(key, F.lit(seed), F.lit(salt)), F.lit(1 << 40)) / F.lit(float(1 << 40))
 
 
 def age_weighted_keep(t_norm: Column, key: Column, drop_rate: float, seed: int) -> Column:

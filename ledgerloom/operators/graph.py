@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import draw60
 from ..session import IterationState, cut_lineage
 
 
@@ -152,11 +153,11 @@ def bfs_levels(adj: DataFrame, sources: DataFrame, max_depth: int | None = None,
 
 
 def _sources(nodes: DataFrame, sample_size: int | None, seed: int = 42) -> DataFrame:
-    """All nodes, or the ``sample_size`` nodes with the smallest xxhash64(node, seed) (a
+    """All nodes, or the ``sample_size`` nodes with the smallest hash of (node, seed) (a
     deterministic sample, chosen by a distributed top-k)."""
     if sample_size is None:
         return nodes
-    return nodes.orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(sample_size)
+    return nodes.orderBy(draw60(F.col("node"), F.lit(seed)), "node").limit(sample_size)
 
 
 def closeness_centrality(edges: DataFrame, disconnected: bool = False,

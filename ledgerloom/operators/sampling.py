@@ -1,49 +1,59 @@
 """Neighbour sampling, multi-hop sampling, link-prediction splits and negatives
 (R8, R9, K1, K2, W11, W12, J7, J8).
 
-Random choices hash (seed, key) with xxhash64 instead of drawing from a stateful generator,
-so results do not depend on partitioning or task retries (they are not the reference's
-Mersenne-Twister draws; tests check counts, bounds and exclusions).
+Random choices hash (seed, key) instead of drawing from a stateful generator (``draw60``), so
+results do not depend on partitioning or task retries and SQL can repeat them (they are not
+the reference's Mersenne-Twister draws).
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import draw60
 from ..plans.ordering import with_global_rank
+from ..session import cut_lineage
+
+_BLOCK = 1000      # draws per generated array
+
+
+def in_neighbours(edges: DataFrame, id_col: str = "edge_id") -> DataFrame:
+    """(u, v, edge): u receives from v; parallel edges stay apart by their id."""
+    return edges.select(F.col("dst").alias("u"), F.col("src").alias("v"), F.col(id_col).alias("edge"))
 
 
 def sample_neighbors(adj: DataFrame, k: int, seed: int = 42) -> DataFrame:
-    """(node, slot, neighbor) with exactly k neighbours per node that has any.
-
-    k <= 0 -> all neighbours.  Nodes with at least k neighbours keep the k with the smallest
-    xxhash64(seed, node, neighbor) (``row_number <= k``; Spark applies the limit per map
-    partition before the shuffle, so a hub sends at most k rows per partition).  Nodes with
-    fewer than k neighbours draw with replacement: slot j takes the neighbour at position
-    pmod(xxhash64(seed, node, j), degree) of the same hash order."""
-    a = adj.select(F.col("u").alias("node"), F.col("v").alias("neighbor")).distinct()
+    """(node, slot, neighbor, edge) with exactly k entries per node that has any.
+
+    ``adj(u, v, edge)`` may hold parallel edges, each of which can be drawn.  k <= 0 -> all.
+    Nodes with at least k entries keep the k with the smallest hash of (seed, node, neighbor,
+    edge) (``row_number <= k``; Spark applies the limit per map partition before the shuffle,
+    so a hub sends at most k rows per partition).  Nodes with fewer draw with replacement: slot
+    j takes the entry at position hash(seed, node, j) mod degree of the same order."""
+    a = adj.select(F.col("u").alias("node"), F.col("v").alias("neighbor"), "edge")
     if k <= 0:
-        return a.withColumn("slot", F.lit(None).cast("int")).select("node", "slot", "neighbor")
-    h = F.xxhash64(F.lit(seed), F.col("node"), F.col("neighbor"))
-    w = Window.partitionBy("node").orderBy(h, F.col("neighbor"))
+        return a.withColumn("slot", F.lit(None).cast("int")).select("node", "slot", "neighbor", "edge")
+    h = draw60(F.lit(seed), F.col("node"), F.col("neighbor"), F.col("edge"))
+    w = Window.partitionBy("node").orderBy(h, F.col("neighbor"), F.col("edge"))
     # filtering on row_number directly lets Spark insert a partial WindowGroupLimit before the
     # shuffle: at most k rows per node and map partition move, whatever the degree
     top = a.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k) \
         .withColumn("_pos", F.col("_rn") - 1).drop("_rn")
     deg = a.groupBy("node").agg(F.count(F.lit(1)).alias("_deg"))
     top = top.join(deg, "node")
-    full = top.where(F.col("_deg") >= k).select("node", F.col("_pos").cast("int").alias("slot"), "neighbor")
+    full = top.where(F.col("_deg") >= k).select("node", F.col("_pos").cast("int").alias("slot"), "neighbor", "edge")
     small = deg.where(F.col("_deg") < k).select("node", "_deg", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("slot"))
-    small = small.withColumn("_pos", F.pmod(F.xxhash64(F.lit(seed), F.col("node"), F.col("slot")), F.col("_deg")))
-    # a node below k has all its neighbours inside ``top`` (every rank <= k)
-    pad = small.join(top.select("node", "_pos", "neighbor"), ["node", "_pos"]).select("node", "slot", "neighbor")
+    small = small.withColumn("_pos", F.pmod(draw60(F.lit(seed), F.col("node"), F.col("slot")), F.col("_deg")))
+    # a node below k has all its entries inside ``top`` (every rank <= k)
+    pad = small.join(top.select("node", "_pos", "neighbor", "edge"), ["node", "_pos"]).select("node", "slot", "neighbor", "edge")
     return full.unionByName(pad)
 
 
 def multi_hop_sample(adj: DataFrame, targets: DataFrame, fanouts: list[int], seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Hop h samples ``fanouts[h]`` neighbours of the nodes first reached at hop h (hop 1 =
-    direct neighbours of the targets, D16).  Returns (edges(hop, node, neighbor), nodes(node,
-    local_index)) with the targets first (by id) and then new nodes by (first hop, id)."""
+    direct neighbours of the targets, D16).  Returns (edges(hop, node, slot, neighbor, edge),
+    nodes(node, local_index, hop)) with the targets first (by id) and then new nodes by (first
+    hop, id)."""
     frontier = targets.select("node").distinct()
     seen = frontier.withColumn("_hop", F.lit(0))
     edges = None
@@ -55,49 +65,57 @@ def multi_hop_sample(adj: DataFrame, targets: DataFrame, fanouts: list[int], see
         seen = seen.unionByName(new.withColumn("_hop", F.lit(h)))
         frontier = new
     idx = with_global_rank(seen, ["_hop", "node"], "local_index").select("node", "local_index", F.col("_hop").alias("hop"))
-    return edges.select("hop", "node", "slot", "neighbor"), idx
+    return edges.select("hop", "node", "slot", "neighbor", "edge"), idx
 
 
-def link_prediction_splits(edges: DataFrame, ledger_col: str = "ledger", n_future: int = 5,
-                           context_ledgers: int = 10) -> DataFrame:
-    """One row per boundary ledger b with non-empty context and future:
-    context = edges with ledger < b, cut to the last ``context_ledgers`` distinct ledgers;
-    future = edges with b <= ledger < b + n_future.  Reports n_context, n_future and the number
-    of distinct accounts over both windows.
+def split_edges(edges: DataFrame, ledger_col: str = "ledger", n_future: int = 5, context_ledgers: int = 10) -> DataFrame:
+    """(split, part, src, dst) of every boundary ledger with a context and a future:
+    context = edges of the last ``context_ledgers`` distinct ledgers before it; future = edges
+    with split <= ledger < split + n_future.
 
     Each edge is expanded to the (at most context_ledgers + n_future) splits that contain it -
-    the theta join becomes an equi join on the boundary - and counted per split."""
-    e = edges.select(F.col(ledger_col).cast("long").alias("t"), "src", "dst")
+    the theta join becomes an equi join on the boundary.  The edges are materialised once."""
+    e = cut_lineage(edges.select(F.col(ledger_col).cast("long").alias("t"), "src", "dst"))
     led = e.select("t").distinct()
-    ranked = with_global_rank(led, ["t"], "r").select("t", "r")
-    er = e.join(ranked, "t")
+    ranked = cut_lineage(with_global_rank(led, ["t"], "r").select("t", "r"))
     # context: boundary rank r_b in [r + 1, r + K]
-    ctx = er.select("src", "dst", F.explode(F.sequence(F.col("r") + 1, F.col("r") + context_ledgers)).alias("rb"))
-    ctx = ctx.join(ranked.select(F.col("r").alias("rb"), F.col("t").alias("b")), "rb").drop("rb")
-    # future: boundary value b in (t - n_future, t] among existing ledgers
-    fut = e.select("src", "dst", F.explode(F.sequence(F.col("t") - (n_future - 1), F.col("t"))).alias("b"))
-    fut = fut.join(led.select(F.col("t").alias("b")), "b", "left_semi")
-    nc = ctx.groupBy("b").agg(F.count(F.lit(1)).alias("n_context"))
-    nf = fut.groupBy("b").agg(F.count(F.lit(1)).alias("n_future"))
-    both = ctx.unionByName(fut).select("b", F.explode(F.array("src", "dst")).alias("acct"))
-    nn = both.groupBy("b").agg(F.count_distinct("acct").alias("n_nodes"))
-    return nc.join(nf, "b").join(nn, "b").withColumnRenamed("b", "boundary")
+    ctx = e.join(ranked, "t").select("src", "dst", F.explode(F.sequence(F.col("r") + 1, F.col("r") + context_ledgers)).alias("rb"))
+    ctx = ctx.join(ranked.select(F.col("r").alias("rb"), F.col("t").alias("split")), "rb").drop("rb")
+    # future: boundary value in (t - n_future, t] among existing ledgers but the first
+    fut = e.select("src", "dst", F.explode(F.sequence(F.col("t") - (n_future - 1), F.col("t"))).alias("split"))
+    fut = fut.join(ranked.where("r > 0").select(F.col("t").alias("split")), "split", "left_semi")
+    return ctx.select("split", F.lit("context").alias("part"), "src", "dst").unionByName(
+        fut.select("split", F.lit("future").alias("part"), "src", "dst"))
+
+
+def link_prediction_splits(edges: DataFrame, ledger_col: str = "ledger", n_future: int = 5,
+                           context_ledgers: int = 10) -> DataFrame:
+    """K1: one row per split: n_context, n_future and the number of distinct accounts in both."""
+    s = split_edges(edges, ledger_col, n_future, context_ledgers)
+    c = s.groupBy("split").agg(F.count_if(F.col("part") == "context").alias("n_context"),
+                               F.count_if(F.col("part") == "future").alias("n_future"))
+    nodes = s.select("split", F.explode(F.array("src", "dst")).alias("node")).groupBy("split").agg(
+        F.count_distinct("node").alias("n_nodes"))
+    return c.join(nodes, "split").withColumnRenamed("split", "boundary")
 
 
 def negative_samples(split_nodes: DataFrame, positives: DataFrame, n_neg: DataFrame, seed: int = 42,
                      budget: int = 10) -> DataFrame:
     """Per split s, draws i < budget * n_neg(s) of (u, v) = positions
-    pmod(xxhash64(seed, s, i, 0|1), N(s)) in the split's sorted node list; u != v, not a
-    positive pair, unique; the n_neg(s) draws with the smallest i are kept (fewer when the
-    graph is too dense, as the reference returns fewer)."""
+    hash(seed, s, i, 0|1) mod N(s) in the split's sorted node list; u != v, not a positive pair,
+    unique; the n_neg(s) draws with the smallest i are kept (fewer when the graph is too dense,
+    as the reference returns fewer).  Draws are generated in blocks, so a large split is no
+    large row."""
     n = split_nodes.groupBy("split").agg(F.count(F.lit(1)).alias("_N"))
     idx = rank_within(split_nodes.select("split", "node"), ["split"], ["node"], "_i")
-    d = n_neg.join(n, "split").select("split", "n_neg", "_N",
-                                      F.explode(F.sequence(F.lit(0), F.col("n_neg") * budget - 1)).alias("draw"))
-    d = d.select("split", "n_neg", "draw",
-                 F.pmod(F.xxhash64(F.lit(seed), "split", "draw", F.lit(0)), F.col("_N")).alias("_u"),
-                 F.pmod(F.xxhash64(F.lit(seed), "split", "draw", F.lit(1)), F.col("_N")).alias("_v"))
-    d = d.where(F.col("_u") != F.col("_v"))
+    total = F.col("n_neg") * budget
+    d = n_neg.join(n, "split").select("split", "n_neg", "_N", F.explode(F.sequence(
+        F.lit(0).cast("long"), F.floor((total - 1) / _BLOCK))).alias("_b"))
+    d = d.repartition("split", "_b")
+    d = d.select("split", "n_neg", "_N", F.explode(F.sequence(
+        F.col("_b") * _BLOCK, F.least(F.col("_b") * _BLOCK + _BLOCK, total) - 1)).alias("draw"))
+    at = lambda side: F.pmod(draw60(F.lit(seed), F.col("split"), F.col("draw"), F.lit(side)), F.col("_N"))
+    d = d.select("split", "n_neg", "draw", at(0).alias("_u"), at(1).alias("_v")).where(F.col("_u") != F.col("_v"))
     d = d.join(idx.select("split", F.col("_i").alias("_u"), F.col("node").alias("u")), ["split", "_u"]) \
          .join(idx.select("split", F.col("_i").alias("_v"), F.col("node").alias("v")), ["split", "_v"])
     d = d.join(positives.select("split", F.col("src").alias("u"), F.col("dst").alias("v")), ["split", "u", "v"], "left_anti")

@@ -1,9 +1,11 @@
 """Train/test splitting and leakage checks."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.scalar import draw60
 from ..plans.ordering import with_global_rank
 
 
@@ -34,11 +36,17 @@ def split_three_way(df: DataFrame, ts_col: str, tie_col: str, train: float = 0.7
             .drop("_n"))
 
 
+def key_fields(df: DataFrame, key_col: str) -> list[Column]:
+    """The key column, or the fields of a struct key."""
+    kind = df.schema[key_col].dataType
+    return [F.col(f"{key_col}.{f}") for f in kind.fieldNames()] if isinstance(kind, T.StructType) else [F.col(key_col)]
+
+
 def random_split(df: DataFrame, key_col: str, ratios: dict[str, float], seed: int = 42) -> DataFrame:
-    """Stable hash split; ratios must sum to 1.  u = xxhash64(key, seed) in [0, 1)."""
+    """Stable hash split; ratios must sum to 1.  u = hash(key fields, seed) in [0, 1)."""
     if abs(sum(ratios.values()) - 1.0) > 1e-9:
         raise ValueError("ratios must sum to 1")
-    u = F.pmod(F.xxhash64(F.col(key_col), F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    u = F.pmod(draw60(*key_fields(df, key_col), F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     expr, acc = None, 0.0
     items = list(ratios.items())
     for i, (name, r) in enumerate(items):
@@ -49,8 +57,8 @@ def random_split(df: DataFrame, key_col: str, ratios: dict[str, float], seed: in
 
 
 def kfold(df: DataFrame, key_col: str, k: int = 5, seed: int = 42) -> DataFrame:
-    """fold = pmod(xxhash64(key, seed), k)."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(F.col(key_col), F.lit(seed)), F.lit(k)).cast("int"))
+    """fold = hash(key fields, seed) mod k."""
+    return df.withColumn("fold", F.pmod(draw60(*key_fields(df, key_col), F.lit(seed)), F.lit(k)).cast("int"))
 
 
 def kfold_time_blocked(df: DataFrame, ts_col: str, tie_col: str, k: int = 5) -> DataFrame:

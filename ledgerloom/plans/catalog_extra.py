@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scalar import sql_draw60
 from ..operators import encoding as enc
 from ..operators import features as feat
 from ..operators import ingest as ig
@@ -162,14 +163,23 @@ def q_time_encoding(spark, sf_dir):
                     F.col("time_encoding")[1].alias("c0"), F.col("time_encoding")[6].alias("s3"))
 
 
-@register("edge_type_features", operators="X11 (amount + stable hash of the operation type; invariant-checked)")
+@register("edge_type_features", operators="X11 (amount + stable hash of the operation type)",
+          sql=with_views(f"""SELECT type, ({sql_draw60('type')} % 1000) / 1000.0 AS type_feature, CAST(COUNT(*) AS BIGINT) AS n
+FROM ops_x GROUP BY 1, 2""", "ops_x"), doubles=["type_feature"])
 def q_edge_feats(spark, sf_dir):
     flat = ig.parse_json(raw_ops(spark, sf_dir), ig.OPERATION_SCHEMA, keep=("seq",)).select("seq", "r.*")
     n = ig.normalize_backfill(flat, "seq")
     return enc.edge_features(n).groupBy("type", "type_feature").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("temporal_augmentation", operators="X12 (time noise, age-weighted dropout, scaling; invariant-checked)")
+@register("temporal_augmentation", operators="X12 (time noise, age-weighted dropout, scaling)",
+          sql=with_views(f"""SELECT CAST(COUNT(*) AS BIGINT) AS kept, MIN(noisy) AS min_t, MAX(noisy) AS max_t, MAX(scaled) AS max_scaled FROM (
+  SELECT LEAST(GREATEST(t + 0.01 * SQRT(-2 * LN((({sql_draw60('edge_id', '0', '1')} % {1 << 30}) + 1) / {float((1 << 30) + 1)!r}))
+      * COS(2 * PI() * (({sql_draw60('edge_id', '0', '2')} % {1 << 30}) / {float(1 << 30)!r})), 0.0), 1.0) AS noisy,
+    LEAST(GREATEST(t * (0.8 + (1.2 - 0.8) * (({sql_draw60('0', '0', '9')} % {1 << 40}) / {float(1 << 40)!r})), 0.0), 1.0) AS scaled,
+    ({sql_draw60('edge_id', '0', '3')} % {1 << 40}) / {float(1 << 40)!r} >= 0.1 * (1.0 - t) AS keep
+  FROM (SELECT edge_id, (ts - MIN(ts) OVER ()) / CAST(MAX(ts) OVER () - MIN(ts) OVER () AS DOUBLE) AS t FROM acct_edges) n) a WHERE keep""",
+                         "acct_edges"), doubles=["min_t", "max_t", "max_scaled"])
 def q_augment(spark, sf_dir):
     e = minmax_normalize(acct_edges(spark, sf_dir), "ts", "t")
     a = enc.augment(e, "t", "edge_id")

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scalar import sql_draw60
 from ..operators import graph as gr
 from ..sources.adapters import acct_edges, trade_edges, with_views
 from ..sources.tables import read_table
@@ -132,7 +133,14 @@ def q_betweenness_trade(spark, sf_dir):
     return gr.betweenness_centrality(trade_edges(spark, sf_dir))
 
 
-@register("betweenness_sampled", operators="R2 (sample_size: 64 hash-chosen sources, no rescale, as the reference; invariant-checked)")
+_SAMPLE_SQL = f"""bsrc AS (SELECT node FROM (SELECT src AS node FROM trade_edges UNION SELECT dst FROM trade_edges) n
+  ORDER BY {sql_draw60('node', '42')}, node LIMIT 64)"""
+
+
+@register("betweenness_sampled", operators="R2 (sample_size: 64 hash-chosen sources, no rescale, as the reference)",
+          sql=with_views("SELECT node, betweenness FROM bbtw", "trade_edges",
+                         extra=[_SAMPLE_SQL] + _sql_bfs("trade_edges", "bsrc") + _sql_betweenness()),
+          doubles=["betweenness"])
 def q_betweenness_sampled(spark, sf_dir):
     return gr.betweenness_centrality(trade_edges(spark, sf_dir), sample_size=64)
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scalar import sql_draw60
 from ..operators import quality as qa
 from ..operators import splits as sp
 from ..sources.adapters import acct_edges, epoch_seconds, reports, txn, validators, with_views
@@ -220,7 +221,12 @@ def q_split_three(spark, sf_dir):
         .agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("random_split", operators="W16 (stable hash split; invariant-checked, no SQL twin of xxhash64)")
+_RID_SQL = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "42"]
+
+
+@register("random_split", operators="W16 (stable hash split)",
+          sql=f"""SELECT CASE WHEN u < 0.7 THEN 'train' WHEN u < {0.7 + 0.1!r} THEN 'val' ELSE 'test' END AS split, CAST(COUNT(*) AS BIGINT) AS n
+FROM (SELECT ({sql_draw60(*_RID_SQL)} % {1 << 40}) / {float(1 << 40)!r} AS u FROM lineitem) r GROUP BY 1""")
 def q_random_split(spark, sf_dir):
     return sp.random_split(_features(spark, sf_dir), "rid", {"train": 0.7, "val": 0.1, "test": 0.2}) \
         .groupBy("split").agg(F.count(F.lit(1)).alias("n"))
@@ -248,7 +254,8 @@ def q_dedupe_seen(spark, sf_dir):
     return qa.dedupe_against_seen(batch, seen, "hash", "seq").select("seq", "id", "hash")
 
 
-@register("kfold", operators="N13 (hash folds; invariant-checked)")
+@register("kfold", operators="N13 (hash folds)",
+          sql=f"""SELECT CAST({sql_draw60(*_RID_SQL)} % 5 AS BIGINT) AS fold, CAST(COUNT(*) AS BIGINT) AS n FROM lineitem GROUP BY 1""")
 def q_kfold(spark, sf_dir):
     return sp.kfold(_features(spark, sf_dir), "rid", 5).groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
 

@@ -3,10 +3,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scalar import sql_draw60
 from ..operators import features as feat
 from ..operators import propagate as pg
 from ..operators import sampling as sm
 from ..sources.adapters import acct_edges, next_in_sequence, with_views
+from ..session import cut_lineage
 from ..sources.tables import read_table
 from .registry import register
 
@@ -25,30 +27,61 @@ _FEATS_SQL = """nf AS (SELECT node, CAST(SUM(1 - is_out) AS DOUBLE) AS in_degree
 
 
 def _adj(spark, sf_dir):
-    e = acct_edges(spark, sf_dir)
-    return e.select(F.col("src").alias("u"), F.col("dst").alias("v")).distinct()
+    return sm.in_neighbours(acct_edges(spark, sf_dir))
 
 
-@register("neighbor_sample_counts", operators="R8 (exactly k samples per node with neighbours)",
-          sql=with_views("SELECT src AS node, CAST(5 AS BIGINT) AS n_samples, CAST(COUNT(DISTINCT dst) >= 5 AS BOOLEAN) AS without_replacement "
-                         "FROM acct_edges GROUP BY src", "acct_edges"))
+@register("neighbor_sample_counts", operators="R8 (exactly k samples per node with in-neighbours)",
+          sql=with_views("SELECT dst AS node, CAST(5 AS BIGINT) AS n_samples, COUNT(*) >= 5 AS without_replacement "
+                         "FROM acct_edges GROUP BY dst", "acct_edges"))
 def q_nbr_counts(spark, sf_dir):
     s = sm.sample_neighbors(_adj(spark, sf_dir), 5)
     return s.groupBy("node").agg(F.count(F.lit(1)).alias("n_samples"),
-                                 (F.count_distinct("neighbor") == 5).alias("without_replacement"))
+                                 (F.count_distinct("edge") == 5).alias("without_replacement"))
 
 
-@register("neighbor_sample", operators="R8 (hash-seeded neighbour sample; invariant-checked)")
+def _sql_sample(name: str, frontier: str | None, k: int, seed: int) -> list[str]:
+    """CTEs of a sample of k in-neighbours of the frontier's nodes."""
+    only = f" WHERE dst IN (SELECT node FROM {frontier})" if frontier else ""
+    return [f"""{name}_o AS MATERIALIZED (SELECT dst AS node, src AS neighbor, edge_id AS edge, COUNT(*) OVER (PARTITION BY dst) AS deg,
+  ROW_NUMBER() OVER (PARTITION BY dst ORDER BY {sql_draw60(str(seed), 'dst', 'src', 'edge_id')}, src, edge_id) - 1 AS pos FROM acct_edges{only})""",
+            f"""{name} AS MATERIALIZED (SELECT node, pos AS slot, neighbor, edge FROM {name}_o WHERE deg >= {k} AND pos < {k}
+  UNION ALL SELECT o.node, d.slot, o.neighbor, o.edge FROM (SELECT DISTINCT node, deg, UNNEST(range({k})) AS slot FROM {name}_o WHERE deg < {k}) d
+  JOIN {name}_o o ON o.node = d.node AND o.pos = {sql_draw60(str(seed), 'd.node', 'd.slot')} % d.deg)"""]
+
+
+@register("neighbor_sample", operators="R8 (in-neighbours with parallel edges, hash-seeded)",
+          sql=with_views("SELECT node, CAST(slot AS BIGINT) AS slot, neighbor, edge FROM s", "acct_edges",
+                         extra=_sql_sample("s", None, 5, 42)))
 def q_nbr_sample(spark, sf_dir):
     return sm.sample_neighbors(_adj(spark, sf_dir), 5)
 
 
-@register("multi_hop_sample", operators="R9 J10 (fanout [25, 10] frontier joins, targets first, local indices)")
-def q_multi_hop(spark, sf_dir):
+_HOPS2_SQL = (["h0 AS (SELECT DISTINCT dst AS node FROM acct_edges WHERE dst IN ('1', '2', '3'))"]
+              + _sql_sample("s1", "h0", 25, 43)
+              + ["h1 AS MATERIALIZED (SELECT DISTINCT neighbor AS node FROM s1 WHERE neighbor NOT IN (SELECT node FROM h0))"]
+              + _sql_sample("s2", "h1", 10, 44)
+              + ["h2 AS (SELECT DISTINCT neighbor AS node FROM s2 WHERE neighbor NOT IN (SELECT node FROM h0 UNION SELECT node FROM h1))"])
+
+
+def _two_hops(spark, sf_dir):
     adj = _adj(spark, sf_dir)
     targets = adj.select(F.col("u").alias("node")).distinct().where(F.col("node").isin("1", "2", "3"))
-    _, idx = sm.multi_hop_sample(adj, targets, [25, 10])
-    return idx
+    return sm.multi_hop_sample(adj, targets, [25, 10])
+
+
+@register("multi_hop_sample", operators="R9 J10 (fanout [25, 10] frontier joins: nodes, targets first, local indices)",
+          sql=with_views("""SELECT node, CAST(ROW_NUMBER() OVER (ORDER BY hop, node) - 1 AS BIGINT) AS local_index, CAST(hop AS BIGINT) AS hop
+FROM (SELECT node, 0 AS hop FROM h0 UNION ALL SELECT node, 1 FROM h1 UNION ALL SELECT node, 2 FROM h2) n""",
+                         "acct_edges", extra=_HOPS2_SQL))
+def q_multi_hop(spark, sf_dir):
+    return _two_hops(spark, sf_dir)[1]
+
+
+@register("multi_hop_edges", operators="R9 J10 (the sampled edges of both hops)",
+          sql=with_views("""SELECT CAST(1 AS BIGINT) AS hop, node, CAST(slot AS BIGINT) AS slot, neighbor, edge FROM s1
+UNION ALL SELECT 2, node, slot, neighbor, edge FROM s2""", "acct_edges", extra=_HOPS2_SQL))
+def q_multi_hop_edges(spark, sf_dir):
+    return _two_hops(spark, sf_dir)[0]
 
 
 _NM_SQL = """SELECT n.node, """ + ", ".join(
@@ -142,19 +175,35 @@ def q_lp_splits(spark, sf_dir):
     return sm.link_prediction_splits(_ledger_edges(spark, sf_dir), "ledger", 5, 10)
 
 
-@register("negative_samples", operators="K2 J8 (hash draws, not positive, no self pairs; invariant-checked)")
+_SPLIT_SQL = ["""e AS MATERIALIZED (SELECT src, dst, ts // 3600 AS t FROM acct_edges)""",
+              """l AS MATERIALIZED (SELECT t, DENSE_RANK() OVER (ORDER BY t) AS r FROM (SELECT DISTINCT t FROM e) d)""",
+              """sp AS MATERIALIZED (SELECT b.t AS split, 'context' AS part, e.src, e.dst FROM l b JOIN l x ON x.r < b.r AND x.r >= b.r - 10 JOIN e ON e.t = x.t
+  UNION ALL SELECT b.t, 'future', e.src, e.dst FROM l b JOIN e ON e.t >= b.t AND e.t < b.t + 5 WHERE b.r > 1)"""]
+
+
+@register("link_prediction_edges", operators="K1 (context and future edges of every split)",
+          sql=with_views("SELECT CAST(split AS BIGINT) AS split, part, src, dst FROM sp", "acct_edges", extra=_SPLIT_SQL))
+def q_lp_edges(spark, sf_dir):
+    return sm.split_edges(_ledger_edges(spark, sf_dir), "ledger", 5, 10)
+
+
+@register("negative_samples", operators="K2 J8 (hash draws among the accounts of context and future, no positive or self pairs)",
+          sql=with_views(f"""WITH nd AS MATERIALIZED (SELECT split, node, ROW_NUMBER() OVER (PARTITION BY split ORDER BY node) - 1 AS i,
+    COUNT(*) OVER (PARTITION BY split) AS n FROM (SELECT split, src AS node FROM sp UNION SELECT split, dst FROM sp) x),
+q AS (SELECT split, COUNT(*) AS n_neg FROM sp WHERE part = 'future' GROUP BY split),
+d AS (SELECT q.split, q.n_neg, m.n, UNNEST(range(q.n_neg * 10)) AS draw FROM q JOIN (SELECT DISTINCT split, n FROM nd) m ON m.split = q.split),
+p AS MATERIALIZED (SELECT split, n_neg, draw, {sql_draw60('42', 'split', 'draw', '0')} % n AS u, {sql_draw60('42', 'split', 'draw', '1')} % n AS v FROM d),
+c AS (SELECT p.split, p.n_neg, a.node AS u, b.node AS v, MIN(p.draw) AS draw FROM p JOIN nd a ON a.split = p.split AND a.i = p.u
+      JOIN nd b ON b.split = p.split AND b.i = p.v WHERE p.u <> p.v
+      AND NOT EXISTS (SELECT 1 FROM sp f WHERE f.part = 'future' AND f.split = p.split AND f.src = a.node AND f.dst = b.node)
+      GROUP BY 1, 2, 3, 4)
+SELECT CAST(split AS BIGINT) AS split, u, v FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY split ORDER BY draw) AS k FROM c) r WHERE k <= n_neg""",
+                         "acct_edges", extra=_SPLIT_SQL))
 def q_negatives(spark, sf_dir):
-    e = _ledger_edges(spark, sf_dir).select(F.col("ledger").cast("long").alias("t"), "src", "dst")
-    led = e.select("t").distinct()
-    fut = e.select("src", "dst", F.explode(F.sequence(F.col("t") - 4, F.col("t"))).alias("split")) \
-        .join(led.select(F.col("t").alias("split")), "split", "left_semi")
-    nodes = fut.select("split", F.explode(F.array("src", "dst")).alias("node")).distinct()
-    n_neg = fut.groupBy("split").agg(F.greatest(F.lit(1), F.count(F.lit(1))).alias("n_neg"))
-    neg = sm.negative_samples(nodes, fut, n_neg)
-    bad = neg.join(fut.select("split", F.col("src").alias("u"), F.col("dst").alias("v")), ["split", "u", "v"], "left_semi")
-    return neg.groupBy("split").agg(F.count(F.lit(1)).alias("n_negatives")) \
-        .crossJoin(bad.agg(F.count(F.lit(1)).alias("positive_violations"))) \
-        .crossJoin(neg.where(F.col("u") == F.col("v")).agg(F.count(F.lit(1)).alias("self_pairs")))
+    s = cut_lineage(sm.split_edges(_ledger_edges(spark, sf_dir), "ledger", 5, 10))
+    nodes = s.select("split", F.explode(F.array("src", "dst")).alias("node")).distinct()
+    future = s.where("part = 'future'").select("split", "src", "dst")
+    return sm.negative_samples(nodes, future, future.groupBy("split").agg(F.count(F.lit(1)).alias("n_neg")))
 
 
 _STD_SQL = """zs AS (SELECT node, """ + ", ".join(

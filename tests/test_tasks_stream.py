@@ -11,7 +11,7 @@ from tests.conftest import SF01, edges_df
 
 
 def test_neighbor_sampling_exact_k(spark):
-    adj = spark.createDataFrame([("a", "b"), ("a", "c"), ("a", "d"), ("e", "f")], "u string, v string")
+    adj = spark.createDataFrame([("a", "b", 1), ("a", "c", 2), ("a", "d", 3), ("e", "f", 4)], "u string, v string, edge int")
     s = sm.sample_neighbors(adj, 2)
     n = {r.node: r["count"] for r in s.groupBy("node").count().collect()}
     assert n == {"a": 2, "e": 2}
@@ -19,6 +19,27 @@ def test_neighbor_sampling_exact_k(spark):
     assert sm.sample_neighbors(adj, 0).count() == 4
 
 
+def test_sampling_draws_in_neighbours_and_parallel_edges(spark):
+    rows = [("x", "t", 1.0, 1), ("x", "t", 1.0, 2), ("y", "t", 1.0, 3), ("t", "z", 1.0, 4)]
+    adj = sm.in_neighbours(edges_df(spark, rows).withColumn("edge_id", F.col("ts")))
+    got = [(r.node, r.neighbor, r.edge) for r in sm.sample_neighbors(adj, 3).collect()]
+    assert sorted(g for g in got if g[0] == "t") == [("t", "x", 1), ("t", "x", 2), ("t", "y", 3)]
+    assert {g[:2] for g in got if g[0] != "t"} == {("z", "t")} and len(got) == 6
+    edges, nodes = sm.multi_hop_sample(adj, spark.createDataFrame([("z",)], "node string"), [2, 3])
+    assert {(r.hop, r.node, r.neighbor) for r in edges.collect()} == {(1, "z", "t"), (2, "t", "x"), (2, "t", "y")}
+    assert [r.node for r in nodes.orderBy("local_index").collect()] == ["z", "t", "x", "y"]
+
+
+def test_negative_samples_exclude_positives_and_selves(spark):
+    nodes = spark.createDataFrame([(1, f"n{i:02d}") for i in range(40)] + [(2, "a"), (2, "b")], "split long, node string")
+    pos = spark.createDataFrame([(1, f"n{i:02d}", f"n{i + 1:02d}") for i in range(39)] + [(2, "a", "b")], "split long, src string, dst string")
+    want = spark.createDataFrame([(1, 300), (2, 5)], "split long, n_neg long")
+    got = [tuple(r) for r in sm.negative_samples(nodes, pos, want).collect()]
+    taken = {tuple(r) for r in pos.collect()}
+    assert len(got) == len(set(got)) and not taken & set(got) and all(u != v for _, u, v in got)
+    assert sum(g[0] == 1 for g in got) == 300 and [g for g in got if g[0] == 2] == [(2, "b", "a")]
+
+
 def test_link_prediction_invariants(spark):
     import random
     rnd = random.Random(1)
