@@ -17,111 +17,117 @@ from .catalog_quality import _FIELDS, _HASH_SQL
 from .registry import register
 
 
-def land_in_time_order(df, order_col: str, folder: str, chunks: int = 4, fmt: str = "text") -> None:
-    """Write ``df`` as ``chunks`` files in ascending ``order_col`` ranges, one append job each,
-    so the file source sees them in time order (micro-batches of one file)."""
+def land_in_time_order(df, order_col: str, run, fmt: str = "text", chunks: int = 4) -> None:
+    """Lands ``df`` in ``chunks`` ascending ranges of ``order_col`` and calls ``run(landing)`` after
+    each: the stream resumes from its checkpoint and takes the new files as one micro-batch.
+
+    The rows are written once, partitioned by chunk (as many files as the scan has tasks), and
+    a chunk lands by moving its folder."""
+    spark = df.sparkSession
     b = df.agg(F.min(order_col).alias("a"), F.max(order_col).alias("b")).first()
-    lo, hi = b["a"], b["b"]
+    lo, hi = b["a"] or 0, b["b"] or 0
     width = max((hi - lo) / chunks, 1)
+    stage, landing = fl.shared_dir(spark, "stage"), fl.shared_dir(spark, "landing")
+    chunk = F.least(F.floor((F.col(order_col) - lo) / width), F.lit(chunks - 1)).cast("int")
+    w = df.withColumn("_chunk", chunk).drop(order_col).write.partitionBy("_chunk")
+    (w.text(stage) if fmt == "text" else w.json(stage))
+    fs, at = sj._path(spark, landing)
+    fs.mkdirs(at)
     for i in range(chunks):
-        c = df.where((F.col(order_col) >= lo + i * width) & ((F.col(order_col) < lo + (i + 1) * width)
-                                                           if i < chunks - 1 else F.lit(True)))
-        w = c.drop(order_col).coalesce(1).write.mode("append")
-        (w.text(folder) if fmt == "text" else w.json(folder))
+        part = sj._path(spark, f"{stage}/_chunk={i}")[1]
+        if fs.exists(part):
+            for f in fs.listStatus(part):
+                fs.rename(f.getPath(), sj._path(spark, f"{landing}/{i}-{f.getPath().getName()}")[1])
+            run(landing)
 
 
-def _ops_landing(spark, sf_dir):
-    r = raw_ops(spark, sf_dir)
-    folder = fl.shared_dir(spark, "landing-ops")
-    land_in_time_order(r.select("seq", "raw").withColumnRenamed("raw", "value"), "seq", folder)
-    return folder
+def _ingest(spark, sf_dir):
+    r = raw_ops(spark, sf_dir).select("seq", F.col("raw").alias("value"))
+    table, quarantine, ck = (fl.shared_dir(spark, n) for n in ("ops-table", "quarantine", "ck-ingest"))
+    with sj.state_partitions(spark):
+        land_in_time_order(r, "seq", lambda landing: sj.ingest_operations(
+            spark, landing, table, quarantine, ck).awaitTermination())
+    return table
 
 
 @register("stream_ingest", operators="M1 M2 A12 A10 (landing -> normalised ops, keyed upsert per micro-batch)",
           sql=with_views(_NORM_SQL + " WHERE type <> 'path_payment_strict_send' UNION ALL " + _HOPS_SQL, "ops_x"),
           doubles=["amount"])
 def q_stream_ingest(spark, sf_dir):
-    landing = _ops_landing(spark, sf_dir)
-    table, quarantine, ck = (fl.shared_dir(spark, n) for n in ("ops-table", "quarantine", "ck-ingest"))
-    with sj.state_partitions(spark):
-        q = sj.ingest_operations(spark, landing, table, quarantine, ck, max_files=1)
-        q.awaitTermination()
-    return spark.read.parquet(table).select("transaction_hash", "sender", "receiver", "asset", "amount",
-                                            F.unix_timestamp("timestamp").alias("ts"))
+    t = spark.read.parquet(_ingest(spark, sf_dir))
+    w = t.groupBy("transaction_hash", "operation_id").agg(F.max("batch_id").alias("batch_id"))
+    return t.join(w, ["transaction_hash", "operation_id", "batch_id"], "left_semi").select(
+        "transaction_hash", "sender", "receiver", "asset", "amount", F.unix_timestamp("timestamp").alias("ts"))
 
 
 @register("stream_statistics", operators="M7 (processed records of the ingest stream)",
           sql="SELECT CAST(COUNT(*) AS BIGINT) AS processed FROM events")
 def q_stream_stats(spark, sf_dir):
-    landing = _ops_landing(spark, sf_dir)
-    table, quarantine, ck = (fl.shared_dir(spark, n) for n in ("ops-table", "quarantine", "ck-stats"))
-    with sj.state_partitions(spark):
-        q = sj.ingest_operations(spark, landing, table, quarantine, ck, max_files=1)
-        q.awaitTermination()
-    st = sj.stream_statistics(q)
-    return spark.createDataFrame([(st["processed"],)], "processed long")
+    return sj.stream_statistics(spark, _ingest(spark, sf_dir)).select("processed")
 
 
 _TXN_SCHEMA = "seq long, id string, source_account string, amount string, payload string, timestamp string"
 
 
-def _txn_landing(spark, sf_dir):
-    t = txn(spark, sf_dir)
-    folder = fl.shared_dir(spark, "landing-txn")
-    land_in_time_order(t.withColumn("_o", F.col("timestamp").cast("long")), "_o", folder, fmt="json")
-    return folder
-
-
 @register("stream_dedupe", operators="M3 Q2 (dropDuplicatesWithinWatermark on the record hash)",
           sql=with_views(f"SELECT DISTINCT {_HASH_SQL} AS hash FROM txn2", "txn"))
 def q_stream_dedupe(spark, sf_dir):
-    landing = _txn_landing(spark, sf_dir)
     out, ck = fl.shared_dir(spark, "dedupe-out"), fl.shared_dir(spark, "ck-dedupe")
-    s = spark.readStream.schema(_TXN_SCHEMA).option("maxFilesPerTrigger", 1).json(landing)
-    s = qa.with_hash(s, _FIELDS).withColumn("event_time", F.timestamp_seconds(F.col("timestamp").cast("long")))
-    d = sj.dedupe_stream(s, "hash", "event_time", "1 day")
+
+    def run(landing):
+        s = spark.readStream.schema(_TXN_SCHEMA).json(landing)
+        s = qa.with_hash(s, _FIELDS).withColumn("event_time", F.timestamp_seconds(F.col("timestamp").cast("long")))
+        d = sj.dedupe_stream(s, "hash", "event_time", "1 day")
+        d.select("hash", "seq").writeStream.format("parquet").option("path", out).option("checkpointLocation", ck) \
+            .trigger(availableNow=True).start().awaitTermination()
+
+    t = txn(spark, sf_dir)
     with sj.state_partitions(spark):
-        q = d.select("hash", "seq").writeStream.format("parquet").option("path", out) \
-            .option("checkpointLocation", ck).trigger(availableNow=True).start()
-        q.awaitTermination()
+        land_in_time_order(t.withColumn("_o", F.col("timestamp").cast("long")), "_o", run, fmt="json")
     return spark.read.parquet(out).select("hash")
 
 
-@register("stream_error_rates", operators="M5 (per 10-minute window: records, validation errors, rates, alert)",
+def _upserted(spark, counts, name, keys, df, order, schema):
+    """Streams ``df`` through ``counts(stream)`` (update mode) into an upserted table."""
+    out, ck = fl.shared_dir(spark, f"{name}-out"), fl.shared_dir(spark, f"ck-{name}")
+
+    def run(landing):
+        counts(spark.readStream.schema(schema).json(landing)).writeStream.outputMode("update") \
+            .foreachBatch(sj.upsert_sink(out, keys)).option("checkpointLocation", ck) \
+            .trigger(availableNow=True).start().awaitTermination()
+
+    with sj.state_partitions(spark):
+        land_in_time_order(df.withColumn("_o", order), "_o", run, fmt="json")
+    return sj.latest(spark, out, keys)
+
+
+@register("stream_error_rates", operators="M5 (per 5-minute window: records, validation errors, rates, alert)",
           sql=with_views("""SELECT CAST(w AS BIGINT) AS window_start, CAST(COUNT(*) AS BIGINT) AS records,
   CAST(SUM(CASE WHEN id IS NULL OR source_account IS NULL OR TRY_CAST(amount AS DOUBLE) IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS errors,
-  COUNT(*) / 600.0 AS records_per_sec,
-  SUM(CASE WHEN id IS NULL OR source_account IS NULL OR TRY_CAST(amount AS DOUBLE) IS NULL THEN 1 ELSE 0 END) / 600.0 AS errors_per_sec,
-  SUM(CASE WHEN id IS NULL OR source_account IS NULL OR TRY_CAST(amount AS DOUBLE) IS NULL THEN 1 ELSE 0 END) / 600.0 > 0.1 AS error_alert
-FROM (SELECT *, (CAST("timestamp" AS BIGINT) // 600) * 600 AS w FROM txn2) t GROUP BY w""", "txn"),
+  COUNT(*) / 300.0 AS records_per_sec,
+  SUM(CASE WHEN id IS NULL OR source_account IS NULL OR TRY_CAST(amount AS DOUBLE) IS NULL THEN 1 ELSE 0 END) / 300.0 AS errors_per_sec,
+  SUM(CASE WHEN id IS NULL OR source_account IS NULL OR TRY_CAST(amount AS DOUBLE) IS NULL THEN 1 ELSE 0 END) / 300.0 > 0.1 AS error_alert
+FROM (SELECT *, (CAST("timestamp" AS BIGINT) // 300) * 300 AS w FROM txn2) t GROUP BY w""", "txn"),
           doubles=["records_per_sec", "errors_per_sec"])
 def q_stream_rates(spark, sf_dir):
-    landing = _txn_landing(spark, sf_dir)
-    out, ck = fl.shared_dir(spark, "rates-out"), fl.shared_dir(spark, "ck-rates")
-    s = spark.readStream.schema(_TXN_SCHEMA).option("maxFilesPerTrigger", 1).json(landing)
-    s = qa.validate(s, ["id", "source_account"], {"amount": "double"}) \
-        .withColumn("event_time", F.timestamp_seconds(F.col("timestamp").cast("long")))
-    c = (s.withWatermark("event_time", "1 day").groupBy(F.window("event_time", "600 seconds").alias("window"))
-         .agg(F.count(F.lit(1)).alias("records"), F.sum((~F.col("is_valid")).cast("long")).alias("errors"))
-         .select(F.unix_timestamp(F.col("window.start")).alias("window_start"), "records", "errors"))
-    with sj.state_partitions(spark):
-        q = c.writeStream.outputMode("update").foreachBatch(sj.upsert_sink(out, ["window_start"])) \
-            .option("checkpointLocation", ck).trigger(availableNow=True).start()
-        q.awaitTermination()
-    return sj.rate_alerts(spark.read.parquet(out).drop("_batch"), 600)
+    def counts(s):
+        s = qa.validate(s, ["id", "source_account"], {"amount": "double"}) \
+            .withColumn("event_time", F.timestamp_seconds(F.col("timestamp").cast("long")))
+        return (s.withWatermark("event_time", "1 day").groupBy(F.window("event_time", "300 seconds").alias("window"))
+                .agg(F.count(F.lit(1)).alias("records"), F.sum((~F.col("is_valid")).cast("long")).alias("errors"))
+                .select(F.unix_timestamp(F.col("window.start")).alias("window_start"), "records", "errors"))
+
+    t = txn(spark, sf_dir)
+    return sj.rate_alerts(_upserted(spark, counts, "rates", ["window_start"], t, F.col("timestamp").cast("long"), _TXN_SCHEMA), 300)
 
 
-@register("stall_windows", operators="M5 stall (empty 10-minute windows between the first and last)",
-          sql=with_views("""WITH c AS (SELECT (CAST("timestamp" AS BIGINT) // 600) * 600 AS w, COUNT(*) AS n FROM txn2 GROUP BY 1),
-s AS (SELECT UNNEST(range(CAST((SELECT MIN(w) FROM c) AS BIGINT), CAST((SELECT MAX(w) FROM c) + 600 AS BIGINT), 600)) AS w)
-SELECT CAST(s.w AS BIGINT) AS window_start, CAST(COALESCE(c.n, 0) AS BIGINT) AS records, COALESCE(c.n, 0) = 0 AS stalled
-FROM s LEFT JOIN c ON c.w = s.w""", "txn"))
+@register("stall_windows", operators="M5 stall (rate over 10 minutes zero, held 15 minutes)",
+          sql=with_views("""SELECT ts AS last_record, ts + 1500 AS stalled_from, nx AS next_record FROM (
+  SELECT CAST("timestamp" AS BIGINT) AS ts, LEAD(CAST("timestamp" AS BIGINT)) OVER (ORDER BY CAST("timestamp" AS BIGINT), seq) AS nx FROM txn2) t
+WHERE nx - ts > 1500""", "txn"))
 def q_stalls(spark, sf_dir):
-    t = txn(spark, sf_dir).withColumn("window_start", F.timestamp_seconds(
-        F.floor(F.col("timestamp").cast("long") / 600) * 600))
-    counts = t.groupBy("window_start").agg(F.count(F.lit(1)).alias("records")).withColumn("stream_type", F.lit("txn"))
-    st = sj.stall_windows(counts, "window_start", 600)
-    return st.select(F.unix_timestamp("window_start").alias("window_start"), "records", "stalled")
+    t = txn(spark, sf_dir).select("seq", F.col("timestamp").cast("long").alias("ts"), F.lit("txn").alias("stream_type"))
+    return sj.stalls(t, "ts", "seq", "stream_type").drop("stream_type")
 
 
 @register("stream_window_counts", operators="M4 (7-day windows sliding 1 day, half-open, watermark, upsert sink)",
@@ -130,23 +136,16 @@ def q_stalls(spark, sf_dir):
 FROM (SELECT e.*, ((ts // 86400) - k) * 86400 AS ws FROM acct_edges e, range(0, 7) r(k)) x GROUP BY ws""", "acct_edges"),
           doubles=["volume"])
 def q_stream_windows(spark, sf_dir):
+    def counts(s):
+        return (s.withColumn("event_time", F.timestamp_seconds("ts")).withWatermark("event_time", "8 days")
+                .groupBy(F.window("event_time", "7 days", "1 day").alias("window"))
+                .agg(F.count(F.lit(1)).alias("edge_count"),
+                     F.sum(F.coalesce("amount", F.lit(0.0)).cast("decimal(38,7)")).cast("double").alias("volume"))
+                .select(F.unix_timestamp("window.start").alias("window_start"),
+                        F.unix_timestamp("window.end").alias("window_end"), "edge_count", "volume"))
+
     e = acct_edges(spark, sf_dir).select("src", "dst", "amount", "ts")
-    folder = fl.shared_dir(spark, "landing-edges")
-    land_in_time_order(e.withColumn("_o", F.col("ts")), "_o", folder, fmt="json")
-    out, ck = fl.shared_dir(spark, "windows-out"), fl.shared_dir(spark, "ck-windows")
-    s = spark.readStream.schema("src string, dst string, amount double, ts long").option("maxFilesPerTrigger", 1) \
-        .json(folder).withColumn("event_time", F.timestamp_seconds("ts"))
-    c = (s.withWatermark("event_time", "8 days")
-         .groupBy(F.window("event_time", "7 days", "1 day").alias("window"))
-         .agg(F.count(F.lit(1)).alias("edge_count"),
-              F.sum(F.coalesce("amount", F.lit(0.0)).cast("decimal(38,7)")).cast("double").alias("volume"))
-         .select(F.unix_timestamp("window.start").alias("window_start"),
-                 F.unix_timestamp("window.end").alias("window_end"), "edge_count", "volume"))
-    with sj.state_partitions(spark):
-        q = c.writeStream.outputMode("update").foreachBatch(sj.upsert_sink(out, ["window_start"])) \
-            .option("checkpointLocation", ck).trigger(availableNow=True).start()
-        q.awaitTermination()
-    return spark.read.parquet(out).drop("_batch")
+    return _upserted(spark, counts, "windows", ["window_start"], e, F.col("ts"), "src string, dst string, amount double, ts long")
 
 
 @register("stream_consensus", operators="M6 G13 (stateful distinct validators per account, update mode)",
@@ -156,17 +155,9 @@ FROM reports r JOIN validators v ON r.validator = v.validator
 WHERE v.is_active AND v.reputation >= 50 AND r.confidence >= 60 GROUP BY r.account_id""", "reports"))
 def q_stream_consensus(spark, sf_dir):
     rp = reports(spark, sf_dir)
-    folder = fl.shared_dir(spark, "landing-reports")
-    land_in_time_order(rp.withColumn("_o", F.col("ts")), "_o", folder, fmt="json")
-    out, ck = fl.shared_dir(spark, "consensus-out"), fl.shared_dir(spark, "ck-consensus")
-    s = spark.readStream.schema("account_id long, validator string, confidence int, seq long, ts long") \
-        .option("maxFilesPerTrigger", 1).json(folder)
-    c = sj.consensus_stream(s, validators(spark))
-    with sj.state_partitions(spark):
-        q = c.writeStream.outputMode("update").foreachBatch(sj.upsert_sink(out, ["account_id"])) \
-            .option("checkpointLocation", ck).trigger(availableNow=True).start()
-        q.awaitTermination()
-    return spark.read.parquet(out).drop("_batch").withColumn("n_validators", F.col("n_validators").cast("long"))
+    c = _upserted(spark, lambda s: sj.consensus_stream(s, validators(spark)), "consensus", ["account_id"], rp, F.col("ts"),
+                  "account_id long, validator string, confidence int, seq long, ts long")
+    return c.withColumn("n_validators", F.col("n_validators").cast("long"))
 
 
 _BACKFILL_SQL = """SELECT ledger_sequence, operation_id, transaction_hash, type, sender,

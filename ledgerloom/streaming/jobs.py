@@ -3,19 +3,21 @@ stream dedupe (M3), windowed snapshot counts (M4), ingest/error rates and stall
 running fraud consensus with state (M6) and stream statistics (M7).
 
 Records arrive as JSON text files in a landing directory.  Each query has its own checkpoint
-location (the resume cursor, M2).  Sinks are ``foreachBatch`` upserts keyed by the record key:
-a replayed micro-batch rewrites the same rows, so at-least-once delivery gives exactly-once
-tables.
+location (the resume cursor, M2).  Sinks add each micro-batch as one folder, published by a
+rename, and readers take the last batch of a key: a replayed batch changes nothing, a crash
+leaves no half-written table, and a batch costs its own size.
 """
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ingest as ig
+from ..plans.ordering import windowed
 
 
 class state_partitions:
@@ -47,69 +49,69 @@ def landing_stream(spark: SparkSession, landing: str, max_files: int | None = No
     return r.load(landing)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    """True when the table folder holds at least one data file (recursively)."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        return False
-    it = fs.listFiles(p, True)
-    while it.hasNext():
-        name = it.next().getPath().getName()
-        if not name.startswith(("_", ".")):
-            return True
-    return False
+def _path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def commit_batch(df: DataFrame, table: str, batch_id: int) -> None:
+    """Adds one micro-batch to a table as the folder ``batch_id=<n>``.
 
+    The rows are written beside it first and moved in by one rename, so readers see a batch as
+    a whole or not at all; a batch that is there already (a replay) is left as it is."""
+    spark = df.sparkSession
+    fs, target = _path(spark, f"{table}/batch_id={batch_id}")
+    if fs.exists(target):
+        return
+    stage = f"{table}/_stage/{uuid.uuid4().hex}"
+    df.write.parquet(stage)
+    if not fs.rename(_path(spark, stage)[1], target) and not fs.exists(target):
+        raise OSError(f"cannot publish batch {batch_id} of {table}")
 
-def _upsert_batch(table: str, keys: list[str], order_col: str, partition_cols: list[str] = ()):
-    """foreachBatch sink: merge the batch into a parquet table by key, last write wins.
 
-    With ``partition_cols`` (a column fixed by the key, e.g. the event day) only the partitions
-    the batch touches are read, merged and replaced (dynamic partition overwrite), so a
-    micro-batch costs the size of its partitions, not of the table.  The merge is staged in its
-    own folder first because a job may not overwrite a path it reads.  A replayed batch merges
-    to the same rows (same keys, same version), so the sink is idempotent."""
-    pc = list(partition_cols)
+def latest(spark: SparkSession, table: str, keys: list[str]) -> DataFrame:
+    """The table's current rows: per key the row of its last batch (a grouped maximum)."""
+    t = spark.read.parquet(table)
+    rest = [c for c in t.columns if c not in (*keys, "batch_id")]
+    g = t.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("_r"))
+    return g.select(*keys, "_r.*")
 
+
+def upsert_sink(table: str, keys: list[str], order_cols: list[str] = ()):
+    """foreachBatch writer of an upserted table (read it with :func:`latest`).
+
+    Inside a batch the row with the largest ``order_cols`` wins; without them the batch has one
+    row per key already (update-mode aggregates)."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        b = batch.withColumn("_batch", F.lit(batch_id).cast("long"))
-        if b.isEmpty():
-            return
-        if not _exists(spark, table):
-            b.write.mode("overwrite").partitionBy(*pc).parquet(table)
-            return
-        cur = spark.read.parquet(table)
-        if pc:
-            cur = cur.join(b.select(*pc).distinct(), pc, "left_semi")
-        merged = ig.upsert(cur, b, keys, order_col)
-        stage = f"{table}._stage_{batch_id}"
-        merged.write.mode("overwrite").partitionBy(*pc).parquet(stage)
-        out = spark.read.parquet(stage).write.mode("overwrite")
-        if pc:
-            out = out.option("partitionOverwriteMode", "dynamic").partitionBy(*pc)
-        out.parquet(table)
+        b = batch
+        if order_cols:
+            rest = [c for c in b.columns if c not in keys]
+            b = b.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order_cols)).alias("_r")).select(*keys, "_r.*")
+        commit_batch(b, table, batch_id)
     return write
 
 
 def ingest_operations(spark: SparkSession, landing: str, table: str, quarantine: str, checkpoint: str,
                       max_files: int | None = None, available_now: bool = True):
     """M1/M2: landing JSON -> normalised operations (path payments as hops, A10) upserted by
-    transaction hash; undecodable lines go to the quarantine table.  Returns the query."""
-    raw = landing_stream(spark, landing, max_files).select(F.col("value").alias("raw"))
-    parsed = raw.select("raw", F.from_json("raw", ig.OPERATION_SCHEMA).alias("r"))
+    transaction hash and operation; undecodable lines go to the quarantine table.  Inside a
+    batch the record of the newest file wins, then the larger text.  ``<table>_stats`` gets the
+    number of records of each batch.  Returns the query."""
+    raw = landing_stream(spark, landing, max_files).select(
+        F.col("value").alias("raw"), F.col("_metadata.file_modification_time").alias("_landed"))
+    parsed = raw.select("raw", "_landed", F.from_json("raw", ig.OPERATION_SCHEMA).alias("r"))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()   # two outputs read the batch; scan it once
-        good = batch.where(F.col("r").isNotNull() & F.col("r.transaction_hash").isNotNull()).select("raw")
-        bad = batch.where(F.col("r").isNull() | F.col("r.transaction_hash").isNull()).select(
-            "raw", F.lit(batch_id).cast("long").alias("batch_id"))
-        norm = (ig.normalize_with_hops(good).withColumn("_version", F.lit(batch_id).cast("long"))
-                .withColumn("day", F.floor(F.unix_timestamp("timestamp") / 86400).cast("int")))
-        _upsert_batch(table, ["transaction_hash", "operation_id"], "_version", ["day"])(norm, batch_id)
-        bad.write.mode("append").parquet(quarantine)
-        batch.unpersist()
+        batch = batch.persist()       # the stream's plan runs once for the outputs below
+        try:
+            ok = F.col("r").isNotNull() & F.col("r.transaction_hash").isNotNull()
+            good = batch.where(ok).groupBy("r.transaction_hash", "r.id").agg(
+                F.max_by("raw", F.struct("_landed", "raw")).alias("raw")).select("raw")
+            commit_batch(ig.normalize_with_hops(good), table, batch_id)
+            commit_batch(batch.where(~F.coalesce(ok, F.lit(False))).select("raw"), quarantine, batch_id)
+            commit_batch(batch.agg(F.count(F.lit(1)).alias("records")), f"{table}_stats", batch_id)
+        finally:
+            batch.unpersist()
 
     w = parsed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
@@ -140,18 +142,19 @@ def rate_alerts(counts: DataFrame, window_seconds: int, error_rate_limit: float
             .withColumn("error_alert", F.col("errors_per_sec") > F.lit(error_rate_limit)))
 
 
-def stall_windows(counts: DataFrame, ts_start_col: str, step_seconds: int, stall_windows_needed: int = 1,
-                  group_col: str = "stream_type") -> DataFrame:
-    """M5 stall (batch twin): complete the window sequence per stream type between its first and
-    last window (empty windows emit nothing in a stream) and flag runs of zero-record windows.
-    The window table is bounded by the time span / step."""
-    b = counts.groupBy(group_col).agg(F.min(ts_start_col).alias("_a"), F.max(ts_start_col).alias("_b"))
-    seq = b.select(group_col, F.explode(F.sequence("_a", "_b", F.expr(f"INTERVAL {step_seconds} SECONDS")))
-                   .alias(ts_start_col))
-    full = seq.join(counts.select(group_col, ts_start_col, "records"), [group_col, ts_start_col], "left") \
-        .fillna({"records": 0})
-    w = Window.partitionBy(group_col).orderBy(ts_start_col).rowsBetween(-(stall_windows_needed - 1), 0)
-    return full.withColumn("stalled", F.max(F.col("records")).over(w) == 0)
+# Alert rules (seconds): no record for the range, held for the hold time.
+STALL_RANGE, STALL_HOLD = 600, 900
+
+
+def stalls(records: DataFrame, ts_col: str, tie_col: str, group_col: str, quiet: int = STALL_RANGE + STALL_HOLD) -> DataFrame:
+    """M5 stall: (group, last_record, stalled_from, next_record) wherever two records in a row
+    are more than ``quiet`` seconds apart: the rate over the range is then zero during the whole
+    hold time.  Neighbouring records are found over chunks of a range-partitioned order, so a
+    stream type is no single task."""
+    r = windowed(records.select(group_col, ts_col, tie_col), [group_col], [F.col(ts_col), F.col(tie_col)], 0, 1,
+                 lambda w: [F.lead(ts_col).over(w).alias("next_record")])
+    return r.where(F.col("next_record") - F.col(ts_col) > quiet).select(
+        group_col, F.col(ts_col).alias("last_record"), (F.col(ts_col) + quiet).alias("stalled_from"), "next_record")
 
 
 CONSENSUS_STATE = "validators array<string>"
@@ -164,7 +167,7 @@ def consensus_stream(reports: DataFrame, validators: DataFrame, threshold: int =
     table (stream-static join), then ``applyInPandasWithState`` keeps the distinct validators
     of each account (bounded by the validator registry) and emits the current count and the
     fraudulent flag (>= threshold) in update mode."""
-    ok = (reports.join(F.broadcast(validators), "validator")
+    ok = (reports.join(validators, "validator")
           .where(F.col("is_active") & (F.col("reputation") >= min_reputation) & (F.col("confidence") >= min_confidence))
           .select("account_id", "validator"))
 
@@ -180,19 +183,8 @@ def consensus_stream(reports: DataFrame, validators: DataFrame, threshold: int =
         update, CONSENSUS_OUT, CONSENSUS_STATE, "update", "NoTimeout")
 
 
-def upsert_sink(table: str, keys: list[str]):
-    """foreachBatch writer for update-mode aggregates: upsert by key, newest batch wins."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        _upsert_batch(table, keys, "_batch")(batch, batch_id)
-    return write
-
-
-def stream_statistics(query) -> dict:
-    """M7: processed rows, batches, rows per second of the last batch and the last source offset."""
-    prog = query.recentProgress
-    rows = sum(p.get("numInputRows", 0) for p in prog) if prog else 0
-    last = prog[-1] if prog else {}
-    src = (last.get("sources") or [{}])[0]
-    return {"processed": int(rows), "batches": len(prog),
-            "rows_per_second": float(last.get("processedRowsPerSecond", 0.0) or 0.0),
-            "last_offset": str(src.get("endOffset"))}
+def stream_statistics(spark: SparkSession, table: str) -> DataFrame:
+    """M7: records and micro-batches that the ingest into ``table`` has processed so far, over
+    all its runs (from what each batch wrote, not from the session's bounded progress list)."""
+    return spark.read.parquet(f"{table}_stats").agg(
+        F.coalesce(F.sum("records"), F.lit(0)).alias("processed"), F.count_distinct("batch_id").alias("batches"))
