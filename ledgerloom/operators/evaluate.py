@@ -335,13 +335,14 @@ def sphere_scores(vectors: DataFrame, id_col: str, vec_col: str, nu: float = 0.0
     standard scaler; 0-variance dims -> 0), centre = mean (0 after scaling), score = squared
     distance to the centre, radius = linear (1 - nu) quantile of the scores, outlier = score > radius.
 
-    Per-dimension statistics are one grouped aggregate over exploded values; the dimension
-    table has one row per vector dimension (fixed by the schema) and is broadcast."""
-    ex = vectors.select(id_col, F.posexplode(vec_col).alias("d", "x")).withColumn("x", F.col("x").cast("double"))
-    st = ex.groupBy("d").agg(F.avg("x").alias("_mu"), F.stddev_pop("x").alias("_sd"))
-    z = ex.join(F.broadcast(st), "d").select(
-        id_col, F.when(F.col("_sd") > 0, (F.col("x") - F.col("_mu")) / F.col("_sd")).otherwise(0.0).alias("z"))
-    sc = z.groupBy(id_col).agg(F.sum(F.col("z") * F.col("z")).alias("score"))
+    Per-dimension statistics are one grouped aggregate (combined map-side) that ends as one row
+    with an array, one entry per vector dimension; rows are scored in place, without a shuffle."""
+    ex = vectors.select(F.posexplode(vec_col).alias("d", "x")).withColumn("x", F.col("x").cast("double"))
+    st = ex.groupBy("d").agg(F.avg("x").alias("mu"), F.stddev_pop("x").alias("sd"))
+    st = st.agg(F.array_sort(F.collect_list(F.struct("d", "mu", "sd"))).alias("_st"))
+    z = F.zip_with(F.col(vec_col), F.col("_st"), lambda x, s: F.when(s["sd"] > 0, (x.cast("double") - s["mu"]) / s["sd"]).otherwise(0.0))
+    sc = vectors.crossJoin(F.broadcast(st)).select(
+        id_col, F.aggregate(z, F.lit(0.0), lambda a, x: a + x * x).alias("score"))
     rad = exact_percentiles(sc, "score", {"radius": 1 - nu})
     return sc.crossJoin(F.broadcast(rad)).withColumn("is_outlier", F.col("score") > F.col("radius"))
 

@@ -237,11 +237,12 @@ def normalize_with_hops(raw: DataFrame, raw_col: str = "raw") -> DataFrame:
     return r.select(F.explode(rows).alias("o")).select("o.*")
 
 
+# The columns of the normalised backfill.
 BACKFILL_COLUMNS = ["ledger_sequence", "operation_id", "transaction_hash", "type", "sender", "receiver",
                     "asset", "amount", "timestamp"]
 
 
-def normalize_backfill(rows: DataFrame, order_col: str | None = None) -> DataFrame:
+def normalize_backfill(rows: DataFrame, order_col: str) -> DataFrame:
     """A3: normalise raw backfill rows (flat columns, any subset; missing ones read as null).
 
     sender = coalesce(source_account, from, funder); receiver = coalesce(to, account if
@@ -250,7 +251,8 @@ def normalize_backfill(rows: DataFrame, order_col: str | None = None) -> DataFra
     code:issuer / code / UNKNOWN; ledger = coalesce(ledger_sequence, ledger, sequence);
     timestamp = coalesce(created_at, closed_at, timestamp) as UTC; hash = coalesce(transaction_hash,
     hash).  Rows missing ledger, sender, hash or timestamp are dropped; (hash, operation_id)
-    keeps its first row by ``order_col`` (row_number, not dropDuplicates).
+    keeps its first row by ``order_col``, which must be given: without an order there is no first
+    row.  Rows with a null hash and id are many; the grouped minimum combines them map-side.
     """
     names = set(rows.columns)
 
@@ -258,7 +260,7 @@ def normalize_backfill(rows: DataFrame, order_col: str | None = None) -> DataFra
         return F.col(f"`{name}`").cast("string") if name in names else F.lit(None).cast("string")
     typ = c("type")
     x = rows.select(
-        *([F.col(order_col).alias("_ord")] if order_col else [F.lit(0).alias("_ord")]),
+        F.col(order_col).alias("_ord"),
         F.coalesce(c("ledger_sequence"), c("ledger"), c("sequence")).try_cast("long").alias("ledger_sequence"),
         c("id").try_cast("long").alias("operation_id"),
         F.coalesce(c("transaction_hash"), c("hash")).alias("transaction_hash"),
@@ -276,9 +278,10 @@ def normalize_backfill(rows: DataFrame, order_col: str | None = None) -> DataFra
     # (valid first, ingest order), kept when valid".  Written this way no filter sits on the
     # parsed fields, so the optimizer cannot push one below the projection and decode the
     # records a second time in the scan stage.
-    w = Window.partitionBy("transaction_hash", "operation_id").orderBy(F.col("_valid").desc(), "_ord")
-    return (x.withColumn("_valid", valid).withColumn("_rn", F.row_number().over(w))
-            .where((F.col("_rn") == 1) & F.col("_valid")).select(*BACKFILL_COLUMNS))
+    keys = ["transaction_hash", "operation_id"]
+    rest = [n for n in BACKFILL_COLUMNS if n not in keys]
+    first = x.groupBy(*keys).agg(F.min_by(F.struct(valid.alias("_valid"), *rest), F.struct((~valid).alias("_late"), "_ord")).alias("_r"))
+    return first.where("_r._valid").select(*keys, "_r.*").select(*BACKFILL_COLUMNS)
 
 
 def ingest_range(ledgers: DataFrame, processed: DataFrame, start: int | None, end: int | None,
@@ -306,11 +309,11 @@ def ingest_range(ledgers: DataFrame, processed: DataFrame, start: int | None, en
 
 def upsert(target: DataFrame, batch: DataFrame, keys: list[str], order_col: str) -> DataFrame:
     """Keyed merge, last write wins (largest ``order_col``; batch after target on ties)."""
-    t = target.withColumn("_src", F.lit(0))
-    b = batch.withColumn("_src", F.lit(1))
-    u = t.unionByName(b, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy(F.col(order_col).desc(), F.col("_src").desc())
-    return u.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_src")
+    u = target.withColumn("_src", F.lit(0)).unionByName(batch.withColumn("_src", F.lit(1)), allowMissingColumns=True)
+    names = [c for c in u.columns if c != "_src"]
+    rest = [c for c in names if c not in keys]
+    g = u.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(order_col, "_src")).alias("_r"))
+    return g.select(*keys, "_r.*").select(*names)
 
 
 def ledger_stubs(tx: DataFrame, ledgers: DataFrame) -> DataFrame:

@@ -2,14 +2,14 @@
 
 Noise is drawn from a seeded, stateless hash of (key, seed, salt), so a rerun or a retried
 task reproduces it.  For integral keys the hash is plain 64-bit arithmetic (reproducible in
-SQL); other keys use xxhash64."""
+SQL); other keys use a hash SQL can repeat."""
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import draw60
+
 # Amount bucket upper bounds and time-of-day bucket starts (decision table).
 AMOUNT_BOUNDS = [1, 10, 100, 1000, 10000]
 HOUR_BUCKETS = [0, 4, 8, 12, 16, 20]
@@ -66,10 +66,10 @@ def bucket_profile(tx: DataFrame, wallet_col: str, amount_col: str, ts_col: str,
 
 
 def wallet_signatures(tx: DataFrame, wallet_col: str, counterparty_col: str, bits: int = 64) -> DataFrame:
-    """64-bit behaviour signature per wallet: bit (xxhash64(counterparty) mod 64) set for
+    """64-bit behaviour signature per wallet: bit (hash of the counterparty mod 64) set for
     every counterparty (``bit_or`` aggregate)."""
-    b = F.expr(f"shiftleft(cast(1 as bigint), cast(pmod(xxhash64(`{counterparty_col}`), {bits}) as int))")
-    return tx.groupBy(wallet_col).agg(F.bit_or(b).alias("signature"))
+    t = tx.select(wallet_col, F.pmod(draw60(F.col(counterparty_col)), F.lit(bits)).cast("int").alias("_b"))
+    return t.groupBy(wallet_col).agg(F.bit_or(F.expr("shiftleft(cast(1 as bigint), _b)")).alias("signature"))
 
 
 def signature_uniqueness(sigs: DataFrame, wallet_col: str, bits: int = 64) -> DataFrame:
@@ -127,5 +127,3 @@ def privacy_utility(tx: DataFrame, wallet_col: str, epsilons: list[float], seed:
     return x.groupBy("epsilon").agg(F.avg(F.abs(noise)).alias("mean_abs_error"),
                                     F.avg(F.abs(noise) / F.col("count")).alias("mean_rel_error"))
 
-
-LN2 = math.log(2.0)

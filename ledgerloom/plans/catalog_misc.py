@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scalar import sql_draw60
 from ..operators import documented as dc
 from ..operators import fraud as fr
 from ..operators import ingest as ig
@@ -176,7 +177,13 @@ def q_buckets(spark, sf_dir):
     return pv.bucket_profile(acct_edges(spark, sf_dir), "src", "amount", "ts", "dst")
 
 
-@register("signature_uniqueness", operators="P3 (bit signatures; uniqueness from per-bit counts, no pair enumeration)")
+@register("signature_uniqueness", operators="P3 (bit signatures; uniqueness from per-bit counts, no pair enumeration)",
+          sql=with_views(f"""WITH b AS (SELECT DISTINCT src, {sql_draw60('dst')} % 64 AS bit FROM acct_edges),
+c AS (SELECT bit, COUNT(*) AS c FROM b GROUP BY bit), n AS (SELECT COUNT(DISTINCT src) AS n FROM acct_edges),
+w AS (SELECT s.src, k.bit, b.bit IS NOT NULL AS is_set FROM (SELECT DISTINCT src FROM acct_edges) s
+      CROSS JOIN (SELECT UNNEST(range(64)) AS bit) k LEFT JOIN b ON b.src = s.src AND b.bit = k.bit)
+SELECT w.src, SUM(CASE WHEN is_set THEN n - COALESCE(c, 0) ELSE COALESCE(c, 0) END) / ((ANY_VALUE(n) - 1) * 64.0) AS uniqueness
+FROM w CROSS JOIN n LEFT JOIN c ON c.bit = w.bit GROUP BY w.src""", "acct_edges"), doubles=["uniqueness"])
 def q_uniqueness(spark, sf_dir):
     e = acct_edges(spark, sf_dir)
     return pv.signature_uniqueness(pv.wallet_signatures(e, "src", "dst"), "src")
@@ -347,8 +354,8 @@ def q_class_weights(spark, sf_dir):
 @register("ensemble", operators="N12 (mean class probability over 3 models, argmax, accuracy)",
           sql="""WITH u AS (SELECT vec_id, label, i - 1 AS j, CAST(x AS DOUBLE) AS x FROM
     (SELECT vec_id, label, UNNEST(range(1, len(embedding) + 1)) AS i, UNNEST(embedding) AS x FROM embeddings) z),
-m AS (SELECT u.vec_id, u.label, k.k AS model, u.j - k.k AS class, u.x FROM u CROSS JOIN (SELECT UNNEST([0, 1, 2]) AS k) k
-      WHERE u.j - k.k BETWEEN 0 AND 9),
+m AS (SELECT u.vec_id, u.label, k.k AS model, (u.j + k.k) % 10 AS class, SUM(u.x) AS x
+      FROM u CROSS JOIN (SELECT UNNEST([0, 1, 2]) AS k) k GROUP BY 1, 2, 3, 4),
 m2 AS (SELECT *, EXP(x - MAX(x) OVER (PARTITION BY vec_id, model)) AS ex FROM m),
 p AS (SELECT vec_id, label, model, class, ex / SUM(ex) OVER (PARTITION BY vec_id, model) AS prob FROM m2),
 a AS (SELECT vec_id, label, class, AVG(prob) AS pbar FROM p GROUP BY vec_id, label, class),
@@ -360,7 +367,9 @@ def q_ensemble(spark, sf_dir):
     e = read_table(spark, sf_dir, "embeddings")
     ex = e.select(F.col("vec_id").alias("id"), F.posexplode("embedding").alias("j", "x")).withColumn("x", F.col("x").cast("double"))
     ks = spark.range(3).select(F.col("id").cast("int").alias("model"))
-    m = ex.crossJoin(F.broadcast(ks)).withColumn("class", F.col("j") - F.col("model")).where(F.col("class").between(0, 9))
+    # a model's logit of a class is the sum over every tenth dimension, begun at another place
+    m = ex.crossJoin(F.broadcast(ks)).withColumn("class", F.pmod(F.col("j") + F.col("model"), F.lit(10)))
+    m = m.groupBy("id", "model", "class").agg(F.sum("x").alias("x"))
     mx = m.groupBy("id", "model").agg(F.max("x").alias("_mx"))
     m = m.join(mx, ["id", "model"]).withColumn("_e", F.exp(F.col("x") - F.col("_mx")))
     den = m.groupBy("id", "model").agg(F.sum("_e").alias("_d"))

@@ -26,22 +26,25 @@ from ..session import cut_lineage
 
 
 _TARGET_BYTES = 128 * 1024 * 1024
+_UNKNOWN = 1 << 60
+_ROW_GROWTH = 16        # rows in memory against files on disk, and rows that joins add
 
 
 def _num_partitions(df: DataFrame, num_partitions: int | None) -> int:
     """Explicit count, else about one range partition per 128 MB of the optimizer's size
-    estimate, at least the default parallelism and at most ``spark.sql.shuffle.partitions``
-    (an explicit count is never coalesced by AQE, so it is sized here)."""
+    estimate, at least the default parallelism, without an upper bound (an explicit count is
+    never coalesced by AQE, so it is sized here).  Estimates of joins multiply and can be far
+    too large; they are then bounded by that of the leaves."""
     if num_partitions:
         return int(num_partitions)
     spark = df.sparkSession
-    upper = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    lower = max(min(spark.sparkContext.defaultParallelism, upper), 1)
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - no estimate: use the session setting
-        return upper
-    return int(min(upper, max(lower, -(-size // _TARGET_BYTES))))
+    plan = df._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    read = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    if read >= _UNKNOWN:        # a leaf without an estimate
+        return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = min(int(str(plan.stats().sizeInBytes())), _ROW_GROWTH * max(read, 1))
+    return int(max(spark.sparkContext.defaultParallelism, -(-size // _TARGET_BYTES)))
 
 
 def with_global_rank(df: DataFrame, order_cols: list[str | Column], rank_col: str = "_rank",
@@ -102,31 +105,23 @@ def exact_percentiles(df: DataFrame, value_col: str, qs: dict[str, float],
     """One row with the exact linear-interpolated percentile of ``value_col`` for each q.
 
     Same definition as ``percentile``/pandas ``quantile``: pos = (n-1) q, interpolate between
-    the values at ranks floor(pos) and ceil(pos).  Nulls are ignored.  Only the two rows per
-    quantile around pos are kept after the ranking, so nothing large meets in one task.
+    the values at ranks floor(pos) and ceil(pos).  Nulls are ignored.  All quantiles come from one
+    pass over the distinct values.
     """
     v = df.select(F.col(value_col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    ranked = with_global_rank(v, ["_v"], num_partitions=num_partitions)
-    n = v.agg(F.count(F.lit(1)).alias("_n"))
-    wanted = None
-    for name, q in qs.items():
-        one = n.select(F.lit(name).alias("_q"), (F.col("_n") - 1) * F.lit(float(q)))\
-               .toDF("_q", "_pos")
-        wanted = one if wanted is None else wanted.unionByName(one)
-    wanted = wanted.select("_q", "_pos", F.floor("_pos").alias("_lo"), F.ceil("_pos").alias("_hi"))
-    picks = ranked.join(F.broadcast(wanted),
-                        (F.col("_rank") == F.col("_lo")) | (F.col("_rank") == F.col("_hi")))
-    agg = picks.groupBy("_q", "_pos", "_lo").agg(
-        F.max(F.when(F.col("_rank") == F.col("_lo"), F.col("_v"))).alias("_vlo"),
-        F.max(F.when(F.col("_rank") == F.col("_hi"), F.col("_v"))).alias("_vhi"))
+    # equal values are one row with their number, so a frequent value is no large task
+    g = with_cumulative_sums(v.groupBy("_v").agg(F.count(F.lit(1)).alias("_c")), [F.col("_v")], ["_c"],
+                             num_partitions=num_partitions)
+    n = F.broadcast(g.agg(F.max("cum__c").alias("_n")))
+    holds = lambda rank: (rank < F.col("cum__c")) & (rank >= F.col("cum__c") - F.col("_c"))
+    at = {name: (F.col("_n") - 1) * F.lit(float(q)) for name, q in qs.items()}
+    picks = [F.max(F.when(holds(end(pos)), F.col("_v"))).alias(f"{side}{i}")
+             for i, pos in enumerate(at.values()) for side, end in (("lo", F.floor), ("hi", F.ceil))]
+    one = g.crossJoin(n).agg(F.max("_n").alias("_n"), *picks)      # one row, also for no values
     if interpolation == "lower":
-        res = agg.select("_q", F.col("_vlo").alias("_val"))
-    else:
-        res = agg.select("_q", (F.col("_vlo") + (F.col("_pos") - F.col("_lo"))
-                                * (F.col("_vhi") - F.col("_vlo"))).alias("_val"))
-    # pivot the few quantile rows into one row with one conditional aggregate (a global
-    # aggregate yields one row even for empty input: nulls then)
-    return res.agg(*[F.max(F.when(F.col("_q") == name, F.col("_val"))).alias(name) for name in qs])
+        return one.select(*[F.col(f"lo{i}").alias(name) for i, name in enumerate(at)])
+    return one.select(*[(F.col(f"lo{i}") + (pos - F.floor(pos)) * (F.col(f"hi{i}") - F.col(f"lo{i}"))).alias(name)
+                        for i, (name, pos) in enumerate(at.items())])
 
 
 def windowed(df: DataFrame, partition_cols: list[str], order_cols: list[str | Column],

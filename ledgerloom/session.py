@@ -31,14 +31,17 @@ def build_session(app: str = "ledgerloom", cpus: int | str = "*", shuffle_partit
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint directory of the session.
 
-    The cluster names a shared folder in ``spark.checkpoint.dir``; that one is used.
-    Only when it is unset (local tests) a folder under the warehouse directory is set.
+    The cluster names a shared folder in ``spark.checkpoint.dir``; that one is used.  Only in
+    local mode (tests) a folder under the warehouse directory is set when there is none; on a
+    cluster a missing folder is an error, since executors share no local disk.
     """
     sc = spark.sparkContext
     cur = sc.getCheckpointDir()
     if cur:
         return cur
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    if not conf_dir and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not conf_dir:
         wh = spark.conf.get("spark.sql.warehouse.dir")
         conf_dir = os.path.join(wh, "_checkpoints", uuid.uuid4().hex)

@@ -14,12 +14,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a frame whose scan has fewer splits than the default parallelism.
-
-    For CPU-heavy row work (building / decoding JSON) on a table stored as one unsplittable
-    file; a table of many files - the normal case at scale - is returned unchanged."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < par:
-        return df.repartition(par)
-    return df
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Deals rows out for CPU-heavy row work (building / decoding JSON): to ``partitions``, by
+    default the cluster's parallelism, where a table is stored as few unsplittable files."""
+    return df.repartition(partitions or df.sparkSession.sparkContext.defaultParallelism)

@@ -53,7 +53,7 @@ def test_backfill_rows(spark):
         ("13", None, "payment", "G_SENDER", "G_X", None, "1", None, "native", None, None, "2024-01-01T00:00:03Z", "h4"),
     ], "id string, ledger string, type string, source_account string, to string, account string, amount string, "
        "starting_balance string, asset_type string, asset_code string, asset_issuer string, created_at string, transaction_hash string")
-    out = sorted(ig.normalize_backfill(rows).collect(), key=lambda r: r.operation_id)
+    out = sorted(ig.normalize_backfill(rows.withColumn("seq", F.monotonically_increasing_id()), "seq").collect(), key=lambda r: r.operation_id)
     assert [r.receiver for r in out] == ["G_RECEIVER", "G_NEW", None]
     assert [r.amount for r in out] == [12.5, 1000.0, None]
     assert [r.asset for r in out] == ["XLM", "UNKNOWN", "USDC:G_ISSUER"]

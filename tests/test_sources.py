@@ -21,7 +21,7 @@ def test_scan_backfill_format_detection(spark):
     with open(csv, "w") as f:
         f.write("id,ledger,type,source_account,created_at,transaction_hash\n2,201,payment,G3,2024-01-01T00:00:01Z,h2\n")
     assert fl.infer_format(spark, csv)[0] == "csv"
-    out = ig.normalize_backfill(fl.scan_backfill(spark, csv)).collect()
+    out = ig.normalize_backfill(fl.scan_backfill(spark, csv), "id").collect()
     assert [(r.ledger_sequence, r.sender) for r in out] == [(201, "G3")]
     pq = os.path.join(d, "pq")
     fl.write_parquet_zstd(fl.scan_backfill(spark, nd), pq)
