@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textblocks import U64, Words, as_bytes, filled_id, mix64, with_null_ids, words_of
+from .textblocks import U64, Words, as_bytes, filled_id, mix64, slices, with_null_ids, words_of
 
 #: spaced masks over 12 words, 8 of them compared
 MASKS = ("110100110111", "111010110011", "101101110101")
@@ -144,18 +144,6 @@ def index_parts(benchmark: DataFrame, index_words: int) -> list[DataFrame]:
     return [b.where(part == i) for i in range(parts)]
 
 
-def _pieces(texts: list[bytes], most: int = 4 << 20):
-    """Slices of the texts with a few MB each."""
-    lo = 0
-    while lo < len(texts):
-        hi, size = lo, 0
-        while hi < len(texts) and (hi == lo or size + len(texts[hi]) < most):
-            size += len(texts[hi])
-            hi += 1
-        yield lo, hi
-        lo = hi
-
-
 def _indexes(benchmark: DataFrame, min_words: int, index_words: int):
     """A broadcast index for each part of the benchmark."""
     for part in index_parts(benchmark, index_words):
@@ -175,7 +163,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_score: int = 12, min_wor
             ix = shared.value
             for pdf in batches:
                 texts, keys = as_bytes(pdf["text"]), pdf["doc_id"].tolist()
-                for lo, hi in _pieces(texts):
+                for lo, hi in slices(texts):
                     w = plain_words(texts[lo:hi])
                     base = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts[lo:hi]])])
                     rows = [(keys[lo + t], int(ix.item_ids[i]), seeds, at - int(w.first[t]), n, same,
@@ -198,7 +186,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, min_score: int = 12, min_words:
             for batch in batches:
                 texts = as_bytes(batch.column(at).to_pylist())
                 good = np.ones(len(texts), bool)
-                for lo, hi in _pieces(texts):
+                for lo, hi in slices(texts):
                     for found in shared.value.overlaps(plain_words(texts[lo:hi]), min_score):
                         good[lo + found[0]] = False
                 yield batch.filter(pa.array(good))

@@ -14,8 +14,9 @@ their sizes; a sketch of d + 1 parts therefore has an equal part for every linke
    Verified links give components.
 4. Rest: where a key still joins different components, members of different components are
    compared, in slices of at most ``slice_rows`` so that a frequent key is spread over tasks;
-   sketches reject, survivors are verified.  Members of one component need no more links, so no
-   link is lost and pairs inside a group of near-copies are never listed.
+   sketches reject, survivors are verified.  The first time a key only gives pairs that join
+   components not yet joined there, so a group of near-copies never lists its pairs; the second
+   time all that still lie in different components.  No link between components is lost.
 
 Equal sets are one element from the start (only their class is carried on).  A set is named by
 a 64-bit hash of its elements; shingles are compared by 64-bit hashes.
@@ -34,11 +35,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import star_components as components
 from ..session import cut_lineage
-from .components import components
 from .phrases import blocks_of
 from .recurring import SENT, member, received, recurring, send
-from .textblocks import U64, Words, as_bytes, mix64, word_windows, words_of
+from .textblocks import U64, Words, as_bytes, mix64, slices, with_null_ids, word_windows, words_of
 
 
 def shingle_sets(w: Words, size: int) -> list[np.ndarray]:
@@ -65,6 +66,12 @@ def name_of(s: np.ndarray) -> int:
     return int(mix64(np.array([x + s.sum(dtype=U64)], U64)).astype(np.int64)[0])
 
 
+def block_sets(pdf: pd.DataFrame, size: int) -> list[np.ndarray]:
+    """Shingle sets of a block's texts, A-Z lower-cased."""
+    texts = as_bytes(pdf["text"])
+    return [s for lo, hi in slices(texts) for s in shingle_sets(words_of(texts[lo:hi], lower=True), size)]
+
+
 class Bands:
     """Size bands, and how far linked sets of a pair of bands can differ."""
 
@@ -121,7 +128,7 @@ def _send_keys(size: int, percent: int, shards: int):
         bands = Bands(percent)
         seen: set[int] = set()
         keys = []
-        for s in shingle_sets(words_of(as_bytes(pdf["text"]), lower=True), size):
+        for s in block_sets(pdf, size):
             name = name_of(s)
             if name not in seen:
                 seen.add(name)
@@ -141,10 +148,10 @@ def _find(size: int, percent: int):
         if not len(pdf):
             return pd.DataFrame({c.split()[0]: [] for c in FOUND.split(", ")})
         bands, have, rows, seen = Bands(percent), received(back, 1), [], set()
-        sets = shingle_sets(words_of(as_bytes(pdf["text"]), lower=True), size)
+        sets = block_sets(pdf, size)
         for key, s in zip(pdf["doc_id"], sets):
             name = name_of(s)
-            rows.append((0, None if pd.isna(key) else int(key), name, len(s), None, None, None))
+            rows.append((0, int(key), name, len(s), 0, None, None))
             if name in seen:
                 continue
             seen.add(name)
@@ -153,11 +160,10 @@ def _find(size: int, percent: int):
                 keys = keys[member(keys[:, None], have)]
                 if len(keys):
                     some = True
-                    rows.append((1, None, name, len(s), g, keys.astype("<u8").tobytes(), sketch(mix64(s), words).tobytes()))
+                    rows.append((1, 0, name, len(s), g, keys.astype("<u8").tobytes(), sketch(mix64(s), words).tobytes()))
             if some:
-                rows.append((2, None, name, len(s), None, None, s.tobytes()))
-        out = pd.DataFrame(rows, columns=[c.split()[0] for c in FOUND.split(", ")])
-        return out.astype({"doc_id": "Int64", "band": "Int32"})
+                rows.append((2, 0, name, len(s), 0, None, s.tobytes()))
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in FOUND.split(", ")])
     return run
 
 
@@ -200,12 +206,15 @@ def _verify(percent: int):
     return run
 
 
-def _across(percent: int):
-    """Members of (key, slice pair) groups -> pairs of different components that may be linked."""
+def _across(percent: int, spanning: bool):
+    """Members of (key, slice pair) groups -> pairs of different components that may be linked:
+    all of them, or only such as join a component to one not yet joined in the group."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         bands, out = Bands(percent), []
         for (_, lo, hi), g in pdf.groupby(["key", "lo", "hi"]):
+            g = g.sort_values("name")
             name, n, root = (g[c].to_numpy(np.int64) for c in ("name", "n", "root"))
+            label = np.unique(root, return_inverse=True)[1]
             side = g["slice"].to_numpy() != lo if lo != hi else np.ones(len(g), bool)
             bits = np.stack([np.frombuffer(s, U64) for s in g["sketch"]])
             left = np.flatnonzero(~side) if lo != hi else np.arange(len(g))
@@ -213,11 +222,22 @@ def _across(percent: int):
             step = max(1, (1 << 21) // max(1, len(right) * bits.shape[1]))
             for i in range(0, len(left), step):
                 a = left[i:i + step]
-                ok = (root[a][:, None] != root[right][None, :]) & (name[a][:, None] != name[right][None, :])
-                if ok.any():
-                    ok &= _near(bits[a][:, None, :], bits[right][None, :, :], n[a][:, None], n[right][None, :], bands)
+                ok = label[a][:, None] != label[right][None, :]
+                if not ok.any():
+                    continue
+                ok &= _near(bits[a][:, None, :], bits[right][None, :, :], n[a][:, None], n[right][None, :], bands)
+                if not spanning:
                     x, y = np.nonzero(ok)
                     out.append(np.stack([name[a[x]], name[right[y]]], 1))
+                    continue
+                for j in np.flatnonzero(ok.any(1)):
+                    mates = right[ok[j]]
+                    other, first = np.unique(label[mates], return_index=True)
+                    new = other != label[a[j]]
+                    if new.any():
+                        mates = mates[first[new]]
+                        out.append(np.stack([np.full(len(mates), name[a[j]]), name[mates]], 1))
+                        label[np.isin(label, other[new])] = label[a[j]]
         pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
         pairs = np.unique(np.sort(pairs, 1), axis=0)
         return pd.DataFrame(pairs, columns=["a", "b"])
@@ -230,6 +250,19 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").mapInPandas(_verify(percent), "a long, b long")
 
 
+def _mixed(held: DataFrame, roots: DataFrame, sketches: DataFrame, slice_rows: int, buckets: int) -> DataFrame:
+    """Members of the keys that join several components, in pairs of slices, with sketches."""
+    m = held.join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
+    mixed = m.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
+    slices = F.ceil(F.col("members") / slice_rows).cast("int")
+    m = (m.join(mixed, "key").withColumn("slice", F.pmod(F.xxhash64("name"), slices).cast("int"))
+         .withColumn("other", F.explode(F.sequence(F.lit(0), slices - 1)))
+         .select("key", "name", "n", "band", "root", "slice", F.least("slice", "other").alias("lo"),
+                 F.greatest("slice", "other").alias("hi")))
+    return m.join(sketches.drop("n"), ["name", "band"]).withColumn(
+        "bucket", F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(buckets)))
+
+
 def link_documents(docs: DataFrame, size: int = 3, percent: int = 90, block_bytes: int = 6 << 20,
                    slice_rows: int = 4096) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of every row."""
@@ -253,18 +286,12 @@ def link_documents(docs: DataFrame, size: int = 3, percent: int = 90, block_byte
     near = star.join(one, ["a", "band"]).join(two, ["b", "band"]).select("a", "b", "na", "nb", "sa", "sb")
     links = cut_lineage(_links(near.mapInPandas(_reject(percent), "a long, b long").distinct(), sets, percent))
 
-    roots = components(links)
-    open_ = held.join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
-    mixed = open_.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
-    slices = F.ceil(F.col("members") / slice_rows).cast("int")
-    open_ = (open_.join(mixed, "key").withColumn("slice", F.pmod(F.xxhash64("name"), slices).cast("int"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0), slices - 1)))
-             .select("key", "name", "n", "band", "root", "slice", F.least("slice", "other").alias("lo"),
-                     F.greatest("slice", "other").alias("hi")))
-    open_ = open_.join(sketches.drop("n"), ["name", "band"]).withColumn("bucket", F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(16 * blocks)))
-    across = open_.groupBy("bucket").applyInPandas(_across(percent), "a long, b long").distinct()
-    more = _links(across, sets, percent)
-    roots = components(links.unionByName(more)).withColumnRenamed("node", "name")
+    # what may join components: a spanning choice first, then all that is left
+    for spanning in (True, False):
+        members = _mixed(held, components(links), sketches, slice_rows, 16 * blocks)
+        across = members.groupBy("bucket").applyInPandas(_across(percent, spanning), "a long, b long").distinct()
+        links = cut_lineage(links.unionByName(_links(across, sets, percent)))
+    roots = components(links).withColumnRenamed("node", "name")
 
     # classes of equal sets -> components -> smallest document
     firsts = rows.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("first")).join(roots, "name", "left")
@@ -274,4 +301,4 @@ def link_documents(docs: DataFrame, size: int = 3, percent: int = 90, block_byte
     linked = rows.where("n > 0").join(named, "name")
     alone = rows.where("n = 0").withColumn("component_id", F.col("doc_id"))
     cols = ["doc_id", F.col("n").alias("n_shingles"), "component_id"]
-    return linked.select(*cols).unionByName(alone.select(*cols))
+    return with_null_ids(linked.select(*cols).unionByName(alone.select(*cols)), "doc_id", "component_id")

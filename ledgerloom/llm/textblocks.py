@@ -144,10 +144,15 @@ def run_argmin(h: np.ndarray, width: int) -> np.ndarray:
 
 def cover(n: int, starts: np.ndarray, length: int) -> np.ndarray:
     """Mask of the positions covered by runs of ``length`` from each start."""
-    d = np.zeros(n + 1, np.int64)
-    np.add.at(d, starts, 1)
-    np.add.at(d, np.minimum(starts + length, n), -1)
-    return np.cumsum(d[:-1]) > 0
+    return covered(n, starts, np.minimum(starts + length, n))
+
+
+def covered(n: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Mask of the positions covered by the ranges lo..hi - 1."""
+    d = np.zeros(n + 1, np.int32)
+    np.add.at(d, lo, 1)
+    np.add.at(d, hi, -1)
+    return np.cumsum(d[:-1], dtype=np.int32) > 0
 
 
 #: stands for a null id in Python code, where a column with nulls would turn into floats
@@ -167,6 +172,19 @@ def as_bytes(values) -> list[bytes]:
     return [v.encode("utf-8", "surrogatepass") if isinstance(v, str) else b"" for v in values]
 
 
+def slices(texts: list[bytes], most: int = 1 << 20):
+    """(lo, hi) of consecutive texts with about ``most`` bytes together: what is looked at at a
+    time, so that working arrays stay small beside the block."""
+    lo = 0
+    while lo < len(texts):
+        hi, size = lo, 0
+        while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= most):
+            size += len(texts[hi])
+            hi += 1
+        yield lo, hi
+        lo = hi
+
+
 def block_count(texts: DataFrame, column: str, block_bytes: int) -> int:
     """Blocks of about ``block_bytes`` of text (one cheap aggregate over the column)."""
     total = texts.agg(F.sum(F.octet_length(F.col(column)).cast("long")).alias("b")).first()["b"]
