@@ -64,6 +64,24 @@ def calibration_errors(df: DataFrame, y_col: str = "y_true", prob_col: str = "y_
                     "sharpness"))
 
 
+def model_calibration(df: DataFrame, model_col: str, y_col: str = "y_true", prob_col: str = "y_prob",
+                      n_bins: int = 10) -> DataFrame:
+    """Per model Brier, log loss, ECE, MCE, overconfidence and sharpness, from one aggregate per
+    (model, bin)."""
+    y, p = F.col(y_col).cast("double"), F.col(prob_col).cast("double")
+    pc = F.least(F.greatest(p, F.lit(EPS)), F.lit(1 - EPS))
+    per = with_bins(df, prob_col, n_bins).groupBy(model_col, "bin").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(y).alias("_y"), F.sum(p).alias("_p"), F.sum(p * p).alias("_pp"),
+        F.sum((p - y) ** 2).alias("_b"), F.sum(y * F.log(pc) + (1 - y) * F.log(1 - pc)).alias("_l"),
+        F.sum(F.greatest(p, 1 - p) - ((p > 0.5).cast("double") == y).cast("double")).alias("_o"))
+    gap = F.abs(F.col("_y") - F.col("_p"))
+    n = F.sum("n")
+    return per.groupBy(model_col).agg(
+        (F.sum("_b") / n).alias("brier"), (-F.sum("_l") / n).alias("log_loss"), (F.sum(gap) / n).alias("ece"),
+        F.max(gap / F.col("n")).alias("mce"), F.greatest(F.sum("_o") / n, F.lit(0.0)).alias("overconfidence"),
+        (F.sum("_pp") / n - (F.sum("_p") / n) ** 2).alias("sharpness"))
+
+
 def calibration_report(df: DataFrame, y_col: str = "y_true", prob_col: str = "y_prob",
                        n_bins: int = 10) -> DataFrame:
     """E5: the errors, ratings of Brier score and ECE, and advice codes (comma separated) by the

@@ -252,19 +252,21 @@ def q_runs(spark, sf_dir):
   UNION ALL SELECT 'temperature_2', y_true, 1.0 / (1.0 + EXP(-LN(LEAST(GREATEST(y_prob, 1e-15), 1 - 1e-15) / (1 - LEAST(GREATEST(y_prob, 1e-15), 1 - 1e-15))) / 2.0)) FROM scored
   UNION ALL SELECT 'minmax', y_true, CASE WHEN mx > mn THEN (y_prob - mn) / (mx - mn) ELSE 0.0 END
     FROM scored CROSS JOIN (SELECT MIN(y_prob) AS mn, MAX(y_prob) AS mx FROM scored) z)
-SELECT model, AVG(POW(y_prob - y_true, 2)) AS brier,
-  -AVG(y_true * LN(LEAST(GREATEST(y_prob, 1e-15), 1 - 1e-15)) + (1 - y_true) * LN(1 - LEAST(GREATEST(y_prob, 1e-15), 1 - 1e-15))) AS log_loss
-FROM m GROUP BY model""", *_SC), doubles=["brier", "log_loss"])
+SELECT a.*, g.ece, g.mce FROM (SELECT model, AVG(POW(y_prob - y_true, 2)) AS brier,
+    -AVG(y_true * LN(LEAST(GREATEST(y_prob, 1e-15), 1 - 1e-15)) + (1 - y_true) * LN(1 - LEAST(GREATEST(y_prob, 1e-15), 1 - 1e-15))) AS log_loss,
+    GREATEST(AVG(GREATEST(y_prob, 1 - y_prob)) - AVG(CAST(CAST(y_prob > 0.5 AS INTEGER) = y_true AS DOUBLE)), 0.0) AS overconfidence,
+    VAR_POP(y_prob) AS sharpness FROM m GROUP BY model) a
+JOIN (SELECT model, SUM(n * ABS(fp - mp)) / SUM(n) AS ece, MAX(ABS(fp - mp)) AS mce FROM (
+    SELECT model, LEAST(FLOOR(y_prob * 10), 9) AS bin, COUNT(*) AS n, AVG(CAST(y_true AS DOUBLE)) AS fp, AVG(y_prob) AS mp FROM m GROUP BY 1, 2) b
+  GROUP BY model) g ON g.model = a.model""", *_SC),
+          doubles=["brier", "log_loss", "ece", "mce", "overconfidence", "sharpness"])
 def q_models(spark, sf_dir):
     s = scored(spark, sf_dir).select("y_true", "y_prob")
     models = (s.withColumn("model", F.lit("raw"))
               .unionByName(s.withColumn("y_prob", temperature_scale(F.col("y_prob"), 2.0)).withColumn("model", F.lit("temperature_2")))
               .unionByName(ev.minmax_probability(s, "y_prob", "_p").withColumn("y_prob", F.col("_p")).drop("_p")
                            .withColumn("model", F.lit("minmax"))))
-    y, p = F.col("y_true").cast("double"), F.col("y_prob")
-    pc = F.least(F.greatest(p, F.lit(1e-15)), F.lit(1 - 1e-15))
-    return models.groupBy("model").agg(F.avg((p - y) ** 2).alias("brier"),
-                                       (-F.avg(y * F.log(pc) + (1 - y) * F.log(1 - pc))).alias("log_loss"))
+    return ev.model_calibration(models, "model")
 
 
 _SPHERE_SQL = """ex AS (SELECT vec_id, label, d, CAST(x AS DOUBLE) AS x FROM (
