@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.assets import asset_edge_type
-from ..plans.ordering import exact_percentiles
+from ..plans.ordering import exact_percentiles, with_global_rank
 from ..session import exact_sum
 from .features import endpoints
 
@@ -230,3 +230,22 @@ def metric_summary(metrics: DataFrame, id_col: str, metric_cols: list[str]) -> D
             .select(F.lit(m).alias("metric"), "median")
         meds = one if meds is None else meds.unionByName(one)
     return base.join(meds, "metric")
+
+
+def account_timeline(edges: DataFrame, account: str, direction: str = "all", since=None, until=None,
+                     assets: list[str] | None = None, filters: dict[str, list] | None = None) -> DataFrame:
+    """activity of one account, inbound, outbound or all, in a time window, by asset and by
+    the values of further columns (type, status), with its ``replay`` position: (ts, edge_id)
+    order, a global rank, since one account may hold a large part of the edges."""
+    if direction not in ("all", "inbound", "outbound"):
+        raise ValueError("direction must be all, inbound or outbound")
+    out, in_ = F.col("src") == account, F.col("dst") == account
+    e = edges.where({"all": out | in_, "inbound": in_, "outbound": out}[direction])
+    if since is not None:
+        e = e.where(F.col("ts") >= since)
+    if until is not None:
+        e = e.where(F.col("ts") <= until)
+    for column, values in {**({"asset": assets} if assets is not None else {}), **(filters or {})}.items():
+        e = e.where(F.col(column).isin(list(values)))
+    e = e.withColumn("direction", F.when(out, "outbound").otherwise("inbound"))
+    return with_global_rank(e, ["ts", "edge_id"], "replay")

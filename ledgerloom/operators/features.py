@@ -231,8 +231,13 @@ def temporal_basic_features(edges: DataFrame) -> DataFrame:
         .withColumn("balance", F.col("received") - F.col("sent"))
 
 
-def net_flow_ratio(sent: Column, received: Column) -> Column:
-    """(sent - received) / (sent + received), 0 when the sum is 0."""
+def net_flow_ratio(sent: Column, received: Column, log_base: float | None = None) -> Column:
+    """(sent - received) / (sent + received), 0 when the sum is 0; with ``log_base`` of the
+    log-scaled amounts."""
+    if log_base is not None:
+        if log_base <= 0 or abs(log_base - 1) < 1e-8:
+            raise ValueError("log_base must be positive and not 1")
+        sent, received = log_scale(sent, log_base), log_scale(received, log_base)
     tot = sent + received
     return F.when(tot == 0, F.lit(0.0)).otherwise((sent - received) / tot)
 

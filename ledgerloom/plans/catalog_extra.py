@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalar import sql_draw60
+from ..operators import edges as ed
 from ..operators import encoding as enc
 from ..operators import features as feat
 from ..operators import ingest as ig
@@ -73,6 +74,17 @@ def q_timeline(spark, sf_dir):
                                                F.max_by("edge_id", F.struct("ts", "edge_id")).alias("latest_edge"))
 
 
+@register("account_timeline_replay", operators="F7 (activity of one account in a window, by asset, in replay order)",
+          sql=with_views("""SELECT CAST(ROW_NUMBER() OVER (ORDER BY ts, edge_id) - 1 AS BIGINT) AS replay, edge_id, ts, asset, amount,
+  CASE WHEN src = '7' THEN 'outbound' ELSE 'inbound' END AS direction FROM acct_edges
+WHERE (src = '7' OR dst = '7') AND ts BETWEEN 1704067200 AND 1705276799 AND asset IN (SELECT DISTINCT asset FROM acct_edges WHERE asset <> 'XLM')""",
+                         "acct_edges"), doubles=["amount"])
+def q_timeline_replay(spark, sf_dir):
+    e = acct_edges(spark, sf_dir)
+    t = ed.account_timeline(e.where(F.col("asset") != "XLM"), "7", since=1704067200, until=1705276799)
+    return t.select("replay", "edge_id", "ts", "asset", "amount", "direction")
+
+
 @register("account_frequency", operators="G2 (daily frequency of one account)",
           sql="""WITH d AS (SELECT CAST(ts AS DATE) AS day, COUNT(*) AS c FROM events WHERE user_id = 7 GROUP BY 1),
 cal AS (SELECT UNNEST(generate_series((SELECT MIN(day) FROM d), (SELECT MAX(day) FROM d), INTERVAL 1 DAY)) AS day),

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.assets import split_asset
 from ..operators import features as feat
 from ..sources.adapters import acct_edges, trade_edges, with_views
 from ..sources.tables import read_table
@@ -149,3 +150,24 @@ FROM (SELECT node, CAST(COUNT(*) AS BIGINT) AS degree,
 def q_temporal_basic(spark, sf_dir):
     b = feat.temporal_basic_features(trade_edges(spark, sf_dir))
     return b.withColumn("net_flow_ratio", feat.net_flow_ratio(F.col("sent"), F.col("received")))
+
+
+@register("log_net_flow_ratio", operators="X1 (imbalance of log-scaled volumes, base 10)",
+          sql=with_views("""WITH f AS (SELECT node, CAST(SUM(CASE WHEN o = 1 THEN a ELSE 0 END) AS DOUBLE) AS sent,
+    CAST(SUM(CASE WHEN o = 0 THEN a ELSE 0 END) AS DOUBLE) AS received FROM (
+      SELECT src AS node, 1 AS o, CAST(COALESCE(amount, 0.0) AS DECIMAL(38,7)) AS a FROM acct_edges
+      UNION ALL SELECT dst, 0, CAST(COALESCE(amount, 0.0) AS DECIMAL(38,7)) FROM acct_edges) e GROUP BY node),
+g AS (SELECT node, LN(sent + 1.000000001) / LN(10) AS s, LN(received + 1.000000001) / LN(10) AS r FROM f)
+SELECT node, CASE WHEN s + r = 0 THEN 0.0 ELSE (s - r) / (s + r) END AS ratio FROM g""", "acct_edges"), doubles=["ratio"])
+def q_log_ratio(spark, sf_dir):
+    b = feat.temporal_basic_features(acct_edges(spark, sf_dir))
+    return b.select("node", feat.net_flow_ratio(F.col("sent"), F.col("received"), 10.0).alias("ratio"))
+
+
+@register("asset_parts", operators="N10 (asset text into code and issuer)",
+          sql=with_views("""SELECT asset, split_part(asset, ':', 1) AS code, CASE WHEN contains(asset, ':') THEN split_part(asset, ':', 2) END AS issuer,
+  CAST(COUNT(*) AS BIGINT) AS n FROM acct_edges GROUP BY asset""", "acct_edges"))
+def q_asset_parts(spark, sf_dir):
+    a = acct_edges(spark, sf_dir).groupBy("asset").agg(F.count(F.lit(1)).alias("n"))
+    code, issuer = split_asset(F.col("asset"))
+    return a.select("asset", code.alias("code"), issuer.alias("issuer"), "n")
