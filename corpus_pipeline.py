@@ -40,8 +40,8 @@ def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     through go as well."""
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
     out = suffix_dedup.remove_repeats(docs, carry=others)
-    text = F.decode(F.col("kept"), "UTF-8")
-    out = out.select("doc_id", F.replace(text, F.lit("�"), F.lit("")).alias("text"), "rest.*")
+    text = F.make_valid_utf8(F.col("kept").cast("string"))
+    out = out.select("doc_id", F.replace(text, F.lit("\ufffd"), F.lit("")).alias("text"), "rest.*")
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 
 from .phrases import blocks_of
 from .recurring import SENT, member, received, recurring, send, shard_of
-from .textblocks import U64, _BYTE_BASE, PrefixHash, as_bytes, cover, mix64, run_argmin, with_null_ids
+from .textblocks import U64, _BYTE_BASE, PrefixHash, as_bytes, covered, mix64, run_argmin, slices, with_null_ids
 
 GRAM = 24
 RESULT = "doc_id long, n_bytes long, kept binary, spans array<struct<start:long,end:long>>"
@@ -49,25 +49,34 @@ class Samples:
     """Sample positions of the texts of a block and the starts that select them."""
 
     def __init__(self, pdf: pd.DataFrame, length: int):
-        texts = as_bytes(pdf["text"])
-        self.texts = texts
-        size = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
-        self.first = np.concatenate([[0], np.cumsum(size)])[:len(texts)]
-        self.size = size - 1
-        self.doc_ids = pdf["doc_id"].to_numpy(np.int64)       # NO_ID is the largest
-        self.data = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
-        ph = PrefixHash(self.data.astype(U64) + U64(1), _BYTE_BASE)
+        self.texts = texts = as_bytes(pdf["text"])
+        self.size = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.first = np.cumsum(self.size + 1) - self.size - 1       # a byte 0 follows each text
+        doc_ids = pdf["doc_id"].to_numpy(np.int64)                  # NO_ID is the largest
+        parts = [self._sample(lo, hi, length) for lo, hi in slices(texts)]
+        kinds = (np.int64, np.int64, U64, U64)
+        self.lo, self.hi, self.gram, self.name = (
+            np.concatenate([p[i] for p in parts] or [np.zeros(0, k)]) for i, k in enumerate(kinds))
+        self.doc = doc_ids[np.searchsorted(self.first, self.lo, "right") - 1] if len(self.lo) else self.lo
+
+    def _sample(self, a: int, b: int, length: int) -> tuple[np.ndarray, ...]:
+        """(first start, last start, gram, name) of the samples of texts a..b."""
+        size = self.size[a:b] + 1
+        data = np.frombuffer(b"\0".join(self.texts[a:b]) + b"\0", np.uint8)
+        ph = PrefixHash(data.astype(U64) + U64(1), _BYTE_BASE)
         grams = ph.windows(GRAM)
-        end = np.repeat(self.first + self.size, size)
-        start = np.flatnonzero(np.arange(len(end)) + length <= end) if len(texts) else np.zeros(0, np.int64)
-        at = run_argmin(grams, length - GRAM + 1)[start] if len(start) else start
-        new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (np.diff(start) != 1)])) if len(start) else start
-        last = np.concatenate([new[1:], [len(start)]]) - 1 if len(start) else start
-        self.lo, self.hi = start[new], start[last]         # starts lo..hi select the sample
-        self.gram = grams[at[new]] if len(start) else np.zeros(0, U64)
-        name = ph.ranges(self.lo, self.hi + length) if len(start) else np.zeros(0, U64)
-        self.name = mix64(name + (at[new] - self.lo).astype(U64) * U64(0xA0761D6478BD642F)) if len(start) else name
-        self.doc = self.doc_ids[np.searchsorted(self.first, self.lo, "right") - 1] if len(start) else start
+        start = np.flatnonzero(np.arange(len(data)) + length <= np.repeat(np.cumsum(size) - 1, size))
+        if not len(start):
+            return start, start, grams[:0], grams[:0]
+        at = run_argmin(grams, length - GRAM + 1)[start]
+        new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (np.diff(start) != 1)]))
+        lo, hi, at = start[new], start[np.concatenate([new[1:], [len(start)]]) - 1], at[new]
+        name = mix64(ph.ranges(lo, hi + length) + (at - lo).astype(U64) * U64(0xA0761D6478BD642F))
+        return lo + self.first[a], hi + self.first[a], grams[at], name
+
+    def bytes(self) -> bytes:
+        """All texts of the block, each with a byte 0 behind it."""
+        return b"\0".join(self.texts) + b"\0"
 
     def only(self, mask: np.ndarray) -> "Samples":
         for f in ("lo", "hi", "gram", "name", "doc"):
@@ -167,7 +176,7 @@ def _send_texts(length: int, shards: int):
             head["starts"], head["size"] = s.hi[row] - s.lo[row] + 1, s.hi[row] + length - s.lo[row]
             shard = shard_of(s.gram[row], shards)
             order = np.argsort(shard, kind="stable")
-            raw = s.data.tobytes()
+            raw = s.bytes()
             cut = np.flatnonzero(np.concatenate([[True], np.diff(shard[order]) != 0, [True]])) if len(order) else []
             for a, b in zip(cut[:-1], cut[1:]):
                 part = order[a:b]
@@ -188,9 +197,9 @@ def _ranked(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     for c in columns:
         s = c[order]
         new[1:] |= s[1:] != s[:-1]
-    name = np.empty(len(order), np.int64)
-    name[order] = np.cumsum(new)
-    return order, name
+    name = np.empty(len(order), np.int32)
+    name[order] = np.cumsum(new, dtype=np.int32)
+    return order.astype(np.int32), name
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
@@ -203,24 +212,23 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     if n < 3:
         return np.lexsort([np.concatenate([text[k:], np.zeros(k, text.dtype)]) for k in range(max(n, 1))][::-1]) \
             if n else np.zeros(0, np.int64)
-    t = np.concatenate([text, np.zeros(3, text.dtype)]).astype(np.int64)
+    t = np.concatenate([text, np.zeros(3, text.dtype)]).astype(np.int32, copy=False)
     # a position beyond the end completes the class 1 when the length is 1 modulo 3
-    one, two = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)
-    sample = np.concatenate([one, two])
+    sample = np.concatenate([np.arange(1, n + (n % 3 == 1), 3, dtype=np.int32), np.arange(2, n, 3, dtype=np.int32)])
     order, name = _ranked([t[sample], t[sample + 1], t[sample + 2]])
     if name.max() < len(sample) and depth > 3:
         sub = suffix_order(name, -(-depth // 3) + 1)
-        name = np.empty(len(sub), np.int64)
-        name[sub] = np.arange(1, len(sub) + 1)
+        name = np.empty(len(sub), np.int32)
+        name[sub] = np.arange(1, len(sub) + 1, dtype=np.int32)
         order = sub
-    rank = np.zeros(n + 4, np.int64)
+    rank = np.zeros(n + 4, np.int32)
     rank[sample] = name
     sorted_sample = sample[order]
     sorted_sample = sorted_sample[sorted_sample < n]
-    rest = np.arange(0, n, 3)
+    rest = np.arange(0, n, 3, dtype=np.int32)
     rest = rest[np.lexsort((rank[rest + 1], t[rest]))]
     # merge: place of every remaining suffix among the sampled ones by binary search
-    lo, hi = np.zeros(len(rest), np.int64), np.full(len(rest), len(sorted_sample), np.int64)
+    lo, hi = np.zeros(len(rest), np.int32), np.full(len(rest), len(sorted_sample), np.int32)
     while True:
         open_ = np.flatnonzero(lo < hi)
         if not len(open_):
@@ -234,8 +242,8 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
         lo[open_] = np.where(less, mid + 1, lo[open_])
         hi[open_] = np.where(less, hi[open_], mid)
     # suffixes that agree to the depth may compare either way: keep the places rising
-    place = np.maximum.accumulate(lo) + np.arange(len(rest))
-    out = np.empty(n, np.int64)
+    place = np.maximum.accumulate(lo) + np.arange(len(rest), dtype=np.int32)
+    out = np.empty(n, np.int32)
     out[place] = rest
     free = np.ones(n, bool)
     free[place] = False
@@ -246,15 +254,15 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
 def smaller_elsewhere(text: np.ndarray, starts: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
     """Mask of the ``starts`` whose string of ``length`` bytes also starts at one with a smaller
     doc; ``starts`` is rising and every string lies inside ``text``."""
-    index = np.full(len(text), -1, np.int64)
-    index[starts] = np.arange(len(starts))
-    order = index[suffix_order(text.astype(np.int64) + 1, length)]
+    index = np.full(len(text), -1, np.int32)
+    index[starts] = np.arange(len(starts), dtype=np.int32)
+    order = index[suffix_order(text.astype(np.int32) + np.int32(1), length)]
     order = order[order >= 0]
     at = starts[order]
     new = np.ones(len(order), bool)
     span = np.arange(length)
-    for i in range(0, len(order) - 1, 1 << 16):
-        a = at[i:min(i + (1 << 16), len(order) - 1) + 1]
+    for i in range(0, len(order) - 1, 1 << 14):
+        a = at[i:min(i + (1 << 14), len(order) - 1) + 1]
         rows = text[a[:, None] + span]
         new[i + 1:i + len(a)] = (rows[1:] != rows[:-1]).any(1)
     first = np.flatnonzero(new)
@@ -290,12 +298,13 @@ def _remove(length: int, carried: bool):
         if not len(pdf):
             return pd.DataFrame({c: [] for c in ("doc_id", "n_bytes", "kept", "spans", "rest")[:4 + carried]})
         s = Samples(pdf, length)
-        gone = np.zeros(len(s.data), bool)
+        data = np.frombuffer(s.bytes(), np.uint8)
+        gone = np.zeros(len(data), bool)
         if len(s.lo):
             name, low, _ = _smallest(s.name, s.doc)
             k = np.searchsorted(name, s.name)
             whole = (s.doc > low[k]) | member(s.name[:, None], _keys(back, 0))
-            starts = [np.repeat(s.lo[whole], (s.hi - s.lo + 1)[whole]) + _count_up((s.hi - s.lo + 1)[whole])]
+            lo, hi = [s.lo[whole]], [s.hi[whole] + length]
             part = back[back["kind"] == 2] if len(back) else back
             if len(part):
                 key = np.frombuffer(b"".join(part["key"]), U64)
@@ -307,13 +316,15 @@ def _remove(length: int, carried: bool):
                 n = (s.hi - s.lo + 1)[some]
                 nth = _count_up(n)
                 on = (np.repeat(bits[at[some]], n) >> nth.astype(U64)) & U64(1)
-                starts.append((np.repeat(s.lo[some], n) + nth)[on > 0])
-            gone = cover(len(s.data), np.concatenate(starts), length)
+                begin = (np.repeat(s.lo[some], n) + nth)[on > 0]
+                lo.append(begin)
+                hi.append(begin + length)
+            gone = covered(len(data), np.concatenate(lo), np.concatenate(hi))
         kept, spans = [], []
         for t, (a, n) in enumerate(zip(s.first, s.size)):
             g = gone[a:a + n]
             edge = np.flatnonzero(np.diff(np.concatenate([[0], g.view(np.int8), [0]])))
-            kept.append(s.data[a:a + n][~g].tobytes() if len(edge) else s.texts[t])
+            kept.append(data[a:a + n][~g].tobytes() if len(edge) else s.texts[t])
             spans.append([{"start": int(x), "end": int(y)} for x, y in zip(edge[0::2], edge[1::2])])
         out = {"doc_id": pdf["doc_id"], "n_bytes": s.size, "kept": kept, "spans": spans}
         return pd.DataFrame(out | ({"rest": pdf["rest"]} if carried else {}))
@@ -336,7 +347,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, block_bytes: int = 6 << 20
     grams = recurring(by_block.applyInPandas(_send_grams(length, blocks), SENT), 1)
     names = by_block.cogroup(grams.groupBy("block")).applyInPandas(_send_names(length, blocks), NAMES)
     known = names.groupBy("shard").applyInPandas(_answer_names, ANSWER)
-    texts = by_block.cogroup(known.groupBy("block")).applyInPandas(_send_texts(length, blocks), NAMES)
+    texts = by_block.cogroup(known.groupBy("block")).applyInPandas(_send_texts(length, 4 * blocks), NAMES)
     found = texts.groupBy("shard").applyInPandas(_sort_texts(length), ANSWER)
     result = RESULT + (f", rest {d.schema['rest'].dataType.simpleString()}" if carry else "")
     answers = known.where("kind = 0").unionByName(found)

@@ -274,6 +274,15 @@ def test_every_operator_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
 
 
+def test_suffix_stage_drops_cut_characters(spark):
+    import corpus_pipeline as cp
+    tail = "\u00e9" + "q" * 60                    # the shared string begins inside the letter
+    rows = [(1, "x\u00c3".encode("utf-8").decode() + tail, "en", "s", 63), (2, "abc \u0169" + "q" * 60, "de", "t", 65)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r.doc_id: r for r in cp.suffix_stage(spark, docs, SF001).collect()}
+    assert out[1].text == rows[0][1] and (out[2].text, out[2].n_chars, out[2].lang) == ("abc ", 4, "de")
+
+
 def test_pipeline(spark):
     import corpus_pipeline as cp
     docs = spark.read.parquet(f"{SF001}/documents.parquet")
