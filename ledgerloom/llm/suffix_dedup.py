@@ -188,20 +188,39 @@ def _send_texts(length: int, shards: int):
 
 # --- DC3 ------------------------------------------------------------------------------------
 
-def _ranked(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(order, name of each row from 1): rows sorted by the columns, equal rows share a name."""
+def _packed(columns: list[np.ndarray]) -> np.ndarray:
+    """One int64 per row in the order of the rows (columns of numbers >= 0)."""
+    bits = [int(c.max()).bit_length() if len(c) else 0 for c in columns]
+    if sum(bits) <= 63:
+        key = columns[0].astype(np.int64)
+        for c, b in zip(columns[1:], bits[1:]):
+            key = (key << b) | c
+        return key
     order = np.lexsort(columns[::-1])
     new = np.zeros(len(order), bool)
-    if len(order):
-        new[0] = True
     for c in columns:
-        s = c[order]
-        new[1:] |= s[1:] != s[:-1]
+        new[1:] |= c[order][1:] != c[order][:-1]
+    key = np.empty(len(order), np.int64)
+    key[order] = np.cumsum(new)
+    return key
+
+
+def _ranked(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(order, name of each row from 1): rows sorted by the columns, equal rows share a name."""
+    key = _packed(columns)
+    order = np.argsort(key)
+    key = key[order]
     name = np.empty(len(order), np.int32)
-    name[order] = np.cumsum(new, dtype=np.int32)
+    name[order] = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]])[:len(key)], dtype=np.int32)
     return order.astype(np.int32), name
 
 
+def _before(own: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
+    """How many rows of ``other`` (in rising order) are smaller than each row of ``own``."""
+    key = _packed([np.concatenate(p) for p in zip(other, own)])
+    return np.searchsorted(np.maximum.accumulate(key[:len(other[0])]), key[len(other[0]):])
+
+
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     """Start positions in the order of their suffixes' first ``depth`` symbols, by DC3.
 
@@ -226,23 +245,14 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     sorted_sample = sample[order]
     sorted_sample = sorted_sample[sorted_sample < n]
     rest = np.arange(0, n, 3, dtype=np.int32)
-    rest = rest[np.lexsort((rank[rest + 1], t[rest]))]
-    # merge: place of every remaining suffix among the sampled ones by binary search
-    lo, hi = np.zeros(len(rest), np.int32), np.full(len(rest), len(sorted_sample), np.int32)
-    while True:
-        open_ = np.flatnonzero(lo < hi)
-        if not len(open_):
-            break
-        mid = (lo[open_] + hi[open_]) // 2
-        i, j = rest[open_], sorted_sample[mid]
-        first = j % 3 == 1
-        a2 = np.where(first, rank[i + 1], t[i + 1])
-        b2 = np.where(first, rank[j + 1], t[j + 1])
-        less = (t[j] < t[i]) | ((t[j] == t[i]) & ((b2 < a2) | ((b2 == a2) & ~first & (rank[j + 2] < rank[i + 2]))))
-        lo[open_] = np.where(less, mid + 1, lo[open_])
-        hi[open_] = np.where(less, hi[open_], mid)
+    rest = rest[np.argsort(_packed([t[rest], rank[rest + 1]]))]
+    # merge: a remaining suffix is compared with a sampled one by one symbol and the ranks behind
+    # it, or by two symbols, whichever leads to sampled positions on both sides
+    one, two = sorted_sample[sorted_sample % 3 == 1], sorted_sample[sorted_sample % 3 == 2]
+    smaller = _before([t[rest], rank[rest + 1]], [t[one], rank[one + 1]]) \
+        + _before([t[rest], t[rest + 1], rank[rest + 2]], [t[two], t[two + 1], rank[two + 2]])
     # suffixes that agree to the depth may compare either way: keep the places rising
-    place = np.maximum.accumulate(lo) + np.arange(len(rest), dtype=np.int32)
+    place = np.maximum.accumulate(smaller) + np.arange(len(rest))
     out = np.empty(n, np.int32)
     out[place] = rest
     free = np.ones(n, bool)
