@@ -39,7 +39,7 @@ from ..operators.graph import star_components as components
 from ..session import cut_lineage
 from .phrases import blocks_of
 from .recurring import SENT, member, received, recurring, send
-from .textblocks import U64, Words, as_bytes, mix64, slices, with_null_ids, word_windows, words_of
+from .textblocks import U64, Words, as_bytes, free_shuffles, mix64, slices, with_null_ids, word_windows, words_of
 
 
 def shingle_sets(w: Words, size: int) -> list[np.ndarray]:
@@ -270,6 +270,8 @@ def link_documents(docs: DataFrame, size: int = 3, percent: int = 90, block_byte
     by_block = d.groupBy("block")
     keys = recurring(by_block.applyInPandas(_send_keys(size, percent, blocks), SENT), 1)
     found = cut_lineage(by_block.cogroup(keys.groupBy("block")).applyInPandas(_find(size, percent), FOUND))
+    del d, by_block, keys
+    free_shuffles(docs.sparkSession)
     rows = found.where("kind = 0").select("doc_id", "name", "n")
     entry = found.where("kind = 1").select("name", "n", "band", F.col("data").alias("sketch"))
     sketches = entry.groupBy("name", "band").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
@@ -291,7 +293,8 @@ def link_documents(docs: DataFrame, size: int = 3, percent: int = 90, block_byte
         members = _mixed(held, components(links), sketches, slice_rows, 16 * blocks)
         across = members.groupBy("bucket").applyInPandas(_across(percent, spanning), "a long, b long").distinct()
         links = cut_lineage(links.unionByName(_links(across, sets, percent)))
-    roots = components(links).withColumnRenamed("node", "name")
+    roots = cut_lineage(components(links).withColumnRenamed("node", "name"))
+    free_shuffles(docs.sparkSession)
 
     # classes of equal sets -> components -> smallest document
     firsts = rows.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("first")).join(roots, "name", "left")

@@ -10,6 +10,7 @@ window of a text costs a few vector operations, independent of the window length
 """
 from __future__ import annotations
 
+import gc
 from dataclasses import dataclass
 
 import numpy as np
@@ -167,6 +168,16 @@ def with_null_ids(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.when(F.col(c) != NO_ID, F.col(c)) for c in columns or ("doc_id",)})
 
 
+def free_shuffles(spark) -> None:
+    """Asks for the removal of shuffle files that nothing refers to any more.
+
+    Spark deletes them when the driver's garbage collector finds their plans unreachable, which
+    on a quiet driver can take long; after a step has been written to a checkpoint its exchanges
+    (here of whole texts) would lie on the executors' disks beside those of the next steps."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def as_bytes(values) -> list[bytes]:
     """UTF-8 bytes of a pandas column of texts; null is the empty text."""
     return [v.encode("utf-8", "surrogatepass") if isinstance(v, str) else b"" for v in values]
