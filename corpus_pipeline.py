@@ -28,8 +28,9 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones: that with the smallest doc_id."""
-    links = ngram_join.link_documents(docs.select("doc_id", "text"))
+    """One document of each group linked by five-word shingles at a Jaccard similarity of 0.8 or
+    more: that with the smallest doc_id."""
+    links = ngram_join.link_documents(docs.select("doc_id", "text"), size=5, percent=80)
     first = links.where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id is null"))

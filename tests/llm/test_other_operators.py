@@ -283,6 +283,32 @@ def test_suffix_stage_drops_cut_characters(spark):
     assert out[1].text == rows[0][1] and (out[2].text, out[2].n_chars, out[2].lang) == ("abc ", 4, "de")
 
 
+def test_join_stage_equals_all_pairs(spark):
+    import corpus_pipeline as cp
+    rnd = random.Random(11)
+    rows, level = [], []
+    for i in range(6):
+        base = [f"w{rnd.randrange(10 ** 6)}" for _ in range(300)]
+        rows.append((10 * i, " ".join(base)))
+        for k, changed in enumerate((4, 6, 6, 8), 1):     # 6 words: 0.82 by five words, 0.89 by three
+            places = {(2 * j + 1) * 300 // (2 * changed) + k for j in range(changed)}
+            w = [f"v{i}{k}{j}" if j in places else x for j, x in enumerate(base)]
+            rows.append((10 * i + k, " ".join(w)))
+    sets = {k: {tuple(w[j:j + 5]) for w in [t.split()] for j in range(len(w) - 4)} for k, t in rows}
+    root = {k: k for k in sets}
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if a < b and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                level.append(both / (len(sets[a]) + len(sets[b]) - both))
+                root = {k: min(root[a], root[b]) if r in (root[a], root[b]) else r for k, r in root.items()}
+    assert sum(0.8 <= x < 0.9 for x in level) >= 12
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = {r.doc_id for r in cp.join_stage(spark, docs, SF001).collect()}
+    assert kept == set(root.values()) and 6 <= len(kept) < len(rows)
+
+
 def test_pipeline(spark):
     import corpus_pipeline as cp
     docs = spark.read.parquet(f"{SF001}/documents.parquet")
