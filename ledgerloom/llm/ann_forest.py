@@ -9,7 +9,11 @@ runs of all trees are the candidates as soon as they hold ``candidates`` entries
 are scored by inner product in double precision inside the partition, with the original vectors.
 
 A tree can only look at its own partition; there are ``trees`` views of the data, cut at
-different places.  Per level a tree keeps its best k+1 entries and its counts, which is all that
+different places.  Entries of one string that would fill more than a partition (a group of
+near-copies) are ordered by a second string, hashed from their direction off the centre of their
+run, again up to ``ROUNDS`` times while a run stays too long; what is equal even then lies in an
+order that is random per tree.  Queries lie among the entries by the same order, so each tree
+shows them the part of their run that is nearest by its hashes.  Per level a tree keeps its best k+1 entries and its counts, which is all that
 the joint ascent needs, whatever the level it stops at.
 
 Equal vectors are one entry with their smallest k+1 ids, so a very common vector costs no more
@@ -29,6 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TREES, SYMBOLS, CANDIDATES = 48, 4, 4000
+ROUNDS = 3
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str, dims: int | None) -> tuple[DataFrame, int]:
@@ -58,28 +63,111 @@ def codes(x: np.ndarray, rotations: np.ndarray, tree: int, symbols: int) -> np.n
     return out
 
 
-def _hash_rows(dims: int, largest: float, extra: bool, trees: int, symbols: int, seed: int):
-    def run(batches):
-        rot = _rotations(dims + extra, trees, symbols, seed)
+def _deeper(x: np.ndarray, code: np.ndarray, rotations: np.ndarray, tree: int, symbols: int, centres: dict) -> list[tuple]:
+    """Per row the strings of its direction from the centres of its run, where runs have one."""
+    out = [()] * len(x)
+
+    def go(rows: np.ndarray, path: tuple) -> None:
+        centre = centres.get((tree, *path))
+        if centre is None:
+            for i in rows:
+                out[i] = path[1:]
+            return
+        own = codes(x[rows] - centre, rotations, tree, symbols)
+        for c in np.unique(own):
+            go(rows[own == c], (*path, int(c)))
+
+    if centres:
+        for c in np.unique(code):
+            go(np.flatnonzero(code == c), (int(c),))
+    return out
+
+
+class _Hash:
+    """Rows of vectors -> their strings in each tree."""
+
+    def __init__(self, dims: int, largest: float, extra: bool, trees: int, symbols: int, seed: int):
+        self.dims, self.largest, self.extra = dims, largest, extra
+        self.trees, self.symbols, self.seed = trees, symbols, seed
+
+    def points(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(entries, queries) of the rows, with the extra coordinate if there is one."""
+        x = q = raw / self.largest
+        if self.extra:
+            rest = np.sqrt(np.maximum(0.0, 1.0 - (x * x).sum(1)))
+            q = raw / np.sqrt((raw * raw).sum(1))[:, None]
+            x, q = np.hstack([x, rest[:, None]]), np.hstack([q, np.zeros((len(raw), 1))])
+        return x.astype(np.float32), q.astype(np.float32)
+
+    def strings(self, batches, centres: dict):
+        """(batch, raw vectors, points, tree, whether of queries, mask of their rows, codes, further strings)"""
+        rot = _rotations(self.dims + self.extra, self.trees, self.symbols, self.seed)
         for pdf in batches:
             if not len(pdf):
                 continue
             raw = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-            asks = pdf["ask"].to_numpy(bool)
-            x = raw / largest
-            if extra:
-                rest = np.sqrt(np.maximum(0.0, 1.0 - (x * x).sum(1)))
-                x = np.hstack([x, rest[:, None]])
-            q = np.hstack([raw, np.zeros((len(raw), 1))]) if extra else raw
-            blobs = [r.tobytes() for r in raw]
-            for t in range(trees):
-                rows = pd.DataFrame({"tree": t, "code": codes(x.astype(np.float32), rot, t, symbols), "ask": False,
-                                     "rep": pdf["rep"].to_numpy(), "vec": blobs})
-                yield rows
-                if asks.any():
-                    yield pd.DataFrame({"tree": t, "code": codes(q[asks].astype(np.float32), rot, t, symbols), "ask": True,
-                                        "rep": pdf["rep"].to_numpy()[asks], "vec": [b for b, a in zip(blobs, asks) if a]})
-    return run
+            points = self.points(raw)
+            for t in range(self.trees):
+                for ask, mask in enumerate((np.ones(len(raw), bool), pdf["ask"].to_numpy(bool))):
+                    if mask.any():
+                        x = points[ask][mask]
+                        code = codes(x, rot, t, self.symbols)
+                        yield pdf, raw, x, t, bool(ask), mask, code, _deeper(x, code, rot, t, self.symbols, centres)
+
+    def rows(self, centres):
+        def run(batches):
+            for pdf, raw, _, t, ask, mask, code, sub in self.strings(batches, centres.value):
+                yield pd.DataFrame({"tree": t, "code": code, "sub": sub, "ask": ask, "rep": pdf["rep"].to_numpy()[mask],
+                                    "vec": [r.tobytes() for r in raw[mask]]})
+        return run
+
+    def places(self, centres):
+        """The strings of the entries alone."""
+        def run(batches):
+            for _, _, _, t, ask, _, code, sub in self.strings(batches, centres.value):
+                if not ask:
+                    yield pd.DataFrame({"tree": t, "code": code, "sub": sub})
+        return run
+
+    def sums(self, centres, hot):
+        """Number and sum of a partition's entries in each of the runs ``hot``."""
+        def run(batches):
+            total: dict[tuple, list] = {}
+            for _, _, x, t, ask, _, code, sub in self.strings(batches, centres.value):
+                for i, key in enumerate(zip(code.tolist(), sub)) if not ask else ():
+                    key = (t, key[0], *key[1])
+                    if key in hot.value:
+                        have = total.setdefault(key, [0, np.zeros(x.shape[1])])
+                        have[0] += 1
+                        have[1] += x[i]
+            yield pd.DataFrame([(k[0], k[1], k[2:], n, v.tobytes()) for k, (n, v) in total.items()],
+                               columns=["tree", "code", "sub", "n", "total"])
+        return run
+
+
+def _centre(key, pdf):
+    total = np.sum([np.frombuffer(v, np.float64) for v in pdf["total"]], axis=0) / pdf["n"].sum()
+    return pd.DataFrame([(key[0], key[1], key[2], total.astype(np.float32).tobytes())], columns=["tree", "code", "sub", "centre"])
+
+
+def _centres(groups: DataFrame, hashing: _Hash, part_rows: int) -> dict:
+    """(tree, string, further strings..) -> centre, of the runs longer than a partition; runs are
+    counted, and centres taken, on one of ``every`` vectors by hash."""
+    sc = groups.sparkSession.sparkContext
+    every = max(1, part_rows // 2048)
+    sample = groups.where(F.pmod(F.xxhash64("v"), F.lit(every)) == 0)
+    out: dict[tuple, np.ndarray] = {}
+    for _ in range(ROUNDS):
+        known = sc.broadcast(out)
+        runs = sample.mapInPandas(hashing.places(known), "tree int, code long, sub array<long>").groupBy("tree", "code", "sub")
+        hot = {(r["tree"], r["code"], *r["sub"]) for r in runs.count().where(F.col("count") * every > part_rows).collect()}
+        if not hot:
+            break
+        sums = sample.mapInPandas(hashing.sums(known, sc.broadcast(hot)),
+                                  "tree int, code long, sub array<long>, n long, total binary")
+        means = sums.groupBy("tree", "code", "sub").applyInPandas(_centre, "tree int, code long, sub array<long>, centre binary")
+        out = out | {(r["tree"], r["code"], *r["sub"]): np.frombuffer(r["centre"], np.float32) for r in means.collect()}
+    return out
 
 
 def _search(k: int, symbols: int, bits: int, candidates: int):
@@ -187,10 +275,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     bits = (2 * (dims + extra) - 1).bit_length()
     if bits * symbols > 62:
         raise ValueError("too many symbols for a 62-bit string")
-    hashed = groups.mapInPandas(_hash_rows(dims, float(stat["hi"]) ** 0.5, extra, trees, symbols, seed),
-                                "tree int, code long, ask boolean, rep long, vec binary")
+    hashing = _Hash(dims, float(stat["hi"]) ** 0.5, extra, trees, symbols, seed)
+    centres = _centres(groups, hashing, part_rows) if stat["n"] > part_rows else {}
+    hashed = groups.mapInPandas(hashing.rows(vectors.sparkSession.sparkContext.broadcast(centres)),
+                                "tree int, code long, sub array<long>, ask boolean, rep long, vec binary")
+    hashed = hashed.withColumn("mixed", F.xxhash64("tree", "rep"))
     parts = max(1, -(-stat["n"] * trees // part_rows))
-    found = hashed.repartitionByRange(parts, "tree", "code", "ask", "rep").mapInPandas(
+    found = hashed.repartitionByRange(parts, "tree", "code", "sub", "mixed").mapInPandas(
         _search(k, symbols, bits, candidates), "rep long, counts binary, levels binary, ids binary, scores binary")
     near = found.groupBy(F.pmod(F.xxhash64("rep"), F.lit(max(1, stat["n"] // 20_000)))).applyInPandas(
         _ascend(k, symbols, candidates), "rep long, near long, score double")

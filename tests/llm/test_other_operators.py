@@ -194,6 +194,25 @@ def test_nearest_recall_and_order(spark, norms):
     assert hit >= 0.9 * 10 * len(want)
 
 
+@pytest.mark.parametrize("norms", [False, True])
+def test_nearest_in_a_run_longer_than_a_partition(spark, norms):
+    rng = np.random.default_rng(8)
+    x = np.vstack([rng.standard_normal(16) + 0.01 * rng.standard_normal((6000, 16)), rng.standard_normal((300, 16))])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x *= np.linspace(0.99, 1, len(x))[rng.permutation(len(x))][:, None] if norms else 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    out = ann_forest.nearest(df, F.col("id") % 20 == 0, k=10, trees=24, candidates=250, part_rows=1000)
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    asked = range(0, 6000, 20)
+    score = x[::20][:len(asked)] @ x.T
+    score[np.arange(len(asked)), list(asked)] = -2
+    want = np.argsort(-score, 1)[:, :10]
+    hits = sum(len(got.get(q, set()) & set(w.tolist())) for q, w in zip(asked, want))
+    assert hits >= 0.9 * 10 * len(asked), hits / 10 / len(asked)
+
+
 def test_few_or_no_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.0, 0.0])], "vec_id long, embedding array<float>")
     assert rows_of(ann_forest.nearest(df, F.col("id") == 0)) == [(0, 1, 1, 0.5)]
