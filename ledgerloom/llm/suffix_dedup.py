@@ -20,9 +20,14 @@ times the input.  The sample is therefore taken in two steps:
    they cover ``length`` bytes, merge of the remaining suffixes), and adjacent suffixes
    with equal prefixes give the smallest document of each string.  The starts found go back.
 
+   A gram with more than ``HOT_TEXTS`` texts (the border of a passage that many documents share,
+   each with another context) would fill its shard: there each start's string is named by a
+   hash instead, with the smallest document of the block, and meets its equals in the shard of
+   that name.
+
 A frequent gram or name is sent once per block; a text around a gram is under
-``2 * length`` bytes and sent once.  Grams and names are 64-bit hashes; the suffixes in step 3
-are compared byte by byte.
+``2 * length`` bytes and sent once.  Grams, names and the strings at hot grams are 64-bit hashes;
+the suffixes in step 3 are compared byte by byte.
 
 Texts are UTF-8 bytes; null text has none.  Matches never cross documents.  Repeated rows with
 the same doc_id do not count as smaller; a null doc_id is larger than all others.  Overlapping
@@ -40,6 +45,7 @@ from .recurring import SENT, member, received, recurring, send, shard_of
 from .textblocks import U64, _BYTE_BASE, PrefixHash, as_bytes, covered, mix64, run_argmin, slices, with_null_ids
 
 GRAM = 24
+HOT_TEXTS = 8192
 RESULT = "doc_id long, n_bytes long, kept binary, spans array<struct<start:long,end:long>>"
 NAMES = "shard long, block long, kind int, key binary, value binary"
 ANSWER = "block long, kind int, key binary, value binary"
@@ -78,6 +84,16 @@ class Samples:
         """All texts of the block, each with a byte 0 behind it."""
         return b"\0".join(self.texts) + b"\0"
 
+    def strings(self, rows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, start, hash of the string there) of every start of the samples ``rows``."""
+        n = (self.hi - self.lo + 1)[rows]
+        of, start = np.repeat(rows, n), np.repeat(self.lo[rows], n) + _count_up(n)
+        data = np.frombuffer(self.bytes(), np.uint8)
+        h = np.zeros(len(start), U64)
+        for k in range(length):
+            h = h * U64(_BYTE_BASE) + data[start + k] + U64(1)
+        return of, start, mix64(h)
+
     def only(self, mask: np.ndarray) -> "Samples":
         for f in ("lo", "hi", "gram", "name", "doc"):
             setattr(self, f, getattr(self, f)[mask])
@@ -106,7 +122,8 @@ def _pack(block: int, kind: int, shard: np.ndarray, key: np.ndarray, value: np.n
 
 
 def _send_names(length: int, shards: int):
-    """Kind 0: (name, smallest doc); kind 1: (gram, its name, or 0 where the block has several)."""
+    """Kind 0: (name, smallest doc); kind 1: (gram, its name, or 0 where the block has several);
+    kind 3: (gram, how many names the block has)."""
     def run(pdf, back):
         rows = []
         if len(pdf) and len(back):
@@ -120,35 +137,46 @@ def _send_names(length: int, shards: int):
             first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else []
             if len(gram):
                 several = names[first] != names[np.concatenate([first[1:], [len(gram)]]) - 1]
-                rows += _pack(block, 1, shard_of(gram[first], shards), gram[first], np.where(several, U64(0), names[first]))
+                shard = shard_of(gram[first], shards)
+                rows += _pack(block, 1, shard, gram[first], np.where(several, U64(0), names[first]))
+                new = np.concatenate([[True], (gram[1:] != gram[:-1]) | (names[1:] != names[:-1])])
+                rows += _pack(block, 3, shard, gram[first], np.add.reduceat(new.astype(np.int64), first))
         return pd.DataFrame(rows, columns=["shard", "block", "kind", "key", "value"])
     return run
 
 
-def _answer_names(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Names that a smaller document outside the block has; grams with several names."""
-    out = []
-    for kind, g in pdf.groupby("kind"):
-        key = np.frombuffer(b"".join(g["key"]), U64)
-        block = np.repeat(g["block"].to_numpy(np.int64), [len(k) // 8 for k in g["key"]])
-        value = np.frombuffer(b"".join(g["value"]), np.int64)
-        order = np.lexsort((value, key))
-        key, block, value = key[order], block[order], value[order]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        size = np.diff(np.concatenate([first, [len(key)]]))
-        low = np.repeat(value[first], size)
-        if kind == 0:
-            keep = value > low
-        else:       # ordered by name: several names, or 0 for several, sort first and last apart
-            high = np.repeat(value[first + size - 1], size)
-            zero = np.repeat(np.maximum.reduceat((value == 0).astype(np.int8), first), size) > 0
-            keep = (low != high) | zero
-        key, block = key[keep], block[keep]
-        order = np.argsort(block, kind="stable")
-        key, block = key[order], block[order]
-        cut = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]])) if len(block) else []
-        out += [(int(block[a]), int(kind), key[a:b].tobytes(), b"") for a, b in zip(cut[:-1], cut[1:])]
-    return pd.DataFrame(out, columns=["block", "kind", "key", "value"])
+def _answers(block: np.ndarray, kind: int, key: np.ndarray) -> list[tuple]:
+    order = np.argsort(block, kind="stable")
+    key, block = key[order], block[order]
+    cut = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]])) if len(block) else []
+    return [(int(block[a]), kind, key[a:b].tobytes(), b"") for a, b in zip(cut[:-1], cut[1:])]
+
+
+def _answer_names(hot_texts: int):
+    """Kind 0, 4: names that a smaller document outside the block has; kind 1: grams with several
+    names; kind 3: those of them with more than ``hot_texts``."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for kind, g in pdf.groupby("kind"):
+            key = np.frombuffer(b"".join(g["key"]), U64)
+            block = np.repeat(g["block"].to_numpy(np.int64), [len(k) // 8 for k in g["key"]])
+            value = np.frombuffer(b"".join(g["value"]), np.int64)
+            order = np.lexsort((value, key))
+            key, block, value = key[order], block[order], value[order]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            size = np.diff(np.concatenate([first, [len(key)]]))
+            low = np.repeat(value[first], size)
+            if kind in (0, 4):
+                keep = value > low
+            elif kind == 3:
+                keep = np.repeat(np.add.reduceat(value, first) > hot_texts, size)
+            else:   # ordered by name: several names, or 0 for several, sort first and last apart
+                high = np.repeat(value[first + size - 1], size)
+                zero = np.repeat(np.maximum.reduceat((value == 0).astype(np.int8), first), size) > 0
+                keep = (low != high) | zero
+            out += _answers(block[keep], int(kind), key[keep])
+        return pd.DataFrame(out, columns=["block", "kind", "key", "value"])
+    return run
 
 
 def _keys(back: pd.DataFrame, kind: int) -> np.ndarray:
@@ -161,6 +189,7 @@ _HEAD = np.dtype([("name", "<u8"), ("doc", "<i8"), ("starts", "<u4"), ("size", "
 
 
 def _send_texts(length: int, shards: int):
+    """Kind 2: texts; kind 4: (string at a hot gram, smallest doc)."""
     def run(pdf, back):
         rows = []
         mixed = _keys(back, 1)
@@ -171,6 +200,12 @@ def _send_texts(length: int, shards: int):
             name, doc, row = _smallest(s.name, s.doc)
             own = ~member(name[:, None], known)
             name, doc, row = name[own], doc[own], row[own]
+            hot = member(s.gram[row][:, None], _keys(back, 3))
+            if hot.any():
+                of, _, string = s.strings(row[hot], length)
+                string, low, _ = _smallest(string, s.doc[of])
+                rows += _pack(int(pdf["block"].iloc[0]), 4, shard_of(string, shards), string, low)
+                name, doc, row = name[~hot], doc[~hot], row[~hot]
             head = np.zeros(len(row), _HEAD)
             head["name"], head["doc"] = name, doc
             head["starts"], head["size"] = s.hi[row] - s.lo[row] + 1, s.hi[row] + length - s.lo[row]
@@ -283,8 +318,9 @@ def smaller_elsewhere(text: np.ndarray, starts: np.ndarray, doc: np.ndarray, len
 
 
 def _sort_texts(length: int):
-    """A shard's differing texts -> per block (name, bit mask of the starts found smaller)."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A shard's differing texts -> per block (name, bit mask of the starts found smaller); strings
+    at hot grams -> those that a smaller document outside the block has."""
+    def texts(pdf: pd.DataFrame) -> pd.DataFrame:
         head = np.frombuffer(b"".join(pdf["key"]), _HEAD)
         text = np.frombuffer(b"".join(pdf["value"]), np.uint8)
         block = np.repeat(pdf["block"].to_numpy(np.int64), [len(k) // _HEAD.itemsize for k in pdf["key"]])
@@ -300,6 +336,11 @@ def _sort_texts(length: int):
         cut = np.flatnonzero(np.concatenate([[True], np.diff(block[some]) != 0, [True]])) if len(some) else []
         return pd.DataFrame([(int(block[some[a]]), 2, head["name"][some[a:b]].tobytes(), mask[some[a:b]].tobytes())
                              for a, b in zip(cut[:-1], cut[1:])], columns=["block", "kind", "key", "value"])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        cold = pdf[pdf["kind"] == 2]
+        strings = _answer_names(0)(pdf[pdf["kind"] == 4])
+        return pd.concat([texts(cold), strings]) if len(cold) else strings
     return run
 
 
@@ -329,6 +370,13 @@ def _remove(length: int, carried: bool):
                 begin = (np.repeat(s.lo[some], n) + nth)[on > 0]
                 lo.append(begin)
                 hi.append(begin + length)
+            hot = np.flatnonzero(member(s.gram[:, None], _keys(back, 3)))
+            if len(hot):
+                of, begin, string = s.strings(hot, length)
+                known, first, _ = _smallest(string, s.doc[of])
+                on = (s.doc[of] > first[np.searchsorted(known, string)]) | member(string[:, None], _keys(back, 4))
+                lo.append(begin[on])
+                hi.append(begin[on] + length)
             gone = covered(len(data), np.concatenate(lo), np.concatenate(hi))
         kept, spans = [], []
         for t, (a, n) in enumerate(zip(s.first, s.size)):
@@ -346,19 +394,24 @@ def _count_up(n: np.ndarray) -> np.ndarray:
     return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
+def _differing(by_block, length: int, blocks: int, hot_texts: int) -> tuple[DataFrame, DataFrame]:
+    """(answers about names and grams, texts and strings on their way to the shards)"""
+    grams = recurring(by_block.applyInPandas(_send_grams(length, blocks), SENT), 1)
+    names = by_block.cogroup(grams.groupBy("block")).applyInPandas(_send_names(length, blocks), NAMES)
+    known = names.groupBy("shard").applyInPandas(_answer_names(hot_texts), ANSWER)
+    return known, by_block.cogroup(known.groupBy("block")).applyInPandas(_send_texts(length, 4 * blocks), NAMES)
+
+
 def remove_repeats(docs: DataFrame, length: int = 50, block_bytes: int = 6 << 20,
-                   carry: tuple[str, ...] = ()) -> DataFrame:
+                   carry: tuple[str, ...] = (), hot_texts: int = HOT_TEXTS) -> DataFrame:
     """doc_id, n_bytes, kept (remaining bytes), spans (maximal removed runs of bytes), and the
     struct ``rest`` of the columns to carry, if any."""
     if not GRAM < length <= GRAM + 63:
         raise ValueError("length out of range")
     d, blocks = blocks_of(docs, block_bytes, carry)
     by_block = d.groupBy("block")
-    grams = recurring(by_block.applyInPandas(_send_grams(length, blocks), SENT), 1)
-    names = by_block.cogroup(grams.groupBy("block")).applyInPandas(_send_names(length, blocks), NAMES)
-    known = names.groupBy("shard").applyInPandas(_answer_names, ANSWER)
-    texts = by_block.cogroup(known.groupBy("block")).applyInPandas(_send_texts(length, 4 * blocks), NAMES)
+    known, texts = _differing(by_block, length, blocks, hot_texts)
     found = texts.groupBy("shard").applyInPandas(_sort_texts(length), ANSWER)
     result = RESULT + (f", rest {d.schema['rest'].dataType.simpleString()}" if carry else "")
-    answers = known.where("kind = 0").unionByName(found)
+    answers = known.where("kind in (0, 3)").unionByName(found)
     return with_null_ids(by_block.cogroup(answers.groupBy("block")).applyInPandas(_remove(length, bool(carry)), result))

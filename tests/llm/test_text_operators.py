@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import decontam, ngram_join, packing, phrases, suffix_dedup
+from ledgerloom.llm.phrases import blocks_of
 from ledgerloom.llm.queries import tokenizer_path
 from ledgerloom.llm.textblocks import as_bytes, cover, minima, run_argmin, word_windows, words_of
 
@@ -134,6 +135,45 @@ def test_suffix_dedup_equals_brute_force(spark, docs, block_bytes):
     assert {r.rest.name for r in out.collect()} == {"clash"}
 
 
+def repeats_brute_force(rows):
+    size, first = 50, {}
+    order = lambda k: 10 ** 9 if k is None else k
+    texts = [(k, (t or "").encode()) for k, t, *_ in rows]
+    for k, b in texts:
+        for i in range(len(b) - size + 1):
+            s = b[i:i + size]
+            first[s] = min(first.get(s, 10 ** 9), order(k))
+    want = []
+    for k, b in texts:
+        gone = [False] * len(b)
+        for i in range(len(b) - size + 1):
+            if first[b[i:i + size]] < order(k):
+                gone[i:i + size] = [True] * size
+        runs = sum(g for g, _ in itertools.groupby(gone))
+        want.append((k, len(b), sum(gone), runs, bytes(x for x, g in zip(b, gone) if not g)))
+    return want
+
+
+@pytest.mark.parametrize("block_bytes,hot_texts", [(1 << 11, 3), (1 << 22, 3), (1 << 13, 50)])
+def test_suffix_dedup_of_a_passage_in_all_documents(spark, docs, block_bytes, hot_texts):
+    rnd = random.Random(4)
+    some = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    passage, ends = some(120), [some(30) for _ in range(5)]
+    rows = [(i, some(40) + rnd.choice(ends) + passage + rnd.choice(ends) + some(40), "x", "y") for i in range(150)] + docs[0]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    out = suffix_dedup.remove_repeats(df, block_bytes=block_bytes, hot_texts=hot_texts).collect()
+    got = [(r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), bytes(r.kept)) for r in out]
+    assert by_key(got) == by_key(repeats_brute_force(rows))
+    # the texts of a frequent gram do not meet in one shard
+    d, blocks = blocks_of(df, block_bytes)
+    most = []
+    for limit in (hot_texts, 10 ** 9):
+        _, sent = suffix_dedup._differing(d.groupBy("block"), 50, blocks, limit)
+        texts = sent.where("kind = 2").groupBy("shard").agg(F.sum(F.length("key") / suffix_dedup._HEAD.itemsize).alias("n"))
+        most.append(texts.agg(F.max("n")).first()[0] or 0)
+    assert most[0] < most[1] and (hot_texts > 3 or 2 * most[0] < most[1])
+
+
 def shingles(text):
     low = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
     w = (text or "").encode().translate(low).split()
