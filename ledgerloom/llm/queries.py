@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 from ..sources.tables import read_table
-from . import ann_forest, chat, decontam, ngram_join, packing, phrases, suffix_dedup, toxicity, url_rules, warc
+from . import alignment, ann_forest, chat, decontam, fingerprints, ngram_join, packing, phrases, spelling, suffix_dedup, toxicity, \
+    url_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -106,3 +107,22 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fingerprints.neighbour_fingerprints(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+                      "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+@query
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.marked_words(read_table(spark, sf_dir, "documents")))
+
+
+@query
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = alignment.align_documents(read_table(spark, sf_dir, "documents"), tokenizer_path(),
+                                    tokenizer_path("piece_bpe_32k.model"))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
