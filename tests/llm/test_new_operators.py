@@ -224,7 +224,10 @@ def py_align(texts):
             links += [(a[i], b[j]) for j in sorted(set(owner[end - tok.size_a[a[i]]:end].tolist()))]
         ends = sorted(set(ea.tolist()) & set(eb.tolist()))
         ga, gb = np.searchsorted(ends, ea), np.searchsorted(ends, eb)
-        cells = [([x for x, g in zip(a, ga) if g == k], [x for x, g in zip(b, gb) if g == k]) for k in range(len(ends))]
+        cells = [([], []) for _ in ends]
+        for side, (ids, group) in enumerate(((a, ga), (b, gb))):
+            for x, g in zip(ids, group):
+                cells[g][side].append(x)
         groups = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in cells)
         out.append((len(a), len(b), len(ends), links, groups, sum(len(x) * len(y) for x, y in cells)))
     return out
