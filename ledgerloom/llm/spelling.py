@@ -10,7 +10,8 @@ searches of that radius run per pair of lengths:
    whose box lies within the radius, for its own length and the next.
 2. Cells.  A task builds the k-d tree of a cell's points and sends all its queries down together,
    dropping a query from a branch when its box is too far (the distance is kept up incrementally,
-   one dimension a level).  At the leaves vectors are compared, then the order of the letters.
+   one dimension a level).  At the leaves the parities of the counts are compared as bit sets (they
+   differ in at most as many letters as the counts), then the vectors, then the order of the letters.
 3. Each task gives back one row per word: how many near words and the best of them.  Spark adds
    them up, chooses the form, and follows forms to the root by doubling: as n at least doubles
    from a word to its form, chains are short and have no cycle.
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-LEAF = 24                   # points of a leaf
-CELL = 2_048                # words of a cell, as far as MAX_CELLS allows
+LEAF = 96                   # points of a leaf
+CELL = 4_096                # words of a cell, as far as MAX_CELLS allows
 MAX_CELLS = 8_192
 SAMPLE = 32                 # sampled words per cell
 DEALT = "cell long, point boolean, word string, n long"
@@ -62,10 +63,14 @@ def codes_of(words: list[str], length: int) -> np.ndarray:
 
 def count_vectors(codes: np.ndarray, letters: np.ndarray) -> np.ndarray:
     """Counts of the given letters (the last: all others) in each word."""
-    at = np.searchsorted(letters, np.minimum(codes, OTHER))
-    out = np.zeros((len(codes), len(letters)), np.int16)
-    np.add.at(out, (np.repeat(np.arange(len(codes)), codes.shape[1]), at.ravel()), 1)
-    return out
+    at = np.searchsorted(letters, np.minimum(codes, OTHER)) + np.arange(len(codes))[:, None] * len(letters)
+    return np.bincount(at.ravel(), minlength=len(codes) * len(letters)).astype(np.int16).reshape(len(codes), len(letters))
+
+
+def parities(codes: np.ndarray) -> np.ndarray:
+    """One 64-bit set per word: the letters (modulo 64) that it has an odd number of."""
+    return np.bitwise_xor.reduce(np.uint64(1) << (codes & 63).astype(np.uint64), axis=1) if codes.shape[1] \
+        else np.zeros(len(codes), np.uint64)
 
 
 LETTERS = np.arange(OTHER + 1)
@@ -138,17 +143,19 @@ def near_pairs(queries: list[str], points: list[str]):
     radius = 2 if a.shape[1] == b.shape[1] else 1
     letters = np.unique(np.concatenate([np.minimum(a, OTHER).ravel(), np.minimum(b, OTHER).ravel()]))
     va, vb = count_vectors(a, letters), count_vectors(b, letters)
+    pa, pb = parities(a), parities(b)
     tree = KdTree(vb, LEAF)
     left, right = [], []
     for leaf, q in tree.reach(va, radius):
         mine = tree.leaves[leaf]
-        for s in range(0, len(q), 4096):
-            part = q[s:s + 4096]
-            for t in range(0, len(mine), 256):      # a leaf of equal vectors can be long
-                some = mine[t:t + 256]
-                close = np.abs(va[part][:, None, :] - vb[some][None, :, :]).sum(2) <= radius
-                i, j = np.nonzero(close)
+        for s in range(0, len(q), 2048):
+            part = q[s:s + 2048]
+            for t in range(0, len(mine), LEAF):     # a leaf of equal vectors can be long
+                some = mine[t:t + LEAF]
+                i, j = np.nonzero(np.bitwise_count(pa[part][:, None] ^ pb[some][None, :]) <= radius)
                 i, j = part[i], some[j]
+                ok = np.abs(va[i] - vb[j]).sum(1) <= radius
+                i, j = i[ok], j[ok]
                 ok = one_edit(a[i], b[j])
                 left.append(i[ok])
                 right.append(j[ok])
