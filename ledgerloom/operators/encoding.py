@@ -25,6 +25,29 @@ def one_hot_assets(df: DataFrame, vocab: DataFrame, asset_col: str = "asset") ->
     return x.withColumn("one_hot", onehot).drop("_k")
 
 
+def sparse_one_hot(df: DataFrame, vocab: DataFrame, asset_col: str = "asset") -> DataFrame:
+    """X8 as a sparse vector: ``one_hot`` = struct(size, indices, values) with one entry (unknown -> index
+    0), so a row is as wide for a million assets as for ten.  The vocabulary is joined, not broadcast
+    by hand; its size is one number."""
+    size = vocab.count()
+    x = df.join(vocab.withColumnRenamed("asset", asset_col), asset_col, "left")
+    x = x.withColumn("index", F.coalesce("index", F.lit(0).cast("long")))
+    return x.withColumn("one_hot", F.struct(F.lit(size).cast("long").alias("size"), F.array("index").alias("indices"),
+                                            F.array(F.lit(1.0)).alias("values")))
+
+
+def sparse_dot(df: DataFrame, weights: DataFrame, vector_col: str = "one_hot", out_col: str = "dot") -> DataFrame:
+    """Dot product of a sparse vector column with weights(index, weight), by a join on the index; every
+    row of ``df`` keeps its columns.  Only entries travel, never whole vectors."""
+    key = F.monotonically_increasing_id()
+    rows = df.withColumn("_at", key) if "_at" not in df.columns else df
+    flat = rows.select("*", F.explode(F.arrays_zip(F.col(f"{vector_col}.indices").alias("i"),
+                                                   F.col(f"{vector_col}.values").alias("v"))).alias("_e"))
+    w = weights.select(F.col("index").alias("_i"), "weight")
+    one = flat.join(w, F.col("_e.i") == F.col("_i"), "left")
+    return one.groupBy(*rows.columns).agg(F.sum(F.col("_e.v") * F.coalesce("weight", F.lit(0.0))).alias(out_col)).drop("_at")
+
+
 def embedding_lookup(indexed: DataFrame, table: DataFrame, index_col: str = "index", id_col: str = "vec_id",
                      vec_col: str = "embedding") -> DataFrame:
     """Join each row's index to a given embedding table (equi join, no size assumption)."""

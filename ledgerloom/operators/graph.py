@@ -171,45 +171,94 @@ def closeness_centrality(edges: DataFrame, disconnected: bool = False,
     return closeness_bitset(edges, disconnected, nodes, _sources(nodes, sample_size))
 
 
-def betweenness_centrality(edges: DataFrame, normalized: bool = True,
-                           sample_size: int | None = None) -> DataFrame:
+LANES = 16               # sources whose state shares a row, one column each
+STATE_ROWS = 1 << 22     # rows of state of a round of source blocks
+
+
+def source_blocks(sources: DataFrame, n_nodes: int, lanes: int, state_rows: int):
+    """Sources numbered in node order, cut into blocks of ``lanes``, and rounds of as many blocks
+    as give at most ``state_rows`` rows (block, node): (node, block, lane) tables, one per round."""
+    from ..plans.ordering import with_global_rank
+    numbered = cut_lineage(with_global_rank(sources.select("node"), ["node"], "sid"))
+    blocks = -(-numbered.count() // lanes)
+    per_round = max(1, state_rows // max(1, n_nodes))
+    placed = numbered.select("node", F.floor(F.col("sid") / lanes).cast("long").alias("block"),
+                             F.pmod("sid", F.lit(lanes)).cast("int").alias("lane"))
+    for first in range(0, blocks, per_round):
+        yield placed.where((F.col("block") >= first) & (F.col("block") < first + per_round))
+
+
+def _lane_levels(adj: DataFrame, sources: DataFrame, lanes: list[str]) -> list[DataFrame]:
+    """Forward pass of a round: per distance (block, node, a path count per lane); a lane is 0 where
+    the node is not at that distance from the lane's source, ``at`` has the bits of the others.
+
+    The graph is undirected, so what a level reaches lies one level back, on it, or one further:
+    only the bits of the last two levels are kept out."""
+    level = cut_lineage(sources.groupBy("block", "node").agg(
+        *[F.max(F.when(F.col("lane") == i, 1.0).otherwise(0.0)).alias(c) for i, c in enumerate(lanes)],
+        F.bit_or(F.expr("shiftleft(1, lane)")).alias("at")))
+    levels = [level]
+    while True:
+        reached = (levels[-1].drop("at").join(adj.withColumnRenamed("u", "node"), "node")
+                   .groupBy("block", F.col("v").alias("node")).agg(*[F.sum(c).alias(c) for c in lanes]))
+        seen = levels[-1].select("block", "node", "at")
+        if len(levels) > 1:
+            seen = seen.unionByName(levels[-2].select("block", "node", "at")).groupBy("block", "node").agg(
+                F.bit_or("at").alias("at"))
+        fresh = lambda i, c: F.when((F.col("_seen").isNull() | (F.getbit("_seen", F.lit(i)) == 0)) & (F.col(c) > 0),
+                                    F.col(c)).otherwise(0.0)
+        new = reached.join(seen.withColumnRenamed("at", "_seen"), ["block", "node"], "left").select(
+            "block", "node", *[fresh(i, c).alias(c) for i, c in enumerate(lanes)])
+        bits = sum((F.when(F.col(c) > 0, F.lit(1 << i)).otherwise(0) for i, c in enumerate(lanes)), F.lit(0))
+        new = cut_lineage(new.withColumn("at", bits).where("at <> 0"))
+        if new.isEmpty():
+            return levels
+        levels.append(new)
+
+
+def _lane_dependencies(adj: DataFrame, levels: list[DataFrame], lanes: list[str]) -> DataFrame:
+    """Backward pass of a round: (node, delta), the sum of the lanes' dependencies on a node."""
+    below, parts = None, None       # (block, node, delta per lane) of the level after the current one
+    for d in range(len(levels) - 2, 0, -1):
+        child = levels[d + 1].drop("at")
+        if below is not None:
+            child = child.join(below.select("block", "node", *[F.col(c).alias(f"_{c}") for c in lanes]), ["block", "node"], "left")
+        share = lambda c: F.when(F.col(c) > 0, (1 + (F.coalesce(F.col(f"_{c}"), F.lit(0.0)) if below is not None else F.lit(0.0)))
+                                 / F.col(c)).otherwise(0.0)
+        shares = child.select("block", "node", *[share(c).alias(c) for c in lanes])
+        # (1 + delta) / paths summed over the neighbours one level on, then one join with the level
+        got = (shares.join(adj.withColumnRenamed("u", "node"), "node")
+               .groupBy("block", F.col("v").alias("node")).agg(*[F.sum(c).alias(f"_{c}") for c in lanes]))
+        below = cut_lineage(levels[d].drop("at").join(got, ["block", "node"], "left").select(
+            "block", "node", *[(F.col(c) * F.coalesce(F.col(f"_{c}"), F.lit(0.0))).alias(c) for c in lanes]))
+        part = below.groupBy("node").agg(F.sum(sum((F.col(c) for c in lanes[1:]), F.col(lanes[0]))).alias("delta"))
+        parts = part if parts is None else parts.unionByName(part)
+    return parts
+
+
+def betweenness_centrality(edges: DataFrame, normalized: bool = True, sample_size: int | None = None,
+                           lanes: int = LANES, state_rows: int = STATE_ROWS) -> DataFrame:
     """R2: Brandes betweenness on the undirected distinct graph, summed over sources in both
-    directions and scaled by 2/((n-1)(n-2)) when normalised (star centre = 2.0, as the
-    reference).  Backward accumulation level by level:
-    delta(v) = sum over children w (dist + 1, adjacent) of sigma_v/sigma_w (1 + delta_w)."""
+    directions and scaled by 2/((n-1)(n-2)) when normalised (star centre = 2.0, as the reference).
+
+    Sources run in blocks of ``lanes``, as columns of one row per (block, node), and as many blocks
+    at a time as keep the state at ``state_rows`` rows; per round one forward and one backward
+    pass, whose dependencies are added to one sum per node.  At no time is there a table of all
+    (source, node) pairs, however large the graph; the number of rounds grows instead."""
     adj = cut_lineage(undirected_adjacency(edges))
     nodes = cut_lineage(node_table(edges))
     n = nodes.count()
-    lv = bfs_levels(adj, _sources(nodes, sample_size), symmetric=True)
-    maxd = lv.agg(F.max("dist")).first()[0] or 0
-    delta = None   # (source, node, delta) for the level below the current one
-    acc = None
-    for d in range(maxd - 1, -1, -1):
-        parents = lv.where(F.col("dist") == d).select("source", F.col("node").alias("v"), F.col("sigma").alias("sv"))
-        children = lv.where(F.col("dist") == d + 1).select("source", F.col("node").alias("w"), F.col("sigma").alias("sw"))
-        if delta is not None:
-            children = children.join(delta.select("source", F.col("node").alias("w"), F.col("delta").alias("dw")),
-                                     ["source", "w"], "left")
-        else:
-            children = children.withColumn("dw", F.lit(0.0))
-        children = children.fillna({"dw": 0.0})
-        # sum (1 + delta_w) / sigma_w over the children of each v first (partial aggregate),
-        # then one join with the parents: delta_v = sigma_v * that sum
-        per_v = (children.select("source", "w", ((1 + F.col("dw")) / F.col("sw")).alias("c"))
-                 .join(adj.select(F.col("u").alias("w"), "v"), "w")
-                 .groupBy("source", "v").agg(F.sum("c").alias("_c")))
-        contrib = per_v.join(parents, ["source", "v"]).select(
-            "source", F.col("v").alias("node"), (F.col("sv") * F.col("_c")).alias("delta"))
-        delta = cut_lineage(contrib)
-        part = delta.where(F.col("node") != F.col("source"))
-        acc = part if acc is None else acc.unionByName(part)
-        if d % 4 == 0:
-            acc = cut_lineage(acc)
-    if acc is None:
+    names = [f"s{i}" for i in range(lanes)]
+    total = None
+    for sources in source_blocks(_sources(nodes, sample_size), n, lanes, state_rows):
+        part = _lane_dependencies(adj, _lane_levels(adj, sources, names), names)
+        if part is not None:
+            both = part if total is None else total.unionByName(part)
+            total = cut_lineage(both.groupBy("node").agg(F.sum("delta").alias("delta")))
+    if total is None:
         out = nodes.withColumn("betweenness", F.lit(0.0))
     else:
-        b = acc.groupBy("node").agg(F.sum("delta").alias("betweenness"))
-        out = nodes.join(b, "node", "left").fillna({"betweenness": 0.0})
+        out = nodes.join(total.withColumnRenamed("delta", "betweenness"), "node", "left").fillna({"betweenness": 0.0})
     if normalized and n > 2:
         out = out.withColumn("betweenness", F.col("betweenness") * F.lit(2.0 / ((n - 1) * (n - 2))))
     return out
@@ -359,19 +408,59 @@ def community_summary(labels: DataFrame, top: int = 5) -> DataFrame:
 
 # ----------------------------------------------------------------------------- cycles
 
+def cycle_edges(edges: DataFrame, max_cycle: int = 4) -> DataFrame:
+    """Distinct (src, dst) that lie on a directed cycle of 2 to ``max_cycle`` (at most 4) nodes.
+
+    Cycles are put together from halves that meet in the middle.  Nodes are ordered by (number of
+    neighbours, id); the halves of a cycle of 3 or 4 begin or end at its highest node, so a half
+    a -> b -> c passes only nodes below a, and there are at most as many halves as edges times the
+    square root of edges, also around hubs.  A cycle of 3 closes a half by an edge, a cycle of 4 is two
+    halves with the same ends; what goes on are the ends, once each, never (head, node) pairs."""
+    if max_cycle not in (2, 3, 4):
+        raise ValueError("cycles of 2, 3 or 4 nodes")
+    e = edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull() & (F.col("src") != F.col("dst")))
+    e = e.select("src", "dst").distinct()
+    both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    rank = both.groupBy("src").agg(F.struct(F.count(F.lit(1)).alias("n"), F.col("src").alias("id")).alias("r"))
+    e = cut_lineage(e.join(rank.select("src", F.col("r").alias("rs")), "src")
+                    .join(rank.select(F.col("src").alias("dst"), F.col("r").alias("rd")), "dst"))
+    pair = e.select("src", "dst")
+    found = [pair.join(pair.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_semi")]
+    if max_cycle > 2:
+        out = e.where("rd < rs").select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("rs").alias("ra"))
+        step = e.select(F.col("src").alias("b"), F.col("dst").alias("c"), F.col("rd").alias("rc"))
+        first = out.join(step, "b").where("rc < ra").select("a", "b", "c")              # a -> b -> c below a
+        thirds = first.join(pair.select(F.col("src").alias("c"), F.col("dst").alias("a")), ["a", "c"], "left_semi")
+        ways = [thirds.select("a", "b", "c", F.lit(True).alias("closes"))]
+        if max_cycle > 3:
+            back = e.where("rs < rd").select(F.col("src").alias("d"), F.col("dst").alias("a"), F.col("rd").alias("ra"))
+            step = e.select(F.col("src").alias("c"), F.col("dst").alias("d"), F.col("rs").alias("rc"))
+            last = back.join(step, "d").where("rc < ra").select("a", "d", "c")          # c -> d -> a below a
+            ends = cut_lineage(first.select("a", "c").distinct().join(last.select("a", "c").distinct(), ["a", "c"]))
+            ways.append(first.join(ends, ["a", "c"], "left_semi").select("a", "b", "c", F.lit(False).alias("closes")))
+            rest = last.join(ends, ["a", "c"], "left_semi").select(F.explode(F.array(
+                F.struct(F.col("c").alias("src"), F.col("d").alias("dst")),
+                F.struct(F.col("d").alias("src"), F.col("a").alias("dst")))).alias("e")).select("e.*")
+            found.append(rest)
+        for w in ways:
+            on = F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")),
+                         F.struct(F.col("b").alias("src"), F.col("c").alias("dst")),
+                         F.when(F.col("closes"), F.struct(F.col("c").alias("src"), F.col("a").alias("dst"))))
+            found.append(w.select(F.explode(on).alias("e")).where("e is not null").select("e.*"))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out.distinct()
+
+
 def cyclic_flow_ratio(edges: DataFrame, max_cycle: int = 4) -> DataFrame:
-    """G22 (decision: bounded cycles): share of volume on edges u->v that close a directed
-    walk of length <= ``max_cycle`` (v reaches u in <= max_cycle - 1 hops).  Reachability is a
-    BFS over (origin, node) pairs from every edge head, de-duplicated per hop."""
+    """G22 (decision: bounded cycles): share of volume on edges that lie on a directed cycle of at most
+    ``max_cycle`` nodes."""
     e = edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull() & (F.col("src") != F.col("dst")))
-    adj = cut_lineage(e.select(F.col("src").alias("u"), F.col("dst").alias("v")).distinct())
-    heads = e.select(F.col("dst").alias("node")).distinct()
-    reach = bfs_levels(adj, heads, max_depth=max_cycle - 1).select(
-        F.col("source").alias("dst"), F.col("node").alias("src"))
-    cyc = e.join(reach.distinct(), ["src", "dst"], "left_semi")
-    tot = e.agg(F.sum(F.abs("amount")).alias("_t"))
-    c = cyc.agg(F.sum(F.abs("amount")).alias("_c"))
-    return tot.crossJoin(c).select(F.coalesce(F.col("_c") / F.col("_t"), F.lit(0.0)).alias("cyclic_flow_ratio"))
+    on = cycle_edges(edges, max_cycle).withColumn("_on", F.lit(True))
+    volume = F.abs("amount")
+    return e.join(on, ["src", "dst"], "left").agg(F.coalesce(
+        F.sum(F.when(F.col("_on"), volume)) / F.sum(volume), F.lit(0.0)).alias("cyclic_flow_ratio"))
 
 
 def importance_metrics(edges: DataFrame, sample_size: int | None = None) -> DataFrame:
@@ -387,26 +476,30 @@ def importance_metrics(edges: DataFrame, sample_size: int | None = None) -> Data
     return out.fillna(0.0)
 
 
-def closeness_bitset(edges: DataFrame, disconnected: bool, nodes: DataFrame, sources: DataFrame) -> DataFrame:
+def closeness_bitset(edges: DataFrame, disconnected: bool, nodes: DataFrame, sources: DataFrame,
+                     state_rows: int = STATE_ROWS) -> DataFrame:
     """R3 by bit-parallel multi-source BFS (one word of 64 sources per row).
 
-    Sources get indices 0..S-1 (range-partitioned rank).  State rows are (node, word, bits):
-    ``visited`` has the bit of every source that reached the node, ``frontier`` the bits first
-    reached at the current level.  One level = frontier x adjacency -> ``bit_or`` per (node,
-    word) -> drop already-visited bits.  A level moves edges x S/64 words instead of
-    (source, node) pairs x degree.  Distance sums per source come from the newly set bits of
-    each level (each (source, node) pair is counted once, when first reached)."""
-    from ..plans.ordering import with_global_rank
+    Sources get a word and a bit.  State rows are (node, word, bits): ``visited`` has the bit of
+    every source that reached the node, ``frontier`` the bits first reached at the current level.
+    One level = frontier x adjacency -> ``bit_or`` per (node, word) -> drop already-visited bits: it
+    moves edges x words instead of (source, node) pairs x degree.  Distance sums per source come
+    from the newly set bits of each level.  As many words run at a time as keep the state at
+    ``state_rows`` rows, so there is never a row for every node and word of a large graph."""
     adj = cut_lineage(undirected_adjacency(edges))
-    idx = cut_lineage(with_global_rank(sources, ["node"], "sid"))
     n_all = nodes.count()
-    word = F.floor(F.col("sid") / 64).cast("long")
-    bit = F.expr("shiftleft(cast(1 as bigint), cast(pmod(sid, 64) as int))")
-    frontier = cut_lineage(idx.select("node", word.alias("w"), bit.alias("bits"))
-                           .groupBy("node", "w").agg(F.bit_or("bits").alias("bits")))
+    out = None
+    for part in source_blocks(sources, n_all, 64, state_rows):
+        part = cut_lineage(_closeness_round(adj, part, n_all, disconnected))
+        out = part if out is None else out.unionByName(part)
+    return nodes.select("node", F.lit(0.0).alias("closeness")).where("false") if out is None else out
+
+
+def _closeness_round(adj: DataFrame, idx: DataFrame, n_all: int, disconnected: bool) -> DataFrame:
+    bit = F.expr("shiftleft(cast(1 as bigint), lane)")
+    frontier = cut_lineage(idx.groupBy("node", F.col("block").alias("w")).agg(F.bit_or(bit).alias("bits")))
     visited = frontier
-    # per level: (level, w, bits) rows of newly reached bits, summarised to per-source counts
-    per_level = []
+    reached = None          # per source of the round: nodes reached and the sum of their distances
     d = 0
     while True:
         cand = (frontier.join(adj.withColumnRenamed("u", "node"), "node")
@@ -419,23 +512,17 @@ def closeness_bitset(edges: DataFrame, disconnected: bool, nodes: DataFrame, sou
         if new.isEmpty():
             break
         d += 1
-        per_level.append(new.withColumn("dist", F.lit(d)))
+        level = (new.select("w", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("lane"), "bits")
+                 .where(F.expr("(shiftright(bits, lane) & 1) = 1")).groupBy("w", "lane")
+                 .agg(F.count(F.lit(1)).alias("_r"), (F.count(F.lit(1)) * d).alias("_t")))
+        reached = level if reached is None else reached.unionByName(level)
         visited = cut_lineage(visited.unionByName(new).groupBy("node", "w").agg(F.bit_or("bits").alias("bits")))
         frontier = new
-    # reached counts and distance sums per source: explode the set bits of each level's rows
-    src_cnt = None
-    for lv in per_level:
-        x = lv.select("w", "dist", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("b"), "bits") \
-            .where(F.expr("(shiftright(bits, b) & 1) = 1")) \
-            .groupBy((F.col("w") * 64 + F.col("b")).alias("sid")) \
-            .agg(F.count(F.lit(1)).alias("_r"), F.sum("dist").alias("_t"))
-        src_cnt = x if src_cnt is None else src_cnt.unionByName(x)
-    g = idx.select("node", "sid")
-    if src_cnt is not None:
-        agg = src_cnt.groupBy("sid").agg(F.sum("_r").alias("_r"), F.sum("_t").alias("_t"))
-        g = g.join(agg, "sid", "left")
+    g = idx.withColumnRenamed("block", "w")
+    if reached is None:
+        g = g.withColumns({"_r": F.lit(0), "_t": F.lit(0)})
     else:
-        g = g.withColumn("_r", F.lit(0)).withColumn("_t", F.lit(0))
+        g = g.join(reached.groupBy("w", "lane").agg(F.sum("_r").alias("_r"), F.sum("_t").alias("_t")), ["w", "lane"], "left")
     r = F.coalesce(F.col("_r"), F.lit(0)) + 1          # the source itself
     t = F.coalesce(F.col("_t"), F.lit(0)).cast("double")
     if disconnected:

@@ -284,24 +284,31 @@ def normalize_backfill(rows: DataFrame, order_col: str) -> DataFrame:
     return first.where("_r._valid").select(*keys, "_r.*").select(*BACKFILL_COLUMNS)
 
 
-def ingest_range(ledgers: DataFrame, processed: DataFrame, start: int | None, end: int | None,
-                 last_processed: int | None) -> DataFrame:
-    """(ledger, status) for the resolved range: 'skipped' if already processed, else
-    'processed'.  Bounds: none -> last+1 only; no start -> last+1; no end -> start; end < start
-    raises.  ``ledgers`` is accepted for the payload join (ledgers that exist)."""
+def resolve_range(start: int | None, end: int | None, last_processed: int | None) -> tuple[int, int] | None:
+    """A11 bounds: none -> last + 1 only; no start -> last + 1; no end -> start; nothing known -> None;
+    end < start raises."""
     if start is None and end is None:
         if last_processed is None:
-            return processed.sparkSession.createDataFrame([], "ledger long, status string")
+            return None
         start = end = last_processed + 1
     if start is None and last_processed is not None:
         start = last_processed + 1
     if end is None and start is not None:
         end = start
     if start is None or end is None:
-        return processed.sparkSession.createDataFrame([], "ledger long, status string")
+        return None
     if end < start:
         raise ValueError("end_ledger must be >= start_ledger")
-    rng = processed.sparkSession.range(start, end + 1).select(F.col("id").alias("ledger"))
+    return start, end
+
+
+def ingest_range(processed: DataFrame, start: int | None, end: int | None, last_processed: int | None) -> DataFrame:
+    """(ledger, status) for the resolved range: 'skipped' if already processed, else 'processed'."""
+    spark = processed.sparkSession
+    bounds = resolve_range(start, end, last_processed)
+    if bounds is None:
+        return spark.createDataFrame([], "ledger long, status string")
+    rng = spark.range(bounds[0], bounds[1] + 1).select(F.col("id").alias("ledger"))
     done = processed.select(F.col("ledger").cast("long")).distinct().withColumn("_done", F.lit(True))
     return rng.join(done, "ledger", "left").select(
         "ledger", F.when(F.col("_done"), F.lit("skipped")).otherwise(F.lit("processed")).alias("status"))
@@ -351,6 +358,99 @@ def graph_edges(norm: DataFrame, accounts: DataFrame) -> DataFrame:
                     "source_account_id", "destination_account_id", "transaction_hash", "amount", "ts"))
 
 
+# Edge types of the mirror and the operation types that make them.
+EDGE_TYPES = ["transaction", "claim", "payment"]
+CLAIM_TYPES = ["create_claimable_balance", "claim_claimable_balance", "clawback_claimable_balance"]
+
+
+def edge_type(op_type: Column) -> Column:
+    return (F.when(op_type.isin("payment", *PATH_PAYMENT_TYPES), "payment")
+            .when(op_type.isin(*CLAIM_TYPES), "claim").otherwise("transaction"))
+
+
+def graph_mirror(norm: DataFrame, tx: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Every edge of the mirror with its details, from one pass over the operations.
+
+    norm(transaction_hash, operation_id, type, sender, receiver, asset, amount, ts, ledger_sequence), tx =
+    parsed transactions, accounts = :func:`graph_accounts`.  An edge has a surrogate id (rank by time and
+    event), surrogate account ids, ``external_event_id`` = hash:operation, unique per type, and exactly
+    one of the structs ``payment``, ``claim``, ``transaction``; the tables are projections of this one
+    (:func:`mirror_table`).  Self pairs make no edge; a null receiver keeps a null destination."""
+    e = norm.where(F.col("receiver").isNull() | (F.col("sender") != F.col("receiver"))).select(
+        edge_type(F.col("type")).alias("edge_type"),
+        F.concat_ws(":", "transaction_hash", F.col("operation_id").cast("string")).alias("external_event_id"),
+        "transaction_hash", "operation_id", F.col("type").alias("operation_type"), "sender", "receiver", "asset", "amount",
+        F.col("ts").alias("occurred_at"), "ledger_sequence")
+    ids = accounts.select("id", "account_address")
+    e = e.join(ids.select(F.col("account_address").alias("sender"), F.col("id").alias("source_account_id")), "sender")
+    e = e.join(ids.select(F.col("account_address").alias("receiver"), F.col("id").alias("destination_account_id")),
+               "receiver", "left")
+    t = tx.select(F.col("hash").alias("transaction_hash"), "successful", "operation_count", "fee", "memo_type", "memo")
+    e = e.join(t, "transaction_hash", "left")
+    status = F.when(F.col("successful"), "settled").when(~F.col("successful"), "failed")
+    share = F.col("fee") / F.greatest(F.col("operation_count"), F.lit(1))
+    payment = F.struct(F.col("external_event_id").alias("payment_reference"), status.alias("payment_status"),
+                       share.alias("fee_amount"), F.when(F.col("successful"), F.col("occurred_at")).alias("settled_at"))
+    claim = F.struct(F.col("external_event_id").alias("claim_reference"),
+                     F.when(F.col("operation_type") == "create_claimable_balance", "open")
+                     .when(F.col("operation_type") == "claim_claimable_balance", "claimed").otherwise("clawed_back").alias("claim_status"))
+    other = F.struct("successful", "operation_count", "fee", "memo_type", "memo")
+    is_type = lambda t: F.col("edge_type") == t
+    e = e.select("edge_type", "external_event_id", "transaction_hash", "operation_id", "source_account_id",
+                 "destination_account_id", "asset", "amount", "occurred_at", "ledger_sequence",
+                 F.when(is_type("payment"), payment).alias("payment"), F.when(is_type("claim"), claim).alias("claim"),
+                 F.when(is_type("transaction"), other).alias("transaction"))
+    ranked = with_global_rank(e, ["occurred_at", "external_event_id"], "_r")
+    return ranked.withColumn("id", F.col("_r") + 1).drop("_r")
+
+
+MIRROR_EDGE = ["id", "edge_type", "external_event_id", "transaction_hash", "source_account_id", "destination_account_id",
+               "asset", "amount", "occurred_at", "ledger_sequence"]
+
+
+def mirror_table(mirror: DataFrame, name: str) -> DataFrame:
+    """``edges``, or the detail table of an edge type (edge_id, edge_type, its columns)."""
+    if name == "edges":
+        return mirror.select(*MIRROR_EDGE)
+    if name not in EDGE_TYPES:
+        raise ValueError(f"no mirror table {name!r}")
+    return mirror.where(F.col(name).isNotNull()).select(F.col("id").alias("edge_id"), "edge_type", f"{name}.*")
+
+
+def mirror_checks(edges: DataFrame, details: dict[str, DataFrame], accounts: DataFrame) -> DataFrame:
+    """(check, rows) of the constraints of the mirror's tables, as they were stored: number of rows that
+    break each of them."""
+    held = None
+    for name, d in details.items():
+        one = d.select(F.col("edge_id").alias("id"), F.col("edge_type").alias("detail_type"), F.lit(name).alias("table"))
+        held = one if held is None else held.unionByName(one)
+    kinds = [f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("detail_type", "table")]
+    per_edge = held.groupBy("id").agg(F.count(F.lit(1)).alias("n"), *kinds)
+    j = edges.select("id", "edge_type").withColumn("_e", F.lit(True)).join(per_edge, "id", "full")
+    one = j.agg(*[F.count(F.when(c, 1)).alias(n) for n, c in {
+        "edge_without_detail": F.col("_e") & F.col("n").isNull(), "detail_without_edge": F.col("_e").isNull(),
+        "edge_with_several_details": F.col("n") > 1,
+        "detail_of_other_type": F.least("min_detail_type", "min_table", "edge_type")
+        != F.greatest("max_detail_type", "max_table", "edge_type")}.items()])
+    twice = edges.groupBy("edge_type", "external_event_id").agg((F.count(F.lit(1)) - 1).alias("more")).agg(
+        F.coalesce(F.sum("more"), F.lit(0)).alias("repeated_external_event"))
+    ends = edges.agg(
+        F.count(F.when(~F.col("edge_type").isin(*EDGE_TYPES), 1)).alias("unknown_edge_type"),
+        F.count(F.when(F.col("source_account_id") == F.col("destination_account_id"), 1)).alias("edge_to_itself"))
+    known = accounts.select(F.col("id").alias("account"))
+    ids = edges.select(F.explode(F.array("source_account_id", "destination_account_id")).alias("account")).where(
+        "account is not null").join(known, "account", "left_anti").agg(F.count(F.lit(1)).alias("unknown_account"))
+    wide = [one, twice, ends, ids]
+    if "payment" in details:
+        wide.append(details["payment"].agg(F.count(F.when(F.col("fee_amount") < 0, 1)).alias("negative_fee")))
+    rows = [w.select(F.explode(F.create_map(*[x for c in w.columns for x in (F.lit(c), F.col(c).cast("long"))]))
+                     .alias("check", "rows")) for w in wide]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
 def build_assets(ops: DataFrame) -> DataFrame:
     """One row per (asset_code, coalesce(asset_issuer, '')) with the first ledger seen."""
     o = ops.where(F.col("asset_code").isNotNull())

@@ -5,10 +5,14 @@ task reproduces it.  For integral keys the hash is plain 64-bit arithmetic (repr
 SQL); other keys use a hash SQL can repeat."""
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import draw60
+from ..session import cut_lineage
 
 # Amount bucket upper bounds and time-of-day bucket starts (decision table).
 AMOUNT_BOUNDS = [1, 10, 100, 1000, 10000]
@@ -87,6 +91,58 @@ def signature_uniqueness(sigs: DataFrame, wallet_col: str, bits: int = 64) -> Da
                     .alias("uniqueness"))
 
 
+def signature_classes(sigs: DataFrame, wallet_col: str) -> DataFrame:
+    """One row per distinct signature: representative (the smallest wallet) and number of wallets."""
+    return sigs.groupBy("signature").agg(F.min(wallet_col).alias("representative"), F.count(F.lit(1)).alias("wallets"))
+
+
+def near_masks(width: int, radius: int) -> list[int]:
+    """All numbers of ``width`` bits with at most ``radius`` bits set."""
+    return [sum(1 << b for b in bits) for k in range(radius + 1) for bits in combinations(range(width), k)]
+
+
+def similar_classes(classes: DataFrame, bits: int = 64, differing: int | None = None, similarity: float = 0.8,
+                    parts: int = 4) -> DataFrame:
+    """Links (a, b, differing) between representatives a < b whose signatures differ in at most
+    ``differing`` bits (by default as many as the Hamming similarity allows).
+
+    Pigeonhole: of ``parts`` equal parts of a signature, one differs in at most differing / parts bits,
+    so a class probes its part with every mask of so few bits and meets the others by equality of a
+    whole part.  (One part per allowed difference needs no masks, but parts of five bits: nearly all
+    pairs would meet.)  A pair counts at its first part that is near, which makes it unique without
+    a shuffle, and is verified by the bit count.  Equal signatures are one class from the start, so a
+    group of equal wallets lists no pairs; all other links are kept."""
+    if differing is None:
+        differing = int((1 - similarity) * bits + 1e-9)
+    width, radius = bits // parts, differing // parts
+    key = lambda p: F.shiftrightunsigned("signature", p * width).bitwiseAND(F.lit((1 << width) - 1))
+    cut = classes.select("representative", "signature", F.explode(F.array(
+        *[F.struct(F.lit(p).alias("part"), key(p).alias("key")) for p in range(parts)])).alias("k"))
+    cut = cut.select("representative", "signature", "k.part", "k.key")
+    points = cut.select(F.col("representative").alias("b"), F.col("signature").alias("sb"), "part", "key")
+    probes = cut.select(F.col("representative").alias("a"), F.col("signature").alias("sa"), "part",
+                        F.explode(F.transform(F.lit(near_masks(width, radius)), lambda m: F.col("key").bitwiseXOR(m))).alias("key"))
+    x = F.col("sa").bitwiseXOR(F.col("sb"))
+    far = lambda p: F.bit_count(F.shiftrightunsigned(x, p * width).bitwiseAND(F.lit((1 << width) - 1))) > radius
+    first = reduce(lambda c, p: c & ((F.col("part") <= p) | far(p)), range(parts), F.lit(True))
+    return probes.join(points, ["part", "key"]).where((F.col("a") < F.col("b")) & (F.bit_count(x) <= differing) & first) \
+        .select("a", "b", F.bit_count(x).cast("long").alias("differing"))
+
+
+def similar_wallets(sigs: DataFrame, wallet_col: str, **how) -> DataFrame:
+    """Per wallet its class representative and the number of other wallets at least as similar as
+    asked, those of its own class included."""
+    classes = cut_lineage(signature_classes(sigs, wallet_col))
+    links = similar_classes(classes, **how)
+    ends = links.select(F.col("a").alias("representative"), F.col("b").alias("other")).unionByName(
+        links.select(F.col("b").alias("representative"), F.col("a").alias("other")))
+    size = classes.select(F.col("representative").alias("other"), F.col("wallets").alias("_w"))
+    near = ends.join(size, "other").groupBy("representative").agg(F.sum("_w").alias("_near"))
+    counted = classes.join(near, "representative", "left").select(
+        "signature", "representative", (F.col("wallets") - 1 + F.coalesce("_near", F.lit(0))).alias("n_similar"))
+    return sigs.select(wallet_col, "signature").join(counted, "signature").select(wallet_col, "representative", "n_similar")
+
+
 def secret_shares(values: DataFrame, key_col: str, value_col: str, parties: int = 3, seed: int = 0,
                   spread: float = 1e6) -> DataFrame:
     """Additive shares: parties - 1 random shares in [-spread, spread) (7-decimal) and the

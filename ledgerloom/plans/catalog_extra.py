@@ -10,7 +10,7 @@ from ..operators import encoding as enc
 from ..operators import features as feat
 from ..operators import ingest as ig
 from ..operators.temporal import minmax_normalize
-from ..sources.adapters import acct_edges, raw_ops, with_views
+from ..sources.adapters import acct_edges, raw_ops, trade_edges, with_views
 from ..sources.tables import read_table
 from .registry import register
 
@@ -138,6 +138,17 @@ def q_split_index(spark, sf_dir):
     return r.select(F.col("b").alias("boundary"), "node", F.col("idx").cast("long").alias("idx"))
 
 
+@register("asset_sparse_one_hot", operators="X8 (sparse vector: size, indices, values)",
+          sql=with_views("""WITH v AS (SELECT asset, DENSE_RANK() OVER (ORDER BY asset) - 1 AS idx FROM (SELECT DISTINCT asset FROM trade_edges) d)
+SELECT e.edge_id, CAST(v.idx AS BIGINT) AS index, CAST((SELECT COUNT(*) FROM v) AS BIGINT) AS size, CAST(1 AS BIGINT) AS entries
+FROM trade_edges e JOIN v ON v.asset = e.asset""", "trade_edges"))
+def q_sparse_one_hot(spark, sf_dir):
+    e = trade_edges(spark, sf_dir).select("edge_id", "asset")
+    x = enc.sparse_one_hot(e, enc.asset_vocabulary(e))
+    return x.select("edge_id", F.col("one_hot.indices")[0].alias("index"), "one_hot.size",
+                    F.size("one_hot.values").alias("entries"))
+
+
 @register("asset_one_hot", operators="X8 (sorted vocabulary, unknown -> index 0, one-hot)",
           sql=with_views("""WITH v AS (SELECT asset, DENSE_RANK() OVER (ORDER BY asset) - 1 AS idx FROM (SELECT DISTINCT asset FROM acct_edges) d)
 SELECT e.asset, CAST(COALESCE(v.idx, 0) AS BIGINT) AS index, CAST(COUNT(*) AS BIGINT) AS n, CAST((SELECT COUNT(*) FROM v) AS BIGINT) AS width

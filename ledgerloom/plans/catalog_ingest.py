@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.scalar import parse_memo, record_hash
 from ..operators import ingest as ig
 from ..sources.adapters import (EVENT_ASSETS, epoch_seconds, raw_ops, with_views)
+from ..sources import files as fl
+from ..sources import ledger_log as ll
 from ..sources.tables import read_table
 from .registry import register
 
@@ -112,13 +114,15 @@ def _ledger_json(spark, sf_dir):
     return g.select(F.to_json(rec).alias("raw"))
 
 
-@register("parse_ledgers", operators="A4 (defaults 0, falsy -> null)",
-          sql="""SELECT CAST(event_id // 10 + 1 AS BIGINT) AS sequence,
+_LEDGERS_SQL = """SELECT CAST(event_id // 10 + 1 AS BIGINT) AS sequence,
   CAST(COUNT(DISTINCT event_id // 2) AS BIGINT) AS successful_transaction_count,
   CAST(0 AS BIGINT) AS failed_transaction_count, CAST(COUNT(*) AS BIGINT) AS operation_count,
   MAX(value) AS total_coins, CAST(NULL AS DOUBLE) AS fee_pool, CAST(100 AS BIGINT) AS base_fee_in_stroops,
   CAST(20 AS BIGINT) AS protocol_version, CAST(epoch_us(MAX(ts)) // 1000000 AS BIGINT) AS closed_ts
-FROM events GROUP BY 1""", doubles=["total_coins", "fee_pool"])
+FROM events GROUP BY 1"""
+
+
+@register("parse_ledgers", operators="A4 (defaults 0, falsy -> null)", sql=_LEDGERS_SQL, doubles=["total_coins", "fee_pool"])
 def q_parse_ledgers(spark, sf_dir):
     p = ig.parse_ledgers(_ledger_json(spark, sf_dir))
     return p.select("sequence", "successful_transaction_count", "failed_transaction_count",
@@ -131,8 +135,7 @@ EFFECT_TYPES = {"view": "account_credited", "purchase": "account_debited", "sign
                 "click": "trustline_created", "error": "signer_updated"}
 
 
-@register("parse_effects", operators="A7",
-          sql=f"""SELECT event_id AS id, 'G' || CAST(user_id AS VARCHAR) AS account, et AS type,
+_EFFECTS_SQL = f"""SELECT event_id AS id, 'G' || CAST(user_id AS VARCHAR) AS account, et AS type,
   CASE WHEN et IN ('account_created', 'account_credited', 'account_debited') THEN value END AS amount,
   CASE WHEN et IN ('account_created', 'account_credited', 'account_debited')
        THEN CASE WHEN event_type = 'view' THEN 'XLM' ELSE split_part(a, ':', 1) END END AS asset_code,
@@ -141,8 +144,10 @@ EFFECT_TYPES = {"view": "account_credited", "purchase": "account_debited", "sign
   CASE WHEN et = 'account_credited' THEN 'G' || CAST(user_id AS VARCHAR) END AS destination_account
 FROM (SELECT *, CASE event_type {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in EFFECT_TYPES.items())} END AS et,
              CASE event_type {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in EVENT_ASSETS.items())} END AS a
-      FROM events) e""", doubles=["amount"])
-def q_parse_effects(spark, sf_dir):
+      FROM events) e"""
+
+
+def _effect_json(spark, sf_dir):
     ev = read_table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "ts")
     et = None
     for k, v in EFFECT_TYPES.items():
@@ -158,8 +163,12 @@ def q_parse_effects(spark, sf_dir):
                    F.when(credit, F.split(a, ":").getItem(0)).alias("asset_code"),
                    F.when(credit, F.split(a, ":").getItem(1)).alias("asset_issuer"),
                    F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"))
-    p = ig.parse_effects(ev.select(F.to_json(rec).alias("raw")))
-    return p.drop("created_at")
+    return ev.select(F.to_json(rec).alias("raw"))
+
+
+@register("parse_effects", operators="A7", sql=_EFFECTS_SQL, doubles=["amount"])
+def q_parse_effects(spark, sf_dir):
+    return ig.parse_effects(_effect_json(spark, sf_dir)).drop("created_at")
 
 
 _TX_SQL = """tx AS (SELECT transaction_hash, MIN(ledger_sequence) AS ledger_sequence, MIN(ts) AS created_ts
@@ -196,7 +205,29 @@ def q_ingest_range(spark, sf_dir):
     n, _, led = _tx_and_ledgers(spark, sf_dir)
     bounds = led.agg(F.max("sequence")).first()[0], n.agg(F.max("ledger_sequence")).first()[0]
     last_done, last_ledger = bounds
-    return ig.ingest_range(n, led.withColumnRenamed("sequence", "ledger"), last_done + 1 - 20, last_ledger, last_done)
+    return ig.ingest_range(led.withColumnRenamed("sequence", "ledger"), last_done + 1 - 20, last_ledger, last_done)
+
+
+@register("ingest_range_payload", operators="A11 (payload join, commit log; a run broken off and repeated, overlapping runs)",
+          sql="""WITH l AS (SELECT event_id // 10 + 1 AS sequence, COUNT(*) AS n, MAX(value) AS m FROM events GROUP BY 1)
+SELECT CAST(sequence AS BIGINT) AS ledger, CAST(n AS BIGINT) AS operation_count, m AS total_coins FROM l
+WHERE sequence BETWEEN 11 AND (SELECT MAX(sequence) FROM l) - 5""", doubles=["total_coins"])
+def q_ingest_payload(spark, sf_dir):
+    payload = ig.parse_ledgers(_ledger_json(spark, sf_dir)).withColumnRenamed("sequence", "ledger")
+    last = payload.agg(F.max("ledger")).first()[0]
+    table, step = fl.shared_dir(spark, "ledger-table"), max(1, last // 5)
+
+    def fail(commit: int) -> None:
+        if commit == 2:
+            raise InterruptedError("broken off between the payload and the commit row")
+
+    try:
+        ll.ingest_ledgers(payload, table, 11, 3 * step, ledgers_per_commit=step, before_commit=fail)
+    except InterruptedError:
+        pass
+    ll.ingest_ledgers(payload, table, 11, 3 * step, ledgers_per_commit=step)
+    ll.ingest_ledgers(payload, table, None, last - 5, ledgers_per_commit=2 * step)
+    return ll.ingested(spark, table).select("ledger", "operation_count", "total_coins")
 
 
 @register("upsert_last_write", operators="A12 (keyed merge, last write wins)",
@@ -250,6 +281,59 @@ def q_graph_edges(spark, sf_dir):
     return e.withColumn("destination_account_id", F.coalesce("destination_account_id", F.lit(0)))
 
 
+_MIRROR_SQL = """mtx AS (SELECT lower(lpad(hex(event_id // 2), 64, '0')) AS hash, COUNT(*) AS operation_count, COUNT(*) * 100 AS fee,
+  SUM(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) = 0 AS successful, 'm' || CAST(event_id // 2 AS VARCHAR) AS memo
+  FROM events GROUP BY event_id // 2),
+me AS (SELECT ROW_NUMBER() OVER (ORDER BY ts, x) AS id, m.* FROM (
+  SELECT CASE WHEN type IN ('payment', 'path_payment_strict_send') THEN 'payment' ELSE 'transaction' END AS edge_type,
+    transaction_hash || ':' || CAST(operation_id AS VARCHAR) AS x, transaction_hash, sender, ts,
+    CASE WHEN type = 'change_trust' THEN NULL ELSE cp END AS receiver FROM ops_x) m
+  WHERE receiver IS NULL OR sender <> receiver)"""
+
+
+def _mirror(spark, sf_dir):
+    from .catalog_extra import _tx_json
+    n, _, _ = _tx_and_ledgers(spark, sf_dir)
+    norm = n.select("transaction_hash", "operation_id", "type", "sender", "receiver", "asset", "amount", "ledger_sequence",
+                    F.unix_timestamp("timestamp").alias("ts"))
+    accounts = ig.graph_accounts(norm)
+    return ig.graph_mirror(norm, ig.parse_transactions(_tx_json(spark, sf_dir)), accounts), accounts
+
+
+@register("graph_payment_details", operators="A16 (payment subtype: reference, status, fee share, settlement)",
+          sql=with_views("""SELECT CAST(me.id AS BIGINT) AS edge_id, me.edge_type, me.x AS payment_reference,
+  CASE WHEN t.successful THEN 'settled' ELSE 'failed' END AS payment_status, t.fee / t.operation_count AS fee_amount,
+  CASE WHEN t.successful THEN me.ts ELSE -1 END AS settled_ts
+FROM me JOIN mtx t ON t.hash = me.transaction_hash WHERE me.edge_type = 'payment'""", "ops_x", extra=[_MIRROR_SQL]),
+          doubles=["fee_amount"])
+def q_payment_details(spark, sf_dir):
+    m, _ = _mirror(spark, sf_dir)
+    return ig.mirror_table(m, "payment").withColumn("settled_ts", F.coalesce("settled_at", F.lit(-1))).drop("settled_at")
+
+
+@register("graph_transaction_details", operators="A16 (transaction subtype: success, operations, fee, memo)",
+          sql=with_views("""SELECT CAST(me.id AS BIGINT) AS edge_id, me.edge_type, t.successful,
+  CAST(t.operation_count AS BIGINT) AS operation_count, CAST(t.fee AS BIGINT) AS fee, 'text' AS memo_type, t.memo
+FROM me JOIN mtx t ON t.hash = me.transaction_hash WHERE me.edge_type = 'transaction'""", "ops_x", extra=[_MIRROR_SQL]))
+def q_transaction_details(spark, sf_dir):
+    return ig.mirror_table(_mirror(spark, sf_dir)[0], "transaction")
+
+
+@register("graph_mirror_checks", operators="A16 (one write partitioned by edge type, read back, constraints of the tables)",
+          sql=with_views("""SELECT * FROM (VALUES ('edge_without_detail', 0), ('detail_without_edge', 0),
+  ('edge_with_several_details', 0), ('detail_of_other_type', 0), ('repeated_external_event', 0), ('unknown_edge_type', 0),
+  ('edge_to_itself', 0), ('unknown_account', 0), ('negative_fee', 0)) v("check", "rows")
+UNION ALL SELECT 'edges ' || edge_type, COUNT(*) FROM me GROUP BY edge_type""", "ops_x", extra=[_MIRROR_SQL]))
+def q_mirror_checks(spark, sf_dir):
+    m, accounts = _mirror(spark, sf_dir)
+    folder = fl.shared_dir(spark, "mirror")
+    m.write.partitionBy("edge_type").parquet(folder)
+    back = spark.read.parquet(folder)
+    details = {t: ig.mirror_table(back, t) for t in ig.EDGE_TYPES}
+    counts = back.groupBy(F.concat(F.lit("edges "), "edge_type").alias("check")).agg(F.count(F.lit(1)).alias("rows"))
+    return ig.mirror_checks(ig.mirror_table(back, "edges"), details, accounts).unionByName(counts)
+
+
 @register("asset_registry", operators="A17 (unique code + coalesce(issuer, ''))",
           sql=with_views("""SELECT split_part(ev_asset, ':', 1) AS asset_code, COALESCE(NULLIF(split_part(ev_asset, ':', 2), ''), '') AS asset_issuer,
   CAST(MIN(ledger_sequence) AS BIGINT) AS first_seen_ledger

@@ -10,6 +10,7 @@ from ..operators import ingest as ig
 from ..operators import privacy as pv
 from ..operators import quality as qa
 from ..sources.adapters import acct_edges, raw_ops, reports, scored, txn, with_views
+from ..session import cut_lineage
 from ..sources.tables import read_table
 from .registry import register
 
@@ -189,6 +190,30 @@ def q_uniqueness(spark, sf_dir):
     return pv.signature_uniqueness(pv.wallet_signatures(e, "src", "dst"), "src")
 
 
+_SIGNATURE_SQL = f"""sb AS (SELECT DISTINCT src, {sql_draw60('dst')} % 64 AS bit FROM acct_edges),
+sg AS (SELECT src, COUNT(*) AS n, string_agg(CAST(bit AS VARCHAR), ',' ORDER BY bit) AS signature FROM sb GROUP BY src),
+sc AS (SELECT a.src AS a, b.src AS b, COUNT(*) AS common FROM sb a JOIN sb b ON a.bit = b.bit AND a.src <> b.src GROUP BY 1, 2),
+sp AS (SELECT x.src AS a, y.src AS b, x.n + y.n - 2 * COALESCE(c.common, 0) AS differing
+  FROM sg x JOIN sg y ON x.src <> y.src LEFT JOIN sc c ON c.a = x.src AND c.b = y.src),
+srep AS (SELECT src, MIN(src) OVER (PARTITION BY signature) AS representative FROM sg)"""
+
+
+@register("similar_wallets", operators="P3 (class of equal signatures, wallets at Hamming similarity >= 0.8, by masked parts)",
+          sql=with_views("""SELECT r.src, r.representative, CAST(COUNT(p.b) AS BIGINT) AS n_similar
+FROM srep r LEFT JOIN sp p ON p.a = r.src AND p.differing <= 12 GROUP BY 1, 2""", "acct_edges", extra=[_SIGNATURE_SQL]))
+def q_similar_wallets(spark, sf_dir):
+    return pv.similar_wallets(pv.wallet_signatures(acct_edges(spark, sf_dir), "src", "dst"), "src")
+
+
+@register("similar_wallet_links", operators="P3 (links between classes of equal signatures)",
+          sql=with_views("""SELECT p.a, p.b, CAST(p.differing AS BIGINT) AS differing FROM sp p
+JOIN srep x ON x.src = p.a AND x.representative = p.a JOIN srep y ON y.src = p.b AND y.representative = p.b
+WHERE p.a < p.b AND p.differing <= 12""", "acct_edges", extra=[_SIGNATURE_SQL]))
+def q_similar_links(spark, sf_dir):
+    sigs = pv.wallet_signatures(acct_edges(spark, sf_dir), "src", "dst")
+    return pv.similar_classes(cut_lineage(pv.signature_classes(sigs, "src")))
+
+
 @register("secret_shares", operators="P4 (additive shares, exact reconstruction)",
           sql=with_views("SELECT src, CAST(SUM(CAST(amount AS DECIMAL(38,7))) AS DOUBLE) AS value FROM acct_edges GROUP BY src",
                          "acct_edges"), doubles=["value"])

@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 
 from ..operators import ingest as ig
 from ..operators import quality as qa
+from ..session import cut_lineage
 from ..sources import files as fl
 from ..sources.adapters import acct_edges, raw_ops, reports, txn, validators, with_views
+from ..streaming import alerts as sa
 from ..streaming import jobs as sj
-from .catalog_ingest import _HOPS_SQL, _NORM_SQL, _ledger_json
+from ..streaming import records as sr
+from .catalog_extra import _TX_SQL, _tx_json
+from .catalog_ingest import _EFFECTS_SQL, _HOPS_SQL, _LEDGERS_SQL, _NORM_SQL, _effect_json, _ledger_json
 from .catalog_quality import _FIELDS, _HASH_SQL
 from .registry import register
 
@@ -66,6 +70,128 @@ def q_stream_stats(spark, sf_dir):
     return sj.stream_statistics(spark, _ingest(spark, sf_dir)).select("processed")
 
 
+def _envelopes(spark, sf_dir):
+    """(value, at): lines of all four streams by the event that brings them (a ledger comes after its ten
+    events, a transaction after its two); every seventh operation comes a second time, 500 events later;
+    a few lines cannot be routed."""
+    number = lambda f: F.get_json_object("raw", f"$.{f}").cast("long")
+    parts = [("ledgers", _ledger_json(spark, sf_dir), number("sequence") * 10),
+             ("transactions", _tx_json(spark, sf_dir), F.substring(F.get_json_object("raw", "$.memo"), 2, 20).cast("long") * 2 + 1),
+             ("operations", raw_ops(spark, sf_dir), number("id")), ("effects", _effect_json(spark, sf_dir), number("id")),
+             ("operations", raw_ops(spark, sf_dir).where("seq % 7 = 0"), number("id") + 500)]
+    out = None
+    for name, raw, at in parts:
+        line = F.concat(F.lit(f'{{"stream":"{name}","data":'), "raw", F.lit("}"))
+        x = raw.select(line.alias("value"), at.alias("at"))
+        bad = raw.where(at % 1000 == 0).select(F.concat(F.lit('{"stream":"offers","data":'), "raw", F.lit("}")).alias("value"), at.alias("at"))
+        x = x.unionByName(bad) if name == "effects" else x
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+def land_in_steps(df, order_col: str, run, steps: int = 3) -> None:
+    """Appends ``df`` to a landing folder in ascending ranges of ``order_col`` and calls ``run(landing)``
+    after each; the rows are computed once."""
+    spark = df.sparkSession
+    landing = fl.shared_dir(spark, "landing")
+    df = cut_lineage(df)
+    b = df.agg(F.min(order_col).alias("a"), F.max(order_col).alias("b")).first()
+    width = max(((b["b"] or 0) - (b["a"] or 0) + 1) / steps, 1)
+    step = F.floor((F.col(order_col) - (b["a"] or 0)) / width)
+    for i in range(steps):
+        df.where(step == i).drop(order_col).write.mode("append").text(landing)
+        run(landing)
+
+
+def _ingest_records(spark, sf_dir):
+    table, ck = fl.shared_dir(spark, "records"), fl.shared_dir(spark, "ck-records")
+    with sj.state_partitions(spark):
+        land_in_steps(_envelopes(spark, sf_dir), "at",
+                      lambda landing: sr.ingest_records(spark, landing, table, ck).awaitTermination())
+    return table
+
+
+@register("stream_ledgers", operators="M1 A4 A13 (ledgers of the four-kind stream)", sql=_LEDGERS_SQL,
+          doubles=["total_coins", "fee_pool"])
+def q_stream_ledgers(spark, sf_dir):
+    p = sr.current_ledgers(spark, _ingest_records(spark, sf_dir))
+    return p.select("sequence", "successful_transaction_count", "failed_transaction_count", "operation_count", "total_coins",
+                    "fee_pool", "base_fee_in_stroops", "protocol_version", F.unix_timestamp("closed_at").alias("closed_ts"))
+
+
+@register("stream_transactions", operators="M1 A5 (transactions of the four-kind stream)",
+          sql=with_views("SELECT * FROM txp", extra=[_TX_SQL]))
+def q_stream_transactions(spark, sf_dir):
+    t = sr.current(spark, _ingest_records(spark, sf_dir), "transactions")
+    return t.select("hash", "ledger_sequence", "source_account", F.col("fee").cast("long").alias("fee"),
+                    F.col("operation_count").cast("long").alias("operation_count"), "successful",
+                    F.unix_timestamp("created_at").alias("created_ts"))
+
+
+@register("stream_transfers", operators="M1 A10 (operations of the four-kind stream, normalised with hops)",
+          sql=with_views(_NORM_SQL + " WHERE type <> 'path_payment_strict_send' UNION ALL " + _HOPS_SQL, "ops_x"),
+          doubles=["amount"])
+def q_stream_transfers(spark, sf_dir):
+    t = sr.current_transfers(spark, _ingest_records(spark, sf_dir))
+    return t.select("transaction_hash", "sender", "receiver", "asset", "amount", F.unix_timestamp("timestamp").alias("ts"))
+
+
+@register("stream_effects", operators="M1 A7 (effects of the four-kind stream)", sql=_EFFECTS_SQL, doubles=["amount"])
+def q_stream_effects(spark, sf_dir):
+    return sr.current(spark, _ingest_records(spark, sf_dir), "effects").drop("created_at")
+
+
+@register("stream_cursor", operators="M7 (records, quarantine, event-time rate and last cursor of all batches)",
+          sql="""WITH t AS (SELECT event_id, epoch_us(ts) // 1000000 AS s FROM events),
+n AS (SELECT 2 * COUNT(*) + COUNT(*) FILTER (WHERE event_id % 7 = 0) + COUNT(*) FILTER (WHERE event_id % 1000 = 0)
+  + COUNT(DISTINCT event_id // 10) + COUNT(DISTINCT event_id // 2) AS n FROM t)
+SELECT CAST(n AS BIGINT) AS processed, (SELECT COUNT(*) FROM t WHERE event_id % 1000 = 0) AS quarantined,
+  n / (SELECT MAX(s) - MIN(s) FROM t) AS records_per_sec, (SELECT CAST(MAX(event_id) AS VARCHAR) FROM t) AS last_cursor FROM n""",
+          doubles=["records_per_sec"])
+def q_stream_cursor(spark, sf_dir):
+    return sr.ingest_statistics(spark, _ingest_records(spark, sf_dir)).drop("batches")
+
+
+_ALERT_SQL = """m AS (SELECT (CAST("timestamp" AS BIGINT) // 60) * 60 AS m, CAST("timestamp" AS BIGINT) AS ts,
+    id IS NULL OR source_account IS NULL OR TRY_CAST(amount AS DOUBLE) IS NULL AS bad FROM txn2),
+wm AS (SELECT MAX(m) - 60 AS w FROM m),
+gaps AS (SELECT ts, LEAD(ts) OVER (ORDER BY ts) AS nx FROM (SELECT DISTINCT ts FROM m) d)"""
+#: errors per second; the views' errors are rarer than those of the alert rule
+_ALERT_LIMIT = 0.001
+
+
+def _alerts(spark, sf_dir):
+    out, ck = fl.shared_dir(spark, "alerts-out"), fl.shared_dir(spark, "ck-alerts")
+    t = qa.validate(txn(spark, sf_dir), ["id", "source_account"], {"amount": "double"}).select(
+        F.lit("txn").alias("stream_type"), F.col("timestamp").cast("long").alias("ts"), (~F.col("is_valid")).alias("is_error"))
+    lines = t.select(F.to_json(F.struct("stream_type", "ts", "is_error")).alias("value"), "ts")
+
+    def run(landing):
+        s = spark.readStream.schema("stream_type string, ts long, is_error boolean").json(landing)
+        sa.alert_stream(s, limit=_ALERT_LIMIT).writeStream.format("parquet").option("path", out) \
+            .option("checkpointLocation", ck).trigger(availableNow=True).start().awaitTermination()
+
+    with sj.state_partitions(spark), sa.rocksdb_state(spark):
+        land_in_steps(lines, "ts", run)
+    return spark.read.parquet(out)
+
+
+@register("stream_stall_alerts", operators="M5 (stalls by event-time timers in a stateful stream)",
+          sql=with_views("SELECT ts AS last_record, ts + 1500 AS at FROM gaps, wm WHERE nx - ts > 1500 AND ts + 1500 <= w",
+                         "txn", extra=[_ALERT_SQL]))
+def q_stream_stalls(spark, sf_dir):
+    return _alerts(spark, sf_dir).where("alert = 'stalled'").select("last_record", "at")
+
+
+@register("stream_error_alerts", operators="M5 (error rate over 5 minutes held for 2 minutes, by timers)",
+          sql=with_views(f"""SELECT e.at FROM ev e WHERE (SELECT COUNT(*) FROM ev p WHERE p.at IN (e.at - 60, e.at - 120)) = 2""",
+                         "txn", extra=[_ALERT_SQL, f"""pt AS (SELECT DISTINCT m + 60 * k AS at FROM m, range(1, 6) r(k) WHERE bad),
+ev AS (SELECT pt.at FROM pt, wm JOIN m ON m.m >= pt.at - 300 AND m.m < pt.at AND m.bad WHERE pt.at <= w
+  GROUP BY pt.at HAVING COUNT(*) > {_ALERT_LIMIT} * 300)"""]))
+def q_stream_errors(spark, sf_dir):
+    return _alerts(spark, sf_dir).where("alert = 'error_rate'").select("at")
+
+
 _TXN_SCHEMA = "seq long, id string, source_account string, amount string, payload string, timestamp string"
 
 
@@ -201,6 +327,19 @@ def q_backfill_jsonl(spark, sf_dir):
     return _backfill_roundtrip(spark, sf_dir, "jsonl")
 
 
+@register("ledger_json_array_roundtrip", operators="A14 (one JSON array over the files of all tasks, read back)",
+          sql="""SELECT CAST(event_id // 10 + 1 AS BIGINT) AS sequence, CAST(COUNT(*) AS BIGINT) AS operation_count,
+  MAX(value) AS total_coins, 'array' AS form FROM events GROUP BY 1""", doubles=["total_coins"])
+def q_ledger_json_array(spark, sf_dir):
+    folder = fl.shared_dir(spark, "ledgers-json-array")
+    ledgers = _ledger_json(spark, sf_dir).select(F.from_json("raw", ig.LEDGER_SCHEMA).alias("r")).select("r.*")
+    fl.write_ledger_json(ledgers, folder, "array")
+    back = fl.read_ledger_json(spark, folder, ig.LEDGER_SCHEMA)
+    raw = back.select(F.to_json(F.struct(*[F.col(c) for c in ig.LEDGER_SCHEMA.fieldNames()])).alias("raw"))
+    return ig.parse_ledgers(raw).select("sequence", "operation_count", "total_coins",
+                                        F.lit(fl.json_form(spark, folder)).alias("form"))
+
+
 @register("ledger_json_roundtrip", operators="A14 A4 (write JSON lines, read back, parse ledgers)",
           sql="""SELECT CAST(event_id // 10 + 1 AS BIGINT) AS sequence, CAST(COUNT(*) AS BIGINT) AS operation_count,
   MAX(value) AS total_coins FROM events GROUP BY 1""", doubles=["total_coins"])

@@ -7,6 +7,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
@@ -70,27 +71,9 @@ def write_parquet_zstd(df: DataFrame, path: str, mode: str = "overwrite", partit
 
 
 def read_ledger_json(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """A JSON array file or JSON lines, detected from the first non-blank character;
-    records that are not objects land in ``_corrupt_record``."""
-    fs, p = _fs(spark, path)
-    first = ""
-    target = p
-    if fs.getFileStatus(p).isDirectory():
-        st = [s for s in fs.listStatus(p) if s.isFile() and not s.getPath().getName().startswith(("_", "."))]
-        target = st[0].getPath() if st else None
-    if target is not None:
-        stream = fs.open(target)
-        try:
-            while True:
-                b = stream.read()
-                if b < 0:
-                    break
-                ch = chr(b)
-                if not ch.isspace():
-                    first = ch
-                    break
-        finally:
-            stream.close()
+    """JSON lines, an array in each file, or an array framed over many files (see
+    :func:`write_ledger_json`), told apart by the first character that is not blank; records that are
+    not objects land in ``_corrupt_record``."""
     reader = spark.read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
     if schema is not None:
         from pyspark.sql import types as T
@@ -98,9 +81,58 @@ def read_ledger_json(spark: SparkSession, path: str, schema=None) -> DataFrame:
         if "_corrupt_record" not in schema.fieldNames():   # a copy: never mutate the caller's schema
             fields.append(T.StructField("_corrupt_record", T.StringType()))
         reader = reader.schema(T.StructType(fields))
-    return reader.option("multiLine", first == "[").json(path)
+    fs, p = _fs(spark, path)
+    if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, _OPEN)):
+        lines = spark.read.text(path).where(~F.col("value").isin("[", "]", ","))
+        records = lines.select(F.regexp_replace("value", "^,", "").alias("value"))
+        if schema is None:
+            raise ValueError("an array over many files is read with a schema")
+        options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+        return records.select(F.from_json("value", T.StructType(fields), options).alias("r")).select("r.*")
+    return reader.option("multiLine", json_form(spark, path) == "array").json(path)
+
+
+_OPEN, _CLOSE = "part-!open.json", "part-~close.json"
+
+
+def write_ledger_json(df: DataFrame, path: str, form: str = "lines") -> None:
+    """JSON ``lines`` (one object per line), or one ``array`` over the files of all tasks.
+
+    For the array every task writes its rows with commas between them; what stands before, between and
+    behind these files are small files of their own, named so that all files one after another in
+    the order of their names are one JSON array."""
+    if form == "lines":
+        df.write.mode("overwrite").json(path)
+        return
+    if form != "array":
+        raise ValueError(f"unknown form {form!r}")
+    spark = df.sparkSession
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    record = F.to_json(F.struct(*df.columns))
+    df.select(F.when(first, record).otherwise(F.concat(F.lit(","), record)).alias("value")).write.mode("overwrite").text(path)
+    fs, p = _fs(spark, path)
+    names = sorted(f.getPath().getName() for f in fs.listStatus(p) if f.getLen() > 0 and f.getPath().getName().startswith("part-"))
+    frames = {_OPEN: "[\n", _CLOSE: "]\n"} | {f"{n[:10]}-~.json": ",\n" for n in names[:-1]}
+    for name, text in frames.items():
+        out = fs.create(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, name))
+        out.write(bytearray(text, "ascii"))
+        out.close()
 
 
-def write_ledger_json(df: DataFrame, path: str) -> None:
-    """JSON lines (one object per line)."""
-    df.write.mode("overwrite").json(path)
+def json_form(spark: SparkSession, path: str) -> str | None:
+    """``array`` or ``lines`` by the first character that is not blank; None for no content."""
+    fs, p = _fs(spark, path)
+    files = sorted(fs.listStatus(p), key=lambda f: f.getPath().getName())
+    for f in files:
+        if not f.isFile() or f.getPath().getName().startswith(("_", ".")):
+            continue
+        stream = fs.open(f.getPath())
+        try:
+            b = stream.read()
+            while b >= 0 and chr(b).isspace():
+                b = stream.read()
+        finally:
+            stream.close()
+        if b >= 0:
+            return "array" if chr(b) == "[" else "lines"
+    return None
