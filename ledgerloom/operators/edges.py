@@ -5,8 +5,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.assets import asset_edge_type
-from ..plans.ordering import exact_percentiles, with_global_rank
-from ..session import exact_sum
+from ..plans.ordering import grouped_percentiles, with_global_rank
+from ..session import cut_lineage, exact_sum
 from .features import endpoints
 
 DAY = 86400
@@ -143,25 +143,27 @@ def graph_statistics(edges: DataFrame, weight_col: str | None = "amount") -> Dat
     Medians are exact (linear interpolation) via a range-partitioned rank, not a global sort
     in one task.  Degree = out + in count per node.
     """
-    deg = endpoints(edges).groupBy("node").agg(F.count(F.lit(1)).alias("deg"))
+    deg = cut_lineage(endpoints(edges).groupBy("node").agg(F.count(F.lit(1)).alias("deg")))
     counts = edges.agg(F.count(F.lit(1)).alias("num_edges"),
                        F.count_distinct("src").alias("num_source_nodes"),
-                       F.count_distinct("dst").alias("num_target_nodes"))
+                       F.count_distinct("dst").alias("num_target_nodes"),
+                       *([F.min(weight_col).cast("double").alias("weight_min"), F.max(weight_col).cast("double").alias("weight_max"),
+                          F.avg(F.col(weight_col).cast("double")).alias("weight_mean"),
+                          F.stddev_samp(F.col(weight_col).cast("double")).alias("weight_std"),
+                          exact_sum(weight_col).alias("weight_sum")] if weight_col else []))
     dstats = deg.agg(F.count(F.lit(1)).alias("num_nodes"),
                      F.avg("deg").alias("avg_degree"), F.min("deg").alias("degree_min"),
                      F.max("deg").alias("degree_max"), F.stddev_samp("deg").alias("degree_std"))
-    dmed = exact_percentiles(deg, "deg", {"degree_median": 0.5})
-    out = counts.crossJoin(dstats).crossJoin(dmed)
-    out = out.withColumn("density", F.when(F.col("num_nodes") > 1, F.col("num_edges")
-                                           / (F.col("num_nodes") * (F.col("num_nodes") - 1)))
-                         .otherwise(F.lit(0.0)))
+    # both medians from one pass over (measure, value)
+    values = deg.select(F.lit("degree").alias("measure"), F.col("deg").cast("double").alias("value"))
     if weight_col:
-        w = edges.select(F.col(weight_col).cast("double").alias("w"))
-        wstats = w.agg(F.min("w").alias("weight_min"), F.max("w").alias("weight_max"),
-                       F.avg("w").alias("weight_mean"), F.stddev_samp("w").alias("weight_std"),
-                       exact_sum("w").alias("weight_sum"))
-        out = out.crossJoin(wstats).crossJoin(exact_percentiles(w, "w", {"weight_median": 0.5}))
-    return out
+        values = values.unionByName(edges.select(F.lit("weight").alias("measure"), F.col(weight_col).cast("double").alias("value")))
+    medians = grouped_percentiles(values, "measure", "value", {"median": 0.5})
+    pick = lambda m: F.max(F.when(F.col("measure") == m, F.col("median"))).alias(f"{m}_median")
+    out = counts.crossJoin(dstats).crossJoin(medians.agg(*[pick(m) for m in ["degree"] + (["weight"] if weight_col else [])]))
+    return out.withColumn("density", F.when(F.col("num_nodes") > 1, F.col("num_edges")
+                                            / (F.col("num_nodes") * (F.col("num_nodes") - 1)))
+                          .otherwise(F.lit(0.0)))
 
 
 def isolated_nodes(all_nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -224,12 +226,7 @@ def metric_summary(metrics: DataFrame, id_col: str, metric_cols: list[str]) -> D
         F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"),
         F.sum(F.when(F.col("value") != 0, 1).otherwise(0)).alias("non_zero"))
-    meds = None
-    for m in metric_cols:
-        one = exact_percentiles(long_.where(F.col("metric") == m), "value", {"median": 0.5}) \
-            .select(F.lit(m).alias("metric"), "median")
-        meds = one if meds is None else meds.unionByName(one)
-    return base.join(meds, "metric")
+    return base.join(grouped_percentiles(long_, "metric", "value", {"median": 0.5}), "metric", "left")
 
 
 def account_timeline(edges: DataFrame, account: str, direction: str = "all", since=None, until=None,

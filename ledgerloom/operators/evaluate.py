@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.ordering import exact_percentiles, with_cumulative_sums, with_global_rank
+from ..plans.ordering import exact_percentiles, grouped_percentiles, with_cumulative_sums, with_global_rank
+from ..session import cut_lineage
 
 EPS = 1e-15
 
@@ -289,10 +290,14 @@ def auc_per_time_window(df: DataFrame, t_col: str, y_col: str = "y_true", score_
     rest (0 when none)."""
     starts, s = [], 0.0
     while s < 1.0:
-        starts.append((len(starts), s, min(s + window, 1.0)))
+        starts.append(s)
         s += window
-    wins = df.sparkSession.createDataFrame(starts, "w int, ws double, we double")
-    x = df.crossJoin(F.broadcast(wins)).where((F.col(t_col) >= F.col("ws")) & (F.col(t_col) <= F.col("we")))
+    ends = [min(s + window, 1.0) for s in starts]
+    # a row's window number and the one before it, as far as their bounds hold it: two rows at most
+    number = F.floor(F.col(t_col) / window).cast("int")
+    inside = lambda k: (F.col(t_col) >= F.get(F.lit(starts), k)) & (F.col(t_col) <= F.get(F.lit(ends), k))
+    near = F.filter(F.sequence(number - 1, number + 1), lambda k: F.coalesce(inside(k), F.lit(False)))
+    x = df.select("*", F.explode(near).alias("w"))
     a = auc_roc(x, y_col, score_col, id_col, ["w"], fallback=-1.0)
     return a.where(F.col("auc") >= 0).agg(F.coalesce(F.avg("auc"), F.lit(0.0)).alias("temporal_auc"))
 
@@ -300,6 +305,7 @@ def auc_per_time_window(df: DataFrame, t_col: str, y_col: str = "y_true", score_
 def percentile_threshold_eval(df: DataFrame, score_col: str, y_col: str, pct: float = 95.0) -> DataFrame:
     """threshold = linear percentile of the scores; flag = score > threshold; confusion
     metrics of the flags."""
+    df = cut_lineage(df.select(score_col, y_col))         # the scores are computed once
     th = exact_percentiles(df, score_col, {"threshold": pct / 100.0})
     x = df.crossJoin(F.broadcast(th)).withColumn("_flag", (F.col(score_col) > F.col("threshold")).cast("int"))
     return binary_metrics(x, y_col, "_flag").crossJoin(th)
@@ -332,12 +338,7 @@ def aggregate_runs(runs: DataFrame, metric_cols: list[str]) -> DataFrame:
     base = long_.groupBy("metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"),
                                        F.min("value").alias("min"), F.max("value").alias("max"),
                                        F.count(F.lit(1)).alias("count"))
-    meds = None
-    for m in metric_cols:
-        one = exact_percentiles(long_.where(F.col("metric") == m), "value", {"median": 0.5}) \
-            .select(F.lit(m).alias("metric"), "median")
-        meds = one if meds is None else meds.unionByName(one)
-    return base.join(meds, "metric")
+    return base.join(grouped_percentiles(long_, "metric", "value", {"median": 0.5}), "metric", "left")
 
 
 def minmax_probability(df: DataFrame, score_col: str, out: str = "fraud_probability") -> DataFrame:

@@ -68,35 +68,47 @@ def multi_hop_sample(adj: DataFrame, targets: DataFrame, fanouts: list[int], see
     return edges.select("hop", "node", "slot", "neighbor", "edge"), idx
 
 
-def split_edges(edges: DataFrame, ledger_col: str = "ledger", n_future: int = 5, context_ledgers: int = 10) -> DataFrame:
-    """(split, part, src, dst) of every boundary ledger with a context and a future:
-    context = edges of the last ``context_ledgers`` distinct ledgers before it; future = edges
-    with split <= ledger < split + n_future.
+def _ledger_ranks(e: DataFrame) -> DataFrame:
+    return cut_lineage(with_global_rank(e.select("t").distinct(), ["t"], "r").select("t", "r"))
 
-    Each edge is expanded to the (at most context_ledgers + n_future) splits that contain it -
-    the theta join becomes an equi join on the boundary.  The edges are materialised once."""
-    e = cut_lineage(edges.select(F.col(ledger_col).cast("long").alias("t"), "src", "dst"))
-    led = e.select("t").distinct()
-    ranked = cut_lineage(with_global_rank(led, ["t"], "r").select("t", "r"))
+
+def _to_splits(rows: DataFrame, ranked: DataFrame, n_future: int, context_ledgers: int) -> DataFrame:
+    """rows(t, ...) -> (split, part, ...): each row in the (at most context_ledgers + n_future) splits
+    that contain its ledger; the theta join becomes an equi join on the boundary."""
+    rest = [c for c in rows.columns if c != "t"]
     # context: boundary rank r_b in [r + 1, r + K]
-    ctx = e.join(ranked, "t").select("src", "dst", F.explode(F.sequence(F.col("r") + 1, F.col("r") + context_ledgers)).alias("rb"))
+    ctx = rows.join(ranked, "t").select(*rest, F.explode(F.sequence(F.col("r") + 1, F.col("r") + context_ledgers)).alias("rb"))
     ctx = ctx.join(ranked.select(F.col("r").alias("rb"), F.col("t").alias("split")), "rb").drop("rb")
     # future: boundary value in (t - n_future, t] among existing ledgers but the first
-    fut = e.select("src", "dst", F.explode(F.sequence(F.col("t") - (n_future - 1), F.col("t"))).alias("split"))
+    fut = rows.select(*rest, F.explode(F.sequence(F.col("t") - (n_future - 1), F.col("t"))).alias("split"))
     fut = fut.join(ranked.where("r > 0").select(F.col("t").alias("split")), "split", "left_semi")
-    return ctx.select("split", F.lit("context").alias("part"), "src", "dst").unionByName(
-        fut.select("split", F.lit("future").alias("part"), "src", "dst"))
+    return ctx.select("split", F.lit("context").alias("part"), *rest).unionByName(
+        fut.select("split", F.lit("future").alias("part"), *rest))
+
+
+def split_edges(edges: DataFrame, ledger_col: str = "ledger", n_future: int = 5, context_ledgers: int = 10) -> DataFrame:
+    """(split, part, src, dst) of every boundary ledger with a context and a future:
+    context = edges of the last ``context_ledgers`` distinct ledgers before it; future = edges
+    with split <= ledger < split + n_future.  The edges are materialised once."""
+    e = cut_lineage(edges.select(F.col(ledger_col).cast("long").alias("t"), "src", "dst"))
+    return _to_splits(e, _ledger_ranks(e), n_future, context_ledgers)
 
 
 def link_prediction_splits(edges: DataFrame, ledger_col: str = "ledger", n_future: int = 5,
                            context_ledgers: int = 10) -> DataFrame:
-    """K1: one row per split: n_context, n_future and the number of distinct accounts in both."""
-    s = split_edges(edges, ledger_col, n_future, context_ledgers)
-    c = s.groupBy("split").agg(F.count_if(F.col("part") == "context").alias("n_context"),
-                               F.count_if(F.col("part") == "future").alias("n_future"))
-    nodes = s.select("split", F.explode(F.array("src", "dst")).alias("node")).groupBy("split").agg(
+    """K1: one row per split: n_context, n_future and the number of distinct accounts in both.
+
+    Edges are reduced before they meet the splits: to one number per ledger for the counts, to the
+    distinct (ledger, account) for the accounts; no edge is expanded."""
+    e = cut_lineage(edges.select(F.col(ledger_col).cast("long").alias("t"), "src", "dst"))
+    ranked = _ledger_ranks(e)
+    per_ledger = _to_splits(e.groupBy("t").agg(F.count(F.lit(1)).alias("n")), ranked, n_future, context_ledgers)
+    part = lambda p: F.coalesce(F.sum(F.when(F.col("part") == p, F.col("n"))), F.lit(0)).alias(f"n_{p}")
+    counts = per_ledger.groupBy("split").agg(part("context"), part("future"))
+    accounts = e.select("t", F.explode(F.array("src", "dst")).alias("node")).distinct()
+    nodes = _to_splits(accounts, ranked, n_future, context_ledgers).groupBy("split").agg(
         F.count_distinct("node").alias("n_nodes"))
-    return c.join(nodes, "split").withColumnRenamed("split", "boundary")
+    return counts.join(nodes, "split").withColumnRenamed("split", "boundary")
 
 
 def negative_samples(split_nodes: DataFrame, positives: DataFrame, n_neg: DataFrame, seed: int = 42,

@@ -124,6 +124,28 @@ def exact_percentiles(df: DataFrame, value_col: str, qs: dict[str, float],
                         for i, (name, pos) in enumerate(at.items())])
 
 
+def grouped_percentiles(df: DataFrame, group_col: str, value_col: str, qs: dict[str, float],
+                        num_partitions: int | None = None) -> DataFrame:
+    """One row per group with the exact linear-interpolated percentiles of its values (as
+    :func:`exact_percentiles`), for all groups and quantiles in one range-partitioned pass.
+
+    Equal values of a group are one row with their number; their running numbers over the order
+    (group, value) come from one range exchange, a group's own start is a grouped minimum, so
+    neither a large group nor a frequent value is a task of its own.  Null values are ignored."""
+    v = df.select(F.col(group_col), F.col(value_col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    g = with_cumulative_sums(v.groupBy(group_col, "_v").agg(F.count(F.lit(1)).alias("_c")),
+                             [F.col(group_col), F.col("_v")], ["_c"], num_partitions=num_partitions)
+    size = g.groupBy(group_col).agg(F.min(F.col("cum__c") - F.col("_c")).alias("_from"), F.sum("_c").alias("_n"))
+    g = g.join(size, group_col).withColumn("_upto", F.col("cum__c") - F.col("_from"))
+    holds = lambda rank: (rank < F.col("_upto")) & (rank >= F.col("_upto") - F.col("_c"))
+    at = {name: (F.col("_n") - 1) * F.lit(float(q)) for name, q in qs.items()}
+    picks = [F.max(F.when(holds(end(pos)), F.col("_v"))).alias(f"{side}{i}")
+             for i, pos in enumerate(at.values()) for side, end in (("lo", F.floor), ("hi", F.ceil))]
+    one = g.groupBy(group_col).agg(F.max("_n").alias("_n"), *picks)
+    return one.select(group_col, *[(F.col(f"lo{i}") + (pos - F.floor(pos)) * (F.col(f"hi{i}") - F.col(f"lo{i}"))).alias(name)
+                                   for i, (name, pos) in enumerate(at.items())])
+
+
 def windowed(df: DataFrame, partition_cols: list[str], order_cols: list[str | Column],
              before: int, after: int, build, chunk_rows: int = 1 << 22) -> DataFrame:
     """Frame/lag/lead computations over ``partition_cols`` ordered by ``order_cols`` without
