@@ -302,16 +302,21 @@ def resolve_range(start: int | None, end: int | None, last_processed: int | None
     return start, end
 
 
-def ingest_range(processed: DataFrame, start: int | None, end: int | None, last_processed: int | None) -> DataFrame:
-    """(ledger, status) for the resolved range: 'skipped' if already processed, else 'processed'."""
+def ingest_range(ledgers: DataFrame, processed: DataFrame, start: int | None, end: int | None,
+                 last_processed: int | None) -> DataFrame:
+    """(ledger, status) for the resolved range: 'skipped' if already processed, 'missing' if
+    ``ledgers`` (column sequence, or ledger_sequence) has no such ledger, else 'processed'.  With
+    payload and commits: :mod:`ledgerloom.sources.ledger_log`."""
     spark = processed.sparkSession
     bounds = resolve_range(start, end, last_processed)
     if bounds is None:
         return spark.createDataFrame([], "ledger long, status string")
     rng = spark.range(bounds[0], bounds[1] + 1).select(F.col("id").alias("ledger"))
     done = processed.select(F.col("ledger").cast("long")).distinct().withColumn("_done", F.lit(True))
-    return rng.join(done, "ledger", "left").select(
-        "ledger", F.when(F.col("_done"), F.lit("skipped")).otherwise(F.lit("processed")).alias("status"))
+    number = "sequence" if "sequence" in ledgers.columns else "ledger_sequence"
+    there = ledgers.select(F.col(number).cast("long").alias("ledger")).distinct().withColumn("_there", F.lit(True))
+    return rng.join(done, "ledger", "left").join(there, "ledger", "left").select(
+        "ledger", F.when(F.col("_done"), "skipped").when(F.col("_there"), "processed").otherwise("missing").alias("status"))
 
 
 def upsert(target: DataFrame, batch: DataFrame, keys: list[str], order_col: str) -> DataFrame:

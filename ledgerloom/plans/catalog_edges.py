@@ -154,15 +154,18 @@ def q_edge_consistency(spark, sf_dir):
 
 
 _ALL_NODES_SQL = """all_nodes AS (SELECT 'c' || CAST(c_custkey AS VARCHAR) AS node FROM customer
-  UNION ALL SELECT 's' || CAST(s_suppkey AS VARCHAR) FROM supplier)"""
+  UNION ALL SELECT 's' || CAST(s_suppkey AS VARCHAR) FROM supplier
+  UNION ALL SELECT 'n' || CAST(n_nationkey AS VARCHAR) FROM nation)"""
 
 
 def _all_nodes(spark, sf_dir):
+    """Customers, suppliers and nations; nations have no trades."""
     c = read_table(spark, sf_dir, "customer").select(
         F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node"))
     s = read_table(spark, sf_dir, "supplier").select(
         F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node"))
-    return c.unionByName(s)
+    n = read_table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("node"))
+    return c.unionByName(s).unionByName(n)
 
 
 @register("isolated_nodes", operators="J2 S3 (anti join)",
