@@ -179,7 +179,8 @@ def source_blocks(sources: DataFrame, n_nodes: int, lanes: int, state_rows: int)
     """Sources numbered in node order, cut into blocks of ``lanes``, and rounds of as many blocks
     as give at most ``state_rows`` rows (block, node): (node, block, lane) tables, one per round."""
     from ..plans.ordering import with_global_rank
-    numbered = cut_lineage(with_global_rank(sources.select("node"), ["node"], "sid"))
+    ranges = max(sources.sparkSession.sparkContext.defaultParallelism, n_nodes >> 20)   # estimates of joins are far too large
+    numbered = cut_lineage(with_global_rank(sources.select("node"), ["node"], "sid", ranges))
     blocks = -(-numbered.count() // lanes)
     per_round = max(1, state_rows // max(1, n_nodes))
     placed = numbered.select("node", F.floor(F.col("sid") / lanes).cast("long").alias("block"),

@@ -21,7 +21,7 @@ def random_edges(seed, nodes, count):
     return [(f"n{rnd.randrange(nodes)}", f"n{int(nodes * rnd.random() ** 2)}", rnd.random() + .1, i) for i in range(count)]
 
 
-@pytest.mark.parametrize("lanes,state_rows", [(3, 40), (16, 1 << 20)])
+@pytest.mark.parametrize("lanes,state_rows", [(8, 30), (16, 1 << 20)])
 def test_blocks_of_sources_add_up(spark, lanes, state_rows):
     rows = random_edges(1, 26, 40)
     e = edges_df(spark, rows)
