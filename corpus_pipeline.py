@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import decontam, ngram_join, packing, suffix_dedup, toxicity
@@ -36,13 +36,32 @@ def join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.unionByName(docs.where("doc_id is null"))
 
 
+def _whole_characters(part: Column) -> Column:
+    """Text of a run of bytes of a valid text, without the characters that its ends cut through."""
+    byte = F.decode(part, "ISO-8859-1")         # one letter per byte
+    byte = F.regexp_replace(byte, r"^[\x80-\xBF]+", "")
+    byte = F.regexp_replace(byte, r"(?:[\xC2-\xDF]|[\xE0-\xEF][\x80-\xBF]?|[\xF0-\xF4][\x80-\xBF]{0,2})\z", "")
+    return F.encode(byte, "ISO-8859-1").cast("string")
+
+
+def mended(kept: Column, spans: Column) -> Column:
+    """What is left of a text after the removal of byte spans, as text: kept is cut where a span was
+    removed, and each part loses the characters that the cuts go through, nothing else."""
+    cut = F.aggregate(
+        spans, F.struct(F.lit(0).cast("long").alias("gone"), F.array().cast("array<bigint>").alias("at")),
+        lambda s, x: F.struct((s["gone"] + x["end"] - x["start"]).alias("gone"),
+                              F.concat(s["at"], F.array(x["start"] - s["gone"])).alias("at")), lambda s: s["at"])
+    first, last = F.concat(F.array(F.lit(0).cast("long")), cut), F.concat(cut, F.array(F.length(kept).cast("long")))
+    part = lambda a, b: _whole_characters(F.substring(kept, (a + 1).cast("int"), (b - a).cast("int")))
+    return F.when(F.size(spans) == 0, kept.cast("string")).otherwise(F.array_join(F.zip_with(first, last, part), ""))
+
+
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the byte strings that an earlier document has; characters that are cut
     through go as well."""
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
     out = suffix_dedup.remove_repeats(docs, carry=others)
-    text = F.make_valid_utf8(F.col("kept").cast("string"))
-    out = out.select("doc_id", F.replace(text, F.lit("\ufffd"), F.lit("")).alias("text"), "rest.*")
+    out = out.select("doc_id", mended(F.col("kept"), F.col("spans")).alias("text"), "rest.*")
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
