@@ -347,3 +347,28 @@ def test_pipeline(spark):
             ids = [r.doc_id for r in docs.select("doc_id").collect()]
             assert 900_001 not in ids and own[0].doc_id in ids and 900_002 in ids and None in ids and len(ids) == len(set(ids))
     assert {r.sequence_id for r in docs.collect()} and docs.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 2048
+
+
+def test_suffix_stage_keeps_genuine_replacement_characters(spark):
+    import corpus_pipeline as cp
+    shared = "passage " + "é日😀" * 30
+    rows = [(1, f"start � {shared} end", "en", "s", 0), (2, f"a genuine � mark", "en", "s", 0),
+            (3, f"other � {shared}� tail", "en", "s", 0), (4, f"日{shared[:60]}xé", "en", "s", 0), (5, None, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in cp.suffix_stage(spark, docs, "").collect()}
+    assert got[1].text == rows[0][1] and got[2].text == rows[1][1] and got[5].text == ""
+    texts = [(t or "").encode() for _, t, *_ in rows]
+    seen: set[bytes] = set()
+    for (key, *_), raw in zip(rows, texts):
+        gone = set()
+        for i in range(len(raw) - 49):
+            if raw[i:i + 50] in seen:
+                gone |= set(range(i, i + 50))
+        seen |= {raw[i:i + 50] for i in range(len(raw) - 49)}
+        at, want = 0, ""
+        for c in raw.decode():                  # a character stays if all its bytes do
+            size = len(c.encode())
+            want += c if not gone & set(range(at, at + size)) else ""
+            at += size
+        assert got[key].text == want and got[key].n_chars == len(want)
+    assert got[3].text == "other� tail"

@@ -236,6 +236,42 @@ def test_sketch_bounds_the_difference():
             assert ka & kc
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_linked_sets_share_a_key_and_unrelated_sets_meet_nowhere(percent):
+    rnd = np.random.default_rng(percent)
+    bands = ngram_join.Bands(percent)
+    fresh = lambda n: rnd.integers(0, 2 ** 64, n, dtype=np.uint64)
+    keys = lambda s: {int(x) for _, k, _ in ngram_join.band_keys(s, bands) for x in k}
+    linked = 0
+    for n in [*range(1, 60), 100, 400, 1500] * 4:
+        a = np.unique(fresh(n))
+        drop = int(rnd.integers(0, n * (100 - percent) // 100 + 2))
+        c = np.unique(np.concatenate([a[drop // 2:], fresh(drop - drop // 2)]))
+        both = len(np.intersect1d(a, c))
+        if len(np.setxor1d(a, c)) and 100 * both >= percent * (len(a) + len(c) - both):
+            linked += 1
+            assert keys(a) & keys(c)
+    assert linked > 30
+    for count in (500, 2000):
+        members: dict[int, int] = {}
+        for _ in range(count):
+            for k in keys(np.unique(fresh(400))):
+                members[k] = members.get(k, 0) + 1
+        pairs = sum(m * (m - 1) // 2 for m in members.values())
+        assert pairs <= 1e-4 * count * (count - 1) / 2
+
+
+def test_pieces_do_not_depend_on_the_order_of_rows(spark):
+    rows = corpus(9, 40)
+    rows += rows[:3] * 4
+    packed = []
+    for order in (lambda d: d.coalesce(1).sortWithinPartitions("doc_id", "text"),
+                  lambda d: d.coalesce(1).sortWithinPartitions(F.desc("text"), F.desc("doc_id"))):
+        out = packing.pack_documents(order(spark.createDataFrame(rows, SCHEMA)), tokenizer_path(), group_rows=16)
+        packed.append(by_key(out.select("doc_id", "start", "length", "doc_tokens", "ids").collect()))
+    assert packed[0] == packed[1] and sum(p[1] == 0 for p in packed[0]) == len(rows)
+
+
 def test_decontamination(spark):
     rnd = random.Random(3)
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
