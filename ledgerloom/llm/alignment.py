@@ -11,9 +11,11 @@ neither tokenizer joins what lies on both sides (tested against whole lines), so
 built for the distinct chunks of a block of documents and a document's result is the sum over
 its chunks.  A document with a chunk that a tokenizer does not give back is taken as one chunk.
 
-The number of documents that hold an id pair linked: blocks count their distinct pairs (one more
-product, documents x chunks * chunks x pairs), Spark sums them, finds the highest of each A id
-and joins them back to the blocks that hold the pair, a table per block, never one for all.
+Blocks are runs of scanned documents of a few MB; texts are read once and never shuffled.  What
+is kept of a block is one row: its documents' numbers, and their id pairs as one more product,
+documents x chunks * chunks x pairs, in compressed sparse rows over the pairs of the block.  The
+number of documents that hold a pair: Spark sums the blocks' numbers, finds the highest of each
+A id and joins both back to the blocks that hold the pair, a table per block, never one for all.
 
 Defined cases: a text that is null or empty, or whose line one of the tokenizers does not give
 back byte by byte, has no tokens: zeros and an empty ``groups_sha256``.  Repeated rows are
@@ -23,19 +25,27 @@ ignored.  Strings of special tokens inside a text are plain text.
 from __future__ import annotations
 
 import hashlib
-import os
 import re
+import zlib
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .phrases import blocks_of
-from .textblocks import with_null_ids
-
+from .packing import encoder
+from .textblocks import filled_id, with_null_ids
+
+NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_group_links")
+#: packed arrays: ids and numbers of the documents, digests, pairs (keys) with their documents, and
+#: the documents x pairs matrix (pointers, pair numbers, links of the pair)
+BLOCK = ("block long, doc_id binary, numbers binary, digests binary, keys binary, docs binary, ptr binary, "
+         "col binary, value binary")
 PAIRS = "block long, a long, b long, docs long"
+BACK = "block long, n binary, best binary"
 RESULT = ("doc_id long, n_a long, n_b long, n_groups long, n_links long, n_group_links long, n_best long, "
           "count_sum long, groups_sha256 string")
 #: no boundary between chunks unless both neighbours of the blank are of these
@@ -50,16 +60,13 @@ class Tokenizers:
     """A byte-level vocabulary file (A) and a sentence-piece model (B) with the bytes of their ids."""
 
     def __init__(self, path_a: str, path_b: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
-        from tokenizers import Tokenizer
-        self.a = Tokenizer.from_file(path_a)
-        self.a.encode_special_tokens = True
+        self.a = encoder(path_a)
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [x for x in range(256) if x not in printable]
         byte = {chr(x): x for x in printable} | {chr(256 + i): x for i, x in enumerate(others)}
-        spelt = sorted((i, t) for t, i in self.a.get_vocab(with_added_tokens=True).items())
+        spelt = sorted((i, t) for t, i in self.a.tok.get_vocab(with_added_tokens=True).items())
         self.bytes_a = [b""] * (spelt[-1][0] + 1)
         for i, t in spelt:
             self.bytes_a[i] = bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode()
@@ -68,13 +75,13 @@ class Tokenizers:
             piece = self.b.id_to_piece(i)
             self.bytes_b.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i)
                                 else piece.replace("▁", " ").encode())
+        self.name_a, self.name_b = ([str(i) for i in range(len(x))] for x in (self.bytes_a, self.bytes_b))
         self.size_a = np.array([len(x) for x in self.bytes_a], np.int64)
         self.size_b = np.array([len(x) for x in self.bytes_b], np.int64)
 
     def encode(self, lines: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of lines that begin with a blank (which B adds by itself)."""
-        return ([e.ids for e in self.a.encode_batch(lines, add_special_tokens=False)],
-                self.b.encode([x[1:] for x in lines], num_threads=1))
+        return [self.a.ids(x) for x in lines], self.b.encode([x[1:] for x in lines], num_threads=1)
 
 
 def tokenizers(path_a: str, path_b: str) -> Tokenizers:
@@ -107,8 +114,18 @@ def transposed(ptr: np.ndarray, col: np.ndarray, width: int) -> tuple[np.ndarray
 
 
 def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    ptr = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
-    return ptr, np.fromiter((i for x in ids for i in x), np.int64, int(ptr[-1]))
+    ptr = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))])
+    return ptr, np.fromiter(chain.from_iterable(ids), np.int64, int(ptr[-1]))
+
+
+def _gives_back(ids: list[list[int]], raw: list[bytes], table: list[bytes], size: np.ndarray) -> np.ndarray:
+    """Mask of the lines whose tokens, joined, are the line."""
+    ptr, flat = _flat(ids)
+    run = np.concatenate([[0], np.cumsum(size[flat])])
+    same = run[ptr[1:]] - run[ptr[:-1]] == np.fromiter(map(len, raw), np.int64, len(raw))
+    if same.all() and b"".join([table[i] for i in flat.tolist()]) == b"".join(raw):
+        return same
+    return np.fromiter((b"".join([table[i] for i in x]) == r for x, r in zip(ids, raw)), bool, len(raw))
 
 
 class Chunks:
@@ -119,8 +136,7 @@ class Chunks:
     def __init__(self, lines: list[str], tok: Tokenizers):
         ids_a, ids_b = tok.encode(lines)
         raw = [x.encode("utf-8", "surrogatepass") for x in lines]
-        self.good = np.array([b"".join([tok.bytes_a[i] for i in x]) == r and b"".join([tok.bytes_b[i] for i in y]) == r
-                              for x, y, r in zip(ids_a, ids_b, raw)], bool)
+        self.good = (_gives_back(ids_a, raw, tok.bytes_a, tok.size_a) & _gives_back(ids_b, raw, tok.bytes_b, tok.size_b))
         for k in np.flatnonzero(~self.good):
             ids_a[k], ids_b[k], raw[k] = [], [], b""
         n = len(lines)
@@ -149,8 +165,8 @@ class Chunks:
         self.n_groups, self.n_links = np.diff(group_ptr), np.diff(self.link_ptr)
         cut_a = np.concatenate([[0], np.searchsorted(group_a, np.arange(len(ends)), "right")])
         cut_b = np.concatenate([[0], np.searchsorted(group_b, np.arange(len(ends)), "right")])
-        text_a, text_b = [str(i) for i in a.tolist()], [str(i) for i in b.tolist()]
-        groups = [f"{','.join(text_a[i:j])}|{','.join(text_b[k:m])}"
+        text_a, text_b = [tok.name_a[i] for i in a.tolist()], [tok.name_b[i] for i in b.tolist()]
+        groups = [text_a[i] + "|" + text_b[k] if j - i == 1 == m - k else f"{','.join(text_a[i:j])}|{','.join(text_b[k:m])}"
                   for i, j, k, m in zip(cut_a[:-1].tolist(), cut_a[1:].tolist(), cut_b[:-1].tolist(), cut_b[1:].tolist())]
         self.groups = [";".join(groups[i:j]) for i, j in zip(group_ptr[:-1].tolist(), group_ptr[1:].tolist())]
 
@@ -183,55 +199,101 @@ class Block:
         run = np.concatenate([[0], np.cumsum(values[self.col])])
         return run[self.ptr[1:]] - run[self.ptr[:-1]]
 
-    def pair_documents(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct linked id pairs and how many documents of the block hold them."""
-        pairs, at = np.unique(self.chunks.pair, return_inverse=True)
-        if not len(pairs):
-            return pairs, pairs
-        _, held, _ = row_products(self.ptr, self.col, self.chunks.link_ptr, at, len(pairs))
-        return pairs, np.bincount(held, minlength=len(pairs))
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct linked id pairs, and the documents x pairs matrix (ptr, col, number of links)."""
+        keys, at = np.unique(self.chunks.pair, return_inverse=True)
+        return keys, *row_products(self.ptr, self.col, self.chunks.link_ptr, at, max(1, len(keys)))
+
+    def digests(self) -> list[bytes]:
+        """SHA-256 of each document's groups; empty without tokens."""
+        groups, col, ptr, n = self.chunks.groups, self.col.tolist(), self.ptr.tolist(), self.sums(self.chunks.n_a)
+        return [hashlib.sha256(";".join([groups[k] for k in col[i:j]]).encode()).digest() if m else b""
+                for i, j, m in zip(ptr[:-1], ptr[1:], n.tolist())]
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Small numbers as little-endian bytes, deflated."""
+    kind = next(t for t in ("<u1", "<u2", "<u4", "<i8") if not len(values) or t == "<i8" or
+                (values.min() >= 0 and values.max() <= np.iinfo(t).max))
+    return kind.encode() + zlib.compress(np.ascontiguousarray(values, kind).tobytes(), 1)
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data[3:]), data[:3].decode()).astype(np.int64)
+
+
+def _block_row(block_id: int, ids: list[int], texts: list, tok: Tokenizers) -> dict:
+    block = Block(texts, tok)
+    c = block.chunks
+    keys, ptr, col, value = block.pairs()
+    numbers = np.stack([block.sums(v) for v in (c.n_a, c.n_b, c.n_groups, c.n_links, c.group_links)])
+    digests = block.digests()
+    return {"block": block_id, "doc_id": _pack(np.array(ids, np.int64)), "numbers": _pack(numbers.ravel()),
+            "digests": b"".join(d or bytes(32) for d in digests), "keys": _pack(keys),
+            "docs": _pack(np.bincount(col, minlength=len(keys))), "ptr": _pack(np.diff(ptr)), "col": _pack(col),
+            "value": _pack(value)}
+
+
+def _blocks(path_a: str, path_b: str, block_bytes: int):
+    def run(batches):
+        tok = tokenizers(path_a, path_b)
+        number = (TaskContext.get().partitionId() << 32) - 1
+        ids, texts, held = [], [], 0
+        for pdf in batches:
+            for key, text in zip(pdf["doc_id"].tolist(), pdf["text"]):
+                ids.append(key)
+                texts.append(text)
+                held += len(text) if isinstance(text, str) else 0
+                if held >= block_bytes or len(ids) >= 50_000:
+                    number += 1
+                    yield pd.DataFrame([_block_row(number, ids, texts, tok)])
+                    ids, texts, held = [], [], 0
+        if ids:
+            yield pd.DataFrame([_block_row(number + 1, ids, texts, tok)])
+    return run
+
 
+def _block_pairs(batches):
+    for pdf in batches:
+        for block, keys, docs in zip(pdf["block"], pdf["keys"], pdf["docs"]):
+            keys = _unpack(keys)
+            yield pd.DataFrame({"block": np.full(len(keys), block), "a": keys >> 32, "b": keys & 0xFFFFFFFF,
+                                "docs": _unpack(docs)})
 
-def _count(path_a: str, path_b: str):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pairs, docs = Block(pdf["text"], tokenizers(path_a, path_b)).pair_documents()
-        return pd.DataFrame({"block": np.full(len(pairs), pdf["block"].iloc[0]), "a": pairs >> 32,
-                             "b": pairs & 0xFFFFFFFF, "docs": docs})
-    return run
 
+def _pack_back(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The counts of a block's pairs, in the order of its keys."""
+    pdf = pdf.sort_values(["a", "b"])
+    return pd.DataFrame({"block": pdf["block"].iloc[:1], "n": [_pack(pdf["n"].to_numpy(np.int64))],
+                         "best": [_pack(pdf["best"].to_numpy(np.int64))]})
 
-def _align(path_a: str, path_b: str):
-    def run(pdf: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
-        if not len(pdf):
-            return pd.DataFrame({c.split()[0]: [] for c in RESULT.split(", ")})
-        block = Block(pdf["text"], tokenizers(path_a, path_b))
-        c = block.chunks
-        known = (back["a"].to_numpy(np.int64) << 32) | back["b"].to_numpy(np.int64)
-        order = np.argsort(known)
-        at = order[np.searchsorted(known, c.pair, sorter=order)]
-        over_chunk = lambda v: np.diff(np.concatenate([[0], np.cumsum(v)])[c.link_ptr])
-        count, best = back["n"].to_numpy(np.int64)[at], back["best"].to_numpy(bool)[at]
-        n_a = block.sums(c.n_a)
-        col, ptr = block.col.tolist(), block.ptr.tolist()
-        digest = [hashlib.sha256(";".join([c.groups[k] for k in col[i:j]]).encode()).hexdigest() if n else ""
-                  for i, j, n in zip(ptr[:-1], ptr[1:], n_a.tolist())]
-        return pd.DataFrame({
-            "doc_id": pdf["doc_id"], "n_a": n_a, "n_b": block.sums(c.n_b), "n_groups": block.sums(c.n_groups),
-            "n_links": block.sums(c.n_links), "n_group_links": block.sums(c.group_links),
-            "n_best": block.sums(over_chunk(best.astype(np.int64))), "count_sum": block.sums(over_chunk(count)),
-            "groups_sha256": digest})
-    return run
+
+def _results(batches):
+    for pdf in batches:
+        for r in pdf.itertuples():
+            ids = _unpack(r.doc_id)
+            numbers = _unpack(r.numbers).reshape(len(NUMBERS), len(ids))
+            out = {"doc_id": ids} | dict(zip(NUMBERS, numbers))
+            col, value, size = _unpack(r.col), _unpack(r.value), _unpack(r.ptr)
+            end = np.cumsum(size)
+            # a block without any pair has no counts
+            for name, per_pair in (("n_best", r.best), ("count_sum", r.n)):
+                run = np.concatenate([[0], np.cumsum(_unpack(per_pair)[col] * value)]) if per_pair is not None else np.zeros(1, np.int64)
+                out[name] = run[end] - run[end - size]
+            out["groups_sha256"] = [r.digests[32 * k:32 * k + 32].hex() if n else "" for k, n in enumerate(out["n_a"].tolist())]
+            yield pd.DataFrame(out)
 
 
-def align_documents(docs: DataFrame, path_a: str, path_b: str, block_bytes: int = 6 << 20) -> DataFrame:
+def align_documents(docs: DataFrame, path_a: str, path_b: str, block_bytes: int = 4 << 20) -> DataFrame:
     """Per document the tokens of both sides, groups, links by overlap (``n_links``) and by group
     (``n_group_links``), the links whose id pair is held by the most documents of its A id's pairs
     (``n_best``), the sum of these numbers over the links, and the digest of its groups."""
-    d, _ = blocks_of(docs, block_bytes)
-    by_block = d.groupBy("block")
-    pairs = cut_lineage(by_block.applyInPandas(_count(path_a, path_b), PAIRS))
+    scanned = docs.select(filled_id(), "text")
+    blocks = cut_lineage(scanned.mapInPandas(_blocks(path_a, path_b, block_bytes), BLOCK))
+    pairs = blocks.select("block", "keys", "docs").mapInPandas(_block_pairs, PAIRS)
     total = pairs.groupBy("a", "b").agg(F.sum("docs").alias("n"))
     most = total.groupBy("a").agg(F.max("n").alias("most"))
     counted = total.join(most, "a").select("a", "b", "n", (F.col("n") == F.col("most")).alias("best"))
-    back = pairs.select("block", "a", "b").join(counted, ["a", "b"])
-    return with_null_ids(by_block.cogroup(back.groupBy("block")).applyInPandas(_align(path_a, path_b), RESULT))
+    back = pairs.select("block", "a", "b").join(counted, ["a", "b"]).groupBy("block").applyInPandas(_pack_back, BACK)
+    joined = blocks.drop("keys", "docs").join(back, "block", "left")
+    return with_null_ids(joined.mapInPandas(_results, RESULT))
