@@ -1,14 +1,18 @@
 """N-gram Jaccard join by parity sketches.
 
-A text's set holds its distinct word shingles.  Each shingle flips one bit of a sketch, so the
-Hamming distance of two sketches is at most the symmetric difference of the sets.  Linked sets
+A text's set holds its distinct word shingles.  Each shingle flips bits of a sketch, so the
+Hamming distance of two sketches lower-bounds the symmetric difference of the sets.  Linked sets
 (100 * intersection >= percent * union) differ in at most d elements, where d follows from
-their sizes; a sketch of d + 1 parts therefore has an equal part for every linked pair.
+their sizes; a sketch of d + 1 + r parts therefore has r + 1 equal parts for every linked pair.
 
 1. Sizes fall into bands whose width is the threshold, so linked sets lie in one band or in
    neighbouring ones.  Per pair of bands a set has one sketch; its keys are (bands, part, the
-   64 parity bits of the part).
-2. Blocks exchange distinct keys (``recurring``); only sets with a recurring key go on.
+   64 parity bits of the part, in which an element flips the bits of its hash).  An empty part
+   would join sets that share nothing.  A set with at most r empty parts leaves them out: one of
+   the r + 1 equal parts holds something.  Only a set with more of them keeps them as keys, and
+   whatever it is equal to in empty parts alone has as many.  r follows from the band.
+2. Blocks exchange distinct keys (``recurring``); only sets with a recurring key go on.  Of keys
+   with the same members (128 bits of them) one is kept.
 3. Star: within a key the smallest set is compared with the others.  A longer sketch of the
    whole set rejects pairs whose Hamming distance is too large, the rest is verified exactly.
    Verified links give components.
@@ -110,6 +114,24 @@ def sketch(s: np.ndarray, parts: int) -> np.ndarray:
     return out
 
 
+def spare_parts(size: int, d: int) -> int:
+    """r: more than the empty parts that a set of this size has in d + 1 parts, as a rule."""
+    empty = (d + 1) * math.exp(-size / (d + 1))
+    return 1 + math.ceil(empty + 4 * math.sqrt(empty))
+
+
+def part_words(s: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(64 parity bits, number of elements) of each part; an element flips the bits of its hash."""
+    part = ((s >> U64(32)) * U64(parts) >> U64(32)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    held = np.bincount(part, minlength=parts)
+    out = np.zeros(parts, U64)
+    some = np.flatnonzero(held)
+    if len(some):
+        out[some] = np.bitwise_xor.reduceat(mix64(s ^ U64(0x2545F4914F6CDD1D))[order], (np.cumsum(held) - held)[some])
+    return out, held
+
+
 def band_keys(s: np.ndarray, bands: Bands) -> list[tuple[int, np.ndarray, int]]:
     """(pair of bands, keys, words of the rejecting sketch) of a set; none where only equal sets link."""
     out = []
@@ -118,8 +140,13 @@ def band_keys(s: np.ndarray, bands: Bands) -> list[tuple[int, np.ndarray, int]]:
         for g in (b, b - 1):
             d = bands.limit(g) if g >= 0 else 0
             if d:
-                part = np.arange(d + 1).astype(U64) * U64(0x9E3779B97F4A7C15) + U64(g + 1)
-                out.append((g, mix64(sketch(s, d + 1) ^ mix64(part)), d // 8 + 2))
+                spare = spare_parts(bands.top(g), d)
+                words, held = part_words(s, d + 1 + spare)
+                salt = np.arange(len(words)).astype(U64) * U64(0x9E3779B97F4A7C15) + U64(g + 1)
+                keys = mix64(words ^ mix64(salt))
+                if (held == 0).sum() <= spare:
+                    keys = keys[held > 0]
+                out.append((g, keys, d // 8 + 2))
     return out
 
 
@@ -278,9 +305,12 @@ def link_documents(docs: DataFrame, size: int = 3, percent: int = 90, block_byte
     sets = found.where("kind = 2").groupBy("name").agg(F.first("data").alias("data"))
     held = found.where("kind = 1").select("keys", "name", "n", "band").mapInPandas(
         _unpack, "key long, name long, n long, band int").distinct()
-    groups = held.groupBy("key").agg(F.min("name").alias("lead"), F.max("name").alias("last"),
-                                     F.count(F.lit(1)).alias("members")).where("lead < last")
-    held = cut_lineage(held.join(groups.drop("last"), "key"))
+    # near-copies share most of their keys: of the keys with the same members one is enough
+    mark = lambda seed: F.bit_xor(F.xxhash64("name", F.lit(seed)))
+    groups = held.groupBy("key").agg(F.min("name").alias("lead"), F.max("name").alias("last"), F.min("band").alias("band"),
+                                     F.count(F.lit(1)).alias("members"), mark(1).alias("x"), mark(2).alias("y"))
+    one = groups.where("lead < last").groupBy("lead", "last", "band", "members", "x", "y").agg(F.min("key").alias("key"))
+    held = cut_lineage(held.join(one.select("key", "lead", "members"), "key"))
 
     star = held.where("name <> lead").select(F.col("lead").alias("a"), F.col("name").alias("b"), "band").distinct()
     one = sketches.select(F.col("name").alias("a"), "band", F.col("n").alias("na"), F.col("sketch").alias("sa"))
