@@ -19,7 +19,7 @@ The order columns must form a total order (add a unique tie-break column).
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -30,17 +30,28 @@ _UNKNOWN = 1 << 60
 _ROW_GROWTH = 16        # rows in memory against files on disk, and rows that joins add
 
 
+def _leaf_bytes(spark: SparkSession, leaf) -> int:
+    """What a leaf of a plan holds: the size of its files if it is a checkpoint, which keeps the
+    estimate of the plan it was made by (a product of the sides for a join), else its estimate."""
+    if leaf.nodeName().startswith("LogicalRDD"):
+        file = leaf.rdd().getCheckpointFile()
+        if file.isDefined():
+            path = spark._jvm.org.apache.hadoop.fs.Path(file.get())
+            return path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return int(str(leaf.stats().sizeInBytes()))
+
+
 def _num_partitions(df: DataFrame, num_partitions: int | None) -> int:
     """Explicit count, else about one range partition per 128 MB of the optimizer's size
     estimate, at least the default parallelism, without an upper bound (an explicit count is
     never coalesced by AQE, so it is sized here).  Estimates of joins multiply and can be far
-    too large; they are then bounded by that of the leaves."""
+    too large; they are then bounded by what the leaves hold."""
     if num_partitions:
         return int(num_partitions)
     spark = df.sparkSession
     plan = df._jdf.queryExecution().optimizedPlan()
     leaves = plan.collectLeaves()
-    read = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    read = sum(_leaf_bytes(spark, leaves.apply(i)) for i in range(leaves.size()))
     if read >= _UNKNOWN:        # a leaf without an estimate
         return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     size = min(int(str(plan.stats().sizeInBytes())), _ROW_GROWTH * max(read, 1))

@@ -58,3 +58,13 @@ def test_exact_percentiles_empty_input_gives_null_row(spark):
     df = spark.createDataFrame([], "x double")
     rows = exact_percentiles(df, "x", {"m": 0.5, "p9": 0.9}).collect()
     assert len(rows) == 1 and rows[0].m is None and rows[0].p9 is None
+
+
+def test_range_partitions_over_a_checkpointed_join_follow_its_rows(spark):
+    from ledgerloom.plans.ordering import _num_partitions
+    from ledgerloom.session import cut_lineage
+    a = spark.range(20000).selectExpr("id as k", "repeat('v', 20) as s")
+    pairs = cut_lineage(a.join(a.select("k", F.col("s").alias("t")), "k").join(a.select("k", F.col("s").alias("u")), "k"))
+    joined = pairs.join(a.select("k", F.col("s").alias("w")), "k").select("k", "w")
+    assert _num_partitions(joined, None) <= 2 * spark.sparkContext.defaultParallelism
+    assert with_global_rank(joined, ["k"], "r").where("r = k").count() == 20000
