@@ -21,6 +21,19 @@ def random_edges(seed, nodes, count):
     return [(f"n{rnd.randrange(nodes)}", f"n{int(nodes * rnd.random() ** 2)}", rnd.random() + .1, i) for i in range(count)]
 
 
+def test_tiles_equal_rows_of_nodes(spark, monkeypatch):
+    rows = random_edges(2, 30, 45) + [("x1", "x2", 1.0, 0), ("x2", "x3", 1.0, 0), ("y", "y", 1.0, 0)]
+    e = edges_df(spark, rows)
+    nodes = gr.node_table(e)
+    run = lambda **how: (as_dict(gr.betweenness_centrality(e, **how), "node", "betweenness"),
+                         as_dict(gr.closeness_bitset(e, True, nodes, nodes, **how), "node", "closeness"))
+    tiled = run(tile=8, state_rows=200)
+    monkeypatch.setattr(gr.tiles, "tiles_are_full", lambda *a: False)
+    monkeypatch.setattr(gr.tiles, "dependencies", None)
+    plain = run()
+    assert tiled[0] == pytest.approx(plain[0]) and tiled[1] == pytest.approx(plain[1])
+
+
 @pytest.mark.parametrize("lanes,state_rows", [(8, 30), (16, 1 << 20)])
 def test_blocks_of_sources_add_up(spark, lanes, state_rows):
     rows = random_edges(1, 26, 40)
