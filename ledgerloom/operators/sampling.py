@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import draw60
-from ..plans.ordering import with_global_rank
+from ..plans.ordering import windowed, with_cumulative_sums, with_global_rank
 from ..session import cut_lineage
 
 _BLOCK = 1000      # draws per generated array
@@ -99,16 +99,27 @@ def link_prediction_splits(edges: DataFrame, ledger_col: str = "ledger", n_futur
     """K1: one row per split: n_context, n_future and the number of distinct accounts in both.
 
     Edges are reduced before they meet the splits: to one number per ledger for the counts, to the
-    distinct (ledger, account) for the accounts; no edge is expanded."""
+    distinct (ledger, account) for the accounts, and these to the boundaries where an account begins
+    and ends to count; neither an edge nor an account is expanded to its splits."""
     e = cut_lineage(edges.select(F.col(ledger_col).cast("long").alias("t"), "src", "dst"))
     ranked = _ledger_ranks(e)
     per_ledger = _to_splits(e.groupBy("t").agg(F.count(F.lit(1)).alias("n")), ranked, n_future, context_ledgers)
     part = lambda p: F.coalesce(F.sum(F.when(F.col("part") == p, F.col("n"))), F.lit(0)).alias(f"n_{p}")
     counts = per_ledger.groupBy("split").agg(part("context"), part("future"))
-    accounts = e.select("t", F.explode(F.array("src", "dst")).alias("node")).distinct()
-    nodes = _to_splits(accounts, ranked, n_future, context_ledgers).groupBy("split").agg(
-        F.count_distinct("node").alias("n_nodes"))
-    return counts.join(nodes, "split").withColumnRenamed("split", "boundary")
+    accounts = e.select("t", F.explode(F.array("src", "dst")).alias("node")).where("node is not null").distinct()
+    # a ledger of rank r lies in the splits of the boundary ranks first .. r + context_ledgers, without gap
+    first = ranked.select("t", F.explode(F.sequence(F.col("t") - (n_future - 1), F.col("t"))).alias("b")).join(
+        ranked.where("r > 0").select(F.col("t").alias("b"), F.col("r").alias("rb")), "b").groupBy("t").agg(F.min("rb").alias("first"))
+    spans = ranked.join(first, "t", "left").select("t", "r", F.coalesce("first", F.col("r") + 1).alias("first"))
+    seen = windowed(accounts.join(spans, "t"), ["node"], ["r"], 1, 0, lambda w: [F.lag("r").over(w).alias("_before")])
+    # an account counts from where its previous ledger stops counting it
+    begin = F.greatest("first", F.col("_before") + context_ledgers + 1)
+    steps = seen.select(F.explode(F.array(F.struct(begin.alias("r"), F.lit(1).alias("s")),
+                                          F.struct((F.col("r") + context_ledgers + 1).alias("r"), F.lit(-1).alias("s")))).alias("x"))
+    steps = steps.groupBy("x.r").agg(F.sum("x.s").alias("s"))
+    nodes = with_cumulative_sums(ranked.join(steps, "r", "left").select("t", "r", F.coalesce("s", F.lit(0)).alias("s")), ["r"], ["s"])
+    return counts.join(nodes.select(F.col("t").alias("split"), F.col("cum_s").alias("n_nodes")), "split") \
+        .withColumnRenamed("split", "boundary")
 
 
 def negative_samples(split_nodes: DataFrame, positives: DataFrame, n_neg: DataFrame, seed: int = 42,

@@ -112,3 +112,23 @@ def test_entry_smoke(spark):
     import __spark_entry__ as ent
     df = ent.entry(spark)
     assert df.count() > 0 and "asset_entropy" in df.columns
+
+
+def test_split_accounts_counted_without_expanding_them(spark, monkeypatch):
+    import random
+
+    from ledgerloom.operators import sampling as sm
+    rnd = random.Random(5)
+    name = lambda: rnd.choice([None, *"abcdefg"])
+    ledgers = [1, 2, 3, 7, 8, 15, 16, 17, 18, 30]
+    rows = [(rnd.choice(ledgers), name(), name()) for _ in range(25)]
+    parts, whole = [], sm._to_splits
+    monkeypatch.setattr(sm, "_to_splits", lambda r, *a: parts.append(r.columns) or whole(r, *a))
+    got = {r.boundary: (r.n_context, r.n_future, r.n_nodes) for r in sm.link_prediction_splits(
+        spark.createDataFrame(rows, "ledger long, src string, dst string"), "ledger", 3, 2).collect()}
+    seen, want = sorted({r[0] for r in rows}), {}
+    for i, b in enumerate(seen[1:], 1):
+        ctx = [r for r in rows if r[0] in seen[max(0, i - 2):i]]
+        fut = [r for r in rows if b <= r[0] < b + 3]
+        want[b] = (len(ctx), len(fut), len({x for r in ctx + fut for x in r[1:]} - {None}))
+    assert got == want and parts == [["t", "n"]]
