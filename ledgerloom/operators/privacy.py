@@ -5,9 +5,10 @@ task reproduces it.  For integral keys the hash is plain 64-bit arithmetic (repr
 SQL); other keys use a hash SQL can repeat."""
 from __future__ import annotations
 
-from functools import reduce
-from itertools import combinations
+import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,37 +97,66 @@ def signature_classes(sigs: DataFrame, wallet_col: str) -> DataFrame:
     return sigs.groupBy("signature").agg(F.min(wallet_col).alias("representative"), F.count(F.lit(1)).alias("wallets"))
 
 
-def near_masks(width: int, radius: int) -> list[int]:
-    """All numbers of ``width`` bits with at most ``radius`` bits set."""
-    return [sum(1 << b for b in bits) for k in range(radius + 1) for bits in combinations(range(width), k)]
+_CLASSES = 1 << 17      # most classes of a part
+_ROWS, _COLUMNS = 16, 8192      # signatures compared at a time
+
+
+def _near_pairs(a: np.ndarray, b: np.ndarray | None, differing: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (in a, in b) of signatures that differ in at most ``differing`` bits; without b, of all
+    pairs inside a."""
+    found = [], []
+    other = a if b is None else b
+    for i in range(0, len(a), _ROWS):
+        for j in range(0 if b is not None else i // _COLUMNS * _COLUMNS, len(other), _COLUMNS):
+            near = np.bitwise_count(a[i:i + _ROWS, None] ^ other[None, j:j + _COLUMNS]) <= differing
+            x, y = np.divmod(np.flatnonzero(near), near.shape[1])
+            x, y = x + i, y + j
+            if b is None:
+                x, y = x[x < y], y[x < y]
+            found[0].append(x)
+            found[1].append(y)
+    none = [np.empty(0, np.int64)]
+    return np.concatenate(found[0] or none), np.concatenate(found[1] or none)
 
 
 def similar_classes(classes: DataFrame, bits: int = 64, differing: int | None = None, similarity: float = 0.8,
-                    parts: int = 4) -> DataFrame:
+                    parts: int | None = None) -> DataFrame:
     """Links (a, b, differing) between representatives a < b whose signatures differ in at most
     ``differing`` bits (by default as many as the Hamming similarity allows).
 
-    Pigeonhole: of ``parts`` equal parts of a signature, one differs in at most differing / parts bits,
-    so a class probes its part with every mask of so few bits and meets the others by equality of a
-    whole part.  (One part per allowed difference needs no masks, but parts of five bits: nearly all
-    pairs would meet.)  A pair counts at its first part that is near, which makes it unique without
-    a shuffle, and is verified by the bit count.  Equal signatures are one class from the start, so a
-    group of equal wallets lists no pairs; all other links are kept."""
+    Classes are dealt by a hash into ``parts`` (at least; by default two pairs of parts per core) and
+    every pair of parts is compared whole, as xor and bit count over two arrays, by a task that holds
+    no more than these.  The comparisons grow with the square of the classes, as those of any cut
+    into keys of a few bits do that allows for so many differing ones, but each is one machine word and
+    no row; what is shuffled is each class ``parts`` times.  Equal signatures are one class from the
+    start, so a group of equal wallets lists no pairs; all other links are kept."""
     if differing is None:
         differing = int((1 - similarity) * bits + 1e-9)
-    width, radius = bits // parts, differing // parts
-    key = lambda p: F.shiftrightunsigned("signature", p * width).bitwiseAND(F.lit((1 << width) - 1))
-    cut = classes.select("representative", "signature", F.explode(F.array(
-        *[F.struct(F.lit(p).alias("part"), key(p).alias("key")) for p in range(parts)])).alias("k"))
-    cut = cut.select("representative", "signature", "k.part", "k.key")
-    points = cut.select(F.col("representative").alias("b"), F.col("signature").alias("sb"), "part", "key")
-    probes = cut.select(F.col("representative").alias("a"), F.col("signature").alias("sa"), "part",
-                        F.explode(F.transform(F.lit(near_masks(width, radius)), lambda m: F.col("key").bitwiseXOR(m))).alias("key"))
-    x = F.col("sa").bitwiseXOR(F.col("sb"))
-    far = lambda p: F.bit_count(F.shiftrightunsigned(x, p * width).bitwiseAND(F.lit((1 << width) - 1))) > radius
-    first = reduce(lambda c, p: c & ((F.col("part") <= p) | far(p)), range(parts), F.lit(True))
-    return probes.join(points, ["part", "key"]).where((F.col("a") < F.col("b")) & (F.bit_count(x) <= differing) & first) \
-        .select("a", "b", F.bit_count(x).cast("long").alias("differing"))
+    known = classes.where(F.col("signature").isNotNull() & F.col("representative").isNotNull())
+    wallet = dict(classes.dtypes)["representative"]
+    n = known.count()
+    cores = classes.sparkSession.sparkContext.defaultParallelism
+    parts = max(parts or min(math.isqrt(4 * cores) + 1, n // 512), -(-n // _CLASSES), 1)
+    dealt = known.groupBy(F.pmod(F.xxhash64("signature"), F.lit(parts)).alias("i")).agg(
+        F.collect_list(F.struct("signature", "representative")).alias("c"))
+    dealt = cut_lineage(dealt.select("i", F.col("c.signature").alias("s"), F.col("c.representative").alias("r")))
+    # rows of part i go to all pairs (i, j) and (j, i) with i <= j
+    left = dealt.select("i", F.explode(F.sequence(F.col("i"), F.lit(parts - 1).cast("long"))).alias("j"), "s", "r")
+    right = dealt.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("i"))).alias("k"), *[F.col(c).alias(f"{c}2") for c in "isr"])
+
+    def compare(key, x, y):
+        if x.empty or y.empty:
+            return pd.DataFrame({c: pd.Series(dtype=object) for c in ("a", "b", "differing")})
+        # unsigned: numpy counts the bits of the absolute value of a signed number
+        sx, sy = (np.asarray(c.iloc[0], np.int64).view(np.uint64) for c in (x["s"], y["s2"]))
+        at, to = _near_pairs(sx, None if key[0] == key[1] else sy, differing)
+        return pd.DataFrame({"a": pd.Series(x["r"].iloc[0], dtype=object).iloc[at].to_numpy(),
+                             "b": pd.Series(y["r2"].iloc[0], dtype=object).iloc[to].to_numpy(),
+                             "differing": np.bitwise_count(sx[at] ^ sy[to]).astype(np.int64)})
+
+    near = left.groupBy("i", "j").cogroup(right.groupBy("k", "i2")).applyInPandas(
+        compare, f"a {wallet}, b {wallet}, differing long")
+    return near.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "differing")
 
 
 def similar_wallets(sigs: DataFrame, wallet_col: str, **how) -> DataFrame:
