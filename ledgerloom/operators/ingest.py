@@ -101,13 +101,13 @@ def _amount_text(r: str = "r") -> Column:
                                                     "source_amount")])
 
 
-def parse_operations(raw: DataFrame, raw_col: str = "raw", seq_col: str = "seq") -> DataFrame:
+def parse_operations(raw: DataFrame, raw_col: str = "raw", seq_col: str = "seq", keep: tuple = ()) -> DataFrame:
     """Operation rows; ``details`` = JSON of all non-common keys (null if none);
-    application_order = position in the transaction by ingest order (1-based)."""
+    application_order = position in the transaction by ingest order (1-based); columns of ``raw`` to ``keep``."""
     both = F.struct(F.from_json(F.col(raw_col), OPERATION_SCHEMA).alias("r"),
                     F.from_json(F.col(raw_col), "map<string,string>").alias("_m"))
-    m = raw.select(seq_col, F.explode(F.filter(F.array(both), lambda x: x["r"].isNotNull())).alias("_d")) \
-        .select(seq_col, "_d.r", "_d._m")
+    m = raw.select(seq_col, *keep, F.explode(F.filter(F.array(both), lambda x: x["r"].isNotNull())).alias("_d")) \
+        .select(seq_col, *keep, "_d.r", "_d._m")
     details = F.map_filter("_m", lambda k, v: ~k.isin(OPERATION_COMMON_KEYS))
     w = Window.partitionBy("r.transaction_hash").orderBy(seq_col)
     asset_native = F.col("r.asset_type") == "native"
@@ -119,7 +119,7 @@ def parse_operations(raw: DataFrame, raw_col: str = "raw", seq_col: str = "seq")
         F.when(asset_native, F.lit("XLM")).otherwise(F.col("r.asset_code")).alias("asset_code"),
         F.when(asset_native, F.lit(None)).otherwise(F.col("r.asset_issuer")).alias("asset_issuer"),
         parse_iso_timestamp(F.col("r.created_at")).alias("created_at"),
-        F.when(F.size(details) > 0, F.to_json(details)).alias("details"))
+        F.when(F.size(details) > 0, F.to_json(details)).alias("details"), *keep)
 
 
 def parse_effects(raw: DataFrame, raw_col: str = "raw") -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..operators import ingest as ig
 from ..operators import quality as qa
-from ..session import cut_lineage
 from ..sources import files as fl
 from ..sources.adapters import acct_edges, raw_ops, reports, txn, validators, with_views
 from ..streaming import alerts as sa
@@ -94,7 +93,7 @@ def land_in_steps(df, order_col: str, run, steps: int = 3) -> None:
     after each; the rows are computed once."""
     spark = df.sparkSession
     landing = fl.shared_dir(spark, "landing")
-    df = cut_lineage(df)
+    df = fl.stored(df)
     b = df.agg(F.min(order_col).alias("a"), F.max(order_col).alias("b")).first()
     width = max(((b["b"] or 0) - (b["a"] or 0) + 1) / steps, 1)
     step = F.floor((F.col(order_col) - (b["a"] or 0)) / width)

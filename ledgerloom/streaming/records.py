@@ -33,8 +33,8 @@ KINDS = {
 def _operations(raw: DataFrame) -> DataFrame:
     """A6 columns (the order inside a transaction is known only when all of it has come), with the
     raw text for the normalised hops."""
-    parsed = ig.parse_operations(raw.withColumn("seq", F.lit(0)), seq_col="seq").drop("application_order")
-    return parsed.join(raw.select(F.get_json_object("raw", "$.id").try_cast("long").alias("id"), "raw"), "id")
+    parsed = ig.parse_operations(raw.withColumn("seq", F.lit(0)), seq_col="seq", keep=("raw",)).drop("application_order")
+    return parsed.where(F.col("id").isNotNull())
 
 
 def _field(name: str) -> Column:
@@ -91,10 +91,12 @@ def ingest_records(spark: SparkSession, landing: str, table: str, checkpoint: st
     lines = landing_stream(spark, landing, max_files).select("value", F.col("_metadata.file_modification_time").alias("landed"))
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        # as many partitions as the batch has splits of its files; records are dealt once and kept for all kinds
+        parts = max(spark.sparkContext.defaultParallelism, 2 * batch.rdd.getNumPartitions())
         batch = batch.persist()
+        newest = batch.where("kind <> 'quarantine'").select("kind", "key", "landed", "raw").repartition(parts, "kind", "key") \
+            .groupBy("kind", "key").agg(F.max_by("raw", F.struct("landed", "raw")).alias("raw")).persist()
         try:
-            newest = batch.where("kind <> 'quarantine'").groupBy("kind", "key").agg(
-                F.max_by("raw", F.struct("landed", "raw")).alias("raw"))
             bad = batch.where("kind = 'quarantine'").select("kind", F.col("raw").alias("quarantine"))
             rows = _typed(newest).unionByName(bad, allowMissingColumns=True)
             overwrite_partitions(rows.withColumn("batch_id", F.lit(batch_id)), table, "batch_id", "kind")
@@ -103,6 +105,7 @@ def ingest_records(spark: SparkSession, landing: str, table: str, checkpoint: st
             seen = batch.agg(*observations())
             overwrite_partitions(seen.withColumn("batch_id", F.lit(batch_id)), f"{table}_commits", "batch_id")
         finally:
+            newest.unpersist()
             batch.unpersist()
 
     w = decode(lines).observe("ingest", *observations()).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
@@ -115,10 +118,11 @@ def committed(spark: SparkSession, table: str) -> DataFrame:
     return spark.read.parquet(table).join(done, "batch_id", "left_semi")
 
 
-def current(spark: SparkSession, table: str, kind: str) -> DataFrame:
-    """The typed rows of one kind: per key that of its last batch."""
+def current(spark: SparkSession, table: str, kind: str, *fields: str) -> DataFrame:
+    """The typed rows of one kind (or some fields of them): per key that of its last batch."""
     rows = committed(spark, table).where(F.col("kind") == kind)
-    return rows.groupBy("key").agg(F.max_by(F.col(kind), "batch_id").alias("r")).select("r.*")
+    record = F.struct(*[F.col(kind)[f].alias(f) for f in fields]) if fields else F.col(kind)
+    return rows.groupBy("key").agg(F.max_by(record, "batch_id").alias("r")).select("r.*")
 
 
 def current_ledgers(spark: SparkSession, table: str) -> DataFrame:
@@ -129,7 +133,7 @@ def current_ledgers(spark: SparkSession, table: str) -> DataFrame:
 
 def current_transfers(spark: SparkSession, table: str) -> DataFrame:
     """Normalised operations, path payments as hops (A10)."""
-    return ig.normalize_with_hops(current(spark, table, "operations").select("raw"))
+    return ig.normalize_with_hops(current(spark, table, "operations", "raw"))
 
 
 def ingest_statistics(spark: SparkSession, table: str) -> DataFrame:

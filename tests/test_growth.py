@@ -7,6 +7,7 @@ import numpy as np
 
 from ledgerloom.operators import graph as gr
 from ledgerloom.operators import privacy as pv
+from ledgerloom.streaming import records as sr
 from tests.conftest import as_dict
 
 
@@ -74,3 +75,10 @@ def test_pairs_come_once_and_mirrored(spark):
     assert as_dict(nodes, "node", "nid") == {"a": 0, "b": 1, "c": 2} and [tuple(r) for r in pairs.collect()] == [(0, 1)]
     assert sorted(map(tuple, gr.undirected_adjacency(e).collect())) == [("a", "b"), ("b", "a")]
     assert sorted(map(tuple, gr.undirected_adjacency(e, True).collect())) == [("a", "b"), ("b", "a"), ("c", "c")]
+
+
+def test_operations_of_a_stream_are_parsed_beside_their_text(spark):
+    raw = spark.createDataFrame([('{"id":"1","type":"payment"}',), ('{"id":"01","type":"payment"}',), ('{"id":"x"}',)], "raw string")
+    out = sr._operations(raw)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.id, r.raw) for r in out.collect()) == [(1, '{"id":"01","type":"payment"}'), (1, '{"id":"1","type":"payment"}')]
