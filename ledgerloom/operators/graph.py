@@ -351,34 +351,63 @@ def shortest_path_lengths(edges: DataFrame, sources: DataFrame, directed: bool =
 
 # ----------------------------------------------------------------------------- triangles
 
-def oriented_edges(edges: DataFrame) -> DataFrame:
-    """Each undirected distinct pair oriented from lower to higher (degree, id), so every
-    node keeps at most sqrt(2m) out-neighbours and hub wedges stay bounded."""
-    adj = undirected_adjacency(edges)
-    deg = adj.groupBy(F.col("u").alias("node")).agg(F.count(F.lit(1)).alias("deg"))
-    a = adj.join(deg.select(F.col("node").alias("u"), F.col("deg").alias("du")), "u") \
-           .join(deg.select(F.col("node").alias("v"), F.col("deg").alias("dv")), "v")
-    return a.where((F.col("du") < F.col("dv")) | ((F.col("du") == F.col("dv")) & (F.col("u") < F.col("v")))) \
-        .select("u", "v", "dv")
-
-
-def triangles(edges: DataFrame) -> DataFrame:
-    """N7 (size 3): each triangle once as (a, b, c), found at its lowest-ordered vertex."""
-    o = cut_lineage(oriented_edges(edges))
-    w = o.alias("x").join(o.alias("y"), F.col("x.u") == F.col("y.u")).where(
-        (F.col("x.dv") < F.col("y.dv")) | ((F.col("x.dv") == F.col("y.dv")) & (F.col("x.v") < F.col("y.v"))))
-    w = w.select(F.col("x.u").alias("a"), F.col("x.v").alias("b"), F.col("y.v").alias("c"))
-    return w.join(o.select(F.col("u").alias("b"), F.col("v").alias("c")), ["b", "c"], "left_semi")
-
-
-def four_cliques(edges: DataFrame) -> DataFrame:
+def numbered_by_degree(edges: DataFrame) -> DataFrame:
+    """nodes(node, nid): nodes with a neighbour, numbered by (distinct neighbours, id)."""
+    from ..plans.ordering import with_global_rank
+    deg = stored(undirected_adjacency(edges).groupBy(F.col("u").alias("node")).agg(F.count(F.lit(1)).alias("deg")))
+    ranges = max(edges.sparkSession.sparkContext.defaultParallelism, deg.count() >> 20)
+    return stored(with_global_rank(deg, ["deg", "node"], "nid", ranges).select("node", "nid"))
+
+
+def with_numbers(pairs: DataFrame, nodes: DataFrame, *ends: str) -> DataFrame:
+    """The two ``ends`` of pairs by the numbers of nodes(node, nid)."""
+    for c in ends:
+        pairs = pairs.join(nodes.select(F.col("node").alias(c), F.col("nid").alias(f"_{c}")), c)
+    return pairs.select(*[F.col(f"_{c}").alias(c) for c in ends])
+
+
+def with_names(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Every column of numbers by the nodes they stand for."""
+    for c in rows.columns:
+        rows = rows.join(nodes.select(F.col("nid").alias(c), F.col("node").alias(f"_{c}")), c).drop(c)
+    return rows.select(*[F.col(c).alias(c[1:]) for c in rows.columns])
+
+
+def oriented_edges(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, oriented): each undirected distinct pair (u, v) oriented from lower to higher (degree, id),
+    by the numbers of the nodes in that order, so every node keeps at most sqrt(2m) out-neighbours."""
+    pairs = stored(undirected_pairs(edges).where("a <> b"))
+    nodes = numbered_by_degree(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    o = with_numbers(pairs, nodes, "a", "b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+    return nodes, stored(o)
+
+
+def _common(o: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lists(u, out), common(a, b, m)): out-neighbours, and those that both ends of an oriented edge have.
+    What moves is a list per edge, not a row per pair of edges of a node."""
+    lists = o.groupBy("u").agg(F.collect_list("v").alias("out"))
+    of_b = o.join(lists.select(F.col("u").alias("v"), F.col("out").alias("_b")), "v")
+    both = of_b.join(lists.select("u", F.col("out").alias("_a")), "u").select(
+        F.col("u").alias("a"), F.col("v").alias("b"), F.array_intersect("_a", "_b").alias("m"))
+    return lists, both.where(F.size("m") > 0)
+
+
+def triangles(edges: DataFrame, names: bool = True) -> DataFrame:
+    """N7 (size 3): each triangle once as (a, b, c), found at its lowest-ordered vertex; without ``names`` by
+    the numbers of the nodes."""
+    nodes, o = oriented_edges(edges)
+    t = _common(o)[1].select("a", "b", F.explode("m").alias("c"))
+    return with_names(t, nodes) if names else t
+
+
+def four_cliques(edges: DataFrame, names: bool = True) -> DataFrame:
     """N7 (size 4): triangles (a, b, c) extended by d with a->d, b->d, c->d oriented edges."""
-    o = cut_lineage(oriented_edges(edges).select("u", "v"))
-    t = triangles(edges)
-    x = t.join(o.select(F.col("u").alias("c"), F.col("v").alias("d")), "c")
-    x = x.join(o.select(F.col("u").alias("a"), F.col("v").alias("d")), ["a", "d"], "left_semi")
-    return x.join(o.select(F.col("u").alias("b"), F.col("v").alias("d")), ["b", "d"], "left_semi") \
-        .select("a", "b", "c", "d")
+    nodes, o = oriented_edges(edges)
+    lists, common = _common(o)
+    t = common.where(F.size("m") > 1).select("a", "b", "m", F.explode("m").alias("c"))
+    q = t.join(lists.select(F.col("u").alias("c"), "out"), "c").select(
+        "a", "b", "c", F.explode(F.array_intersect("m", "out")).alias("d"))
+    return with_names(q, nodes) if names else q
 
 
 def clustering_coefficient(edges: DataFrame) -> DataFrame:
@@ -509,42 +538,35 @@ def cycle_edges(edges: DataFrame, max_cycle: int = 4) -> DataFrame:
     neighbours, id); the halves of a cycle of 3 or 4 begin or end at its highest node, so a half
     a -> b -> c passes only nodes below a, and there are at most as many halves as edges times the
     square root of edges, also around hubs.  A cycle of 3 closes a half by an edge, a cycle of 4 is two
-    halves with the same ends; what goes on are the ends, once each, never (head, node) pairs."""
+    halves with the same ends; every half goes to its ends once, and never (head, node) pairs.  Nodes
+    are numbers in that order."""
     if max_cycle not in (2, 3, 4):
         raise ValueError("cycles of 2, 3 or 4 nodes")
     e = edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull() & (F.col("src") != F.col("dst")))
-    e = e.select("src", "dst").distinct()
-    both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    rank = both.groupBy("src").agg(F.struct(F.count(F.lit(1)).alias("n"), F.col("src").alias("id")).alias("r"))
-    e = cut_lineage(e.join(rank.select("src", F.col("r").alias("rs")), "src")
-                    .join(rank.select(F.col("src").alias("dst"), F.col("r").alias("rd")), "dst"))
-    pair = e.select("src", "dst")
-    found = [pair.join(pair.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_semi")]
+    e = stored(e.select("src", "dst").distinct())
+    nodes = numbered_by_degree(e)
+    e = stored(with_numbers(e, nodes, "src", "dst"))
+    back = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    out = e.join(back, ["src", "dst"], "left_semi")
     if max_cycle > 2:
-        out = e.where("rd < rs").select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("rs").alias("ra"))
-        step = e.select(F.col("src").alias("b"), F.col("dst").alias("c"), F.col("rd").alias("rc"))
-        first = out.join(step, "b").where("rc < ra").select("a", "b", "c")              # a -> b -> c below a
-        thirds = first.join(pair.select(F.col("src").alias("c"), F.col("dst").alias("a")), ["a", "c"], "left_semi")
-        ways = [thirds.select("a", "b", "c", F.lit(True).alias("closes"))]
+        first = e.where("dst < src").select(F.col("src").alias("a"), F.col("dst").alias("b")).join(
+            e.select(F.col("src").alias("b"), F.col("dst").alias("c")), "b").where("c < a")          # a -> b -> c below a
+        ends = first.select("a", "c", "b").repartition("a", "c").groupBy("a", "c").agg(F.collect_list("b").alias("b"))
+        ends = ends.join(e.select(F.col("src").alias("c"), F.col("dst").alias("a"), F.lit(True).alias("closes")), ["a", "c"], "left")
+        edge = lambda x, y: F.struct(x.alias("src"), y.alias("dst"))
+        a, c = F.col("a"), F.col("c")
+        on = [F.flatten(F.transform("b", lambda b: F.array(edge(a, b), edge(b, c)))), F.when(F.col("closes"), F.array(edge(c, a)))]
         if max_cycle > 3:
-            back = e.where("rs < rd").select(F.col("src").alias("d"), F.col("dst").alias("a"), F.col("rd").alias("ra"))
-            step = e.select(F.col("src").alias("c"), F.col("dst").alias("d"), F.col("rs").alias("rc"))
-            last = back.join(step, "d").where("rc < ra").select("a", "d", "c")          # c -> d -> a below a
-            ends = cut_lineage(first.select("a", "c").distinct().join(last.select("a", "c").distinct(), ["a", "c"]))
-            ways.append(first.join(ends, ["a", "c"], "left_semi").select("a", "b", "c", F.lit(False).alias("closes")))
-            rest = last.join(ends, ["a", "c"], "left_semi").select(F.explode(F.array(
-                F.struct(F.col("c").alias("src"), F.col("d").alias("dst")),
-                F.struct(F.col("d").alias("src"), F.col("a").alias("dst")))).alias("e")).select("e.*")
-            found.append(rest)
-        for w in ways:
-            on = F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")),
-                         F.struct(F.col("b").alias("src"), F.col("c").alias("dst")),
-                         F.when(F.col("closes"), F.struct(F.col("c").alias("src"), F.col("a").alias("dst"))))
-            found.append(w.select(F.explode(on).alias("e")).where("e is not null").select("e.*"))
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out.distinct()
+            last = e.where("src < dst").select(F.col("src").alias("d"), F.col("dst").alias("a")).join(
+                e.select(F.col("src").alias("c"), F.col("dst").alias("d")), "d").where("c < a")       # c -> d -> a below a
+            last = last.select("a", "c", "d").repartition("a", "c").groupBy("a", "c").agg(F.collect_list("d").alias("d"))
+            ends = ends.join(last, ["a", "c"], "left").where("closes or d is not null")
+            on.append(F.flatten(F.transform("d", lambda d: F.array(edge(c, d), edge(d, a)))))
+        else:
+            ends = ends.where("closes")
+        on = F.concat(*[F.coalesce(x, F.array().cast("array<struct<src:bigint,dst:bigint>>")) for x in on])
+        out = out.unionByName(ends.select(F.explode(on).alias("e")).select("e.*"))
+    return with_names(out.distinct(), nodes)
 
 
 def cyclic_flow_ratio(edges: DataFrame, max_cycle: int = 4) -> DataFrame:

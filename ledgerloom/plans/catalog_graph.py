@@ -183,9 +183,9 @@ def q_clustering(spark, sf_dir):
           JOIN adj a4 ON a4.u = a1.u AND a4.v > a2.v JOIN adj a5 ON a5.u = a1.v AND a5.v = a4.v
           JOIN adj a6 ON a6.u = a2.v AND a6.v = a4.v) AS four_cliques""", "acct_edges", extra=[_ADJ_SQL]))
 def q_cliques(spark, sf_dir):
-    e = acct_edges(spark, sf_dir)
-    t = gr.triangles(e).agg(F.count(F.lit(1)).alias("triangles"))
-    q = gr.four_cliques(e).agg(F.count(F.lit(1)).alias("four_cliques"))
+    e = stored(acct_edges(spark, sf_dir).select("src", "dst").distinct())
+    t = gr.triangles(e, names=False).agg(F.count(F.lit(1)).alias("triangles"))
+    q = gr.four_cliques(e, names=False).agg(F.count(F.lit(1)).alias("four_cliques"))
     return t.crossJoin(q)
 
 

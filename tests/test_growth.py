@@ -82,3 +82,14 @@ def test_operations_of_a_stream_are_parsed_beside_their_text(spark):
     out = sr._operations(raw)
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r.id, r.raw) for r in out.collect()) == [(1, '{"id":"01","type":"payment"}'), (1, '{"id":"1","type":"payment"}')]
+
+
+def test_cycles_and_cliques_read_the_edges_once(spark):
+    rows = [("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", "b"), ("a", "c"), ("a", "d"), ("e", "a"), (None, "a"), ("a", "a")]
+    e, made = _edges_read_once(spark, rows)
+    got = {tuple(r) for r in gr.cycle_edges(e).collect()}
+    assert got == {("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", "b"), ("a", "c"), ("a", "d")} and made.value == len(rows)
+    for step, want in ((gr.triangles, ["abc", "abd", "acd", "bcd"]), (gr.four_cliques, ["abcd"])):
+        e, made = _edges_read_once(spark, rows)
+        assert sorted("".join(sorted(r)) for r in step(e).collect()) == want and made.value == len(rows)
+        assert step(e, names=False).count() == len(want)
