@@ -42,10 +42,12 @@ from pyspark.sql import DataFrame
 
 from .phrases import blocks_of
 from .recurring import SENT, member, received, recurring, send, shard_of
-from .textblocks import U64, _BYTE_BASE, PrefixHash, as_bytes, covered, mix64, run_argmin, slices, with_null_ids
+from .textblocks import (U64, _BYTE_BASE, PrefixHash, as_bytes, covered, mix64, place_of, run_least, slices,
+                         with_null_ids)
 
 GRAM = 24
 HOT_TEXTS = 8192
+SLICE = 1 << 17       # bytes sampled at a time: their arrays stay in a core's cache
 RESULT = "doc_id long, n_bytes long, kept binary, spans array<struct<start:long,end:long>>"
 NAMES = "shard long, block long, kind int, key binary, value binary"
 ANSWER = "block long, kind int, key binary, value binary"
@@ -59,26 +61,30 @@ class Samples:
         self.size = np.fromiter(map(len, texts), np.int64, len(texts))
         self.first = np.cumsum(self.size + 1) - self.size - 1       # a byte 0 follows each text
         doc_ids = pdf["doc_id"].to_numpy(np.int64)                  # NO_ID is the largest
-        parts = [self._sample(lo, hi, length) for lo, hi in slices(texts)]
+        parts = [self._sample(lo, hi, length) for lo, hi in slices(texts, SLICE)]
         kinds = (np.int64, np.int64, U64, U64)
         self.lo, self.hi, self.gram, self.name = (
             np.concatenate([p[i] for p in parts] or [np.zeros(0, k)]) for i, k in enumerate(kinds))
-        self.doc = doc_ids[np.searchsorted(self.first, self.lo, "right") - 1] if len(self.lo) else self.lo
+        held = np.diff(np.searchsorted(self.lo, np.concatenate([self.first, [self.size.sum() + len(texts)]])))
+        self.doc = np.repeat(doc_ids, held)
 
     def _sample(self, a: int, b: int, length: int) -> tuple[np.ndarray, ...]:
         """(first start, last start, gram, name) of the samples of texts a..b."""
         size = self.size[a:b] + 1
         data = np.frombuffer(b"\0".join(self.texts[a:b]) + b"\0", np.uint8)
         ph = PrefixHash(data.astype(U64) + U64(1), _BYTE_BASE)
-        grams = ph.windows(GRAM)
-        start = np.flatnonzero(np.arange(len(data)) + length <= np.repeat(np.cumsum(size) - 1, size))
-        if not len(start):
-            return start, start, grams[:0], grams[:0]
-        at = run_argmin(grams, length - GRAM + 1)[start]
-        new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (np.diff(start) != 1)]))
-        lo, hi, at = start[new], start[np.concatenate([new[1:], [len(start)]]) - 1], at[new]
+        grams = ph.unmixed(GRAM)
+        least = run_least(grams, length - GRAM + 1) if len(data) >= length else grams[:0]
+        # a string must not reach the byte behind its text: a run of starts with one sample ends there, too
+        inside = np.zeros(len(least) + 2, bool)
+        inside[1:-1] = (np.arange(len(least)) + length <= np.repeat(np.cumsum(size) - 1, size)[:len(least)])
+        same = np.zeros(len(least) + 1, bool)
+        same[1:-1] = least[1:] == least[:-1]
+        lo = np.flatnonzero(inside[1:-1] & ~(inside[:-2] & same[:-1]))
+        hi = np.flatnonzero(inside[1:-1] & ~(inside[2:] & same[1:]))
+        at = place_of(least[lo])
         name = mix64(ph.ranges(lo, hi + length) + (at - lo).astype(U64) * U64(0xA0761D6478BD642F))
-        return lo + self.first[a], hi + self.first[a], grams[at], name
+        return lo + self.first[a], hi + self.first[a], mix64(grams[at] + U64(GRAM)), name
 
     def bytes(self) -> bytes:
         """All texts of the block, each with a byte 0 behind it."""
@@ -269,18 +275,20 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     t = np.concatenate([text, np.zeros(3, text.dtype)]).astype(np.int32, copy=False)
     # a position beyond the end completes the class 1 when the length is 1 modulo 3
     sample = np.concatenate([np.arange(1, n + (n % 3 == 1), 3, dtype=np.int32), np.arange(2, n, 3, dtype=np.int32)])
-    order, name = _ranked([t[sample], t[sample + 1], t[sample + 2]])
+    ones = len(range(1, n + (n % 3 == 1), 3))       # of them at positions 1 modulo 3
+    both = lambda x, k: np.concatenate([x[1 + k::3][:ones], x[2 + k::3][:len(sample) - ones]])
+    order, name = _ranked([both(t, 0), both(t, 1), both(t, 2)])
     if name.max() < len(sample) and depth > 3:
         sub = suffix_order(name, -(-depth // 3) + 1)
         name = np.empty(len(sub), np.int32)
         name[sub] = np.arange(1, len(sub) + 1, dtype=np.int32)
         order = sub
     rank = np.zeros(n + 4, np.int32)
-    rank[sample] = name
+    rank[1:n + (n % 3 == 1):3], rank[2:n:3] = name[:ones], name[ones:]
     sorted_sample = sample[order]
     sorted_sample = sorted_sample[sorted_sample < n]
     rest = np.arange(0, n, 3, dtype=np.int32)
-    rest = rest[np.argsort(_packed([t[rest], rank[rest + 1]]))]
+    rest = rest[np.argsort(_packed([t[:n:3], rank[1::3][:len(rest)]]))]
     # merge: a remaining suffix is compared with a sampled one by one symbol and the ranks behind
     # it, or by two symbols, whichever leads to sampled positions on both sides
     one, two = sorted_sample[sorted_sample % 3 == 1], sorted_sample[sorted_sample % 3 == 2]
@@ -296,6 +304,18 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
+def _differ(text: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Whether the string of ``length`` bytes at each place differs from that at the place before."""
+    eight = np.ndarray(len(text) + 1, "<u8", np.concatenate([text, np.zeros(8, np.uint8)]).tobytes(), strides=(1,)).copy()
+    out = np.zeros(max(0, len(at) - 1), bool)
+    for k in range(0, length, 8):
+        part = eight[at + k]
+        if length - k < 8:
+            part &= U64((1 << 8 * (length - k)) - 1)
+        out |= part[1:] != part[:-1]
+    return out
+
+
 def smaller_elsewhere(text: np.ndarray, starts: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
     """Mask of the ``starts`` whose string of ``length`` bytes also starts at one with a smaller
     doc; ``starts`` is rising and every string lies inside ``text``."""
@@ -305,11 +325,7 @@ def smaller_elsewhere(text: np.ndarray, starts: np.ndarray, doc: np.ndarray, len
     order = order[order >= 0]
     at = starts[order]
     new = np.ones(len(order), bool)
-    span = np.arange(length)
-    for i in range(0, len(order) - 1, 1 << 14):
-        a = at[i:min(i + (1 << 14), len(order) - 1) + 1]
-        rows = text[a[:, None] + span]
-        new[i + 1:i + len(a)] = (rows[1:] != rows[:-1]).any(1)
+    new[1:] = _differ(text, at, length)
     first = np.flatnonzero(new)
     low = np.repeat(np.minimum.reduceat(doc[order], first), np.diff(np.concatenate([first, [len(order)]]))) if len(first) else doc[order]
     out = np.zeros(len(starts), bool)
@@ -352,9 +368,13 @@ def _remove(length: int, carried: bool):
         data = np.frombuffer(s.bytes(), np.uint8)
         gone = np.zeros(len(data), bool)
         if len(s.lo):
-            name, low, _ = _smallest(s.name, s.doc)
-            k = np.searchsorted(name, s.name)
-            whole = (s.doc > low[k]) | member(s.name[:, None], _keys(back, 0))
+            order = np.lexsort((s.doc, s.name))
+            name, doc = s.name[order], s.doc[order]
+            new = np.concatenate([[True], name[1:] != name[:-1]])
+            known = member(name[new][:, None], _keys(back, 0))
+            each = np.diff(np.concatenate([np.flatnonzero(new), [len(name)]]))
+            whole = np.empty(len(name), bool)
+            whole[order] = (doc > np.repeat(doc[new], each)) | np.repeat(known, each)
             lo, hi = [s.lo[whole]], [s.hi[whole] + length]
             part = back[back["kind"] == 2] if len(back) else back
             if len(part):

@@ -60,11 +60,15 @@ class PrefixHash:
 
     def windows(self, k: int) -> np.ndarray:
         """Hash of every window of k symbols (empty when there are fewer)."""
+        return mix64(self.unmixed(k) + U64(k))
+
+    def unmixed(self, k: int) -> np.ndarray:
+        """The same before the bits are mixed (its upper half alone is good for an order)."""
         m = len(self.sums) - k
         if m <= 0:
             return np.zeros(0, U64)
         inv = _powers(_inverse(self.base), len(self.sums))
-        return mix64((self.sums[k:] - self.sums[:-k]) * inv[:m] + U64(k))
+        return (self.sums[k:] - self.sums[:-k]) * inv[:m]
 
 
 _SPACE = np.zeros(256, bool)
@@ -143,6 +147,26 @@ def run_argmin(h: np.ndarray, width: int) -> np.ndarray:
     return pos
 
 
+_LOW = U64(0xFFFFFFFF)
+
+
+def run_least(h: np.ndarray, width: int) -> np.ndarray:
+    """(upper half of h, position): of each run of ``width`` values the right-most with the smallest upper
+    half, packed into one number (see :func:`place_of`).  Positions must fit into 32 bits."""
+    val = (h & ~_LOW) | (_LOW - np.arange(len(h), dtype=U64))
+    span = 1
+    while span < width:
+        step = min(span, width - span)
+        val = np.minimum(val[step:], val[:-step])
+        span += step
+    return val
+
+
+def place_of(least: np.ndarray) -> np.ndarray:
+    """Positions of what :func:`run_least` found."""
+    return (_LOW - (least & _LOW)).astype(np.int64)
+
+
 def cover(n: int, starts: np.ndarray, length: int) -> np.ndarray:
     """Mask of the positions covered by runs of ``length`` from each start."""
     return covered(n, starts, np.minimum(starts + length, n))
