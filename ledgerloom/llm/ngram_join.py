@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.graph import star_components as components
+from ..operators.graph import star_components
 from ..session import cut_lineage
 from .phrases import blocks_of
 from .recurring import SENT, member, received, recurring, send
@@ -290,6 +290,19 @@ def _mixed(held: DataFrame, roots: DataFrame, sketches: DataFrame, slice_rows: i
         "bucket", F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(buckets)))
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint that leaves no shuffle files of its plan, or of the rounds before it, on the
+    disks beside those of the next steps.  Those of a round are small, but at least one per task."""
+    spark, out = df.sparkSession, cut_lineage(df)
+    del df
+    free_shuffles(spark)
+    return out
+
+
+def components(pairs: DataFrame) -> DataFrame:
+    return star_components(pairs, _kept)
+
+
 def link_documents(docs: DataFrame, size: int = 3, percent: int = 90, block_bytes: int = 6 << 20,
                    slice_rows: int = 4096) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of every row."""
@@ -310,7 +323,7 @@ def link_documents(docs: DataFrame, size: int = 3, percent: int = 90, block_byte
     groups = held.groupBy("key").agg(F.min("name").alias("lead"), F.max("name").alias("last"), F.min("band").alias("band"),
                                      F.count(F.lit(1)).alias("members"), mark(1).alias("x"), mark(2).alias("y"))
     one = groups.where("lead < last").groupBy("lead", "last", "band", "members", "x", "y").agg(F.min("key").alias("key"))
-    held = cut_lineage(held.join(one.select("key", "lead", "members"), "key"))
+    held = _kept(held.join(one.select("key", "lead", "members"), "key"))
 
     star = held.where("name <> lead").select(F.col("lead").alias("a"), F.col("name").alias("b"), "band").distinct()
     one = sketches.select(F.col("name").alias("a"), "band", F.col("n").alias("na"), F.col("sketch").alias("sa"))

@@ -441,15 +441,15 @@ def _small_star(e: DataFrame) -> DataFrame:
     return down.unionByName(low.select("a", F.col("m").alias("b"))).distinct()
 
 
-def star_components(pairs: DataFrame) -> DataFrame:
+def star_components(pairs: DataFrame, keep=cut_lineage) -> DataFrame:
     """pairs(a, b) -> (node, root) with the smallest node of each component as root.
 
     Large-star and small-star steps in turn: the neighbours of a node are tied to the smallest of
     them.  The rounds grow with the logarithm of the number of nodes, not with the diameter;
-    each is a grouped minimum and a join, written with a reliable checkpoint.  Runs until the
-    edge set (its count and a hash of its rows) no longer changes."""
+    each is a grouped minimum and a join, written by ``keep`` (a reliable checkpoint).  Runs until
+    the edge set (its count and a hash of its rows) no longer changes."""
     e = pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    return _stars(cut_lineage(e), cut_lineage)
+    return _stars(keep(e), keep)
 
 
 def _stars(e: DataFrame, keep) -> DataFrame:

@@ -11,7 +11,7 @@ from ledgerloom.operators import graph
 
 
 #: shuffle files of a step over 24 partitions
-MOST = 400
+MOST = 150
 
 
 def shuffle_files(spark):
@@ -32,7 +32,6 @@ def test_the_rounds_of_the_join_leave_no_shuffle_files_behind(spark, monkeypatch
                 break
             time.sleep(0.1)
         left.append(before)
-        print('LEFT', before)
         return cut(df)
 
     monkeypatch.setattr(ngram_join, "cut_lineage", watched)
