@@ -76,14 +76,19 @@ def _envelopes(spark, sf_dir):
     number = lambda f: F.get_json_object("raw", f"$.{f}").cast("long")
     parts = [("ledgers", _ledger_json(spark, sf_dir), number("sequence") * 10),
              ("transactions", _tx_json(spark, sf_dir), F.substring(F.get_json_object("raw", "$.memo"), 2, 20).cast("long") * 2 + 1),
-             ("operations", raw_ops(spark, sf_dir), number("id")), ("effects", _effect_json(spark, sf_dir), number("id")),
-             ("operations", raw_ops(spark, sf_dir).where("seq % 7 = 0"), number("id") + 500)]
+             ("operations", raw_ops(spark, sf_dir), number("id")), ("effects", _effect_json(spark, sf_dir), number("id"))]
+    line = lambda stream, at: F.struct(
+        F.concat(F.lit(f'{{"stream":"{stream}","data":'), "raw", F.lit("}")).alias("value"), at.alias("at"))
+    at, again = F.col("at"), {"operations": lambda: F.when(F.col("seq") % 7 == 0, line("operations", at + 500)),
+                              "effects": lambda: F.when(at % 1000 == 0, line("offers", at))}
     out = None
-    for name, raw, at in parts:
-        line = F.concat(F.lit(f'{{"stream":"{name}","data":'), "raw", F.lit("}"))
-        x = raw.select(line.alias("value"), at.alias("at"))
-        bad = raw.where(at % 1000 == 0).select(F.concat(F.lit('{"stream":"offers","data":'), "raw", F.lit("}")).alias("value"), at.alias("at"))
-        x = x.unionByName(bad) if name == "effects" else x
+    for name, raw, when in parts:
+        # a record's text is made once for all lines that it comes in
+        x = raw.withColumn("at", when)
+        if name in again:
+            x = x.select(F.explode(F.filter(F.array(line(name, at), again[name]()), lambda e: e.isNotNull())).alias("e")).select("e.*")
+        else:
+            x = x.select(line(name, at).alias("e")).select("e.*")
         out = x if out is None else out.unionByName(x)
     return out
 

@@ -37,26 +37,38 @@ def _operations(raw: DataFrame) -> DataFrame:
     return parsed.where(F.col("id").isNotNull())
 
 
-def _field(name: str) -> Column:
-    return F.get_json_object("raw", f"$.{name}")
+#: fields of a record that ``decode`` looks at
+_FIELDS = sorted({f for key, at, _ in KINDS.values() for f in (key, at)} | {"paging_token"})
 
 
 def decode(lines: DataFrame) -> DataFrame:
     """kind, key, raw (the record's text), event time text, paging token of each landed line; kind is
     ``quarantine`` and raw the line where it cannot be routed."""
-    e = F.from_json("value", "stream string, data string")
+    # each text is parsed once: a generator keeps the parser's row, where fields taken one by one parse again
+    envelope = F.from_json("value", "stream string, data string")
     rest = [c for c in lines.columns if c != "value"]
-    d = lines.select("value", e["stream"].alias("kind"), e["data"].alias("raw"), *rest)
-    pick = lambda at: F.coalesce(*[F.when(F.col("kind") == k, _field(v[at])) for k, v in KINDS.items()])
-    d = d.select("*", pick(0).alias("key"), pick(1).alias("event_time"), _field("paging_token").alias("cursor"))
+    d = lines.select("value", F.explode(F.array(envelope)).alias("e"), *rest)
+    d = d.select("value", F.col("e.stream").alias("kind"), F.col("e.data").alias("raw"), *rest)
+    fields = [f"f_{f}" for f in _FIELDS]
+    d = d.select("*", F.json_tuple("raw", *_FIELDS).alias(*fields))
+    pick = lambda at: F.coalesce(*[F.when(F.col("kind") == k, F.col(f"f_{v[at]}")) for k, v in KINDS.items()])
+    d = d.select("value", "kind", "raw", *rest, pick(0).alias("key"), pick(1).alias("event_time"),
+                 F.col("f_paging_token").alias("cursor"))
     known = F.col("kind").isin(*KINDS) & F.col("key").isNotNull()
     return d.select(F.when(known, F.col("kind")).otherwise("quarantine").alias("kind"), "key",
                     F.when(known, F.col("raw")).otherwise(F.col("value")).alias("raw"), "event_time", "cursor", *rest)
 
 
 def overwrite_partitions(df: DataFrame, table: str, *by: str) -> None:
-    """Replaces the partitions that ``df`` has rows of (Spark's dynamic overwrite)."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(table)
+    """Replaces the partitions that ``df`` has rows of (Spark's dynamic overwrite).  A task has rows of few
+    partitions: they are written side by side, without the sort by partition that Spark does otherwise."""
+    conf, writers = df.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    old = conf.get(writers, "0")
+    conf.set(writers, str(len(KINDS) + 1))
+    try:
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(table)
+    finally:
+        conf.set(writers, old)
 
 
 def _typed(newest: DataFrame) -> DataFrame:
@@ -95,7 +107,7 @@ def ingest_records(spark: SparkSession, landing: str, table: str, checkpoint: st
         parts = max(spark.sparkContext.defaultParallelism, 2 * batch.rdd.getNumPartitions())
         batch = batch.persist()
         newest = batch.where("kind <> 'quarantine'").select("kind", "key", "landed", "raw").repartition(parts, "kind", "key") \
-            .groupBy("kind", "key").agg(F.max_by("raw", F.struct("landed", "raw")).alias("raw")).persist()
+            .groupBy("kind", "key").agg(F.max(F.struct("landed", "raw"))["raw"].alias("raw")).persist()
         try:
             bad = batch.where("kind = 'quarantine'").select("kind", F.col("raw").alias("quarantine"))
             rows = _typed(newest).unionByName(bad, allowMissingColumns=True)
@@ -122,13 +134,17 @@ def current(spark: SparkSession, table: str, kind: str, *fields: str) -> DataFra
     """The typed rows of one kind (or some fields of them): per key that of its last batch."""
     rows = committed(spark, table).where(F.col("kind") == kind)
     record = F.struct(*[F.col(kind)[f].alias(f) for f in fields]) if fields else F.col(kind)
-    return rows.groupBy("key").agg(F.max_by(record, "batch_id").alias("r")).select("r.*")
+    rows = rows.select("key", "batch_id", record.alias("r"))
+    # few keys are in two batches: dealt as they are, in partitions that follow the files of the kind, and sorted once
+    parts = max(spark.sparkContext.defaultParallelism, 8 * spark.read.parquet(table).where(F.col("kind") == kind).rdd.getNumPartitions())
+    return rows.repartition(parts, "key").groupBy("key").agg(F.max_by("r", "batch_id").alias("r")).select("r.*")
 
 
 def current_ledgers(spark: SparkSession, table: str) -> DataFrame:
     """Ledgers with stubs (A13) for those that only transactions name."""
-    ledgers = current(spark, table, "ledgers")
-    return ledgers.unionByName(ig.ledger_stubs(current(spark, table, "transactions"), ledgers), allowMissingColumns=True)
+    stubs = ig.ledger_stubs(current(spark, table, "transactions", "ledger_sequence", "created_at"),
+                            current(spark, table, "ledgers", "sequence"))
+    return current(spark, table, "ledgers").unionByName(stubs, allowMissingColumns=True)
 
 
 def current_transfers(spark: SparkSession, table: str) -> DataFrame:

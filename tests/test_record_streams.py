@@ -156,3 +156,17 @@ def test_open_minutes_keep_little():
         m.add(t, t, t + 59, 1)
         m.alerts(t)
     assert len(m.minutes) < 40 and sa.OpenMinutes(m.dump(), 0.1).minutes == m.minutes
+
+
+def test_texts_of_a_line_are_parsed_once_and_partitions_written_without_a_sort(spark, places):
+    landing, table, _ = places
+    land(spark, landing, FIRST)
+    decoded = sr.decode(spark.read.text(landing))
+    plan = decoded._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1 and "get_json_object" not in plan
+    got = {(r.kind, r.key, r.event_time, r.cursor) for r in decoded.collect()}
+    assert ("ledgers", "5", "2024-01-01T00:00:10Z", "9") in got
+    assert ("effects", "7", "2024-01-01T00:00:05Z", None) in got
+    assert sum(r.kind == "quarantine" for r in decoded.collect()) == 4
+    run(spark, places)
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters", "0") == "0"
