@@ -11,8 +11,9 @@ their sizes; a sketch of d + 1 + r parts therefore has r + 1 equal parts for eve
    would join sets that share nothing.  A set with at most r empty parts leaves them out: one of
    the r + 1 equal parts holds something.  Only a set with more of them keeps them as keys, and
    whatever it is equal to in empty parts alone has as many.  r follows from the band.
-2. Blocks exchange distinct keys (``recurring``); only sets with a recurring key go on.  Of keys
-   with the same members (128 bits of them) one is kept.
+2. Blocks exchange distinct keys (``recurring``).  A linked set misses at most d of the keys, so
+   only sets of which all but d recur go on.  Of keys with the same members (128 bits of them)
+   one is kept.
 3. Star: within a key the smallest set is compared with the others.  A longer sketch of the
    whole set rejects pairs whose Hamming distance is too large, the rest is verified exactly.
    Verified links give components.
@@ -43,7 +44,8 @@ from ..operators.graph import star_components
 from ..session import cut_lineage
 from .phrases import blocks_of
 from .recurring import SENT, member, received, recurring, send
-from .textblocks import U64, Words, as_bytes, free_shuffles, mix64, slices, with_null_ids, word_windows, words_of
+from .textblocks import (U64, Words, as_bytes, free_shuffles, mix64, passing_shuffles, slices, with_null_ids,
+                         word_windows, words_of)
 
 
 def shingle_sets(w: Words, size: int) -> list[np.ndarray]:
@@ -184,8 +186,9 @@ def _find(size: int, percent: int):
             seen.add(name)
             some = False
             for g, keys, words in band_keys(s, bands):
+                least = len(keys) - bands.limit(g)       # of its parts a linked set changes d at most
                 keys = keys[member(keys[:, None], have)]
-                if len(keys):
+                if len(keys) >= least:
                     some = True
                     rows.append((1, 0, name, len(s), g, keys.astype("<u8").tobytes(), sketch(mix64(s), words).tobytes()))
             if some:
@@ -292,8 +295,11 @@ def _mixed(held: DataFrame, roots: DataFrame, sketches: DataFrame, slice_rows: i
 
 def _kept(df: DataFrame) -> DataFrame:
     """A reliable checkpoint that leaves no shuffle files of its plan, or of the rounds before it, on the
-    disks beside those of the next steps.  Those of a round are small, but at least one per task."""
-    spark, out = df.sparkSession, cut_lineage(df)
+    disks beside those of the next steps.  Those of a round are small, but at least one per task.
+    What stands before it must not run again, since its exchanges are gone."""
+    spark = df.sparkSession
+    with passing_shuffles(spark):
+        out = cut_lineage(df.select("*"))
     del df
     free_shuffles(spark)
     return out
@@ -309,9 +315,8 @@ def link_documents(docs: DataFrame, size: int = 3, percent: int = 90, block_byte
     d, blocks = blocks_of(docs, block_bytes)
     by_block = d.groupBy("block")
     keys = recurring(by_block.applyInPandas(_send_keys(size, percent, blocks), SENT), 1)
-    found = cut_lineage(by_block.cogroup(keys.groupBy("block")).applyInPandas(_find(size, percent), FOUND))
+    found = _kept(by_block.cogroup(keys.groupBy("block")).applyInPandas(_find(size, percent), FOUND))
     del d, by_block, keys
-    free_shuffles(docs.sparkSession)
     rows = found.where("kind = 0").select("doc_id", "name", "n")
     entry = found.where("kind = 1").select("name", "n", "band", F.col("data").alias("sketch"))
     sketches = entry.groupBy("name", "band").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
@@ -329,15 +334,14 @@ def link_documents(docs: DataFrame, size: int = 3, percent: int = 90, block_byte
     one = sketches.select(F.col("name").alias("a"), "band", F.col("n").alias("na"), F.col("sketch").alias("sa"))
     two = sketches.select(F.col("name").alias("b"), "band", F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     near = star.join(one, ["a", "band"]).join(two, ["b", "band"]).select("a", "b", "na", "nb", "sa", "sb")
-    links = cut_lineage(_links(near.mapInPandas(_reject(percent), "a long, b long").distinct(), sets, percent))
+    links = _kept(_links(near.mapInPandas(_reject(percent), "a long, b long").distinct(), sets, percent))
 
     # what may join components: a spanning choice first, then all that is left
     for spanning in (True, False):
         members = _mixed(held, components(links), sketches, slice_rows, 16 * blocks)
         across = members.groupBy("bucket").applyInPandas(_across(percent, spanning), "a long, b long").distinct()
-        links = cut_lineage(links.unionByName(_links(across, sets, percent)))
-    roots = cut_lineage(components(links).withColumnRenamed("node", "name"))
-    free_shuffles(docs.sparkSession)
+        links = _kept(links.unionByName(_links(across, sets, percent)))
+    roots = _kept(components(links).withColumnRenamed("node", "name"))
 
     # classes of equal sets -> components -> smallest document
     firsts = rows.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("first")).join(roots, "name", "left")
