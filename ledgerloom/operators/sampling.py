@@ -15,6 +15,7 @@ from ..plans.ordering import windowed, with_cumulative_sums, with_global_rank
 from ..session import cut_lineage
 
 _BLOCK = 1000      # draws per generated array
+_FIRST_DRAWS = 2   # draws tried at first, in multiples of the negatives asked for
 
 
 def in_neighbours(edges: DataFrame, id_col: str = "edge_id") -> DataFrame:
@@ -128,23 +129,41 @@ def negative_samples(split_nodes: DataFrame, positives: DataFrame, n_neg: DataFr
     hash(seed, s, i, 0|1) mod N(s) in the split's sorted node list; u != v, not a positive pair,
     unique; the n_neg(s) draws with the smallest i are kept (fewer when the graph is too dense,
     as the reference returns fewer).  Draws are generated in blocks, so a large split is no
-    large row."""
+    large row.
+
+    The first ``_FIRST_DRAWS * n_neg(s)`` draws are tried first, the others only in splits that these
+    leave short: no later draw can come before one that is kept."""
     n = split_nodes.groupBy("split").agg(F.count(F.lit(1)).alias("_N"))
     idx = rank_within(split_nodes.select("split", "node"), ["split"], ["node"], "_i")
-    total = F.col("n_neg") * budget
-    d = n_neg.join(n, "split").select("split", "n_neg", "_N", F.explode(F.sequence(
-        F.lit(0).cast("long"), F.floor((total - 1) / _BLOCK))).alias("_b"))
+    sizes = cut_lineage(n_neg.join(n, "split").select("split", "n_neg", "_N"))
+    first = min(_FIRST_DRAWS, budget)
+    found = cut_lineage(_valid_draws(sizes, idx, positives, seed, 0, first))
+    got = found.groupBy("split").agg(F.count(F.lit(1)).alias("_got"))
+    short = sizes.join(got, "split", "left").where(F.coalesce("_got", F.lit(0)) < F.col("n_neg")).drop("_got")
+    if first < budget and not (short := cut_lineage(short)).isEmpty():
+        more = _valid_draws(short, idx, positives, seed, first, budget)
+        found = found.unionByName(more).groupBy("split", "u", "v").agg(F.min("draw").alias("draw"), F.first("n_neg").alias("n_neg"))
+    ranked = rank_within(found, ["split"], ["draw"], "_k")
+    return ranked.where(F.col("_k") < F.col("n_neg")).select("split", "u", "v")
+
+
+def _valid_draws(sizes: DataFrame, idx: DataFrame, positives: DataFrame, seed: int, begin: int, end: int) -> DataFrame:
+    """(split, u, v, draw, n_neg): the valid pairs among the draws begin * n_neg <= i < end * n_neg, each with
+    its first draw.
+
+    The blocks of draws are few small rows: what is made of them must not be broadcast on their measured
+    size, hence the join hints."""
+    lo, hi = F.col("n_neg") * begin, F.col("n_neg") * end
+    d = sizes.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((hi - lo - 1) / _BLOCK))).alias("_b"))
     d = d.repartition("split", "_b")
     d = d.select("split", "n_neg", "_N", F.explode(F.sequence(
-        F.col("_b") * _BLOCK, F.least(F.col("_b") * _BLOCK + _BLOCK, total) - 1)).alias("draw"))
+        lo + F.col("_b") * _BLOCK, F.least(lo + F.col("_b") * _BLOCK + _BLOCK, hi) - 1)).alias("draw"))
     at = lambda side: F.pmod(draw60(F.lit(seed), F.col("split"), F.col("draw"), F.lit(side)), F.col("_N"))
     d = d.select("split", "n_neg", "draw", at(0).alias("_u"), at(1).alias("_v")).where(F.col("_u") != F.col("_v"))
-    d = d.join(idx.select("split", F.col("_i").alias("_u"), F.col("node").alias("u")), ["split", "_u"]) \
-         .join(idx.select("split", F.col("_i").alias("_v"), F.col("node").alias("v")), ["split", "_v"])
-    d = d.join(positives.select("split", F.col("src").alias("u"), F.col("dst").alias("v")), ["split", "u", "v"], "left_anti")
-    first = d.groupBy("split", "u", "v").agg(F.min("draw").alias("draw"), F.first("n_neg").alias("n_neg"))
-    ranked = rank_within(first, ["split"], ["draw"], "_k")
-    return ranked.where(F.col("_k") < F.col("n_neg")).select("split", "u", "v")
+    d = d.hint("merge").join(idx.select("split", F.col("_i").alias("_u"), F.col("node").alias("u")), ["split", "_u"])
+    d = d.hint("merge").join(idx.select("split", F.col("_i").alias("_v"), F.col("node").alias("v")), ["split", "_v"])
+    d = d.groupBy("split", "u", "v").agg(F.min("draw").alias("draw"), F.first("n_neg").alias("n_neg"))
+    return d.hint("merge").join(positives.select("split", F.col("src").alias("u"), F.col("dst").alias("v")), ["split", "u", "v"], "left_anti")
 
 
 def rank_within(df: DataFrame, group_cols: list[str], order_cols: list[str], out: str) -> DataFrame:

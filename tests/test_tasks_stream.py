@@ -132,3 +132,39 @@ def test_split_accounts_counted_without_expanding_them(spark, monkeypatch):
         fut = [r for r in rows if b <= r[0] < b + 3]
         want[b] = (len(ctx), len(fut), len({x for r in ctx + fut for x in r[1:]} - {None}))
     assert got == want and parts == [["t", "n"]]
+
+
+def test_draws_of_negative_samples_are_not_broadcast(spark):
+    """The blocks of draws are few small rows; the draws made of them were broadcast (48 MB here)."""
+    nodes = spark.createDataFrame([(1, f"n{i:04d}") for i in range(2000)], "split long, node string")
+    pos = spark.createDataFrame([(1, "n0000", "n0001")], "split long, src string, dst string")
+    want = spark.createDataFrame([(1, 100_000)], "split long, n_neg long")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "16m")
+    try:
+        got = sm.negative_samples(nodes, pos, want)
+        assert got.count() == 100_000 == got.distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
+def test_negative_samples_keep_the_first_draws(spark):
+    """A split that the first draws leave short goes on to the whole budget; what is kept are the first valid draws."""
+    import hashlib
+    import itertools
+    names = {1: [f"n{i}" for i in range(8)], 2: [f"m{i:02d}" for i in range(60)]}
+    taken = {1: {("n0", "n1"), ("n3", "n2")}, 2: {("m00", "m01")}}
+    want = {1: 50, 2: 40}
+    draw = lambda *k: int(hashlib.md5("|".join(map(str, k)).encode()).hexdigest()[:15], 16)
+    expected = set()
+    for s, ids in names.items():
+        valid = {}
+        for i in range(10 * want[s]):
+            u, v = (ids[draw(42, s, i, side) % len(ids)] for side in (0, 1))
+            if u != v and (u, v) not in taken[s]:
+                valid.setdefault((u, v), i)
+        expected |= {(s, *p) for p in itertools.islice(valid, want[s])}
+    got = sm.negative_samples(
+        spark.createDataFrame([(s, x) for s, ids in names.items() for x in ids], "split long, node string"),
+        spark.createDataFrame([(s, *p) for s, ps in taken.items() for p in ps], "split long, src string, dst string"),
+        spark.createDataFrame(list(want.items()), "split long, n_neg long"))
+    assert {tuple(r) for r in got.collect()} == expected
