@@ -1,6 +1,8 @@
 """Betweenness and closeness inside tasks: kernels against plain Brandes, components of all sizes, and what
 reaches which path."""
+import glob
 import random
+import time
 
 import numpy as np
 import pytest
@@ -111,3 +113,42 @@ def test_no_edges(spark):
     assert [tuple(r) for r in gr.closeness_centrality(e, True).collect()] == [("z", 0.0)]
     none = e.where(F.lit(False))
     assert gr.betweenness_centrality(none).count() == 0 and gr.closeness_centrality(none).count() == 0
+
+
+def test_long_chains_make_no_rounds_of_levels(spark):
+    """Each level of a breadth-first pass wrote its state before: a chain of n nodes n levels of every round."""
+    n, sc = 120, spark.sparkContext
+    e = edges_df(spark, [(f"n{i:03d}", f"n{i + 1:03d}", 1.0, 0) for i in range(n - 1)])
+    jobs = {}
+    for name, step in (("betweenness", lambda: gr.betweenness_centrality(e, normalized=False)), ("closeness", lambda: gr.closeness_centrality(e, True))):
+        sc.setJobGroup(name, name)
+        try:
+            got = as_dict(step(), "node", name)
+        finally:
+            sc.setJobGroup("", "")
+        jobs[name] = len(sc.statusTracker().getJobIdsForGroup(name))
+        far = lambda i: i * (i + 1) / 2 + (n - 1 - i) * (n - i) / 2
+        want = {f"n{i:03d}": 2.0 * i * (n - 1 - i) if name == "betweenness" else (n - 1) / far(i) for i in range(n)}
+        assert got == pytest.approx(want)
+    print(jobs)
+    assert max(jobs.values()) < 5 * n, jobs
+
+
+def test_steps_over_all_edges_leave_no_shuffle_files(spark):
+    rnd = random.Random(4)
+    e = edges_df(spark, [(f"c{rnd.randrange(200)}", f"s{rnd.randrange(40)}", 1.0, 0) for _ in range(1500)]).repartition(6, "src")
+    known = shuffle_files(spark)
+    nodes, pairs = gr.numbered_graph(e)
+    of = gr._numbered_components(nodes.select(F.col("nid").alias("node")), pairs)
+    for _ in range(50):         # executors remove them a moment later
+        left = shuffle_files(spark) - known
+        if len(left) <= 8:
+            break
+        time.sleep(0.1)
+    assert of.select("component").distinct().count() == 1
+    assert len(left) <= 8, len(left)         # those of the numbers of the nodes
+
+
+def shuffle_files(spark):
+    base = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {f for d in base for f in glob.glob(f"{d}/*/shuffle_*.data")}
